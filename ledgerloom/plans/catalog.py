@@ -238,3 +238,315 @@ def q_long_enough(spark, sf):
 def q_sorted(spark, sf):
     tx = T.transactions_from_events(spark, sf).select("user_id", "tx_id", "date", "amount")
     return global_index(tx, ["user_id", "date", "tx_id"], name="row_idx")
+
+
+# ---------------------------------------------------------------------------
+# Tabular side: D5, A5, J1-J3, P11, P12, A6, A7
+
+from ledgerloom.operators import features as FT  # noqa: E402
+from ledgerloom.operators import metrics as M  # noqa: E402
+from ledgerloom.operators import split as SP  # noqa: E402
+from ledgerloom.operators import vocab as V  # noqa: E402
+
+_FT_TABLE = f"SELECT l.*, f.* EXCLUDE (user_id) FROM ({Q.LAB}) l LEFT JOIN ({Q.FEAT}) f USING (user_id)"
+
+
+def finetune_table(spark, sf):
+    return FT.labels_with_features(T.label_rows(spark, sf), T.customer_features(spark, sf))
+
+
+@query("labels_join_features", f"SELECT * FROM ({_FT_TABLE})")
+def q_labels_join_features(spark, sf):
+    return finetune_table(spark, sf)
+
+
+@query("first_row_per_user", f"""SELECT * FROM ({_FT_TABLE})
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY row_id) = 1""")
+def q_first_row(spark, sf):
+    return FT.first_row_per_key(finetune_table(spark, sf), "user_id", "row_id")
+
+
+@query("first_label", f"""SELECT user_id, arg_min(label, row_id) AS label FROM ({Q.LAB})
+WHERE label IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id""")
+def q_first_label(spark, sf):
+    return FT.first_label(T.label_rows(spark, sf))
+
+
+_FV_SQL = ", ".join([f"CAST(trunc(coalesce({c}, 0)) AS FLOAT) AS f{i}" for i, c in enumerate(T.FEAT_CATEGORICAL)] +
+                    [f"CAST(coalesce({c}, 0) AS FLOAT) AS f{i + len(T.FEAT_CATEGORICAL)}"
+                     for i, c in enumerate(T.FEAT_NUMERICAL)])
+
+
+@query("label_first_features", f"""SELECT l.row_id, l.user_id, l.label, {_FV_SQL}
+FROM ({Q.LAB}) l JOIN (SELECT * FROM ({_FT_TABLE})
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY row_id) = 1) t USING (user_id)""")
+def q_label_first_features(spark, sf):
+    j = FT.label_first_features(T.label_rows(spark, sf), finetune_table(spark, sf))
+    fv = FT.feature_vector(T.FEAT_CATEGORICAL, T.FEAT_NUMERICAL)
+    n = len(T.FEAT_CATEGORICAL) + len(T.FEAT_NUMERICAL)
+    return j.select("row_id", "user_id", "label", *[fv[i].alias(f"f{i}") for i in range(n)])
+
+
+@query("feature_vector", f"SELECT user_id, {_FV_SQL} FROM ({Q.FEAT})")
+def q_feature_vector(spark, sf):
+    fv = FT.feature_vector(T.FEAT_CATEGORICAL, T.FEAT_NUMERICAL)
+    n = len(T.FEAT_CATEGORICAL) + len(T.FEAT_NUMERICAL)
+    return T.customer_features(spark, sf).select("user_id", *[fv[i].alias(f"f{i}") for i in range(n)])
+
+
+def _coerce_sql(x: str, kind: str) -> str:
+    d = (f"(CASE WHEN TRY_CAST(CAST({x} AS VARCHAR) AS DOUBLE) IS NULL OR isnan(TRY_CAST(CAST({x} AS VARCHAR) AS DOUBLE))"
+         f" OR isinf(TRY_CAST(CAST({x} AS VARCHAR) AS DOUBLE)) THEN 0.0 ELSE TRY_CAST(CAST({x} AS VARCHAR) AS DOUBLE) END)")
+    return f"CAST(trunc({d}) AS BIGINT)" if kind == "categorical" else f"CAST({d} AS FLOAT)"
+
+
+@query("coerce_numeric", f"""SELECT event_id, {_coerce_sql('props', 'numerical')} AS props_num,
+  {_coerce_sql('value', 'categorical')} AS value_code, {_coerce_sql("substr(props, 7, 2)", 'categorical')} AS k_code
+FROM events""")
+def q_coerce(spark, sf):
+    ev = T.table(spark, sf, "events")
+    return ev.select("event_id", FT.coerce_numeric("props", "numerical").alias("props_num"),
+                     FT.coerce_numeric("value", "categorical").alias("value_code"),
+                     FT.coerce_numeric(F.substring("props", 7, 2), "categorical").alias("k_code"))
+
+
+@query("feature_catalog", f"""SELECT 'num_acctbal,num_orders,num_spend' AS numerical_cols,
+  'cat_nation,cat_segment' AS categorical_cols,
+  'cat_nation:' || count(DISTINCT cat_nation) || ',cat_segment:' || count(DISTINCT cat_segment) AS cat_cardinalities,
+  'cat_nation:' || (max(cat_nation) + 1) || ',cat_segment:' || (max(cat_segment) + 1) AS cat_max_plus_one
+FROM ({Q.FEAT})""")
+def q_feature_catalog(spark, sf):
+    cat = FT.feature_catalog(T.customer_features(spark, sf), T.FEAT_NUMERICAL, T.FEAT_CATEGORICAL)
+
+    def render(m):
+        return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"),
+                                                                                e["value"].cast("string"))), ",")
+    return cat.select(F.array_join("numerical_cols", ",").alias("numerical_cols"),
+                      F.array_join("categorical_cols", ",").alias("categorical_cols"),
+                      render(F.col("cat_cardinalities")).alias("cat_cardinalities"),
+                      render(F.col("cat_max_plus_one")).alias("cat_max_plus_one"))
+
+
+# ---------------------------------------------------------------------------
+# Vocabulary: U1, J4, J5, B9 and the label -> sequence join J2
+
+def _txe_words(spark, sf):
+    tx = T.transactions_from_events(spark, sf)
+    return tx.select(F.explode(E.pretokenize("description")).alias("word"))
+
+
+def txe_vocab(spark, sf):
+    return V.word_vocabulary(spark, _txe_words(spark, sf), "replication")
+
+
+_SPECIALS_SQL = "[" + ", ".join(f"'{t}'" for t in V.special_token_list("replication")) + "]"
+_TXE_VOCAB = f"""SELECT token, CAST(id AS INTEGER) AS id FROM (
+  SELECT unnest({_SPECIALS_SQL}) AS token, generate_subscripts({_SPECIALS_SQL}, 1) - 1 AS id
+  UNION ALL
+  SELECT w AS token, {len(V.special_token_list('replication'))} - 1 + row_number() OVER (ORDER BY w) AS id
+  FROM (SELECT DISTINCT unnest({Q.words('description')}) AS w FROM ({Q.TXE}))
+  WHERE w NOT IN (SELECT unnest({_SPECIALS_SQL})))"""
+
+
+@query("word_vocabulary", f"SELECT token, id FROM ({_TXE_VOCAB})")
+def q_word_vocab(spark, sf):
+    return txe_vocab(spark, sf).select("token", "id")
+
+
+@query("special_token_usage", f"""SELECT v.token, v.id, CAST(count(t.tok) AS BIGINT) AS n_used
+FROM (SELECT unnest({_SPECIALS_SQL}) AS token, CAST(generate_subscripts({_SPECIALS_SQL}, 1) - 1 AS INTEGER) AS id) v
+LEFT JOIN (SELECT unnest(seq) AS tok FROM ({_TXE_SEQ})) t ON t.tok = v.token
+GROUP BY v.token, v.id""")
+def q_special_usage(spark, sf):
+    sp = V.special_tokens(spark, "replication")
+    used = S.tokens_long(txe_sequences(spark, sf), "user_id").groupBy("token").agg(F.count(F.lit(1)).alias("n_used"))
+    # the special catalog has a fixed size (76 rows): broadcast is bounded
+    return used.join(F.broadcast(sp), "token", "right").select(
+        "token", "id", F.coalesce(F.col("n_used"), F.lit(0)).alias("n_used"))
+
+
+_TXE_IDS = f"""SELECT s.user_id, list(coalesce(v.id, 1) ORDER BY s.pos) AS ids
+FROM (SELECT user_id, unnest(seq) AS tok, generate_subscripts(seq, 1) AS pos FROM ({_TXE_SEQ})) s
+LEFT JOIN ({_TXE_VOCAB}) v ON v.token = s.tok GROUP BY s.user_id"""
+
+
+def txe_id_sequences(spark, sf):
+    seqs = txe_sequences(spark, sf)
+    vocab = txe_vocab(spark, sf)
+    ids = V.tokens_to_ids(seqs, vocab, "tokens", ["user_id", "chunk"])
+    return seqs.join(ids, ["user_id", "chunk"]).drop("tokens")
+
+
+@query("token_to_id", f"SELECT user_id, array_to_string(ids, ',') AS ids FROM ({_TXE_IDS})")
+def q_token_to_id(spark, sf):
+    ids = txe_id_sequences(spark, sf)
+    return ids.select("user_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query("id_to_token", f"""SELECT i.user_id, array_to_string(list(v.token ORDER BY i.pos), ' ') AS tokens,
+  array_to_string(list(v.token ORDER BY i.pos), '') AS decoded
+FROM (SELECT user_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM ({_TXE_IDS})) i
+JOIN ({_TXE_VOCAB}) v ON v.id = i.id GROUP BY i.user_id""")
+def q_id_to_token(spark, sf):
+    ids = txe_id_sequences(spark, sf)
+    back = V.ids_to_tokens(ids, txe_vocab(spark, sf), "ids", ["user_id", "chunk"])
+    return back.select("user_id", joined("tokens").alias("tokens"), V.decode("tokens").alias("decoded"))
+
+
+@query("label_sequence", f"""SELECT l.row_id, l.user_id, l.label,
+  CASE WHEN s.h IS NULL OR len(s.h) = 0 THEN '[PAD]' ELSE array_to_string(s.h, ' ') END AS tokens
+FROM ({Q.LAB}) l LEFT JOIN (SELECT user_id, seq[1:512] AS h FROM ({_TXE_SEQ})) s USING (user_id)""")
+def q_label_sequence(spark, sf):
+    win = S.head_tokens(txe_sequences(spark, sf), "user_id", 512)
+    j = FT.label_sequences(T.label_rows(spark, sf), win)
+    return j.select("row_id", "user_id", "label", joined("tokens").alias("tokens"))
+
+
+@query("corpus_counts", f"""SELECT (SELECT count(*) FROM ({_TXE_SEQ})) AS n_users,
+  (SELECT CAST(sum(len(seq)) AS BIGINT) FROM ({_TXE_SEQ})) AS n_tokens,
+  (SELECT count(*) FROM ({_TXE_VOCAB})) AS vocab_size,
+  (SELECT count(*) FROM ({Q.LAB})) AS n_label_rows,
+  (SELECT count(DISTINCT user_id) FROM ({Q.LAB})) AS n_label_users""")
+def q_corpus_counts(spark, sf):
+    seqs = txe_sequences(spark, sf)
+    one = F.lit(1).alias("_one")
+    a = seqs.agg(F.count_distinct("user_id").alias("n_users"), F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"))
+    b = txe_vocab(spark, sf).agg(F.count(F.lit(1)).alias("vocab_size"))
+    c = T.label_rows(spark, sf).agg(F.count(F.lit(1)).alias("n_label_rows"),
+                                    F.count_distinct("user_id").alias("n_label_users"))
+    return (a.select("*", one).join(b.select("*", one), "_one").join(c.select("*", one), "_one")
+            .select("n_users", "n_tokens", "vocab_size", "n_label_rows", "n_label_users"))
+
+
+# ---------------------------------------------------------------------------
+# Splits, shuffles, batches: O2, O4, O5, W6-W8, A8
+
+@query("stratified_split", f"""WITH l AS ({Q.LAB}),
+c AS (SELECT label, count(*) AS n FROM l GROUP BY label),
+t AS (SELECT CAST(ceil(sum(n) * 0.2) AS BIGINT) AS nt, sum(n) AS tot FROM c),
+q0 AS (SELECT c.label, floor(t.nt * c.n / t.tot) AS base, t.nt * c.n / t.tot - floor(t.nt * c.n / t.tot) AS frac,
+       t.nt FROM c, t),
+q AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, label) <= nt - sum(base) OVER ()
+      THEN 1 ELSE 0 END AS quota FROM q0),
+r AS (SELECT l.*, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || row_id), row_id) - 1 AS rk FROM l)
+SELECT r.row_id, r.user_id, r.label, r.rk < q.quota AS is_test FROM r JOIN q USING (label)""")
+def q_stratified(spark, sf):
+    return SP.stratified_split(T.label_rows(spark, sf)).select("row_id", "user_id", "label", "is_test")
+
+
+@query("group_split", f"""SELECT row_id, user_id, label,
+  ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 20 AS is_test FROM ({Q.LAB})""")
+def q_group_split(spark, sf):
+    return SP.group_split(T.label_rows(spark, sf)).select("row_id", "user_id", "label", "is_test")
+
+
+@query("assign_batches", f"""SELECT user_id, CAST(position AS BIGINT) AS position,
+  CAST(position // 16 AS BIGINT) AS batch_id FROM (
+  SELECT user_id, row_number() OVER (ORDER BY md5('42|0|' || user_id), user_id) - 1 AS position
+  FROM ({_TXE_SEQ}))""")
+def q_assign_batches(spark, sf):
+    users = txe_sequences(spark, sf).where(F.col("chunk") == 0).select("user_id")
+    return SP.assign_batches(users, "user_id", 16, seed=42, epoch=0).select("user_id", "position", "batch_id")
+
+
+@query("shuffle_order", f"""SELECT user_id, md5('7|3|' || user_id) AS shuffle_key,
+  CAST(row_number() OVER (ORDER BY md5('7|3|' || user_id), user_id) - 1 AS BIGINT) AS position
+FROM (SELECT DISTINCT user_id FROM ({Q.LAB}))""")
+def q_shuffle_order(spark, sf):
+    users = T.label_rows(spark, sf).select("user_id").distinct()
+    out = users.withColumn("shuffle_key", SP.hash_order(7, "user_id", 3))
+    return global_index(out, ["shuffle_key", "user_id"], name="position")
+
+
+@query("pad_batches", f"""WITH b AS (SELECT user_id, ids[1:513] AS h,
+    (row_number() OVER (ORDER BY md5('42|0|' || user_id), user_id) - 1) // 16 AS batch_id FROM ({_TXE_IDS})),
+xy AS (SELECT user_id, batch_id, h[1:len(h)-1] AS x, h[2:len(h)] AS y FROM b),
+m AS (SELECT *, max(len(x)) OVER (PARTITION BY batch_id) AS batch_len FROM xy)
+SELECT user_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_len AS INTEGER) AS batch_len,
+  array_to_string(list_concat(x, list_transform(range(batch_len - len(x)), lambda i: 0)), ',') AS x,
+  array_to_string(list_concat(y, list_transform(range(batch_len - len(y)), lambda i: -1)), ',') AS y
+FROM m""")
+def q_pad_batches(spark, sf):
+    ids = txe_id_sequences(spark, sf)
+    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513)
+    xy = S.next_token_pairs(h)
+    b = SP.assign_batches(xy, "user_id", 16, seed=42, epoch=0)
+    p = SP.pad_batches(b)
+    return p.select("user_id", "batch_id", "batch_len", F.array_join("x", ",").alias("x"),
+                    F.array_join("y", ",").alias("y"))
+
+
+@query("mean_of_batch_means", f"""SELECT round(avg(bm), 9) AS mean_of_batch_means, count(*) AS n_batches FROM (
+  SELECT batch_id, avg(CAST(len(seq) AS DOUBLE)) AS bm FROM (
+    SELECT seq, (row_number() OVER (ORDER BY md5('42|0|' || user_id), user_id) - 1) // 16 AS batch_id
+    FROM ({_TXE_SEQ})) GROUP BY batch_id)""")
+def q_mean_of_batch_means(spark, sf):
+    users = txe_sequences(spark, sf).where(F.col("chunk") == 0).select("user_id", F.col("seq_len").cast("double"))
+    b = SP.assign_batches(users, "user_id", 16, seed=42, epoch=0)
+    r = M.mean_of_batch_means(b, "seq_len")
+    return r.select(F.round("mean_of_batch_means", 9).alias("mean_of_batch_means"), "n_batches")
+
+
+@query("sample_k", f"""SELECT user_id, seq_len FROM (SELECT user_id, CAST(len(seq) AS BIGINT) AS seq_len,
+  md5('42|' || user_id) AS h FROM ({_TXE_SEQ})) ORDER BY h, user_id LIMIT 3""")
+def q_sample_k(spark, sf):
+    users = txe_sequences(spark, sf).where(F.col("chunk") == 0).select("user_id", "seq_len")
+    return SP.sample_k(users, "user_id", 3, seed=42)
+
+
+# ---------------------------------------------------------------------------
+# Scores and metrics: P14, A10, A11, A13, M7 on a data-derived logit
+
+_SCORES = f"""SELECT l.row_id, l.user_id, l.label, f.num_acctbal / 1000.0 - 4.5 AS logit
+FROM ({Q.LAB}) l JOIN ({Q.FEAT}) f USING (user_id)"""
+
+
+def score_rows(spark, sf):
+    lab = T.label_rows(spark, sf)
+    f = T.customer_features(spark, sf)
+    return lab.join(f, "user_id").select("row_id", "user_id", "label",
+                                         (F.col("num_acctbal") / 1000.0 - 4.5).alias("logit"))
+
+
+@query("sigmoid_score", f"SELECT row_id, round(1.0 / (1.0 + exp(-logit)), 9) AS p FROM ({_SCORES})")
+def q_sigmoid(spark, sf):
+    return score_rows(spark, sf).select("row_id", F.round(M.sigmoid("logit"), 9).alias("p"))
+
+
+@query("bce_logits", f"""SELECT round(avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))), 9) AS bce
+FROM ({_SCORES})""")
+def q_bce(spark, sf):
+    return M.bce_with_logits(score_rows(spark, sf)).select(F.round("bce", 9).alias("bce"))
+
+
+@query("class_cross_entropy", f"""SELECT round(avg(ln(exp(z0 - m) + exp(z1 - m)) + m
+  - CASE WHEN label = 1 THEN z1 ELSE z0 END), 9) AS class_cross_entropy
+FROM (SELECT label, -logit / 2 AS z0, logit / 2 AS z1, greatest(-logit / 2, logit / 2) AS m FROM ({_SCORES}))""")
+def q_class_ce(spark, sf):
+    s = score_rows(spark, sf).withColumn("z", F.array(-F.col("logit") / 2, F.col("logit") / 2))
+    return s.agg(F.round(F.avg(M.class_cross_entropy_terms("z", "label")), 9).alias("class_cross_entropy"))
+
+
+_AUC_SQL = f"""WITH s AS (SELECT logit AS score, label FROM ({_SCORES})),
+g AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::DOUBLE AS pos,
+      sum(CASE WHEN label = 1 THEN 0 ELSE 1 END)::DOUBLE AS neg FROM s GROUP BY score),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM g)
+SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auc,
+  CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c"""
+
+
+@query("roc_auc", _AUC_SQL)
+def q_roc_auc(spark, sf):
+    s = score_rows(spark, sf).select(F.col("logit").alias("score"), "label")
+    return M.roc_auc(s).select(F.round("auc", 9).alias("auc"), "n_pos", "n_neg")
+
+
+@query("evaluate_scores", f"""SELECT count(*) AS n,
+  round(avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))), 9) AS bce,
+  round(avg(CASE WHEN (1.0 / (1.0 + exp(-logit)) >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
+  (SELECT auc FROM ({_AUC_SQL})) AS auc FROM ({_SCORES})""")
+def q_evaluate(spark, sf):
+    r = M.evaluate_scores(score_rows(spark, sf))
+    return r.select("n", F.round("bce", 9).alias("bce"), F.round("accuracy", 9).alias("accuracy"),
+                    F.round("auc", 9).alias("auc"))
