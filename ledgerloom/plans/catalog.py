@@ -550,3 +550,217 @@ def q_evaluate(spark, sf):
     r = M.evaluate_scores(score_rows(spark, sf))
     return r.select("n", F.round("bce", 9).alias("bce"), F.round("accuracy", 9).alias("accuracy"),
                     F.round("auc", 9).alias("auc"))
+
+
+# ---------------------------------------------------------------------------
+# Corpus-scale tokenizer: B1-B9
+
+from ledgerloom.operators import bpe as B  # noqa: E402
+
+
+@query("pretokenize", f"""SELECT description, array_to_string({Q.words('description')}, ' ') AS words
+FROM (SELECT DISTINCT description FROM ({Q.TXR}))""")
+def q_pretokenize(spark, sf):
+    d = T.transactions_from_lineitem(spark, sf).select("description").distinct()
+    return d.select("description", F.array_join(B.pretokenize("description"), " ").alias("words"))
+
+
+_UWORD = r"[\p{L}\p{N}\p{M}_]"
+
+
+@query("word_histogram", f"""SELECT w AS word, count(*) AS cnt FROM (
+  SELECT unnest(regexp_extract_all(coalesce(text, ''), '{_UWORD}+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]+')) AS w FROM documents)
+GROUP BY w""")
+def q_word_histogram(spark, sf):
+    return B.word_histogram(T.table(spark, sf, "documents"), "text")
+
+
+_SPACED_SPECIALS = V.special_token_list("adaptation")
+
+
+@query("special_aware_split", f"""SELECT tx_id, array_to_string(regexp_extract_all(
+  {Q.spaced('origin', 'amount', 'date', 'description')},
+  '{B.special_split_pattern(_SPACED_SPECIALS).replace("(?U)", "").replace(chr(39), chr(39) * 2)}'), ' ') AS words
+FROM ({Q.TXE})""")
+def q_special_split(spark, sf):
+    tx = T.transactions_from_events(spark, sf)
+    s = E.spaced_transaction_string("origin", "amount", "date", "description")
+    return tx.select("tx_id", F.array_join(B.pretokenize(s, _SPACED_SPECIALS), " ").alias("words"))
+
+
+_DESC_HIST = f"""SELECT w AS word, count(*) AS cnt FROM (
+  SELECT unnest({Q.words('description')}) AS w FROM (SELECT DISTINCT description FROM ({Q.TXR})))
+GROUP BY w"""
+
+
+def txr_description_histogram(spark, sf):
+    d = T.transactions_from_lineitem(spark, sf).select("description").distinct()
+    return B.word_histogram(d, "description")
+
+
+@query("bpe_pair_counts", f"""WITH h AS ({_DESC_HIST}),
+c AS (SELECT cnt, regexp_extract_all(word, '.') AS ch FROM h)
+SELECT ch[i] AS "left", ch[i + 1] AS "right", CAST(sum(cnt) AS BIGINT) AS cnt
+FROM c, unnest(generate_series(1, len(ch) - 1)) AS g(i) GROUP BY ch[i], ch[i + 1]""")
+def q_pair_counts(spark, sf):
+    h = txr_description_histogram(spark, sf)
+    return B.pair_counts(h.select("cnt", B.char_symbols("word").alias("sym")))
+
+
+def txr_bpe(spark, sf, vocab_size=10000):
+    """The replication tokenizer: trained on distinct descriptions only."""
+    return B.train_bpe(spark, txr_description_histogram(spark, sf), vocab_size, V.special_token_list("replication"))
+
+
+@query("bpe_merges")
+def q_bpe_merges(spark, sf):
+    """The learned merge list (rank, left, right, merged); checked
+    against the tokenizers library in tests/test_bpe.py."""
+    return txr_bpe(spark, sf).merges
+
+
+@query("bpe_vocabulary")
+def q_bpe_vocab(spark, sf):
+    """The learned vocabulary with special flags."""
+    return txr_bpe(spark, sf).vocab
+
+
+def _encoded_descriptions(spark, sf):
+    d = T.transactions_from_lineitem(spark, sf).select("description").distinct()
+    return d, B.encode_texts(d, ["description"], "description", txr_bpe(spark, sf))
+
+
+@query("bpe_encode")
+def q_bpe_encode(spark, sf):
+    """Every distinct description as BPE pieces and ids."""
+    _, enc = _encoded_descriptions(spark, sf)
+    return enc.select("description", joined("pieces").alias("pieces"), F.array_join("ids", ",").alias("ids"))
+
+
+@query("decode_tokens", f"""SELECT description, regexp_replace(description, '\\s', '', 'g') AS decoded
+FROM (SELECT DISTINCT description FROM ({Q.TXR}))""")
+def q_decode(spark, sf):
+    """Decoding concatenates pieces, so spaces are lost."""
+    d, enc = _encoded_descriptions(spark, sf)
+    return d.join(enc, "description", "left").select(
+        "description", F.coalesce(V.decode("pieces"), F.lit("")).alias("decoded"))
+
+
+# ---------------------------------------------------------------------------
+# Next-token statistics: M1-M3, A9, A12
+
+from ledgerloom.operators import ngram as NG  # noqa: E402
+
+_NG = f"""s AS ({_TXE_SEQ}),
+pos AS (SELECT user_id, i AS pos, seq[i] AS token, CASE WHEN i > 1 THEN seq[i - 1] END AS c1,
+        CASE WHEN i > 2 THEN seq[i - 2] END AS c2 FROM s, unnest(generate_series(1, len(seq))) AS g(i)),
+uni AS (SELECT token, count(*) AS cnt FROM pos GROUP BY token),
+tot AS (SELECT sum(cnt) AS N, count(*) AS V FROM uni),
+p0 AS (SELECT token, cnt, (cnt + CAST(1 AS DOUBLE) / V) / (N + CAST(1 AS DOUBLE)) AS p0 FROM uni, tot),
+bi AS (SELECT c1, token, count(*) AS cnt FROM pos WHERE c1 IS NOT NULL GROUP BY c1, token),
+ctx1 AS (SELECT c1, sum(cnt) AS ctx_cnt FROM bi GROUP BY c1),
+p1 AS (SELECT b.c1, b.token, b.cnt, (b.cnt + p0.p0) / (x.ctx_cnt + CAST(1 AS DOUBLE)) AS p1
+       FROM bi b JOIN ctx1 x USING (c1) JOIN p0 USING (token)),
+tri AS (SELECT c2, c1, token, count(*) AS cnt FROM pos WHERE c2 IS NOT NULL GROUP BY c2, c1, token),
+ctx2 AS (SELECT c2, c1, sum(cnt) AS ctx_cnt FROM tri GROUP BY c2, c1),
+p2 AS (SELECT t.c2, t.c1, t.token, t.cnt, (t.cnt + p1.p1) / (x.ctx_cnt + CAST(1 AS DOUBLE)) AS p2
+       FROM tri t JOIN ctx2 x USING (c2, c1) JOIN p1 USING (c1, token))"""
+
+
+def txe_ngram(spark, sf, seqs=None):
+    seqs = txe_sequences(spark, sf) if seqs is None else seqs
+    pos = NG.positions_with_context(seqs, "user_id")
+    return pos, NG.ngram_model(pos)
+
+
+def txe_predictions(spark, sf, k=5):
+    """Greedy next-token predictions after holding out the last k tokens of
+    every sequence longer than k + 10 (the reference's predict script)."""
+    seqs = txe_sequences(spark, sf)
+    _, m = txe_ngram(spark, sf, seqs)
+    ctx, actual = NG.holdout_contexts(seqs.where(F.col("seq_len") > k + 10), "user_id", k)
+    return NG.greedy_next_tokens(ctx, "user_id", NG.argmax_tables(m), k), actual
+
+
+@query("ngram_counts", f"""WITH {_NG}
+SELECT 0 AS "order", '' AS ctx, token, cnt FROM uni
+UNION ALL SELECT 1, c1, token, cnt FROM bi
+UNION ALL SELECT 2, c2 || ' ' || c1, token, cnt FROM tri""")
+def q_ngram_counts(spark, sf):
+    pos = NG.positions_with_context(txe_sequences(spark, sf), "user_id")
+    c = NG.ngram_counts(pos)
+    return (c["uni"].select(F.lit(0).alias("order"), F.lit("").alias("ctx"), "token", "cnt")
+            .unionByName(c["bi"].select(F.lit(1).alias("order"), F.col("c1").alias("ctx"), "token", "cnt"))
+            .unionByName(c["tri"].select(F.lit(2).alias("order"), F.concat_ws(" ", "c2", "c1").alias("ctx"),
+                                         "token", "cnt")))
+
+
+@query("next_token_probs", f"""WITH {_NG}
+SELECT c2, c1, token, round(p2, 9) AS p FROM p2""")
+def q_next_token_probs(spark, sf):
+    _, m = txe_ngram(spark, sf)
+    return m["p2"].select("c2", "c1", "token", F.round("p2", 9).alias("p"))
+
+
+@query("cross_entropy", f"""WITH {_NG}
+SELECT round(avg(-ln(CASE WHEN pos.c2 IS NOT NULL THEN p2.p2 WHEN pos.c1 IS NOT NULL THEN p1.p1 ELSE p0.p0 END)), 9)
+  AS cross_entropy, count(*) AS n_tokens
+FROM pos LEFT JOIN p2 USING (c2, c1, token) LEFT JOIN p1 USING (c1, token) LEFT JOIN p0 USING (token)""")
+def q_cross_entropy(spark, sf):
+    pos, m = txe_ngram(spark, sf)
+    pp = NG.position_probabilities(pos, m).withColumn("y", F.lit(0))
+    r = M.cross_entropy(pp, "p", "y")
+    return r.select(F.round("cross_entropy", 9).alias("cross_entropy"), "n_tokens")
+
+
+_ARGMAX = """a2 AS (SELECT c2, c1, arg_min(token, (-p2, token)) AS next_token FROM p2 GROUP BY c2, c1),
+a1 AS (SELECT c1, arg_min(token, (-p1, token)) AS next_token FROM p1 GROUP BY c1),
+a0 AS (SELECT arg_min(token, (-p0, token)) AS next_token FROM p0)"""
+
+
+@query("argmax_token", f"""WITH {_NG}, {_ARGMAX}
+SELECT c1, next_token FROM a1""")
+def q_argmax(spark, sf):
+    _, m = txe_ngram(spark, sf)
+    return NG.argmax_tables(m)["a1"]
+
+
+def _greedy_sql(k: int) -> str:
+    steps = ["""st0 AS (SELECT user_id, CASE WHEN len(inp) >= 2 THEN inp[len(inp) - 1] END AS t, inp[len(inp)] AS u,
+  []::VARCHAR[] AS predicted FROM (SELECT user_id, seq[1:len(seq) - 5] AS inp FROM s WHERE len(seq) > 15))"""]
+    for i in range(1, k + 1):
+        steps.append(f"""st{i} AS (SELECT p.user_id, p.u AS t, coalesce(a2.next_token, a1.next_token, a0.next_token) AS u,
+  list_append(p.predicted, coalesce(a2.next_token, a1.next_token, a0.next_token)) AS predicted
+  FROM st{i - 1} p LEFT JOIN a2 ON a2.c2 = p.t AND a2.c1 = p.u LEFT JOIN a1 ON a1.c1 = p.u, a0)""")
+    return ",\n".join(steps)
+
+
+@query("greedy_next_tokens", f"""WITH {_NG}, {_ARGMAX}, {_greedy_sql(5)}
+SELECT user_id, array_to_string(predicted, ' ') AS predicted FROM st5""")
+def q_greedy(spark, sf):
+    pred, _ = txe_predictions(spark, sf)
+    return pred.select("user_id", joined("predicted").alias("predicted"))
+
+
+@query("next_token_accuracy", f"""WITH {_NG}, {_ARGMAX}, {_greedy_sql(5)},
+act AS (SELECT user_id, seq[len(seq) - 4:] AS actual FROM s WHERE len(seq) > 15)
+SELECT CAST(i AS INTEGER) AS position, round(avg(CASE WHEN st5.predicted[i] = act.actual[i] THEN 1.0 ELSE 0.0 END), 9)
+  AS accuracy, count(*) AS n
+FROM st5 JOIN act USING (user_id), unnest(generate_series(1, 5)) AS g(i) GROUP BY i""")
+def q_accuracy(spark, sf):
+    pred, actual = txe_predictions(spark, sf)
+    acc = NG.next_token_accuracy(pred, actual, "user_id")
+    return acc.select(F.col("position").cast("int").alias("position"), F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+@query("format_tokens", f"""WITH {_NG}, {_ARGMAX}, {_greedy_sql(5)},
+v AS ({_TXE_VOCAB})
+SELECT st5.user_id, string_agg(st5.tok || '(' || coalesce(CAST(v.id AS VARCHAR), '1') || ')', ' ' ORDER BY st5.i)
+  AS rendered
+FROM (SELECT user_id, unnest(predicted) AS tok, generate_subscripts(predicted, 1) AS i FROM st5) st5
+LEFT JOIN v ON v.token = st5.tok GROUP BY st5.user_id""")
+def q_format_tokens(spark, sf):
+    """P17 on the greedy predictions: ``token(id)`` pairs joined by spaces."""
+    pred, _ = txe_predictions(spark, sf)
+    ids = V.tokens_to_ids(pred, txe_vocab(spark, sf), "predicted", ["user_id"], vocab_bound=None)
+    return pred.join(ids, "user_id").select("user_id", E.format_tokens("predicted", "ids").alias("rendered"))

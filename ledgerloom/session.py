@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf.update({
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     })
