@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizer, OneHotEncoder, VectorAssembler, Word2Vec
+from pyspark.ml.feature import CountVectorizer, OneHotEncoder, VectorAssembler, VectorSizeHint, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +33,13 @@ class ClassifierConfig:
     max_iter: int = 50
     reg_param: float = 0.01
     seed: int = 42
+    w2v_partitions: int = 8  # Word2Vec trains one model copy per partition and averages them
 
 
 def _sequence_stages(cfg: ClassifierConfig, tokens: str, out: str) -> list:
     if cfg.encoder == "word2vec":
         return [Word2Vec(vectorSize=cfg.vector_size, minCount=1, seed=cfg.seed, inputCol=tokens, outputCol=out,
-                         maxIter=1, numPartitions=1)]
+                         maxIter=1, numPartitions=cfg.w2v_partitions)]
     return [CountVectorizer(inputCol=tokens, outputCol=out, vocabSize=cfg.vocab_size, minDF=cfg.min_df)]
 
 
@@ -54,13 +55,18 @@ def sequence_classifier(cfg: ClassifierConfig, tokens: str = "tokens", label: st
 
 
 def fusion_classifier(cfg: ClassifierConfig, cat_cols: Sequence[str], num_cols: Sequence[str],
-                      extra_vector_cols: Sequence[str] = (), tokens: str = "tokens", label: str = "label") -> Pipeline:
+                      extra_vectors: dict[str, int] | None = None, tokens: str = "tokens",
+                      label: str = "label") -> Pipeline:
     """M6: sequence vector + one-hot categoricals + numericals (+ periodic /
-    crossed feature vectors) concatenated, one estimator on top."""
+    crossed feature vectors of known sizes) concatenated, one estimator on top."""
+    extra_vectors = extra_vectors or {}
+    extra_vector_cols = list(extra_vectors)
+    hints = [VectorSizeHint(inputCol=c, size=n, handleInvalid="optimistic") for c, n in extra_vectors.items()]
     onehot = OneHotEncoder(inputCols=list(cat_cols), outputCols=[f"{c}_oh" for c in cat_cols], handleInvalid="keep")
     asm = VectorAssembler(inputCols=["seq_vec"] + [f"{c}_oh" for c in cat_cols] + list(num_cols)
                           + list(extra_vector_cols), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=_sequence_stages(cfg, tokens, "seq_vec") + [onehot, asm, _estimator(cfg, "features", label)])
+    return Pipeline(stages=_sequence_stages(cfg, tokens, "seq_vec") + hints
+                    + [onehot, asm, _estimator(cfg, "features", label)])
 
 
 def scores(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:

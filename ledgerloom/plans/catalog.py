@@ -764,3 +764,168 @@ def q_format_tokens(spark, sf):
     pred, _ = txe_predictions(spark, sf)
     ids = V.tokens_to_ids(pred, txe_vocab(spark, sf), "predicted", ["user_id"], vocab_bound=None)
     return pred.join(ids, "user_id").select("user_id", E.format_tokens("predicted", "ids").alias("rendered"))
+
+
+# ---------------------------------------------------------------------------
+# Vectors: J6, A14, P15, P16, M4
+
+from ledgerloom.operators import embed as EM  # noqa: E402
+
+_TXE_ID_LONG = f"""SELECT user_id, CAST(generate_subscripts(ids, 1) - 1 AS BIGINT) AS pos, unnest(ids) AS token_id
+FROM ({_TXE_IDS})"""
+
+
+def txe_token_vectors(spark, sf):
+    ids = txe_id_sequences(spark, sf).withColumnRenamed("ids", "tokens")
+    long = S.tokens_long(ids, "user_id").withColumnRenamed("token", "token_id")
+    return EM.embedding_lookup(long, T.table(spark, sf, "embeddings"), "token_id", 500)
+
+
+@query("embedding_lookup", f"""SELECT l.user_id, l.pos, l.token_id, e.vec_id, e.embedding[1] AS e0
+FROM ({_TXE_ID_LONG}) l LEFT JOIN embeddings e ON e.vec_id = l.token_id % 500""")
+def q_embedding_lookup(spark, sf):
+    v = txe_token_vectors(spark, sf)
+    return v.select("user_id", "pos", "token_id", "vec_id", F.col("embedding")[0].alias("e0"))
+
+
+_TXE_VECS = f"""SELECT l.user_id, l.pos, e.embedding FROM ({_TXE_ID_LONG}) l
+JOIN embeddings e ON e.vec_id = l.token_id % 500"""
+
+
+@query("pool_mean", f"""SELECT user_id, CAST(d - 1 AS INTEGER) AS dim, round(avg(v), 6) AS value FROM (
+  SELECT user_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM ({_TXE_VECS}))
+GROUP BY user_id, d""")
+def q_pool_mean(spark, sf):
+    p = EM.pool_mean(txe_token_vectors(spark, sf), "user_id")
+    return p.select("user_id", "dim", F.round("value", 6).alias("value"))
+
+
+@query("pool_last", f"""SELECT user_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
+  unnest(embedding) AS value FROM (SELECT user_id, arg_max(embedding, pos) AS embedding FROM ({_TXE_VECS})
+  GROUP BY user_id)""")
+def q_pool_last(spark, sf):
+    return EM.pool_last(txe_token_vectors(spark, sf), "user_id")
+
+
+# Fixed parameters of the periodic encoding (a rule, not learned here):
+# frequency f[i][j] = 0.5 * (j + 1) / (i + 1), bias b[i][j] = 0.1 * j.
+_PER_COLS = ["x_acctbal", "x_orders", "x_spend"]
+_PER_FREQ = 4
+_F = [[0.5 * (j + 1) / (i + 1) for j in range(_PER_FREQ)] for i in range(len(_PER_COLS))]
+_B = [[0.1 * j for j in range(_PER_FREQ)] for i in range(len(_PER_COLS))]
+_SCALED = f"""SELECT user_id, num_acctbal / 1000.0 AS x_acctbal, num_orders / 10.0 AS x_orders,
+  num_spend / 100000.0 AS x_spend FROM ({Q.FEAT})"""
+
+
+def scaled_features(spark, sf):
+    f = T.customer_features(spark, sf)
+    return f.select("user_id", (F.col("num_acctbal") / 1000.0).alias("x_acctbal"),
+                    (F.col("num_orders") / 10.0).alias("x_orders"), (F.col("num_spend") / 100000.0).alias("x_spend"))
+
+
+_PER_SQL = " UNION ALL ".join(
+    f"SELECT user_id, {i * _PER_FREQ + j} AS k, round(sin({c} * {_F[i][j]!r} + {_B[i][j]!r}), 9) AS value FROM x"
+    for i, c in enumerate(_PER_COLS) for j in range(_PER_FREQ))
+
+
+@query("periodic_features", f"WITH x AS ({_SCALED}) {_PER_SQL}")
+def q_periodic(spark, sf):
+    x = scaled_features(spark, sf)
+    arr = EM.periodic_features(_PER_COLS, _PER_FREQ, _F, _B)
+    return x.select("user_id", F.posexplode(arr).alias("k", "value")) \
+            .select("user_id", "k", F.round("value", 9).alias("value"))
+
+
+@query("cross_features", f"""SELECT user_id, x_acctbal * x_acctbal AS c00, x_acctbal * x_orders AS c01,
+  x_acctbal * x_spend AS c02, x_orders * x_orders AS c11, x_orders * x_spend AS c12, x_spend * x_spend AS c22
+FROM ({_SCALED})""")
+def q_cross(spark, sf):
+    x = scaled_features(spark, sf)
+    arr = EM.cross_features(_PER_COLS)
+    names = ["c00", "c01", "c02", "c11", "c12", "c22"]
+    return x.select("user_id", *[arr[i].alias(n) for i, n in enumerate(names)])
+
+
+# ---------------------------------------------------------------------------
+# Classifiers: M4-M8 (Spark ML; scores are rows-only checks, AUC tested in
+# tests/test_models.py)
+
+from ledgerloom.operators import models as ML  # noqa: E402
+
+
+@query("user_embedding_word2vec")
+def q_user_w2v(spark, sf):
+    """M4: mean Word2Vec vector of each user's tokens."""
+    seqs = S.head_tokens(txe_sequences(spark, sf), "user_id", 512)
+    emb = ML.user_embeddings_word2vec(seqs, "user_id", "tokens", vector_size=8)
+    return emb.select("user_id", F.posexplode("vector").alias("dim", "value"))
+
+
+def docq_frame(spark, sf):
+    d = T.labelled_documents(spark, sf)
+    d = d.withColumn("tokens", F.transform(B.pretokenize("text"), lambda w: F.lower(w)))
+    return SP.group_split(d, "user_id")
+
+
+def docq_scores(spark, sf, encoder="counts"):
+    d = docq_frame(spark, sf)
+    cfg = ML.ClassifierConfig(encoder=encoder, vocab_size=5000, max_iter=30)
+    model = ML.sequence_classifier(cfg).fit(d.where(~F.col("is_test")))
+    return ML.scores(model, d, ["user_id", "label", "is_test"])
+
+
+@query("seq_classifier_scores")
+def q_seq_scores(spark, sf):
+    """M5: sequence-only classifier (token counts -> logistic regression)."""
+    return docq_scores(spark, sf)
+
+
+@query("seq_classifier_auc")
+def q_seq_auc(spark, sf):
+    """M5 + A13: exact test AUC of the sequence-only classifier."""
+    s = docq_scores(spark, sf).where(F.col("is_test"))
+    return M.roc_auc(s.select(F.col("logit").alias("score"), "label"))
+
+
+def fusion_frame(spark, sf):
+    lab = T.label_rows(spark, sf)
+    feats = T.customer_features(spark, sf)
+    x = scaled_features(spark, sf)
+    per = x.select("user_id", EM.periodic_features(_PER_COLS, _PER_FREQ, _F, _B).alias("per"),
+                   EM.cross_features(_PER_COLS).alias("crs"))
+    win = S.head_tokens(S.assemble_sequences(_txr_token_events(spark, sf), "user_id", T.TXR_ORDER, "toks",
+                                             sep=E.SEP), "user_id", 512)
+    j = FT.label_sequences(lab, win).join(feats, "user_id", "left").join(per, "user_id", "left")
+    from pyspark.ml.functions import array_to_vector
+    j = j.withColumn("per_vec", array_to_vector("per")).withColumn("crs_vec", array_to_vector("crs"))
+    return SP.group_split(j, "user_id")
+
+
+@query("fusion_classifier_scores")
+def q_fusion(spark, sf):
+    """M6: sequence counts + one-hot categoricals + numericals + periodic and
+    crossed features -> one logistic regression; scores for every label row."""
+    d = fusion_frame(spark, sf)
+    cfg = ML.ClassifierConfig(encoder="counts", vocab_size=2000, max_iter=20)
+    n = len(_PER_COLS)
+    pipe = ML.fusion_classifier(cfg, T.FEAT_CATEGORICAL, T.FEAT_NUMERICAL,
+                                {"per_vec": n * _PER_FREQ, "crs_vec": n * (n + 1) // 2})
+    model = pipe.fit(d.where(~F.col("is_test")))
+    return ML.scores(model, d, ["row_id", "user_id", "label", "is_test"])
+
+
+def _acctbal_scorer():
+    import numpy as np
+
+    def fn(b):
+        return 1.0 / (1.0 + np.exp(-(b["num_acctbal"].astype("float64") / 1000.0 - 4.5)))
+    return fn
+
+
+@query("batch_scoring", f"""SELECT user_id, num_acctbal, round(1.0 / (1.0 + exp(-(num_acctbal / 1000.0 - 4.5))), 9) AS score
+FROM ({Q.FEAT})""")
+def q_batch_scoring(spark, sf):
+    """M8: a scoring function loaded once per task, applied per Arrow batch."""
+    f = T.customer_features(spark, sf).select("user_id", "num_acctbal")
+    out = ML.score_with(f, _acctbal_scorer)
+    return out.select("user_id", "num_acctbal", F.round("score", 9).alias("score"))
