@@ -113,7 +113,8 @@ def greedy_next_tokens(contexts: DataFrame, key: str, tables: dict[str, DataFram
     else:
         tables = {name: t.persist(StorageLevel.MEMORY_AND_DISK) for name, t in tables.items()}
     a0 = tables["a0"].select(F.col("next_token").alias("_a0"), F.lit(1).alias("_one"))
-    cur = contexts.select(key, "t", "u", F.array().cast("array<string>").alias("predicted"), F.lit(1).alias("_one"))
+    etype = contexts.schema["u"].dataType.simpleString()
+    cur = contexts.select(key, "t", "u", F.array().cast(f"array<{etype}>").alias("predicted"), F.lit(1).alias("_one"))
     cur = cur.join(a0, "_one")
     for _ in range(k):
         a2 = tables["a2"].select(F.col("c2").alias("t"), F.col("c1").alias("u"), F.col("next_token").alias("_n2"))

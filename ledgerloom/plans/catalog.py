@@ -929,3 +929,27 @@ def q_batch_scoring(spark, sf):
     f = T.customer_features(spark, sf).select("user_id", "num_acctbal")
     out = ML.score_with(f, _acctbal_scorer)
     return out.select("user_id", "num_acctbal", F.round("score", 9).alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# D1 and O3
+
+@query("distinct_descriptions", f"""SELECT DISTINCT description FROM ({Q.TXR}) WHERE description IS NOT NULL""")
+def q_distinct_descriptions(spark, sf):
+    """The tokenizer corpus of the replication pipeline."""
+    tx = T.transactions_from_lineitem(spark, sf)
+    return tx.select("description").where(F.col("description").isNotNull()).distinct()
+
+
+@query("first_batch", f"""WITH b AS (SELECT user_id, ids[1:513] AS h,
+    (row_number() OVER (ORDER BY md5('42|0|' || user_id), user_id) - 1) // 16 AS batch_id FROM ({_TXE_IDS}))
+SELECT user_id, CAST(len(h) - 1 AS INTEGER) AS x_len, CAST(max(len(h) - 1) OVER () AS INTEGER) AS batch_len
+FROM b WHERE batch_id = 0""")
+def q_first_batch(spark, sf):
+    """O3: shapes of the first padded batch (rows, real length, padded length)."""
+    ids = txe_id_sequences(spark, sf)
+    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513)
+    b = SP.assign_batches(S.next_token_pairs(h), "user_id", 16, seed=42, epoch=0).where(F.col("batch_id") == 0)
+    p = SP.pad_batches(b)
+    return p.select("user_id", (F.size("x") - F.lit(0)).alias("_n"), F.col("batch_len").cast("int").alias("batch_len"),
+                    F.size(F.filter("y", lambda v: v != -1)).cast("int").alias("x_len")).drop("_n")

@@ -51,9 +51,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, null_text=
              multiline: bool = False) -> DataFrame:
     """CSV with a header and a declared schema; timestamps parse
     as TIMESTAMP_NTZ. ``null_text`` values become null (pandas-like)."""
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
-          .option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]")
-          .csv(path))
+    ts_fields = [f.name for f in schema.fields if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))]
+    raw = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ts_fields else f for f in schema.fields])
+    df = (spark.read.schema(raw).option("header", True).option("multiLine", multiline)
+          .option("escape", '"').csv(path))
+    for name in ts_fields:
+        df = df.withColumn(name, parse_timestamp(F.col(name)))
     if null_text:
         for f in schema.fields:
             if isinstance(f.dataType, T.StringType):
@@ -61,6 +64,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, null_text=
     return df
 
 
+# Timestamp spellings accepted on read: pandas' to_csv, Spark's CSV writer, a bare date.
+TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd"]
+
+
+def parse_timestamp(c):
+    """Text -> TIMESTAMP_NTZ, trying each accepted spelling; bad text -> null."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]).cast("timestamp_ntz")
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
                       schema: T.StructType = TRANSACTION_SCHEMA) -> DataFrame:
     """Transactions from parquet (default) or CSV."""
@@ -93,7 +105,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)  # quotes doubled, as pandas writes them
     elif fmt == "json":
         w.json(path)
     else:
