@@ -65,7 +65,9 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
         ev = ev.withColumn("_items", F.concat(F.col("_items"), _lit_array([sep], etype)))
 
     # 1-2: range partition (hot keys spread), total sort inside, pieces.
-    ranged = (ev.repartitionByRange(n_parts, key, *order_by, "_items")
+    # equal (key, order) rows always share a partition; the items only break
+    # ties inside the partition sort, which makes the piece cut reproducible
+    ranged = (ev.repartitionByRange(n_parts, key, *order_by)
               .sortWithinPartitions(key, *order_by, "_items")
               .withColumn("_piece", F.shiftright(F.monotonically_increasing_id(), piece_rows_log2)))
     pieces = (ranged.groupBy(key, "_piece")

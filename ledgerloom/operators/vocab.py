@@ -77,14 +77,25 @@ def specials_of(vocab: DataFrame, by_prefix: bool = False) -> DataFrame:
 
 
 def _map_array(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], col: str, out_col: str,
-               src: str, dst: str, fill, vocab_bound: int | None) -> DataFrame:
+               src: str, dst: str, fill, vocab_bound: int | None, inline: dict | None = None) -> DataFrame:
     """Explode ``col`` with positions, look every element up in ``vocab``
     (``src`` -> ``dst``) and re-collect in position order per ``key_cols``.
-    Arrays stay as bounded as the input rows (chunked sequences stay chunked)."""
+    Arrays stay as bounded as the input rows (chunked sequences stay chunked).
+
+    ``inline`` maps a fixed, small set of elements (the special tokens) with
+    a literal map instead of the join: those are the hottest keys (one per
+    transaction), so they never reach a shuffle join and cannot skew it."""
     keys = list(key_cols)
     long = df.select(*keys, F.posexplode_outer(col).alias("_pos", "_src"))
     v = vocab.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"))
-    j = lookup_join(long, v, "_src", "left", bound=vocab_bound)
+    if inline:
+        lit_map = F.create_map(*[x for k_, v_ in inline.items() for x in (F.lit(k_), F.lit(v_))])
+        long = long.withColumn("_fixed", F.element_at(lit_map, F.col("_src")))
+        hot = long.where(F.col("_fixed").isNotNull()).withColumn("_dst", F.col("_fixed"))
+        rest = long.where(F.col("_fixed").isNull())
+        j = lookup_join(rest, v, "_src", "left", bound=vocab_bound).unionByName(hot)
+    else:
+        j = lookup_join(long, v, "_src", "left", bound=vocab_bound)
     val = F.col("_dst") if fill is None else F.coalesce(F.col("_dst"), F.lit(fill))
     keep = F.col("_pos").isNotNull() & (val.isNotNull() if fill is None else F.lit(True))
     return (j.groupBy(*keys)
@@ -93,17 +104,22 @@ def _map_array(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], col: st
 
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens_col: str, key_cols: Sequence[str],
-                  out_col: str = "ids", unk_id: int | None = 1, vocab_bound: int | None = None) -> DataFrame:
+                  out_col: str = "ids", unk_id: int | None = 1, vocab_bound: int | None = None,
+                  specials: Sequence[str] | None = None) -> DataFrame:
     """J4 on an array column, one output row per ``key_cols`` value.
 
-    Unknown tokens -> ``unk_id``; with ``unk_id=None`` they are dropped."""
-    return _map_array(df, vocab, key_cols, tokens_col, out_col, "token", "id", unk_id, vocab_bound)
+    Unknown tokens -> ``unk_id``; with ``unk_id=None`` they are dropped.
+    ``specials`` (a variant's catalog, ids = positions) are mapped inline."""
+    inline = {t: i for i, t in enumerate(specials)} if specials else None
+    return _map_array(df, vocab, key_cols, tokens_col, out_col, "token", "id", unk_id, vocab_bound, inline)
 
 
 def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids_col: str, key_cols: Sequence[str],
-                  out_col: str = "tokens", vocab_bound: int | None = None) -> DataFrame:
+                  out_col: str = "tokens", vocab_bound: int | None = None,
+                  specials: Sequence[str] | None = None) -> DataFrame:
     """Ids back to token strings, order kept; unknown ids are dropped."""
-    return _map_array(df, vocab, key_cols, ids_col, out_col, "id", "token", None, vocab_bound)
+    inline = {i: t for i, t in enumerate(specials)} if specials else None
+    return _map_array(df, vocab, key_cols, ids_col, out_col, "id", "token", None, vocab_bound, inline)
 
 
 def decode(tokens_col: str) -> "F.Column":

@@ -373,8 +373,8 @@ LEFT JOIN ({_TXE_VOCAB}) v ON v.token = s.tok GROUP BY s.user_id"""
 def txe_id_sequences(spark, sf):
     seqs = txe_sequences(spark, sf)
     vocab = txe_vocab(spark, sf)
-    ids = V.tokens_to_ids(seqs, vocab, "tokens", ["user_id", "chunk"])
-    return seqs.join(ids, ["user_id", "chunk"]).drop("tokens")
+    return V.tokens_to_ids(seqs, vocab, "tokens", ["user_id", "chunk", "offset", "seq_len"],
+                           specials=V.special_token_list("replication"))
 
 
 @query("token_to_id", f"SELECT user_id, array_to_string(ids, ',') AS ids FROM ({_TXE_IDS})")
@@ -389,7 +389,8 @@ FROM (SELECT user_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM
 JOIN ({_TXE_VOCAB}) v ON v.id = i.id GROUP BY i.user_id""")
 def q_id_to_token(spark, sf):
     ids = txe_id_sequences(spark, sf)
-    back = V.ids_to_tokens(ids, txe_vocab(spark, sf), "ids", ["user_id", "chunk"])
+    back = V.ids_to_tokens(ids, txe_vocab(spark, sf), "ids", ["user_id", "chunk"],
+                           specials=V.special_token_list("replication"))
     return back.select("user_id", joined("tokens").alias("tokens"), V.decode("tokens").alias("decoded"))
 
 
