@@ -27,29 +27,38 @@ ALPHA = 1.0
 
 
 def positions_with_context(seqs: DataFrame, key: str, order: int = 2) -> DataFrame:
-    """(key, pos, c2, c1, token): every position with up to two previous tokens."""
+    """(key, pos, c2, c1, token): every position with up to two previous tokens.
+
+    Each chunk is prefixed with exactly two context slots (the previous
+    chunk's last tokens, or nulls at the start of a sequence); the contexts
+    are then two shifted slices of that array, zipped with the tokens and
+    exploded once: linear in the chunk length, all native expressions."""
+    if order != 2:
+        raise ValueError("contexts of order 2 are supported")
     prev = seqs.select(key, (F.col("chunk") + 1).alias("chunk"),
                        F.slice("tokens", F.greatest(F.size("tokens") - order + 1, F.lit(1)), order).alias("_prev"))
-    j = seqs.join(prev, [key, "chunk"], "left")
+    j = seqs.where(F.size("tokens") > 0).join(prev, [key, "chunk"], "left")
     etype = seqs.schema["tokens"].dataType.elementType.simpleString()
-    ext = F.concat(F.coalesce(F.col("_prev"), F.array().cast(f"array<{etype}>")), F.col("tokens"))
-    t = F.size(F.coalesce(F.col("_prev"), F.array()))
-
-    def at(i: Column, back: int) -> Column:
-        idx = i + t - back
-        return F.when(idx >= 0, F.try_element_at(ext, idx + 1))
-
-    rows = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.struct(
-        (F.col("offset") + i).alias("pos"), at(i, 2).alias("c2"), at(i, 1).alias("c1"),
-        F.element_at(F.col("tokens"), i + 1).alias("token")))
-    return j.where(F.size("tokens") > 0).select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+    before = F.coalesce(F.col("_prev"), F.array().cast(f"array<{etype}>"))
+    pad = F.array_repeat(F.lit(None).cast(etype), (F.lit(order) - F.size(before)).cast("int"))
+    ext = F.concat(pad, before, F.col("tokens"))
+    n = F.size("tokens")
+    zipped = F.arrays_zip(F.slice(ext, 1, n).alias("c2"), F.slice(ext, 2, n).alias("c1"),
+                          F.col("tokens").alias("token"))
+    ex = j.select(key, "offset", F.posexplode(zipped).alias("_i", "_r"))
+    return ex.select(key, (F.col("offset") + F.col("_i")).alias("pos"), "_r.c2", "_r.c1", "_r.token")
 
 
 def ngram_counts(positions: DataFrame) -> dict[str, DataFrame]:
-    """M1 counts: order 0 (token), 1 (c1, token), 2 (c2, c1, token)."""
-    uni = positions.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    bi = positions.where(F.col("c1").isNotNull()).groupBy("c1", "token").agg(F.count(F.lit(1)).alias("cnt"))
-    tri = positions.where(F.col("c2").isNotNull()).groupBy("c2", "c1", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    """M1 counts: order 0 (token), 1 (c1, token), 2 (c2, c1, token).
+
+    One map-side combined aggregate over the positions (c2 and c1 may be
+    null at a sequence start); the lower orders are sums over that much
+    smaller table, so the big input is read once."""
+    full = positions.groupBy("c2", "c1", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    tri = full.where(F.col("c2").isNotNull())
+    bi = full.where(F.col("c1").isNotNull()).groupBy("c1", "token").agg(F.sum("cnt").alias("cnt"))
+    uni = full.groupBy("token").agg(F.sum("cnt").alias("cnt"))
     return {"uni": uni, "bi": bi, "tri": tri}
 
 
@@ -57,7 +66,6 @@ def ngram_model(positions: DataFrame, alpha: float = ALPHA) -> dict[str, DataFra
     """M1 probabilities of every observed n-gram, with the backed-off
     probabilities they interpolate with. Context totals are aggregates; the
     one-row corpus totals (N, V) join on a constant key."""
-    positions = positions.persist(StorageLevel.MEMORY_AND_DISK)  # read by three count jobs
     c = ngram_counts(positions)
     one = F.lit(1).alias("_one")
     tot = c["uni"].agg(F.sum("cnt").alias("N"), F.count(F.lit(1)).alias("V")).select("*", one)

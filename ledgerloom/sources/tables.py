@@ -23,8 +23,22 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver tables as a DataFrame (parquet scan)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the driver tables as a DataFrame (parquet scan).
+
+    A file written as one row group can only be read by one task, which
+    would run the whole downstream pipeline (joins, tokenizing) on one core.
+    When the scan yields fewer than half as many partitions as the session
+    has cores, the rows are spread round-robin; a large input (thousands of
+    splits) is left untouched. Column pruning and filters still reach the scan."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 <= want and name not in SMALL_DIMENSIONS:
+        df = df.repartition(want)
+    return df
+
+
+# Fixed-size dimension tables: never worth spreading.
+SMALL_DIMENSIONS = ("region", "nation")
 
 
 def transactions_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
