@@ -954,3 +954,33 @@ def q_first_batch(spark, sf):
     p = SP.pad_batches(b)
     return p.select("user_id", (F.size("x") - F.lit(0)).alias("_n"), F.col("batch_len").cast("int").alias("batch_len"),
                     F.size(F.filter("y", lambda v: v != -1)).cast("int").alias("x_len")).drop("_n")
+
+
+# ---------------------------------------------------------------------------
+# B5 for the string pipelines: the tokenizer trained on whole history
+# strings (spaced form, vocab 10000) and on tagged sequences (vocab 1000,
+# specials <PAD> <SOS> <EOS> <EOT> <UNK>). Tags are not protected while
+# training, as in the reference.
+
+def history_corpus(spark, sf):
+    from ledgerloom.plans.pipelines import history_strings
+    return history_strings(T.transactions_from_events(spark, sf))
+
+
+def tagged_corpus(spark, sf):
+    from ledgerloom.plans.pipelines import tagged_sequences
+    return tagged_sequences(T.split_date_transactions(T.transactions_from_events(spark, sf)))
+
+
+@query("bpe_merges_history")
+def q_bpe_history(spark, sf):
+    """B5 on the spaced history strings (vocab 10000)."""
+    h = B.word_histogram(history_corpus(spark, sf), "transaction_history")
+    return B.train_bpe(spark, h, 10000, V.special_token_list("adaptation")).merges
+
+
+@query("bpe_merges_tagged")
+def q_bpe_tagged(spark, sf):
+    """B5 on the tagged <SOS>...<EOS> sequences (vocab 1000)."""
+    h = B.word_histogram(tagged_corpus(spark, sf), "sequence")
+    return B.train_bpe(spark, h, 1000, V.special_token_list("tagged")).merges

@@ -81,3 +81,19 @@ def test_decode_loses_spaces(spark):
     df = spark.createDataFrame([(1, "Uber Trip")], "k long, text string")
     enc = B.encode_texts(df, ["k"], "text", m)
     assert enc.select(F.array_join("pieces", "")).first()[0] == "UberTrip"
+
+
+def test_string_pipeline_tokenizers_equal_library(spark):
+    from ledgerloom.operators import vocab as V
+    from ledgerloom.plans import catalog as C
+    sf = "/root/testdata/sf0.001"
+    for corpus_df, col, specials, vs in [
+        (C.tagged_corpus(spark, sf), "sequence", V.special_token_list("tagged"), 1000),
+        (C.history_corpus(spark, sf), "transaction_history", V.special_token_list("adaptation"), 10000),
+    ]:
+        assert corpus_df.agg(F.max("chunk")).first()[0] == 0  # whole strings at this scale
+        corpus = [r[0] for r in corpus_df.select(col).collect()]
+        _tok, vocab, merges = _library(corpus, vs, specials)
+        m = B.train_bpe(spark, B.word_histogram(corpus_df, col), vs, specials)
+        assert [(l, r) for l, r, _ in m.merges_list] == merges
+        assert {t: i for i, t in enumerate(m.tokens)} == vocab
