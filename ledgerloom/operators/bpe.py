@@ -68,6 +68,39 @@ def word_histogram(texts: DataFrame, text_col: str, specials: Sequence[str] = ()
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def chunked_word_histogram(chunks: DataFrame, key: str, text_col: str) -> DataFrame:
+    """B2 over texts stored as consecutive chunks (``key``, ``chunk``, text)
+    that were joined without a separator: equal to the histogram of each
+    key's whole text.
+
+    Chunks are pre-tokenized on their own; where a chunk's last word and the
+    next chunk's first word touch (no space between) and are of the same
+    kind (both word runs or both punctuation runs), the whole text holds
+    their concatenation instead. The neighbour is found with an equi-join
+    on (key, chunk - 1), so a long text is never gathered in one task."""
+    words = chunks.select(key, "chunk", F.col(text_col).alias("_t"), pretokenize(text_col).alias("_w"))
+    base = words.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    edges = words.where(F.size("_w") > 0).select(
+        key, "chunk",
+        F.element_at("_w", 1).alias("first"), F.element_at("_w", -1).alias("last"),
+        F.col("_t").startswith(F.element_at("_w", 1)).alias("first_touches"),
+        F.col("_t").endswith(F.element_at("_w", -1)).alias("last_touches"))
+    left = edges.select(key, (F.col("chunk") + 1).alias("chunk"), "last", "last_touches")
+    j = edges.select(key, "chunk", "first", "first_touches").join(left, [key, "chunk"])
+
+    def kind(c):
+        return F.when(c.rlike(r"^(?U)\w+$"), F.lit(1)).otherwise(F.lit(2))
+
+    merged = j.where(F.col("first_touches") & F.col("last_touches") & (kind(F.col("first")) == kind(F.col("last"))))
+    fixes = (merged.select(F.explode(F.array(
+        F.struct(F.col("last").alias("word"), F.lit(-1).cast("bigint").alias("d")),
+        F.struct(F.col("first").alias("word"), F.lit(-1).cast("bigint").alias("d")),
+        F.struct(F.concat("last", "first").alias("word"), F.lit(1).cast("bigint").alias("d")))).alias("_f"))
+        .select("_f.*"))
+    out = base.select("word", F.col("cnt").cast("bigint").alias("d")).unionByName(fixes)
+    return out.groupBy("word").agg(F.sum("d").alias("cnt")).where(F.col("cnt") > 0)
+
+
 def char_symbols(word: str = "word") -> Column:
     """A word as its list of characters (code points, not UTF-16 units)."""
     return F.regexp_extract_all(F.col(word), F.lit("(?s)."), 0)

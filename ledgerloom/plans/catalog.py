@@ -982,5 +982,5 @@ def q_bpe_history(spark, sf):
 @query("bpe_merges_tagged")
 def q_bpe_tagged(spark, sf):
     """B5 on the tagged <SOS>...<EOS> sequences (vocab 1000)."""
-    h = B.word_histogram(tagged_corpus(spark, sf), "sequence")
+    h = B.chunked_word_histogram(tagged_corpus(spark, sf), "client_id", "sequence")
     return B.train_bpe(spark, h, 1000, V.special_token_list("tagged")).merges

@@ -97,3 +97,18 @@ def test_string_pipeline_tokenizers_equal_library(spark):
         m = B.train_bpe(spark, B.word_histogram(corpus_df, col), vs, specials)
         assert [(l, r) for l, r, _ in m.merges_list] == merges
         assert {t: i for i, t in enumerate(m.tokens)} == vocab
+
+
+def test_chunked_histogram_equals_whole_text(spark):
+    from collections import Counter
+    import regex
+    texts = {1: "<a><EOT><b>xy.z<EOT><c>", 2: "ab cd<EOT>ef", 3: "x"}
+    rows = []
+    for k, t in texts.items():
+        cuts = [0, 3, 8, 9, len(t)] if k == 1 else [0, 2, 5, len(t)] if k == 2 else [0, 1]
+        for c in range(len(cuts) - 1):
+            rows.append((k, c, t[cuts[c]:cuts[c + 1]]))
+    df = spark.createDataFrame(rows, "k long, chunk int, text string")
+    got = {r.word: r.cnt for r in B.chunked_word_histogram(df, "k", "text").collect()}
+    want = Counter(w for t in texts.values() for w in regex.findall(r"\w+|[^\w\s]+", t))
+    assert got == dict(want)
