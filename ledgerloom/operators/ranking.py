@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import default_parallelism
+from ledgerloom.session import partitions_for
 
 _LOW33 = (1 << 33) - 1
 
@@ -32,7 +32,7 @@ def global_index(df: DataFrame, order_by: Sequence[Column | str], *, start: int
 
     ``order_by`` must be a total order for the numbers to be reproducible.
     """
-    n = num_partitions or default_parallelism(df.sparkSession)
+    n = num_partitions or partitions_for(df)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("_gi_p", F.spark_partition_id())

@@ -30,7 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import default_parallelism
+from ledgerloom.session import partitions_for
 
 DEFAULT_CHUNK_LEN = 4096
 PIECE_ROWS_LOG2 = 16  # pieces of at most 65,536 events
@@ -59,7 +59,7 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
         raise ValueError("prefix/suffix longer than chunk_len")
     order_by = list(order_by)
     etype = _elem_type(events, items)
-    n_parts = num_partitions or default_parallelism(events.sparkSession)
+    n_parts = num_partitions or partitions_for(events)
     ev = events.where(F.col(key).isNotNull()).select(key, *order_by, F.col(items).alias("_items"))
     if sep is not None:
         ev = ev.withColumn("_items", F.concat(F.col("_items"), _lit_array([sep], etype)))

@@ -25,7 +25,7 @@ TXR_ORDER = "date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedpri
 
 LAB = """SELECT o_orderkey AS row_id, o_custkey AS user_id,
   CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END AS label
-FROM orders WHERE o_orderkey % 8 = 0"""
+FROM orders"""
 
 FEAT = """SELECT c.c_custkey AS user_id, c.c_acctbal AS num_acctbal, count(o.o_orderkey) AS num_orders,
   round(coalesce(sum(o.o_totalprice),0),2) AS num_spend, c.c_nationkey AS cat_nation,

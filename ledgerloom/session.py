@@ -67,3 +67,15 @@ def default_parallelism(spark: SparkSession) -> int:
     except Exception:  # noqa: BLE001 - conf may be absent in odd sessions
         n = 200
     return max(n, 1)
+
+
+def partitions_for(df) -> int:
+    """Range-shuffle width for ``df``: at least the session's shuffle width
+    and at least the input's own partition count (file splits of about
+    ``spark.sql.files.maxPartitionBytes`` each), so a 100 TB input gets
+    as many range partitions as it has splits. Planning only, no job."""
+    try:
+        n_in = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. streaming plans
+        n_in = 0
+    return max(default_parallelism(df.sparkSession), n_in)
