@@ -147,8 +147,13 @@ def _regroup(seqs: DataFrame, key: str, keep: Column) -> DataFrame:
             .select(key, "seq_len", "offset", F.flatten(F.transform("_c", lambda c: c["tokens"])).alias("tokens")))
 
 
-def head_tokens(seqs: DataFrame, key: str, n: int) -> DataFrame:
-    """First ``n`` tokens per key (the oldest; pretraining keeps ``ctx + 1``)."""
+def head_tokens(seqs: DataFrame, key: str, n: int, chunk_len: int | None = None) -> DataFrame:
+    """First ``n`` tokens per key (the oldest; pretraining keeps ``ctx + 1``).
+
+    When the caller knows the table's ``chunk_len`` and ``n`` fits in it, the
+    window is a slice of chunk 0: a projection, no shuffle."""
+    if chunk_len is not None and n <= chunk_len:
+        return seqs.where(F.col("chunk") == 0).select(key, "seq_len", F.slice("tokens", 1, n).alias("tokens"))
     g = _regroup(seqs, key, F.col("offset") < F.lit(n))
     return g.select(key, "seq_len", F.slice("tokens", 1, n).alias("tokens"))
 

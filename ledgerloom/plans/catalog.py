@@ -192,7 +192,7 @@ def q_spaced(spark, sf):
 @query("next_token_pairs", f"""SELECT user_id, array_to_string(h[1:len(h)-1], ' ') AS x,
   array_to_string(h[2:len(h)], ' ') AS y FROM (SELECT user_id, seq[1:513] AS h FROM ({_TXE_SEQ}))""")
 def q_next_token_pairs(spark, sf):
-    h = S.head_tokens(txe_sequences(spark, sf), "user_id", 513)
+    h = S.head_tokens(txe_sequences(spark, sf), "user_id", 513, S.DEFAULT_CHUNK_LEN)
     p = S.next_token_pairs(h)
     return p.select("user_id", joined("x").alias("x"), joined("y").alias("y"))
 
@@ -200,7 +200,7 @@ def q_next_token_pairs(spark, sf):
 @query("truncate_head", f"""SELECT user_id, CAST(len(seq) AS BIGINT) AS seq_len,
   array_to_string(seq[1:512], ' ') AS tokens FROM ({_TXE_SEQ})""")
 def q_truncate_head(spark, sf):
-    h = S.head_tokens(txe_sequences(spark, sf), "user_id", 512)
+    h = S.head_tokens(txe_sequences(spark, sf), "user_id", 512, S.DEFAULT_CHUNK_LEN)
     return h.select("user_id", "seq_len", joined("tokens").alias("tokens"))
 
 
@@ -398,7 +398,7 @@ def q_id_to_token(spark, sf):
   CASE WHEN s.h IS NULL OR len(s.h) = 0 THEN '[PAD]' ELSE array_to_string(s.h, ' ') END AS tokens
 FROM ({Q.LAB}) l LEFT JOIN (SELECT user_id, seq[1:512] AS h FROM ({_TXE_SEQ})) s USING (user_id)""")
 def q_label_sequence(spark, sf):
-    win = S.head_tokens(txe_sequences(spark, sf), "user_id", 512)
+    win = S.head_tokens(txe_sequences(spark, sf), "user_id", 512, S.DEFAULT_CHUNK_LEN)
     j = FT.label_sequences(T.label_rows(spark, sf), win)
     return j.select("row_id", "user_id", "label", joined("tokens").alias("tokens"))
 
@@ -469,7 +469,7 @@ SELECT user_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_len AS INTEGER)
 FROM m""")
 def q_pad_batches(spark, sf):
     ids = txe_id_sequences(spark, sf)
-    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513)
+    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513, S.DEFAULT_CHUNK_LEN)
     xy = S.next_token_pairs(h)
     b = SP.assign_batches(xy, "user_id", 16, seed=42, epoch=0)
     p = SP.pad_batches(b)
@@ -857,7 +857,7 @@ from ledgerloom.operators import models as ML  # noqa: E402
 @query("user_embedding_word2vec")
 def q_user_w2v(spark, sf):
     """M4: mean Word2Vec vector of each user's tokens."""
-    seqs = S.head_tokens(txe_sequences(spark, sf), "user_id", 512)
+    seqs = S.head_tokens(txe_sequences(spark, sf), "user_id", 512, S.DEFAULT_CHUNK_LEN)
     emb = ML.user_embeddings_word2vec(seqs, "user_id", "tokens", vector_size=8)
     return emb.select("user_id", F.posexplode("vector").alias("dim", "value"))
 
@@ -895,7 +895,7 @@ def fusion_frame(spark, sf):
     per = x.select("user_id", EM.periodic_features(_PER_COLS, _PER_FREQ, _F, _B).alias("per"),
                    EM.cross_features(_PER_COLS).alias("crs"))
     win = S.head_tokens(S.assemble_sequences(_txr_token_events(spark, sf), "user_id", T.TXR_ORDER, "toks",
-                                             sep=E.SEP), "user_id", 512)
+                                             sep=E.SEP), "user_id", 512, S.DEFAULT_CHUNK_LEN)
     j = FT.label_sequences(lab, win).join(feats, "user_id", "left").join(per, "user_id", "left")
     from pyspark.ml.functions import array_to_vector
     j = j.withColumn("per_vec", array_to_vector("per")).withColumn("crs_vec", array_to_vector("crs"))
@@ -949,7 +949,7 @@ FROM b WHERE batch_id = 0""")
 def q_first_batch(spark, sf):
     """O3: shapes of the first padded batch (rows, real length, padded length)."""
     ids = txe_id_sequences(spark, sf)
-    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513)
+    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513, S.DEFAULT_CHUNK_LEN)
     b = SP.assign_batches(S.next_token_pairs(h), "user_id", 16, seed=42, epoch=0).where(F.col("batch_id") == 0)
     p = SP.pad_batches(b)
     return p.select("user_id", (F.size("x") - F.lit(0)).alias("_n"), F.col("batch_len").cast("int").alias("batch_len"),

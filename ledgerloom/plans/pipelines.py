@@ -65,7 +65,7 @@ def pretrain_data(spark: SparkSession, tx: DataFrame, cfg: PretrainConfig) -> tu
     enc = encode_transactions(tx, model)
     sep = model.token_to_id()[E.SEP]
     seqs = S.assemble_sequences(enc, "user_id", ["date", "tx_id"], "ids", sep=sep, chunk_len=cfg.chunk_len)
-    window = S.head_tokens(seqs, "user_id", cfg.context_length + 1)
+    window = S.head_tokens(seqs, "user_id", cfg.context_length + 1, cfg.chunk_len)
     pairs = S.next_token_pairs(window)
     batches = SP.pad_batches(SP.assign_batches(pairs, "user_id", cfg.batch_size, cfg.seed, 0))
     return model, seqs, batches

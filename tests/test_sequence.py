@@ -75,6 +75,8 @@ def test_head_tail_holdout(spark):
     seqs = S.assemble_sequences(ev, "user_id", ["date", "tx_id"], "toks", sep="[SEP]", chunk_len=5)
     full = _naive(ev.collect(), "[SEP]")
     head = {r.user_id: list(r.tokens) for r in S.head_tokens(seqs, "user_id", 12).collect()}
+    head5 = {r.user_id: list(r.tokens) for r in S.head_tokens(seqs, "user_id", 5, chunk_len=5).collect()}
+    assert head5 == {u: seq[:5] for u, seq in full.items()}
     tail = {r.user_id: list(r.tokens) for r in S.tail_tokens(seqs, "user_id", 12).collect()}
     for u, seq in full.items():
         assert head[u] == seq[:12]
