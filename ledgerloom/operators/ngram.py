@@ -55,7 +55,9 @@ def ngram_counts(positions: DataFrame) -> dict[str, DataFrame]:
     One map-side combined aggregate over the positions (c2 and c1 may be
     null at a sequence start); the lower orders are sums over that much
     smaller table, so the big input is read once."""
-    full = positions.groupBy("c2", "c1", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    # read by three branches (and again by the model's joins): keep it once
+    full = positions.groupBy("c2", "c1", "token").agg(F.count(F.lit(1)).alias("cnt")) \
+                    .persist(StorageLevel.MEMORY_AND_DISK)
     tri = full.where(F.col("c2").isNotNull())
     bi = full.where(F.col("c1").isNotNull()).groupBy("c1", "token").agg(F.sum("cnt").alias("cnt"))
     uni = full.groupBy("token").agg(F.sum("cnt").alias("cnt"))
