@@ -51,7 +51,7 @@ def item_windows(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             each.select("window", "item_id").distinct())
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle: int = 3) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle: int = 3, keep_key: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of an
     item's window), items (ids of the items with occurring windows, as sorted
     strings).
@@ -79,8 +79,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle:
                  .join(small(here.select("shingle").distinct()), "shingle", "left_semi").withColumn("q", F.lit(q)))
         hits, pieces = (found, here) if hits is None else (hits.unionByName(found), pieces.unionByName(here))
     out = base.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    shown = ["key"] if keep_key else []
     if hits is None:
-        return out.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"))
+        return out.select("doc_id", *shown, "n_words", F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"))
     hits = staged(hits, "hits")
 
     rarity = hits.groupBy("q", "shingle").agg(F.approx_count_distinct(F.struct("doc_id", "key")).alias("docs"))
@@ -117,7 +118,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle:
     found = verified.select("doc_id", "key", "n_hit").alias("v").join(
         named.alias("n"), F.col("v.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("v.key") == F.col("n.key")), "left").select("v.*", "items")
     return out.alias("o").join(found.alias("f"), F.col("o.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("o.key") == F.col("f.key")), "left").select(
-        "o.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "o.doc_id", *[f"o.{c}" for c in shown], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
@@ -129,3 +130,11 @@ def with_verdict(found: DataFrame) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     return with_verdict(found).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+    Only the contaminated documents' (doc_id, text hash) are joined back."""
+    bad = with_verdict(contaminated(docs, items, keep_key=True, **options)).where("contaminated").select("doc_id", "key").distinct()
+    mine = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return mine.join(bad, mine["_id"].eqNullSafe(bad["doc_id"]) & (mine["_key"] == bad["key"]), "left_anti").select(*[docs[c] for c in docs.columns])

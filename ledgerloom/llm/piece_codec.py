@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 
-OUT = "doc_id long, ids array<int>, decoded string"
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+OUT = "ids array<int>, decoded string"
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class PieceTable:
@@ -232,8 +232,8 @@ def _coder(model_bytes: bytes, cache_units: int, digest: bool):
         table, cache = _loaded(model_bytes, cache_units)
         decode = table.library.decode
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(docs), 256):
+            texts = batch.column(0)
+            for lo in range(0, len(texts), 256):
                 rows = []
                 for text in texts.slice(lo, 256):
                     ids = encode_text(table, cache, text.as_py() or "")
@@ -243,12 +243,11 @@ def _coder(model_bytes: bytes, cache_units: int, digest: bool):
                                      hashlib.sha256(back.encode("utf-8")).hexdigest()))
                     else:
                         rows.append((ids, back))
-                part = docs.slice(lo, 256)
-                cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([part.cast(pa.int64()), *(pa.array(list(c), k) for c, k in zip(cols, kinds))],
-                                                 names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, 256) for c in batch.columns[1:]),
+                                                  *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))],
+                                                 names=[*batch.schema.names[1:], *names])
     return code
 
 
@@ -259,13 +258,14 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str, *, cache_units: int = 400_000, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str, *, cache_units: int = 400_000, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole ``text`` of ``docs`` with the model file.
 
-    Returns doc_id, ids, decoded (or with ``digest`` their SHA-256 digests and
-    the id count). One row per input row: repeated rows and null ids give one
-    row each; null and empty texts have no ids and decode to the empty
-    string; other columns are ignored. Narrow: no shuffle.
+    Returns doc_id, the columns ``keep``, ids and decoded (or with ``digest``
+    their SHA-256 digests and the id count). One row per input row: repeated
+    rows and null ids give one row each; null and empty texts have no ids and
+    decode to the empty string; other columns are ignored. Narrow: no shuffle.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_coder(model_bytes(model), cache_units, digest), DIGEST if digest else OUT)
+    rows = docs.select(F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), *(keep or []))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(_coder(model_bytes(model), cache_units, digest), f"{schema}, {DIGEST if digest else OUT}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import decontaminate, piece_codec, quality_rules, secret_scan
 
 TOKENIZERS = "/opt/tokenizers"  # where the public vocabulary files are
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +22,16 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def ranks() -> bytes:
+    return secret_scan.vocabulary(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = secret_scan.vocabulary(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
-    return secret_scan.scan(table(spark, sf_dir, "documents"), ranks, split_pattern(), digest=True)
+    return secret_scan.scan(table(spark, sf_dir, "documents"), ranks(), split_pattern(), digest=True)
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", digest=True)
+    return piece_codec.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, digest=True)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,9 @@ OUT = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def vocabulary(path: str):
-    """A tiktoken encoding from a rank file (base64 token, rank per line)."""
+def vocabulary(path: str) -> bytes:
+    """A tiktoken rank file (base64 token and rank per line, below 1 MB); it
+    travels inside the task closure."""
     with open(path, "rb") as f:
         return f.read()
 
