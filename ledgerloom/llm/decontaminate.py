@@ -73,9 +73,11 @@ def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle:
     for q in sorted(lengths):
         mine = windows.where(F.least("n", F.lit(shingle)) == q)
         here = mine.select("window", "n", F.posexplode(shingles(F.col("words"), q)).alias("offset", "shingle")).withColumn("q", F.lit(q))
+        # the outer form: for the plain one the optimizer adds a filter on the array's size,
+        # pushes it below the words' column and so evaluates that for each place
         found = (base.select("doc_id", "key", words(F.col("text")).alias("w"))
                  .select("doc_id", "key", shingles(F.col("w"), q).alias("sh"))
-                 .select("doc_id", "key", F.size("sh").alias("places"), F.posexplode("sh").alias("at", "shingle"))
+                 .select("doc_id", "key", F.size("sh").alias("places"), F.posexplode_outer("sh").alias("at", "shingle"))
                  .join(small(here.select("shingle").distinct()), "shingle", "left_semi").withColumn("q", F.lit(q)))
         hits, pieces = (found, here) if hits is None else (hits.unionByName(found), pieces.unionByName(here))
     out = base.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
@@ -110,7 +112,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle:
         per_doc.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "key", "candidates", F.col("doc_id").isNull().alias("none")), ["id", "key"])
         .where(F.col("doc_id").isNull() == F.col("none")).dropDuplicates(["doc_id", "key"])
         .select("doc_id", "key", words(F.col("text")).alias("w"), "candidates")
-        .select("doc_id", "key", true.alias("true")).where(F.size("true") > 0)
+        .select("doc_id", "key", true.alias("true"))
         .select("doc_id", "key", covered.cast("long").alias("n_hit"), F.transform("true", lambda c: c["window"]).alias("windows")))
     verified = staged(verified, "verified")
     named = (verified.select("doc_id", "key", F.explode("windows").alias("window")).join(small(of_item), "window")
