@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, piece_codec, quality_rules, queries, secret_scan
+from ledgerloom.llm import decontaminate, near_dedup, piece_codec, quality_rules, queries, secret_scan
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.passing(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.representatives(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words is benchmark text go."""
     return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
@@ -34,6 +39,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", rules),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("secret_scan", secrets),
     ("piece_codec", encoding),
