@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan
+from ledgerloom.llm import decontaminate, near_dedup, piece_codec, quality_rules, secret_scan, substring_dedup
 
 TOKENIZERS = "/opt/tokenizers"  # where the public vocabulary files are
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -26,6 +26,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=50, digest=True)
+
+
 def ranks() -> bytes:
     return secret_scan.vocabulary(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -47,5 +51,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op4_piece_codec, op7_quality_rules, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_secret_scan, op4_piece_codec, op7_quality_rules, op8_decontaminate)}
 ORACLE: dict[str, str] = {}
