@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, near_dedup, piece_codec, quality_model, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
+from ledgerloom.llm import decontaminate, license_scan, near_dedup, piece_codec, quality_model, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
 
 TOKENIZERS = "/opt/tokenizers"  # where the public vocabulary files are
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -59,11 +59,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_licenses, licenses (sorted ids), spans (license:start:end by start)."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("found", lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string")))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"),
+                        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"]))), ",").alias("licenses"),
+                        F.array_join(spans, ",").alias("spans"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=200, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_secret_scan, op4_piece_codec, op5_warc, op6_quality_model, op7_quality_rules, op8_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_secret_scan, op4_piece_codec, op5_warc, op6_quality_model, op7_quality_rules, op8_decontaminate, op9_license_scan, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
 ORACLE["op5_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
