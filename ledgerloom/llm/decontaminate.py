@@ -137,6 +137,8 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns.
     Only the contaminated documents' (doc_id, text hash) are joined back."""
-    bad = with_verdict(contaminated(docs, items, keep_key=True, **options)).where("contaminated").select("doc_id", "key").distinct()
-    mine = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return mine.join(bad, mine["_id"].eqNullSafe(bad["doc_id"]) & (mine["_key"] == bad["key"]), "left_anti").select(*[docs[c] for c in docs.columns])
+    bad = with_verdict(contaminated(docs, items, keep_key=True, **options)).where("contaminated") \
+        .select(F.col("doc_id").alias("_ll_bad"), F.col("key").alias("_ll_text")).distinct()
+    mine = docs.withColumn("_ll_id", F.col("doc_id").cast("long")).withColumn("_ll_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return mine.join(bad, F.col("_ll_id").eqNullSafe(F.col("_ll_bad")) & (F.col("_ll_key") == F.col("_ll_text")), "left_anti") \
+        .select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -235,9 +235,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns. Of
     repeated rows (same id and text) one stays."""
-    kept = near_duplicates(docs, keep_key=True, **options).where("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_s"))
-    mine = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    j = mine.join(kept.withColumnRenamed("doc_id", "_kid"), F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_key") == F.col("key")))
-    once = j.where("_n = 1 or _s = 0").select(*docs.columns)
-    again = j.where("_n > 1 and _s > 0").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    kept = near_duplicates(docs, keep_key=True, **options).where("kept").groupBy("doc_id", "key") \
+        .agg(F.count(F.lit(1)).alias("_ll_n"), F.max("n_shingles").alias("_ll_size")).withColumnsRenamed({"doc_id": "_ll_kept", "key": "_ll_text"})
+    mine = docs.withColumn("_ll_id", F.col("doc_id").cast("long")).withColumn("_ll_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    j = mine.join(kept, F.col("_ll_id").eqNullSafe(F.col("_ll_kept")) & (F.col("_ll_key") == F.col("_ll_text")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = j.where("_ll_n = 1 or _ll_size = 0").select(*own)
+    again = j.where("_ll_n > 1 and _ll_size > 0").dropDuplicates(["_ll_id", "_ll_key"]).select(*own)
     return once.unionByName(again)
