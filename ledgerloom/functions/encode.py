@@ -27,6 +27,7 @@ WEEKDAY_NAMES = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturd
 INFLOW, OUTFLOW = "<INFLOW>", "<OUTFLOW>"
 SEP = "[SEP]"
 PAD, UNK = "[PAD]", "[UNK]"
+AMOUNT, MONTH, DAY, WEEKDAY = "<AMOUNT_", "<MONTH_", "<DAY_", "<WEEKDAY_"
 # Pre-tokenizer: a run of word characters, or a run of other non-space characters.
 WORD_PATTERN = r"(?U)\w+|[^\w\s]+"
 # ---------------------------------------------------------------------------
@@ -67,7 +68,7 @@ def amount_bin_token(amount) -> Column:
     """``<AMOUNT_i>``; null/NaN -> ``[UNK]``, +inf -> the top finite bin 20."""
     a = _c(amount)
     idx = F.least(amount_bin_index(a), F.lit(len(AMOUNT_EDGES) - 1))
-    return F.when(is_missing(a), F.lit(UNK)).otherwise(F.concat(F.lit("<AMOUNT_"), idx.cast("string"), F.lit(">")))
+    return F.when(is_missing(a), F.lit(UNK)).otherwise(F.concat(F.lit(AMOUNT), idx.cast("string"), F.lit(">")))
 
 
 def amount_range_6(amount) -> Column:
@@ -90,17 +91,22 @@ def amount_range_3(amount) -> Column:
     return chain.otherwise(F.lit(AMOUNT_RANGES_3[-1]))
 
 
+def _date_token(prefix: str, part: Column) -> Column:
+    """The part's token; ``[UNK]`` for a null date, as for a null amount."""
+    return F.coalesce(F.concat(F.lit(prefix), part.cast("string"), F.lit(">")), F.lit(UNK))
+
+
 def month_token(date) -> Column:
-    return F.concat(F.lit("<MONTH_"), F.month(_c(date)).cast("string"), F.lit(">"))
+    return _date_token(MONTH, F.month(_c(date)))
 
 
 def day_token(date) -> Column:
-    return F.concat(F.lit("<DAY_"), F.dayofmonth(_c(date)).cast("string"), F.lit(">"))
+    return _date_token(DAY, F.dayofmonth(_c(date)))
 
 
 def weekday_token(date) -> Column:
     """``<WEEKDAY_w>``, Monday = 0."""
-    return F.concat(F.lit("<WEEKDAY_"), F.weekday(_c(date)).cast("string"), F.lit(">"))
+    return _date_token(WEEKDAY, F.weekday(_c(date)))
 
 
 def weekday_name(date) -> Column:
@@ -140,7 +146,7 @@ def spaced_transaction_string(origin, amount, date, description) -> Column:
     parts = [
         origin_token(F.coalesce(_c(origin), F.lit(""))),
         sign_token(amount),
-        F.concat(F.lit("<AMOUNT_"), amount_range_6(amount), F.lit(">")),
+        F.concat(F.lit(AMOUNT), amount_range_6(amount), F.lit(">")),
         month_token(date), day_token(date), weekday_token(date),
         F.coalesce(_c(description), F.lit("")),
         F.lit(SEP),

@@ -27,27 +27,30 @@ reach the driver.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.encode import WORD_PATTERN
-from ledgerloom.operators.joins import lookup_join
 from ledgerloom.session import ensure_checkpoint_dir
 
 _KEY = 1 << 32
 
 
 def special_split_pattern(specials: Sequence[str]) -> str:
-    """Alternation that matches special tokens whole before words."""
+    """Special tokens whole, longest first; word and punctuation runs end
+    where the next special begins (``!<EOT>`` is ``!`` and ``<EOT>``)."""
+    if not specials:
+        return WORD_PATTERN
     alts = "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))
-    return f"(?U){alts}|\\w+|[^\\w\\s]+" if alts else WORD_PATTERN
+    return f"(?U)(?:{alts})|(?:(?!{alts})\\w)+|(?:(?!{alts})[^\\w\\s])+"
 
 
 def pretokenize(text, specials: Sequence[str] = ()) -> Column:
@@ -73,32 +76,29 @@ def chunked_word_histogram(chunks: DataFrame, key: str, text_col: str) -> DataFr
     that were joined without a separator: equal to the histogram of each
     key's whole text.
 
-    Chunks are pre-tokenized on their own; where a chunk's last word and the
-    next chunk's first word touch (no space between) and are of the same
-    kind (both word runs or both punctuation runs), the whole text holds
-    their concatenation instead. The neighbour is found with an equi-join
-    on (key, chunk - 1), so a long text is never gathered in one task."""
-    words = chunks.select(key, "chunk", F.col(text_col).alias("_t"), pretokenize(text_col).alias("_w"))
-    base = words.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    edges = words.where(F.size("_w") > 0).select(
-        key, "chunk",
-        F.element_at("_w", 1).alias("first"), F.element_at("_w", -1).alias("last"),
-        F.col("_t").startswith(F.element_at("_w", 1)).alias("first_touches"),
-        F.col("_t").endswith(F.element_at("_w", -1)).alias("last_touches"))
-    left = edges.select(key, (F.col("chunk") + 1).alias("chunk"), "last", "last_touches")
-    j = edges.select(key, "chunk", "first", "first_touches").join(left, [key, "chunk"])
-
-    def kind(c):
-        return F.when(c.rlike(r"^(?U)\w+$"), F.lit(1)).otherwise(F.lit(2))
-
-    merged = j.where(F.col("first_touches") & F.col("last_touches") & (kind(F.col("first")) == kind(F.col("last"))))
-    fixes = (merged.select(F.explode(F.array(
-        F.struct(F.col("last").alias("word"), F.lit(-1).cast("bigint").alias("d")),
-        F.struct(F.col("first").alias("word"), F.lit(-1).cast("bigint").alias("d")),
-        F.struct(F.concat("last", "first").alias("word"), F.lit(1).cast("bigint").alias("d")))).alias("_f"))
-        .select("_f.*"))
-    out = base.select("word", F.col("cnt").cast("bigint").alias("d")).unionByName(fixes)
-    return out.groupBy("word").agg(F.sum("d").alias("cnt")).where(F.col("cnt") > 0)
+    Words inside a chunk are counted where they are. A chunk's first and last
+    run may go on in its neighbours, through any number of chunks that are a
+    single run; such runs are numbered along the key (a new run begins where
+    the previous chunk's end does not touch, or is of the other kind) and put
+    together by (key, run). Only the edge runs are shuffled, never a text."""
+    kind = lambda c: F.when(c.rlike(r"^(?U)\w+$"), F.lit(1)).otherwise(F.lit(2))
+    w = chunks.select(key, "chunk", F.coalesce(F.col(text_col), F.lit("")).alias("_t"), pretokenize(text_col).alias("_w")) \
+              .where(F.length("_t") > 0).withColumn("_n", F.size("_w"))
+    inner = w.select(F.explode(F.slice("_w", 2, F.greatest(F.col("_n") - 2, F.lit(0)))).alias("word"))
+    first, last = F.try_element_at("_w", F.lit(1)), F.try_element_at("_w", F.lit(-1))
+    head = F.struct(F.lit(0).alias("side"), first.alias("run"), F.col("_t").startswith(first).alias("open_l"),
+                    ((F.col("_n") == 1) & F.col("_t").endswith(first)).alias("open_r"))
+    tail = F.struct(F.lit(1).alias("side"), last.alias("run"), F.lit(False).alias("open_l"), F.col("_t").endswith(last).alias("open_r"))
+    blank = F.struct(F.lit(0).alias("side"), F.lit(None).cast("string").alias("run"), F.lit(False).alias("open_l"), F.lit(False).alias("open_r"))
+    edges = w.select(key, "chunk", F.explode(F.when(F.col("_n") == 0, F.array(blank)).when(F.col("_n") == 1, F.array(head))
+                                             .otherwise(F.array(head, tail))).alias("e")).select(key, "chunk", "e.*")
+    order = Window.partitionBy(key).orderBy("chunk", "side")
+    goes_on = F.col("open_l") & F.lag("open_r", 1, False).over(order) & (kind(F.col("run")) == kind(F.lag("run").over(order)))
+    runs = edges.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)) \
+                .withColumn("_run", F.sum("_new").over(order)).where(F.col("run").isNotNull())
+    whole = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("chunk", "side", "run"))).alias("_p")) \
+                .select(F.array_join(F.transform("_p", lambda x: x["run"]), "").alias("word"))
+    return inner.unionByName(whole).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def char_symbols(word: str = "word") -> Column:
@@ -199,12 +199,8 @@ def _apply_merges(words: DataFrame, accepted: list[tuple[int, int, int]]) -> Dat
 
 
 def train_bpe(spark: SparkSession, histogram: DataFrame, vocab_size: int, specials: Sequence[str] = (),
-              min_frequency: int = 0, candidates: int = 512, checkpoint_every: int = 8,
-              max_rounds: int | None = None) -> BpeModel:
-    """Learn merges from a (word, cnt) histogram.
-
-    ``max_rounds`` only bounds the run time; when it stops the training the
-    model holds the merges learned so far (a prefix of the full list)."""
+              min_frequency: int = 0, candidates: int = 512, checkpoint_every: int = 8) -> BpeModel:
+    """Learn merges from a (word, cnt) histogram."""
     ensure_checkpoint_dir(spark)
     tokens: list[str] = []
     token_id: dict[str, int] = {}
@@ -230,7 +226,7 @@ def train_bpe(spark: SparkSession, histogram: DataFrame, vocab_size: int, specia
     merges: list[tuple[str, str, str]] = []
     rounds = 0
     prev = None
-    while len(tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
+    while len(tokens) < vocab_size:
         # one job: (merges of the last round applied) -> pair counts -> exact top-k
         rows = pair_counts(words).orderBy(F.desc("cnt"), "left", "right").limit(candidates).collect()
         if not rows:
@@ -268,79 +264,97 @@ def attach_frames(spark: SparkSession, model: BpeModel) -> BpeModel:
     return model
 
 
+def load_bpe(spark: SparkSession, vocab: DataFrame, merges: DataFrame) -> BpeModel:
+    """A usable model from the saved tables (vocab: token, id, is_special;
+    merges: rank, left, right, merged), both bounded by the vocabulary size."""
+    rows = vocab.orderBy("id").collect()
+    if [r["id"] for r in rows] != list(range(len(rows))):
+        raise ValueError("the ids of a saved vocabulary must be 0, 1, 2, ...")
+    ranked = [(r["left"], r["right"], r["merged"]) for r in merges.orderBy("rank").collect()]
+    return attach_frames(spark, BpeModel([r["token"] for r in rows], [r["token"] for r in rows if r["is_special"]], ranked))
+
+
 # ---------------------------------------------------------------------------
 # Encoding (B6, B8)
 
-def encode_word(word: str, ranks: dict[tuple[str, str], int], known: set[str], unk: str | None) -> list[str]:
-    """Apply merges by rank to one word (lowest rank first, leftmost first).
-    Characters outside the vocabulary are dropped (``unk`` None) or become
-    one ``unk`` each."""
-    syms = []
-    for ch in word:
-        if ch in known:
-            syms.append(ch)
-        elif unk is not None:
-            syms.append(None)  # placeholder, never merged
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            a, b = syms[i], syms[i + 1]
-            if a is None or b is None:
+class WordEncoder:
+    """Merges by rank (lowest first, leftmost among equals) over one word,
+    with a heap of candidate pairs; answers of a bounded number of words are
+    kept. The tables are bounded by the vocabulary and travel with the task."""
+
+    def __init__(self, tokens: Sequence[str], merges: Sequence[tuple[str, str, str]], specials: Sequence[str], unk: str | None, keep: int = 100_000):
+        self.ids = {t: i for i, t in enumerate(tokens)}
+        self.ranks = {(left, right): k for k, (left, right, _) in enumerate(merges)}
+        self.specials, self.unk, self.keep = set(specials), unk, keep
+        self.known: dict[str, tuple[list[str], list[int]]] = {}
+
+    def pieces(self, word: str) -> list[str]:
+        sym: list[str | None] = []
+        fixed = set()  # places of unknown characters: nothing merges with them
+        for ch in word:
+            if ch in self.ids:
+                sym.append(ch)
+            elif self.unk is not None:
+                fixed.add(len(sym))
+                sym.append(self.unk)
+        nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        heap: list[tuple[int, int, str, str]] = []
+
+        def push(i: int) -> None:
+            if i >= 0 and nxt[i] < len(sym) and i not in fixed and nxt[i] not in fixed:
+                rank = self.ranks.get((sym[i], sym[nxt[i]]))
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, sym[i], sym[nxt[i]]))
+
+        for i in range(len(sym) - 1):
+            push(i)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = nxt[i]
+            if sym[i] != left or j >= len(sym) or sym[j] != right:
                 continue
-            r = ranks.get((a, b))
-            if r is not None and (best is None or r < best[0]):
-                best = (r, i)
-        if best is None:
-            break
-        i = best[1]
-        syms[i:i + 2] = [syms[i] + syms[i + 1]]
-    return [unk if s is None else s for s in syms]
-
-
-def encode_lexicon(words: DataFrame, model: BpeModel, unk: str | None = None, word_col: str = "word") -> DataFrame:
-    """B6 on distinct words: (word, pieces ARRAY<STRING>, ids ARRAY<INT>).
-
-    Vectorised per Arrow batch with ``mapInPandas``; the merge table is
-    bounded by ``vocab_size`` and travels with the task closure."""
-    ranks = {(l, r): k for k, (l, r, _m) in enumerate(model.merges_list)}
-    known = set(model.tokens)
-    ids = model.token_to_id()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, list[str]] = {}
-        for b in batches:
-            pieces = []
-            for w in b[word_col]:
-                p = cache.get(w)
-                if p is None:
-                    p = encode_word(w, ranks, known, unk)
-                    cache[w] = p
-                pieces.append(p)
-            yield pd.DataFrame({word_col: b[word_col], "pieces": pieces,
-                                "ids": [[ids[t] for t in p] for p in pieces]})
-
-    schema = T.StructType([T.StructField(word_col, T.StringType()),
-                           T.StructField("pieces", T.ArrayType(T.StringType())),
-                           T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return words.select(word_col).where(F.col(word_col).isNotNull()).distinct().mapInPandas(run, schema)
+            sym[i], sym[j], nxt[i] = left + right, None, nxt[j]
+            if nxt[i] < len(sym):
+                prv[nxt[i]] = i
+            push(i)
+            push(prv[i])
+        return [s for s in sym if s is not None]
+
+    def __call__(self, word: str) -> tuple[list[str], list[int]]:
+        if word in self.specials:
+            return [word], [self.ids[word]]
+        got = self.known.get(word)
+        if got is None:
+            p = self.pieces(word)
+            got = (p, [self.ids[t] for t in p])
+            if len(self.known) >= self.keep:
+                self.known.clear()
+            self.known[word] = got
+        return got
 
 
 def encode_texts(texts: DataFrame, key_cols: Sequence[str], text_col: str, model: BpeModel,
                  specials: Sequence[str] = (), unk: str | None = None) -> DataFrame:
-    """B6 on a text column: pre-tokenize (specials whole), encode each distinct
-    word once, then join back and re-collect in position order per key.
-    Returns key_cols + (pieces, ids)."""
+    """B6 on a text column: pre-tokenize (specials whole) on the JVM side, then
+    encode the words of each row. Returns key_cols + (pieces, ids), one row
+    per input row; a null text has no pieces. Narrow: no explode, no join on
+    frequent words, no regroup. Characters outside the vocabulary are dropped
+    (``unk`` None) or become one ``unk`` each."""
     keys = list(key_cols)
-    long = texts.select(*keys, F.posexplode(pretokenize(text_col, specials)).alias("pos", "word"))
-    special_ids = {s: i for i, s in enumerate(model.tokens) if s in set(specials)}
-    plain = long.where(~F.col("word").isin(*special_ids)) if special_ids else long
-    lex = encode_lexicon(plain, model, unk)
-    enc = lookup_join(plain, lex, "word", "left")
-    if special_ids:
-        sp = F.create_map(*[x for s, i in special_ids.items() for x in (F.lit(s), F.lit(i))])
-        spec = long.where(F.col("word").isin(*special_ids)).select(
-            *keys, "pos", F.array(F.col("word")).alias("pieces"), F.array(F.element_at(sp, F.col("word"))).alias("ids"))
-        enc = enc.select(*keys, "pos", "pieces", "ids").unionByName(spec)
-    g = enc.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "pieces", "ids"))).alias("_w"))
-    return g.select(*keys, F.flatten(F.transform("_w", lambda w: w["pieces"])).alias("pieces"),
-                    F.flatten(F.transform("_w", lambda w: w["ids"])).alias("ids"))
+    rows = texts.select(*keys, pretokenize(text_col, specials).alias("_w"))
+    tokens, merges, whole = list(model.tokens), list(model.merges_list), [s for s in specials if s in set(model.tokens)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(tokens, merges, whole, unk)
+        for b in batches:
+            pieces, ids = [], []
+            for words in b.column(len(keys)).to_pylist():
+                got = [encoder(w) for w in words]
+                pieces.append([t for p, _ in got for t in p])
+                ids.append([i for _, n in got for i in n])
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keys)], pa.array(pieces, pa.list_(pa.string())), pa.array(ids, pa.list_(pa.int32()))],
+                                             names=[*keys, "pieces", "ids"])
+
+    schema = T.StructType([*rows.schema.fields[:len(keys)], T.StructField("pieces", T.ArrayType(T.StringType())),
+                           T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, schema)

@@ -1,9 +1,8 @@
 """Vectors for tokens, users and tabular rows.
 
-Embedding tables are *given* (the ``embeddings`` table, or Word2Vec
-output), not trained by back-propagation. Pooling is an aggregate per
-(key, dimension), combined map-side, so a user with a third of all tokens
-is reduced in every map task.
+Embedding tables are *given* (the ``embeddings`` table), not trained by
+back-propagation. Pooling counts positions by (key, id) before anything is
+joined, so a user with a third of all tokens is reduced in every map task.
 """
 
 from __future__ import annotations
@@ -13,36 +12,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.joins import lookup_join
+from ledgerloom.operators.joins import salted_lookup
 
 
-def embedding_lookup(ids_long: DataFrame, table: DataFrame, id_col: str = "token_id", n_vectors: int = 500,
+def embedding_lookup(ids_long: DataFrame, table: DataFrame, id_col: str = "token_id",
                      vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Attach the vector of ``id % n_vectors`` to every (…, token_id) row.
-    The table grows with the data, so the planner (AQE) decides whether it
-    is broadcast; nothing is forced."""
-    t = table.select(F.col(vec_id).alias("vec_id"), F.col(vec).alias("embedding"))
-    rows = ids_long.withColumn("vec_id", (F.col(id_col) % F.lit(n_vectors)).cast(table.schema[vec_id].dataType))
-    return lookup_join(rows, t, "vec_id", "left")
-
-
-def pool_mean(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
-    """A14 (mean): (key, dim, value) = mean over a key's positions per dimension."""
-    ex = vectors.where(F.col(vec).isNotNull()).select(key, F.posexplode(vec).alias("dim", "v"))
-    return ex.groupBy(key, "dim").agg(F.avg("v").alias("value"))
-
-
-def pool_last(vectors: DataFrame, key: str, pos: str = "pos", vec: str = "embedding") -> DataFrame:
-    """A14 (last): the vector at the last real position of each key
-    (``max_by``, map-side combined), as (key, dim, value)."""
-    last = vectors.where(F.col(vec).isNotNull()).groupBy(key).agg(F.max_by(F.col(vec), F.col(pos)).alias("_v"))
-    return last.select(key, F.posexplode("_v").alias("dim", "value"))
-
-
-def as_vector_rows(pooled: DataFrame, key: str) -> DataFrame:
-    """(key, dim, value) -> (key, ARRAY<DOUBLE>) ordered by dim (bounded by the width)."""
-    return pooled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("_d")) \
-                 .select(key, F.transform("_d", lambda d: d["value"].cast("double")).alias("vector"))
+    """Attach the vector of ``id`` to every (..., token_id) row; an id
+    without a vector gets null.
+
+    Ids repeat without bound (a separator is a tenth of all positions), so
+    the rows are salted and the table, one row an id, is repeated as often:
+    no id meets in one task. The planner may broadcast a table it finds small."""
+    t = table.select(F.col(vec_id).cast("bigint").alias("_vec"), F.col(vec_id).alias("vec_id"), F.col(vec).alias("embedding"))
+    return salted_lookup(ids_long.withColumn("_id", F.col(id_col).cast("bigint")), t, "_id", "_vec").drop("_id")
+
+
+def pool_mean(ids_long: DataFrame, table: DataFrame, key: str, id_col: str = "token_id", vec_id: str = "vec_id",
+              vec: str = "embedding") -> DataFrame:
+    """A14 (mean): (key, dim, value), the mean vector of a key's positions.
+
+    Positions are first counted by (key, id), combined map-side, so the
+    join and the vector arithmetic see each id of a key once, weighted.
+    Positions without a vector do not count."""
+    n = ids_long.groupBy(key, F.col(id_col).alias("token_id")).agg(F.count(F.lit(1)).alias("_n"))
+    v = embedding_lookup(n, table, "token_id", vec_id, vec).where(F.col("embedding").isNotNull())
+    ex = v.select(key, "_n", F.posexplode("embedding").alias("dim", "v"))
+    return ex.groupBy(key, "dim").agg((F.sum(F.col("v").cast("double") * F.col("_n")) / F.sum("_n")).alias("value"))
+
+
+def pool_last(ids_long: DataFrame, table: DataFrame, key: str, pos: str = "pos", id_col: str = "token_id",
+              vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """A14 (last): (key, dim, value), the vector at each key's last position
+    that has one. The last position of each (key, id) is taken first, so one
+    vector is looked up per id of a key, not per position."""
+    last = ids_long.groupBy(key, F.col(id_col).alias("token_id")).agg(F.max(pos).alias("_pos"))
+    v = embedding_lookup(last, table, "token_id", vec_id, vec).where(F.col("embedding").isNotNull())
+    return v.groupBy(key).agg(F.max_by("embedding", "_pos").alias("_v")).select(key, F.posexplode("_v").alias("dim", "value"))
+
+
+def projected_users(ids_long: DataFrame, key: str, token: str = "token", dims: int = 16) -> DataFrame:
+    """M4: (key, dim, value): a user's mean random projection of its tokens.
+    Each token has a fixed vector of signs, read off the digits of its md5,
+    so no vocabulary is held anywhere; all positions count, through one
+    map-side combined aggregate."""
+    if dims > 32:
+        raise ValueError("an md5 has 32 digits")
+    h = F.md5(F.col(token).cast("string"))
+    signs = [F.when(F.substring(h, d + 1, 1) >= "8", F.lit(1)).otherwise(F.lit(-1)) for d in range(dims)]
+    sums = ids_long.where(F.col(token).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s{d}") for d, s in enumerate(signs)])
+    return sums.select(key, F.posexplode(F.array(*[F.col(f"_s{d}") / F.col("_n") for d in range(dims)])).alias("dim", "value"))
 
 
 def periodic_features(cols: Sequence[str], n_freq: int, freq: Sequence[Sequence[float]],

@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.encode import PAD
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def coerce_numeric(col, kind: str = "numerical") -> Column:
     """Bad or null -> 0, then int64 (categorical, truncating) or float32.
 
-    Strings are parsed with ``try_cast`` (surrounding spaces allowed); NaN and
-    +-inf become 0 as well (the reference raises on inf in the int path)."""
+    Text must be a plain decimal number (spaces around it allowed): suffixes
+    and hex forms that a cast would take count as bad. NaN, infinities and
+    values beyond the target type become 0."""
     c = F.col(col) if isinstance(col, str) else col
-    d = c.cast("string").try_cast("double")
-    d = F.when(d.isNull() | F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(0.0)).otherwise(d)
-    if kind == "categorical":
-        return d.cast("bigint")
-    return d.cast("float")
+    text = F.trim(c.cast("string"))
+    d = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    kept = d.try_cast("bigint") if kind == "categorical" else F.when(F.abs(d) < F.lit(3.4028235e38), d.cast("float"))
+    return F.coalesce(kept, F.lit(0).cast("bigint" if kind == "categorical" else "float"))
 
 
 def feature_vector(cat_cols: Sequence[str], num_cols: Sequence[str]) -> Column:

@@ -7,11 +7,10 @@ prefix sum; nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import default_parallelism
+from ledgerloom.session import default_parallelism, hold
 
 
 def sigmoid(x) -> Column:
@@ -56,33 +55,23 @@ def mean_of_batch_means(df: DataFrame, value: str, batch: str = "batch_id") -> D
     return per.agg(F.avg("_bm").alias("mean_of_batch_means"), F.count(F.lit(1)).alias("n_batches"))
 
 
-def argmax_by_group(df: DataFrame, group_cols, item: str, score: str, name: str = "argmax") -> DataFrame:
-    """The item with the highest score per group; ties -> smallest item.
-    A min over (-score, item) structs: an ordinary, map-side combined aggregate."""
-    g = [group_cols] if isinstance(group_cols, str) else list(group_cols)
-    best = F.min(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i")))
-    return df.groupBy(*g).agg(best.alias("_b")).select(*g, F.col("_b.i").alias(name),
-                                                       (-F.col("_b.s")).alias(f"{name}_score"))
-
-
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label",
             num_partitions: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties averaged (Mann-Whitney U / (P*N)).
 
     1. pre-aggregate to (score, pos, neg): map-side combined;
-    2. range-partition the distinct scores, total negatives per partition
-       (one row per partition -> broadcast prefix offsets);
+    2. range-partition the distinct scores and sort; each partition's
+       negatives (one row per partition) give broadcast prefix offsets;
     3. negatives below each score = partition offset + running sum inside
-       the partition; sum pos * (neg_below + neg/2) as one more aggregate.
+       the partition, both from one range shuffle; then one aggregate.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
     y = F.col(label).cast("int")
     per = (df.where(F.col(score).isNotNull() & y.isNotNull())
            .groupBy(score).agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("double").alias("pos"),
                                F.sum(F.when(y == 1, 0).otherwise(1)).cast("double").alias("neg")))
-    ranged = (per.repartitionByRange(n, score)
-              .withColumn("_p", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    # _p is an alias of what the rows are partitioned by; each partition is one _p
+    ranged = hold(per.repartitionByRange(n, score).withColumn("_p", F.spark_partition_id()))
     part = ranged.groupBy("_p").agg(F.sum("neg").alias("_pn"))
     offs = part.select("_p", F.coalesce(F.sum("_pn").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_off"))
@@ -102,5 +91,4 @@ def evaluate_scores(df: DataFrame, logit: str = "logit", label: str = "label") -
                   F.avg(bce_with_logits_terms(logit, label)).alias("bce"),
                   F.avg(F.when((sigmoid(logit) >= 0.5) == (F.col(label) == 1), 1.0).otherwise(0.0)).alias("accuracy"))
     auc = roc_auc(df.select(F.col(logit).alias("score"), F.col(label).alias("label")))
-    one = F.lit(1).alias("_one")
-    return base.select("*", one).join(auc.select("auc", one), "_one").drop("_one")
+    return base.crossJoin(F.broadcast(auc.select("auc")))  # one row each

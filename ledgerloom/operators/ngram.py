@@ -16,12 +16,11 @@ through an equi-join on (key, chunk - 1), so no user is ever regrouped.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import sequence as S
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.session import hold
 
 ALPHA = 1.0
 
@@ -56,22 +55,20 @@ def ngram_counts(positions: DataFrame) -> dict[str, DataFrame]:
     null at a sequence start); the lower orders are sums over that much
     smaller table, so the big input is read once."""
     # read by three branches (and again by the model's joins): keep it once
-    full = positions.groupBy("c2", "c1", "token").agg(F.count(F.lit(1)).alias("cnt")) \
-                    .persist(StorageLevel.MEMORY_AND_DISK)
+    full = hold(positions.groupBy("c2", "c1", "token").agg(F.count(F.lit(1)).alias("cnt")))
     tri = full.where(F.col("c2").isNotNull())
     bi = full.where(F.col("c1").isNotNull()).groupBy("c1", "token").agg(F.sum("cnt").alias("cnt"))
     uni = full.groupBy("token").agg(F.sum("cnt").alias("cnt"))
-    return {"uni": uni, "bi": bi, "tri": tri}
+    return {"uni": uni, "bi": bi, "tri": tri, "full": full}
 
 
 def ngram_model(positions: DataFrame, alpha: float = ALPHA) -> dict[str, DataFrame]:
     """M1 probabilities of every observed n-gram, with the backed-off
     probabilities they interpolate with. Context totals are aggregates; the
-    one-row corpus totals (N, V) join on a constant key."""
+    corpus totals (N, V) are one row, broadcast."""
     c = ngram_counts(positions)
-    one = F.lit(1).alias("_one")
-    tot = c["uni"].agg(F.sum("cnt").alias("N"), F.count(F.lit(1)).alias("V")).select("*", one)
-    p0 = (c["uni"].select("*", one).join(tot, "_one")
+    tot = c["uni"].agg(F.sum("cnt").alias("N"), F.count(F.lit(1)).alias("V"))
+    p0 = (c["uni"].crossJoin(F.broadcast(tot))  # one row
           .select("token", "cnt", ((F.col("cnt") + F.lit(alpha) / F.col("V")) / (F.col("N") + F.lit(alpha))).alias("p0")))
     ctx1 = c["bi"].groupBy("c1").agg(F.sum("cnt").alias("ctx_cnt"))
     p1 = (c["bi"].join(ctx1, "c1").join(p0.select("token", "p0"), "token")
@@ -81,7 +78,18 @@ def ngram_model(positions: DataFrame, alpha: float = ALPHA) -> dict[str, DataFra
     p2 = (c["tri"].join(ctx2, ["c2", "c1"]).join(p1.select("c1", "token", "p1"), ["c1", "token"])
           .select("c2", "c1", "token", "cnt", "p1",
                   ((F.col("cnt") + F.lit(alpha) * F.col("p1")) / (F.col("ctx_cnt") + F.lit(alpha))).alias("p2")))
-    return {"p0": p0, "p1": p1, "p2": p2, "ctx1": ctx1, "ctx2": ctx2, "totals": tot.drop("_one")}
+    return {"p0": p0, "p1": p1, "p2": p2, "ctx1": ctx1, "ctx2": ctx2, "totals": tot, "full": c["full"]}
+
+
+def save_model(model: dict[str, DataFrame], path: str) -> None:
+    """The probability and argmax tables as Parquet, for prediction elsewhere."""
+    for name in ("p0", "p1", "p2"):
+        model[name].write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_model(spark, path: str) -> dict[str, DataFrame]:
+    """What ``save_model`` wrote: enough for ``argmax_tables`` and ``position_probabilities``."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("p0", "p1", "p2")}
 
 
 def position_probabilities(positions: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
@@ -94,6 +102,15 @@ def position_probabilities(positions: DataFrame, model: dict[str, DataFrame]) ->
     return j.withColumn("p", p)
 
 
+def corpus_cross_entropy(counts: dict[str, DataFrame], model: dict[str, DataFrame]) -> DataFrame:
+    """A9 on the training positions, from the count table alone: every
+    position with the same (c2, c1, token) has the same probability, so
+    sum(cnt * -ln p) / sum(cnt) is the mean over positions."""
+    pp = position_probabilities(counts["full"], model)
+    cost = F.sum(F.col("cnt") * -F.log("p"))
+    return pp.agg((cost / F.sum("cnt")).alias("cross_entropy"), F.sum("cnt").alias("n_tokens"))
+
+
 def argmax_tables(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Most likely next token per context of each order. Seen
     continuations always beat unseen ones (a count of 1 outweighs any
@@ -111,29 +128,32 @@ def argmax_tables(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def greedy_next_tokens(contexts: DataFrame, key: str, tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
     """M2: predict ``k`` tokens greedily from each row's last two tokens
-    (``t``, ``u``), backing off from order 2 to 1 to 0. One join round per
-    step; the order-0 answer is a single row joined on a constant key.
-
-    The argmax tables are read ``k`` times: they are persisted, and for
-    long horizons (k > 10) checkpointed to ``spark.checkpoint.dir`` so the
-    lineage of the loop stays short."""
-    if k > 10:
-        ensure_checkpoint_dir(contexts.sparkSession)
-        tables = {name: t.checkpoint(eager=True) for name, t in tables.items()}
-    else:
-        tables = {name: t.persist(StorageLevel.MEMORY_AND_DISK) for name, t in tables.items()}
-    a0 = tables["a0"].select(F.col("next_token").alias("_a0"), F.lit(1).alias("_one"))
+    (``t``, ``u``), backing off from order 2 to 1 to 0.
+
+    Many rows share a context, and the answer depends on the context alone:
+    the steps run once for each distinct (t, u), and one join gives the rows
+    their answers. A step is a join round with the argmax tables; the order-0
+    answer is one row, broadcast."""
+    tables = {name: hold(t) for name, t in tables.items()}
+    a0 = F.broadcast(tables["a0"].select(F.col("next_token").alias("_a0")))
     etype = contexts.schema["u"].dataType.simpleString()
-    cur = contexts.select(key, "t", "u", F.array().cast(f"array<{etype}>").alias("predicted"), F.lit(1).alias("_one"))
-    cur = cur.join(a0, "_one")
+    own = contexts.select("t", "u").distinct()
+    cur = own.select(F.col("t").alias("_t0"), F.col("u").alias("_u0"), "t", "u", F.array().cast(f"array<{etype}>").alias("predicted")).crossJoin(a0)
     for _ in range(k):
         a2 = tables["a2"].select(F.col("c2").alias("t"), F.col("c1").alias("u"), F.col("next_token").alias("_n2"))
         a1 = tables["a1"].select(F.col("c1").alias("u"), F.col("next_token").alias("_n1"))
         step = cur.join(a2, ["t", "u"], "left").join(a1, "u", "left")
         nxt = F.coalesce(F.col("_n2"), F.col("_n1"), F.col("_a0"))
-        cur = step.select(key, F.col("u").alias("t"), nxt.alias("u"), F.array_append("predicted", nxt).alias("predicted"),
-                          "_one", "_a0")
-    return cur.select(key, "predicted")
+        cur = step.select("_t0", "_u0", F.col("u").alias("t"), nxt.alias("u"), F.array_append("predicted", nxt).alias("predicted"), "_a0")
+    done = cur.select("_t0", "_u0", "predicted")
+    return contexts.join(done, F.col("t").eqNullSafe(F.col("_t0")) & F.col("u").eqNullSafe(F.col("_u0"))).select(key, "predicted")
+
+
+def training_part(seqs: DataFrame, key: str, n: int, least: int) -> DataFrame:
+    """The sequences without the tails that ``holdout`` takes: the last ``n``
+    tokens of every sequence longer than ``least``."""
+    return S.drop_tail(seqs.where(F.col("seq_len") > least), key, n).unionByName(
+        seqs.where(F.col("seq_len") <= least).select(key, "chunk", "offset", "seq_len", "tokens"))
 
 
 def holdout_contexts(seqs: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:

@@ -17,11 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import partitions_for
+from ledgerloom.session import default_parallelism, hold
 
 _LOW33 = (1 << 33) - 1
 
@@ -32,12 +31,11 @@ def global_index(df: DataFrame, order_by: Sequence[Column | str], *, start: int
 
     ``order_by`` must be a total order for the numbers to be reproducible.
     """
-    n = num_partitions or partitions_for(df)
+    n = num_partitions or default_parallelism(df.sparkSession)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ranged = hold(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("_gi_p", F.spark_partition_id())
-              .withColumn("_gi_r", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+              .withColumn("_gi_r", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     counts = ranged.groupBy("_gi_p").agg(F.count(F.lit(1)).alias("_gi_n"))
     offsets = counts.select(
         "_gi_p",

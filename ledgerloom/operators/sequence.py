@@ -26,11 +26,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import partitions_for
+from ledgerloom.session import default_parallelism, hold
 
 DEFAULT_CHUNK_LEN = 4096
 PIECE_ROWS_LOG2 = 16  # pieces of at most 65,536 events
@@ -52,15 +51,17 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
 
     ``sep`` goes between consecutive events (not after the last), ``prefix``
     before the first and ``suffix`` after the last. Rows with a null key are
-    dropped (pandas ``groupby`` semantics). Ties in ``order_by`` are broken by
+    dropped (pandas ``groupby`` semantics); a null ``items`` array counts as
+    an empty one. Ties in ``order_by`` are broken by
     the items themselves, so the result never depends on partitioning.
     """
     if len(prefix) > chunk_len or len(suffix) > chunk_len:
         raise ValueError("prefix/suffix longer than chunk_len")
     order_by = list(order_by)
     etype = _elem_type(events, items)
-    n_parts = num_partitions or partitions_for(events)
-    ev = events.where(F.col(key).isNotNull()).select(key, *order_by, F.col(items).alias("_items"))
+    n_parts = num_partitions or default_parallelism(events.sparkSession)
+    none = F.array().cast(f"array<{etype}>")
+    ev = events.where(F.col(key).isNotNull()).select(key, *order_by, F.coalesce(F.col(items), none).alias("_items"))
     if sep is not None:
         ev = ev.withColumn("_items", F.concat(F.col("_items"), _lit_array([sep], etype)))
 
@@ -70,12 +71,11 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
     ranged = (ev.repartitionByRange(n_parts, key, *order_by)
               .sortWithinPartitions(key, *order_by, "_items")
               .withColumn("_piece", F.shiftright(F.monotonically_increasing_id(), piece_rows_log2)))
-    pieces = (ranged.groupBy(key, "_piece")
+    # used by two branches: both must see the same piece numbering
+    pieces = hold(ranged.groupBy(key, "_piece")
               .agg(F.sort_array(F.collect_list(F.struct(*order_by, "_items"))).alias("_rows"))
               .select(key, "_piece", F.flatten(F.transform("_rows", lambda r: r["_items"])).alias("_tok"))
-              .withColumn("_n", F.size("_tok").cast("bigint"))
-              # used by two branches: both must see the same piece numbering
-              .persist(StorageLevel.MEMORY_AND_DISK))
+              .withColumn("_n", F.size("_tok").cast("bigint")))
 
     # 3: offsets on the slim table.
     by_key = Window.partitionBy(key)

@@ -8,7 +8,6 @@ from a window without a partition clause.
 
 from __future__ import annotations
 
-import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +98,3 @@ def sample_k(df: DataFrame, id_col: str, k: int, seed: int = 42) -> DataFrame:
     planner runs it as a bounded top-k, TakeOrderedAndProject)."""
     return df.withColumn("_h", hash_order(seed, id_col)).orderBy("_h", id_col).limit(k).drop("_h")
 
-
-def test_count(n: int, test_size: float) -> int:
-    return int(math.ceil(test_size * n))

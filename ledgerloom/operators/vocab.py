@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.encode import AMOUNT_EDGES, AMOUNT_RANGES_6, PAD, SEP, UNK
-from ledgerloom.operators.joins import lookup_join
+from ledgerloom.functions.encode import AMOUNT, AMOUNT_EDGES, AMOUNT_RANGES_6, DAY, MONTH, PAD, SEP, UNK, WEEKDAY
+from ledgerloom.operators.joins import MOST_ENTRIES, bucketed, lookup_in_arrays
 from ledgerloom.operators.ranking import global_index
 
 # ---------------------------------------------------------------------------
@@ -28,14 +28,14 @@ SIGN_TOKENS = ["<INFLOW>", "<OUTFLOW>"]
 
 def special_token_list(variant: str = "replication") -> list[str]:
     """The ordered special tokens of a variant (ids = list positions)."""
-    months = [f"<MONTH_{m}>" for m in range(1, 13)]
-    days = [f"<DAY_{d}>" for d in range(1, 32)]
-    weekdays = [f"<WEEKDAY_{w}>" for w in range(7)]
+    months = [f"{MONTH}{m}>" for m in range(1, 13)]
+    days = [f"{DAY}{d}>" for d in range(1, 32)]
+    weekdays = [f"{WEEKDAY}{w}>" for w in range(7)]
     if variant == "replication":
-        amounts = [f"<AMOUNT_{i}>" for i in range(len(AMOUNT_EDGES))]
+        amounts = [f"{AMOUNT}{i}>" for i in range(len(AMOUNT_EDGES))]
         return [PAD, UNK] + SIGN_TOKENS + amounts + months + days + weekdays + [SEP]
     if variant == "adaptation":
-        amounts = [f"<AMOUNT_{r}>" for r in AMOUNT_RANGES_6]
+        amounts = [f"{AMOUNT}{r}>" for r in AMOUNT_RANGES_6]
         return [PAD, UNK] + ORIGIN_TOKENS + SIGN_TOKENS + amounts + months + days + weekdays + [SEP]
     if variant == "tagged":
         return list(TAGGED_SPECIALS)
@@ -43,8 +43,7 @@ def special_token_list(variant: str = "replication") -> list[str]:
 
 
 def special_tokens(spark: SparkSession, variant: str = "replication") -> DataFrame:
-    """U1 as a DataFrame (token, id, is_special), built from id ranges with
-    ``sequence``/``explode`` pieces and a union, ids from an explicit order."""
+    """U1 as a DataFrame (token, id, is_special): the list, exploded with its places as ids."""
     toks = special_token_list(variant)
     arr = F.array(*[F.lit(t) for t in toks])
     return (spark.range(1).select(F.posexplode(arr).alias("id", "token"))
@@ -77,25 +76,20 @@ def specials_of(vocab: DataFrame, by_prefix: bool = False) -> DataFrame:
 
 
 def _map_array(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], col: str, out_col: str,
-               src: str, dst: str, fill, vocab_bound: int | None, inline: dict | None = None) -> DataFrame:
-    """Explode ``col`` with positions, look every element up in ``vocab``
-    (``src`` -> ``dst``) and re-collect in position order per ``key_cols``.
-    Arrays stay as bounded as the input rows (chunked sequences stay chunked).
-
-    ``inline`` maps a fixed, small set of elements (the special tokens) with
-    a literal map instead of the join: those are the hottest keys (one per
-    transaction), so they never reach a shuffle join and cannot skew it."""
+               src: str, dst: str, fill, vocab_rows: int | None) -> DataFrame:
+    """Map the elements of ``col`` through ``vocab`` (``src`` -> ``dst``).
+
+    ``vocab_rows`` is the vocabulary's size where the caller knows it, else
+    it is counted. Up to ``MOST_ENTRIES`` the vocabulary travels to the rows;
+    beyond, elements are exploded, joined and re-collected per ``key_cols``
+    (one output row per key; arrays stay as bounded as the input's)."""
     keys = list(key_cols)
+    n = vocab.limit(MOST_ENTRIES + 1).count() if vocab_rows is None else vocab_rows
+    if n <= MOST_ENTRIES:
+        return lookup_in_arrays(df.select(*keys, col), bucketed(vocab, src, dst), col, "_out", fill).select(*keys, F.col("_out").alias(out_col))
     long = df.select(*keys, F.posexplode_outer(col).alias("_pos", "_src"))
     v = vocab.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"))
-    if inline:
-        lit_map = F.create_map(*[x for k_, v_ in inline.items() for x in (F.lit(k_), F.lit(v_))])
-        long = long.withColumn("_fixed", F.element_at(lit_map, F.col("_src")))
-        hot = long.where(F.col("_fixed").isNotNull()).withColumn("_dst", F.col("_fixed"))
-        rest = long.where(F.col("_fixed").isNull())
-        j = lookup_join(rest, v, "_src", "left", bound=vocab_bound).unionByName(hot)
-    else:
-        j = lookup_join(long, v, "_src", "left", bound=vocab_bound)
+    j = long.join(v, "_src", "left")
     val = F.col("_dst") if fill is None else F.coalesce(F.col("_dst"), F.lit(fill))
     keep = F.col("_pos").isNotNull() & (val.isNotNull() if fill is None else F.lit(True))
     return (j.groupBy(*keys)
@@ -104,22 +98,16 @@ def _map_array(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], col: st
 
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens_col: str, key_cols: Sequence[str],
-                  out_col: str = "ids", unk_id: int | None = 1, vocab_bound: int | None = None,
-                  specials: Sequence[str] | None = None) -> DataFrame:
-    """J4 on an array column, one output row per ``key_cols`` value.
-
-    Unknown tokens -> ``unk_id``; with ``unk_id=None`` they are dropped.
-    ``specials`` (a variant's catalog, ids = positions) are mapped inline."""
-    inline = {t: i for i, t in enumerate(specials)} if specials else None
-    return _map_array(df, vocab, key_cols, tokens_col, out_col, "token", "id", unk_id, vocab_bound, inline)
+                  out_col: str = "ids", unk_id: int | None = 1, vocab_rows: int | None = None) -> DataFrame:
+    """J4 on an array column. Unknown tokens -> ``unk_id``; with
+    ``unk_id=None`` they are dropped."""
+    return _map_array(df, vocab, key_cols, tokens_col, out_col, "token", "id", unk_id, vocab_rows)
 
 
 def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids_col: str, key_cols: Sequence[str],
-                  out_col: str = "tokens", vocab_bound: int | None = None,
-                  specials: Sequence[str] | None = None) -> DataFrame:
+                  out_col: str = "tokens", vocab_rows: int | None = None) -> DataFrame:
     """Ids back to token strings, order kept; unknown ids are dropped."""
-    inline = {i: t for i, t in enumerate(specials)} if specials else None
-    return _map_array(df, vocab, key_cols, ids_col, out_col, "id", "token", None, vocab_bound, inline)
+    return _map_array(df, vocab, key_cols, ids_col, out_col, "id", "token", None, vocab_rows)
 
 
 def decode(tokens_col: str) -> "F.Column":

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import encode as E
 from ledgerloom.operators import sequence as S
+from ledgerloom.plans import pipelines as PL
 from ledgerloom.operators.ranking import global_index
+from ledgerloom.session import hold
 from ledgerloom.plans import sql_fragments as Q
 from ledgerloom.sources import tables as T
 
@@ -165,28 +167,23 @@ def q_sep_between(spark, sf):
     return seqs.select("user_id", "chunk", "offset", "seq_len", joined("tokens").alias("tokens"))
 
 
-@query("sequence_sos_eot", f"""SELECT client_id, 0 AS chunk, CAST(2 * count(*) + 1 AS BIGINT) AS seq_len,
-  '<SOS>' || string_agg({Q.tagged('type', 'amount', 'hour', 'day', 'month', 'day_week', 'merchant')}, '<EOT>'
-    ORDER BY date, tx_id) || '<EOS>' AS sequence
-FROM ({_SPLIT_E}) WHERE client_id IS NOT NULL GROUP BY client_id""")
+@query("sequence_sos_eot", Q.chunked(f"""SELECT client_id, list_concat(['<SOS>'], f0[1:len(f0)-1], ['<EOS>']) AS seq FROM (
+  SELECT client_id, flatten(list([{Q.tagged('type', 'amount', 'hour', 'day', 'month', 'day_week', 'merchant')}, '<EOT>']
+    ORDER BY date, tx_id)) AS f0 FROM ({_SPLIT_E}) WHERE client_id IS NOT NULL GROUP BY client_id)""",
+    "client_id", 64, "''").replace("AS tokens", "AS sequence"))
 def q_sos_eot(spark, sf):
+    """A3: tagged sequences, in chunks of 64 transactions and tags."""
     sd = T.split_date_transactions(T.transactions_from_events(spark, sf))
-    ev = sd.select("client_id", "date", "tx_id", F.array(E.tagged_transaction_string(
-        "type", "amount", "hour", "day", "month", "day_week", "merchant")).alias("items"))
-    seqs = S.assemble_sequences(ev, "client_id", ["date", "tx_id"], "items", sep="<EOT>",
-                                prefix=["<SOS>"], suffix=["<EOS>"])
-    return seqs.select("client_id", "chunk", "seq_len", joined("tokens", "").alias("sequence"))
+    return PL.tagged_sequences(sd, chunk_len=64).select("client_id", "chunk", "offset", "seq_len", "sequence")
 
 
-@query("sequence_spaced", f"""SELECT user_id, CAST(count(*) AS BIGINT) AS seq_len,
-  string_agg({Q.spaced('origin', 'amount', 'date', 'description')}, ' ' ORDER BY date, tx_id) AS transaction_history
-FROM ({Q.TXE}) WHERE user_id IS NOT NULL GROUP BY user_id""")
+@query("sequence_spaced", Q.chunked(f"""SELECT user_id,
+  list({Q.spaced('origin', 'amount', 'date', 'description')} ORDER BY date, tx_id) AS seq
+FROM ({Q.TXE}) WHERE user_id IS NOT NULL GROUP BY user_id""", "user_id", 50).replace("AS tokens", "AS transaction_history"))
 def q_spaced(spark, sf):
-    tx = T.transactions_from_events(spark, sf)
-    ev = tx.select("user_id", "date", "tx_id",
-                   F.array(E.spaced_transaction_string("origin", "amount", "date", "description")).alias("items"))
-    seqs = S.assemble_sequences(ev, "user_id", ["date", "tx_id"], "items")
-    return seqs.select("user_id", "seq_len", joined("tokens", " ").alias("transaction_history"))
+    """A4: history strings, in chunks of 50 transactions."""
+    return PL.history_strings(T.transactions_from_events(spark, sf), chunk_len=50).select(
+        "user_id", "chunk", "offset", "seq_len", "transaction_history")
 
 
 @query("next_token_pairs", f"""SELECT user_id, array_to_string(h[1:len(h)-1], ' ') AS x,
@@ -339,11 +336,17 @@ def txe_vocab(spark, sf):
     return V.word_vocabulary(spark, _txe_words(spark, sf), "replication")
 
 
-_SPECIALS_SQL = "[" + ", ".join(f"'{t}'" for t in V.special_token_list("replication")) + "]"
+# The catalogs, written out so that the oracle does not lean on the operator.
+_MDW_SQL = """list_transform(range(1, 13), lambda m: '<MONTH_' || m || '>'), list_transform(range(1, 32), lambda d: '<DAY_' || d || '>'),
+  list_transform(range(7), lambda w: '<WEEKDAY_' || w || '>'), ['[SEP]']"""
+_SPECIALS_SQL = f"""flatten([['[PAD]', '[UNK]', '<INFLOW>', '<OUTFLOW>'], list_transform(range(21), lambda a: '<AMOUNT_' || a || '>'), {_MDW_SQL}])"""
+_ADAPTATION_SQL = f"""flatten([['[PAD]', '[UNK]', '<account>', '<card>', '<INFLOW>', '<OUTFLOW>', '<AMOUNT_0-10>', '<AMOUNT_10-50>',
+  '<AMOUNT_50-100>', '<AMOUNT_100-500>', '<AMOUNT_500-1000>', '<AMOUNT_1000+>'], {_MDW_SQL}])"""
+_TAGGED_SQL = "['<PAD>', '<SOS>', '<EOS>', '<EOT>', '<UNK>']"
 _TXE_VOCAB = f"""SELECT token, CAST(id AS INTEGER) AS id FROM (
   SELECT unnest({_SPECIALS_SQL}) AS token, generate_subscripts({_SPECIALS_SQL}, 1) - 1 AS id
   UNION ALL
-  SELECT w AS token, {len(V.special_token_list('replication'))} - 1 + row_number() OVER (ORDER BY w) AS id
+  SELECT w AS token, 75 + row_number() OVER (ORDER BY w) AS id
   FROM (SELECT DISTINCT unnest({Q.words('description')}) AS w FROM ({Q.TXE}))
   WHERE w NOT IN (SELECT unnest({_SPECIALS_SQL})))"""
 
@@ -353,6 +356,36 @@ def q_word_vocab(spark, sf):
     return txe_vocab(spark, sf).select("token", "id")
 
 
+def _catalog_usage_sql(tokens: str, text: str) -> str:
+    """How many texts hold each special token of a catalog."""
+    return f"""SELECT v.token, v.id, CAST(count(CASE WHEN contains(t.txt, v.token) THEN 1 END) AS BIGINT) AS n_texts
+FROM (SELECT unnest({tokens}) AS token, CAST(generate_subscripts({tokens}, 1) - 1 AS INTEGER) AS id) v, ({text}) t GROUP BY v.token, v.id"""
+
+
+def _catalog_usage(spark, texts, variant):
+    toks = V.special_token_list(variant)  # a fixed list
+    counts = texts.agg(*[F.count(F.when(F.contains("txt", F.lit(t)), 1)).alias(f"n{i}") for i, t in enumerate(toks)])
+    rows = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(i).alias("id"), F.col(f"n{i}").alias("n_texts")) for i, t in enumerate(toks)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query("special_catalog_spaced", _catalog_usage_sql(_ADAPTATION_SQL, f"SELECT {Q.spaced('origin', 'amount', 'date', 'description')} AS txt FROM ({Q.TXE})"))
+def q_catalog_spaced(spark, sf):
+    """U1, spaced form: its catalog, with the number of transactions that hold each token."""
+    tx = T.transactions_from_events(spark, sf)
+    return _catalog_usage(spark, tx.select(E.spaced_transaction_string("origin", "amount", "date", "description").alias("txt")), "adaptation")
+
+
+@query("special_catalog_tagged", _catalog_usage_sql(_TAGGED_SQL, f"""SELECT '<SOS>' || string_agg({Q.tagged('type', 'amount', 'hour', 'day', 'month', 'day_week', 'merchant')}, '<EOT>') || '<EOS>' AS txt
+FROM ({_SPLIT_E}) WHERE client_id IS NOT NULL GROUP BY client_id, date_trunc('day', date)"""))
+def q_catalog_tagged(spark, sf):
+    """U1, tagged form: its catalog, with the number of client days that hold each token."""
+    sd = T.split_date_transactions(T.transactions_from_events(spark, sf)).where(F.col("client_id").isNotNull())
+    tx = sd.withColumn("s", E.tagged_transaction_string("type", "amount", "hour", "day", "month", "day_week", "merchant"))
+    texts = tx.groupBy("client_id", F.date_trunc("day", "date").alias("d")).agg(F.concat(F.lit("<SOS>"), F.array_join(F.collect_list("s"), "<EOT>"), F.lit("<EOS>")).alias("txt"))
+    return _catalog_usage(spark, texts, "tagged")
+
+
 @query("special_token_usage", f"""SELECT v.token, v.id, CAST(count(t.tok) AS BIGINT) AS n_used
 FROM (SELECT unnest({_SPECIALS_SQL}) AS token, CAST(generate_subscripts({_SPECIALS_SQL}, 1) - 1 AS INTEGER) AS id) v
 LEFT JOIN (SELECT unnest(seq) AS tok FROM ({_TXE_SEQ})) t ON t.tok = v.token
@@ -370,28 +403,29 @@ FROM (SELECT user_id, unnest(seq) AS tok, generate_subscripts(seq, 1) AS pos FRO
 LEFT JOIN ({_TXE_VOCAB}) v ON v.token = s.tok GROUP BY s.user_id"""
 
 
-def txe_id_sequences(spark, sf):
-    seqs = txe_sequences(spark, sf)
-    vocab = txe_vocab(spark, sf)
-    return V.tokens_to_ids(seqs, vocab, "tokens", ["user_id", "chunk", "offset", "seq_len"],
-                           specials=V.special_token_list("replication"))
+def txe_id_sequences(spark, sf, chunk_len=S.DEFAULT_CHUNK_LEN):
+    seqs = txe_sequences(spark, sf, chunk_len)
+    vocab = hold(txe_vocab(spark, sf))
+    return V.tokens_to_ids(seqs, vocab, "tokens", ["user_id", "chunk", "offset", "seq_len"])
 
 
-@query("token_to_id", f"SELECT user_id, array_to_string(ids, ',') AS ids FROM ({_TXE_IDS})")
+@query("token_to_id", Q.chunked(f"SELECT user_id, ids AS seq FROM ({_TXE_IDS})", "user_id", 200, "','").replace("AS tokens", "AS ids"))
 def q_token_to_id(spark, sf):
-    ids = txe_id_sequences(spark, sf)
-    return ids.select("user_id", F.array_join("ids", ",").alias("ids"))
+    ids = txe_id_sequences(spark, sf, 200)
+    return ids.select("user_id", "chunk", "offset", "seq_len", F.array_join("ids", ",").alias("ids"))
 
 
-@query("id_to_token", f"""SELECT i.user_id, array_to_string(list(v.token ORDER BY i.pos), ' ') AS tokens,
-  array_to_string(list(v.token ORDER BY i.pos), '') AS decoded
-FROM (SELECT user_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM ({_TXE_IDS})) i
-JOIN ({_TXE_VOCAB}) v ON v.id = i.id GROUP BY i.user_id""")
+@query("id_to_token", f"""WITH u AS (SELECT i.user_id, list(v.token ORDER BY i.pos) AS seq
+  FROM (SELECT user_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM ({_TXE_IDS})) i
+  JOIN ({_TXE_VOCAB}) v ON v.id = i.id GROUP BY i.user_id)
+SELECT user_id, CAST(g.k AS INTEGER) AS chunk, array_to_string(seq[g.k * 200 + 1 : (g.k + 1) * 200], ' ') AS tokens,
+  array_to_string(seq[g.k * 200 + 1 : (g.k + 1) * 200], '') AS decoded
+FROM u, unnest(generate_series(0, (len(seq) - 1) // 200)) AS g(k)""")
 def q_id_to_token(spark, sf):
-    ids = txe_id_sequences(spark, sf)
-    back = V.ids_to_tokens(ids, txe_vocab(spark, sf), "ids", ["user_id", "chunk"],
-                           specials=V.special_token_list("replication"))
-    return back.select("user_id", joined("tokens").alias("tokens"), V.decode("tokens").alias("decoded"))
+    vocab = hold(txe_vocab(spark, sf))
+    ids = V.tokens_to_ids(txe_sequences(spark, sf, 200), vocab, "tokens", ["user_id", "chunk"])
+    back = V.ids_to_tokens(ids, vocab, "ids", ["user_id", "chunk"])
+    return back.select("user_id", "chunk", joined("tokens").alias("tokens"), V.decode("tokens").alias("decoded"))
 
 
 @query("label_sequence", f"""SELECT l.row_id, l.user_id, l.label,
@@ -410,13 +444,12 @@ def q_label_sequence(spark, sf):
   (SELECT count(DISTINCT user_id) FROM ({Q.LAB})) AS n_label_users""")
 def q_corpus_counts(spark, sf):
     seqs = txe_sequences(spark, sf)
-    one = F.lit(1).alias("_one")
     a = seqs.agg(F.count_distinct("user_id").alias("n_users"), F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"))
     b = txe_vocab(spark, sf).agg(F.count(F.lit(1)).alias("vocab_size"))
     c = T.label_rows(spark, sf).agg(F.count(F.lit(1)).alias("n_label_rows"),
                                     F.count_distinct("user_id").alias("n_label_users"))
-    return (a.select("*", one).join(b.select("*", one), "_one").join(c.select("*", one), "_one")
-            .select("n_users", "n_tokens", "vocab_size", "n_label_rows", "n_label_users"))
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).select(  # one row each
+        "n_users", "n_tokens", "vocab_size", "n_label_rows", "n_label_users")
 
 
 # ---------------------------------------------------------------------------
@@ -459,6 +492,11 @@ def q_shuffle_order(spark, sf):
     return global_index(out, ["shuffle_key", "user_id"], name="position")
 
 
+def txe_padded(spark, sf):
+    ids = txe_id_sequences(spark, sf).withColumnRenamed("ids", "tokens")
+    return PL.pretrain_batches(ids, PL.PretrainConfig())
+
+
 @query("pad_batches", f"""WITH b AS (SELECT user_id, ids[1:513] AS h,
     (row_number() OVER (ORDER BY md5('42|0|' || user_id), user_id) - 1) // 16 AS batch_id FROM ({_TXE_IDS})),
 xy AS (SELECT user_id, batch_id, h[1:len(h)-1] AS x, h[2:len(h)] AS y FROM b),
@@ -468,11 +506,7 @@ SELECT user_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_len AS INTEGER)
   array_to_string(list_concat(y, list_transform(range(batch_len - len(y)), lambda i: -1)), ',') AS y
 FROM m""")
 def q_pad_batches(spark, sf):
-    ids = txe_id_sequences(spark, sf)
-    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513, S.DEFAULT_CHUNK_LEN)
-    xy = S.next_token_pairs(h)
-    b = SP.assign_batches(xy, "user_id", 16, seed=42, epoch=0)
-    p = SP.pad_batches(b)
+    p = txe_padded(spark, sf)
     return p.select("user_id", "batch_id", "batch_len", F.array_join("x", ",").alias("x"),
                     F.array_join("y", ",").alias("y"))
 
@@ -559,10 +593,18 @@ def q_evaluate(spark, sf):
 from ledgerloom.operators import bpe as B  # noqa: E402
 
 
+def txr_descriptions(spark, sf):
+    """The distinct descriptions of the line items' transactions (their
+    orders give only the user, so they are not joined)."""
+    li = T.table(spark, sf, "lineitem").select("l_partkey").distinct()
+    p = T.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("description"))
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("description").distinct()
+
+
 @query("pretokenize", f"""SELECT description, array_to_string({Q.words('description')}, ' ') AS words
 FROM (SELECT DISTINCT description FROM ({Q.TXR}))""")
 def q_pretokenize(spark, sf):
-    d = T.transactions_from_lineitem(spark, sf).select("description").distinct()
+    d = txr_descriptions(spark, sf)
     return d.select("description", F.array_join(B.pretokenize("description"), " ").alias("words"))
 
 
@@ -581,7 +623,7 @@ _SPACED_SPECIALS = V.special_token_list("adaptation")
 
 @query("special_aware_split", f"""SELECT tx_id, array_to_string(regexp_extract_all(
   {Q.spaced('origin', 'amount', 'date', 'description')},
-  '{B.special_split_pattern(_SPACED_SPECIALS).replace("(?U)", "").replace(chr(39), chr(39) * 2)}'), ' ') AS words
+  '<account>|<card>|<INFLOW>|<OUTFLOW>|<AMOUNT_(?:0-10|10-50|50-100|100-500|500-1000|1000\\+)>|<MONTH_(?:1[0-2]|[1-9])>|<DAY_(?:[12][0-9]|3[01]|[1-9])>|<WEEKDAY_[0-6]>|\\[(?:PAD|UNK|SEP)\\]|\\w+|[^\\w\\s]+'), ' ') AS words
 FROM ({Q.TXE})""")
 def q_special_split(spark, sf):
     tx = T.transactions_from_events(spark, sf)
@@ -595,7 +637,7 @@ GROUP BY w"""
 
 
 def txr_description_histogram(spark, sf):
-    d = T.transactions_from_lineitem(spark, sf).select("description").distinct()
+    d = txr_descriptions(spark, sf)
     return B.word_histogram(d, "description")
 
 
@@ -627,8 +669,10 @@ def q_bpe_vocab(spark, sf):
 
 
 def _encoded_descriptions(spark, sf):
-    d = T.transactions_from_lineitem(spark, sf).select("description").distinct()
-    return d, B.encode_texts(d, ["description"], "description", txr_bpe(spark, sf))
+    d = txr_descriptions(spark, sf)
+    d = hold(d)
+    return d, B.encode_texts(d, ["description"], "description", B.train_bpe(
+        spark, B.word_histogram(d, "description"), 10000, V.special_token_list("replication")))
 
 
 @query("bpe_encode")
@@ -652,9 +696,10 @@ def q_decode(spark, sf):
 
 from ledgerloom.operators import ngram as NG  # noqa: E402
 
-_NG = f"""s AS ({_TXE_SEQ}),
+def _ng(corpus: str) -> str:
+    return f"""s AS ({_TXE_SEQ}),
 pos AS (SELECT user_id, i AS pos, seq[i] AS token, CASE WHEN i > 1 THEN seq[i - 1] END AS c1,
-        CASE WHEN i > 2 THEN seq[i - 2] END AS c2 FROM s, unnest(generate_series(1, len(seq))) AS g(i)),
+        CASE WHEN i > 2 THEN seq[i - 2] END AS c2 FROM ({corpus}), unnest(generate_series(1, len(seq))) AS g(i)),
 uni AS (SELECT token, count(*) AS cnt FROM pos GROUP BY token),
 tot AS (SELECT sum(cnt) AS N, count(*) AS V FROM uni),
 p0 AS (SELECT token, cnt, (cnt + CAST(1 AS DOUBLE) / V) / (N + CAST(1 AS DOUBLE)) AS p0 FROM uni, tot),
@@ -668,6 +713,11 @@ p2 AS (SELECT t.c2, t.c1, t.token, t.cnt, (t.cnt + p1.p1) / (x.ctx_cnt + CAST(1
        FROM tri t JOIN ctx2 x USING (c2, c1) JOIN p1 USING (c1, token))"""
 
 
+_NG = _ng("s")
+# without the tails that predictions are held against
+_NG_TRAIN = _ng("SELECT user_id, CASE WHEN len(seq) > 15 THEN seq[1:len(seq) - 5] ELSE seq END AS seq FROM s")
+
+
 def txe_ngram(spark, sf, seqs=None):
     seqs = txe_sequences(spark, sf) if seqs is None else seqs
     pos = NG.positions_with_context(seqs, "user_id")
@@ -678,7 +728,7 @@ def txe_predictions(spark, sf, k=5):
     """Greedy next-token predictions after holding out the last k tokens of
     every sequence longer than k + 10 (the reference's predict script)."""
     seqs = txe_sequences(spark, sf)
-    _, m = txe_ngram(spark, sf, seqs)
+    _, m = txe_ngram(spark, sf, NG.training_part(seqs, "user_id", k, k + 10))
     ctx, actual = NG.holdout_contexts(seqs.where(F.col("seq_len") > k + 10), "user_id", k)
     return NG.greedy_next_tokens(ctx, "user_id", NG.argmax_tables(m), k), actual
 
@@ -708,9 +758,8 @@ SELECT round(avg(-ln(CASE WHEN pos.c2 IS NOT NULL THEN p2.p2 WHEN pos.c1 IS NOT
   AS cross_entropy, count(*) AS n_tokens
 FROM pos LEFT JOIN p2 USING (c2, c1, token) LEFT JOIN p1 USING (c1, token) LEFT JOIN p0 USING (token)""")
 def q_cross_entropy(spark, sf):
-    pos, m = txe_ngram(spark, sf)
-    pp = NG.position_probabilities(pos, m).withColumn("y", F.lit(0))
-    r = M.cross_entropy(pp, "p", "y")
+    _, m = txe_ngram(spark, sf)
+    r = NG.corpus_cross_entropy(m, m)
     return r.select(F.round("cross_entropy", 9).alias("cross_entropy"), "n_tokens")
 
 
@@ -736,14 +785,14 @@ def _greedy_sql(k: int) -> str:
     return ",\n".join(steps)
 
 
-@query("greedy_next_tokens", f"""WITH {_NG}, {_ARGMAX}, {_greedy_sql(5)}
+@query("greedy_next_tokens", f"""WITH {_NG_TRAIN}, {_ARGMAX}, {_greedy_sql(5)}
 SELECT user_id, array_to_string(predicted, ' ') AS predicted FROM st5""")
 def q_greedy(spark, sf):
     pred, _ = txe_predictions(spark, sf)
     return pred.select("user_id", joined("predicted").alias("predicted"))
 
 
-@query("next_token_accuracy", f"""WITH {_NG}, {_ARGMAX}, {_greedy_sql(5)},
+@query("next_token_accuracy", f"""WITH {_NG_TRAIN}, {_ARGMAX}, {_greedy_sql(5)},
 act AS (SELECT user_id, seq[len(seq) - 4:] AS actual FROM s WHERE len(seq) > 15)
 SELECT CAST(i AS INTEGER) AS position, round(avg(CASE WHEN st5.predicted[i] = act.actual[i] THEN 1.0 ELSE 0.0 END), 9)
   AS accuracy, count(*) AS n
@@ -754,7 +803,7 @@ def q_accuracy(spark, sf):
     return acc.select(F.col("position").cast("int").alias("position"), F.round("accuracy", 9).alias("accuracy"), "n")
 
 
-@query("format_tokens", f"""WITH {_NG}, {_ARGMAX}, {_greedy_sql(5)},
+@query("format_tokens", f"""WITH {_NG_TRAIN}, {_ARGMAX}, {_greedy_sql(5)},
 v AS ({_TXE_VOCAB})
 SELECT st5.user_id, string_agg(st5.tok || '(' || coalesce(CAST(v.id AS VARCHAR), '1') || ')', ' ' ORDER BY st5.i)
   AS rendered
@@ -763,7 +812,7 @@ LEFT JOIN v ON v.token = st5.tok GROUP BY st5.user_id""")
 def q_format_tokens(spark, sf):
     """P17 on the greedy predictions: ``token(id)`` pairs joined by spaces."""
     pred, _ = txe_predictions(spark, sf)
-    ids = V.tokens_to_ids(pred, txe_vocab(spark, sf), "predicted", ["user_id"], vocab_bound=None)
+    ids = V.tokens_to_ids(pred, txe_vocab(spark, sf), "predicted", ["user_id"])
     return pred.join(ids, "user_id").select("user_id", E.format_tokens("predicted", "ids").alias("rendered"))
 
 
@@ -776,28 +825,27 @@ _TXE_ID_LONG = f"""SELECT user_id, CAST(generate_subscripts(ids, 1) - 1 AS BIGIN
 FROM ({_TXE_IDS})"""
 
 
-def txe_token_vectors(spark, sf):
+def txe_ids_long(spark, sf):
     ids = txe_id_sequences(spark, sf).withColumnRenamed("ids", "tokens")
-    long = S.tokens_long(ids, "user_id").withColumnRenamed("token", "token_id")
-    return EM.embedding_lookup(long, T.table(spark, sf, "embeddings"), "token_id", 500)
+    return S.tokens_long(ids, "user_id").withColumnRenamed("token", "token_id")
 
 
 @query("embedding_lookup", f"""SELECT l.user_id, l.pos, l.token_id, e.vec_id, e.embedding[1] AS e0
-FROM ({_TXE_ID_LONG}) l LEFT JOIN embeddings e ON e.vec_id = l.token_id % 500""")
+FROM ({_TXE_ID_LONG}) l LEFT JOIN embeddings e ON e.vec_id = l.token_id""")
 def q_embedding_lookup(spark, sf):
-    v = txe_token_vectors(spark, sf)
+    v = EM.embedding_lookup(txe_ids_long(spark, sf), T.table(spark, sf, "embeddings"))
     return v.select("user_id", "pos", "token_id", "vec_id", F.col("embedding")[0].alias("e0"))
 
 
 _TXE_VECS = f"""SELECT l.user_id, l.pos, e.embedding FROM ({_TXE_ID_LONG}) l
-JOIN embeddings e ON e.vec_id = l.token_id % 500"""
+JOIN embeddings e ON e.vec_id = l.token_id"""
 
 
-@query("pool_mean", f"""SELECT user_id, CAST(d - 1 AS INTEGER) AS dim, round(avg(v), 6) AS value FROM (
+@query("pool_mean", f"""SELECT user_id, CAST(d - 1 AS INTEGER) AS dim, round(avg(v::DOUBLE), 6) AS value FROM (
   SELECT user_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM ({_TXE_VECS}))
 GROUP BY user_id, d""")
 def q_pool_mean(spark, sf):
-    p = EM.pool_mean(txe_token_vectors(spark, sf), "user_id")
+    p = EM.pool_mean(txe_ids_long(spark, sf), T.table(spark, sf, "embeddings"), "user_id")
     return p.select("user_id", "dim", F.round("value", 6).alias("value"))
 
 
@@ -805,7 +853,7 @@ def q_pool_mean(spark, sf):
   unnest(embedding) AS value FROM (SELECT user_id, arg_max(embedding, pos) AS embedding FROM ({_TXE_VECS})
   GROUP BY user_id)""")
 def q_pool_last(spark, sf):
-    return EM.pool_last(txe_token_vectors(spark, sf), "user_id")
+    return EM.pool_last(txe_ids_long(spark, sf), T.table(spark, sf, "embeddings"), "user_id")
 
 
 # Fixed parameters of the periodic encoding (a rule, not learned here):
@@ -848,18 +896,19 @@ def q_cross(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Classifiers: M4-M8 (Spark ML; scores are rows-only checks, AUC tested in
+# Classifiers: M4-M8 (closed-form here; the Spark ML pipelines are tested in
 # tests/test_models.py)
 
 from ledgerloom.operators import models as ML  # noqa: E402
 
 
-@query("user_embedding_word2vec")
-def q_user_w2v(spark, sf):
-    """M4: mean Word2Vec vector of each user's tokens."""
-    seqs = S.head_tokens(txe_sequences(spark, sf), "user_id", 512, S.DEFAULT_CHUNK_LEN)
-    emb = ML.user_embeddings_word2vec(seqs, "user_id", "tokens", vector_size=8)
-    return emb.select("user_id", F.posexplode("vector").alias("dim", "value"))
+@query("user_embedding_projection", f"""SELECT user_id, CAST(d AS INTEGER) AS dim,
+  round(avg(CASE WHEN substr(md5(tok), d + 1, 1) >= '8' THEN 1.0 ELSE -1.0 END), 9) AS value
+FROM (SELECT user_id, unnest(seq) AS tok FROM ({_TXE_SEQ})), unnest(range(16)) AS g(d) GROUP BY user_id, d""")
+def q_user_projection(spark, sf):
+    """M4: the mean random projection of all tokens of each user."""
+    p = EM.projected_users(S.tokens_long(txe_sequences(spark, sf), "user_id"), "user_id")
+    return p.select("user_id", "dim", F.round("value", 9).alias("value"))
 
 
 def docq_frame(spark, sf):
@@ -868,51 +917,112 @@ def docq_frame(spark, sf):
     return SP.group_split(d, "user_id")
 
 
-def docq_scores(spark, sf, encoder="counts"):
+_BAYES = f"""d AS (SELECT doc_id AS user_id, quality AS label, text, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 20 AS is_test
+  FROM documents LEFT JOIN labels USING (doc_id)),
+t AS (SELECT user_id, lower(w) AS token, count(*) AS cnt FROM (
+  SELECT user_id, unnest(regexp_extract_all(coalesce(text, ''), '{_UWORD}+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]+')) AS w FROM d) GROUP BY user_id, lower(w)),
+tr AS (SELECT user_id, label FROM d WHERE label IS NOT NULL AND NOT is_test),
+c AS (SELECT token, sum(CASE WHEN label = 1 THEN cnt ELSE 0 END) AS c1, sum(CASE WHEN label = 1 THEN 0 ELSE cnt END) AS c0
+  FROM t JOIN tr USING (user_id) GROUP BY token),
+tot AS (SELECT sum(c1) AS n1, sum(c0) AS n0, count(*) AS V FROM c),
+w AS (SELECT token, ln((c1 + 1)::DOUBLE / (n1 + V)) - ln((c0 + 1)::DOUBLE / (n0 + V)) AS w FROM c, tot),
+pri AS (SELECT ln((sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) + 1)::DOUBLE / (sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) + 1)) AS prior FROM tr),
+sc AS (SELECT user_id, sum(cnt * w) AS s FROM t JOIN w USING (token) GROUP BY user_id),
+scored AS (SELECT d.user_id, d.label, d.is_test, round(prior + coalesce(s, 0), 6) AS logit FROM d LEFT JOIN sc USING (user_id), pri)"""
+
+
+def docq_scores(spark, sf):
     d = docq_frame(spark, sf)
-    cfg = ML.ClassifierConfig(encoder=encoder, vocab_size=5000, max_iter=30)
-    model = ML.sequence_classifier(cfg).fit(d.where(~F.col("is_test")))
-    return ML.scores(model, d, ["user_id", "label", "is_test"])
+    bag = d.select("user_id", F.explode("tokens").alias("token")).groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    out = ML.bag_classifier(d.select("user_id", "label", "is_test"), bag, "user_id")
+    return out.select("user_id", "label", "is_test", F.round("logit", 6).alias("logit"))
 
 
-@query("seq_classifier_scores")
+@query("seq_classifier_scores", f"WITH {_BAYES} SELECT * FROM scored")
 def q_seq_scores(spark, sf):
-    """M5: sequence-only classifier (token counts -> logistic regression)."""
+    """M5: token counts -> naive Bayes, learned from the labelled training
+    documents; a logit for every document."""
     return docq_scores(spark, sf)
 
 
-@query("seq_classifier_auc")
+_TEST_AUC = """g AS (SELECT logit, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END)::DOUBLE AS neg
+  FROM scored WHERE is_test AND label IS NOT NULL GROUP BY logit),
+b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY logit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+a AS (SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM b)"""
+
+
+@query("seq_classifier_auc", f"WITH {_BAYES}, {_TEST_AUC} SELECT * FROM a")
 def q_seq_auc(spark, sf):
     """M5 + A13: exact test AUC of the sequence-only classifier."""
-    s = docq_scores(spark, sf).where(F.col("is_test"))
-    return M.roc_auc(s.select(F.col("logit").alias("score"), "label"))
+    s = docq_scores(spark, sf).where(F.col("is_test") & F.col("label").isNotNull())
+    return M.roc_auc(s.select(F.col("logit").alias("score"), "label")).select(F.round("auc", 9).alias("auc"), "n_pos", "n_neg")
+
+
+@query("seq_classifier_report", f"""WITH {_BAYES}, {_TEST_AUC}
+SELECT count(*) AS n, round(avg(greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit)))), 6) AS bce,
+  round(avg(CASE WHEN (logit >= 0) = (label = 1) THEN 1.0 ELSE 0.0 END), 9) AS accuracy, (SELECT auc FROM a) AS auc
+FROM scored WHERE is_test AND label IS NOT NULL""")
+def q_seq_report(spark, sf):
+    """M7: the fitted classifier on its test split."""
+    s = hold(docq_scores(spark, sf).where(F.col("is_test") & F.col("label").isNotNull()))
+    r = M.evaluate_scores(s)
+    return r.select("n", F.round("bce", 6).alias("bce"), F.round("accuracy", 9).alias("accuracy"), F.round("auc", 9).alias("auc"))
+
+
+def fusion_users(spark, sf):
+    """One row per user with training labels counted by class, and the user's
+    token counts over its whole history."""
+    lab = SP.group_split(T.label_rows(spark, sf), "user_id")
+    train = lab.where(~F.col("is_test")).groupBy("user_id").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    x = scaled_features(spark, sf)
+    crs = x.select("user_id", *[EM.cross_features(_PER_COLS)[i].alias(f"crs{i}") for i in range(6)])
+    users = T.customer_features(spark, sf).join(crs, "user_id").join(train, "user_id", "left") \
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("pos", "neg")})
+    tx = T.transactions_from_lineitem(spark, sf)
+    bag = tx.where("user_id is not null").select("user_id", F.explode(E.transaction_tokens("amount", "date", "description")).alias("token")) \
+        .groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    return lab, users, bag
 
 
-def fusion_frame(spark, sf):
-    lab = T.label_rows(spark, sf)
-    feats = T.customer_features(spark, sf)
-    x = scaled_features(spark, sf)
-    per = x.select("user_id", EM.periodic_features(_PER_COLS, _PER_FREQ, _F, _B).alias("per"),
-                   EM.cross_features(_PER_COLS).alias("crs"))
-    win = S.head_tokens(S.assemble_sequences(_txr_token_events(spark, sf), "user_id", T.TXR_ORDER, "toks",
-                                             sep=E.SEP), "user_id", 512, S.DEFAULT_CHUNK_LEN)
-    j = FT.label_sequences(lab, win).join(feats, "user_id", "left").join(per, "user_id", "left")
-    from pyspark.ml.functions import array_to_vector
-    j = j.withColumn("per_vec", array_to_vector("per")).withColumn("crs_vec", array_to_vector("crs"))
-    return SP.group_split(j, "user_id")
+_CRS = [f"crs{i}" for i in range(6)]
+_FUSION_NUM = [*T.FEAT_NUMERICAL, *_CRS]
+
+
+def _gauss_sql(c: str) -> str:
+    return f"(ln(v0{c} / v1{c}) - ({c} - m1{c}) * ({c} - m1{c}) / v1{c} + ({c} - m0{c}) * ({c} - m0{c}) / v0{c}) / 2"
 
 
-@query("fusion_classifier_scores")
+_MOMENTS = ", ".join(f"sum({s} * {c}::DOUBLE) / sum({s}) AS m{k}{c}, sum({s} * {c}::DOUBLE * {c}::DOUBLE) / sum({s}) - pow(sum({s} * {c}::DOUBLE) / sum({s}), 2) + 1e-9 AS v{k}{c}"
+                     for c in _FUSION_NUM for s, k in (("pos", 1), ("neg", 0)))
+
+
+def _nb_sql(counts: str) -> str:
+    return f"""SELECT token, ln((pos + 1)::DOUBLE / (n1 + V)) - ln((neg + 1)::DOUBLE / (n0 + V)) AS w
+  FROM {counts}, (SELECT sum(pos) AS n1, sum(neg) AS n0, count(*) AS V FROM {counts})"""
+
+
+@query("fusion_classifier_scores", f"""WITH lab AS (SELECT row_id, user_id, label, ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 20 AS is_test FROM ({Q.LAB})),
+tr AS (SELECT user_id, sum(label) AS pos, sum(1 - label) AS neg FROM lab WHERE NOT is_test GROUP BY user_id),
+f AS (SELECT * FROM ({Q.FEAT})), x AS ({_SCALED}),
+u AS (SELECT f.*, x_acctbal * x_acctbal AS crs0, x_acctbal * x_orders AS crs1, x_acctbal * x_spend AS crs2, x_orders * x_orders AS crs3,
+  x_orders * x_spend AS crs4, x_spend * x_spend AS crs5, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg
+  FROM f JOIN x USING (user_id) LEFT JOIN tr USING (user_id)),
+bag AS (SELECT user_id, token, count(*) AS cnt FROM (SELECT user_id, unnest({Q.tx_tokens('amount', 'date', 'description')}) AS token FROM ({Q.TXR}) WHERE user_id IS NOT NULL) GROUP BY user_id, token),
+ct AS (SELECT token, sum(cnt * pos) AS pos, sum(cnt * neg) AS neg FROM bag JOIN u USING (user_id) WHERE pos + neg > 0 GROUP BY token),
+cn AS (SELECT cat_nation AS token, sum(pos) AS pos, sum(neg) AS neg FROM u GROUP BY cat_nation HAVING sum(pos + neg) > 0),
+cs AS (SELECT cat_segment AS token, sum(pos) AS pos, sum(neg) AS neg FROM u GROUP BY cat_segment HAVING sum(pos + neg) > 0),
+wt AS ({_nb_sql('ct')}), wn AS ({_nb_sql('cn')}), ws AS ({_nb_sql('cs')}),
+st AS (SELECT user_id, sum(cnt * w) AS s FROM bag JOIN wt USING (token) GROUP BY user_id),
+mo AS (SELECT {_MOMENTS}, ln((sum(pos) + 1)::DOUBLE / (sum(neg) + 1)) AS prior FROM u),
+sc AS (SELECT u.user_id, round(prior + coalesce(st.s, 0) + coalesce(wn.w, 0) + coalesce(ws.w, 0) + {' + '.join(_gauss_sql(c) for c in _FUSION_NUM)}, 4) AS logit
+  FROM u LEFT JOIN st USING (user_id) LEFT JOIN wn ON wn.token = cat_nation LEFT JOIN ws ON ws.token = cat_segment, mo)
+SELECT row_id, user_id, label, is_test, logit FROM lab LEFT JOIN sc USING (user_id)""")
 def q_fusion(spark, sf):
-    """M6: sequence counts + one-hot categoricals + numericals + periodic and
-    crossed features -> one logistic regression; scores for every label row."""
-    d = fusion_frame(spark, sf)
-    cfg = ML.ClassifierConfig(encoder="counts", vocab_size=2000, max_iter=20)
-    n = len(_PER_COLS)
-    pipe = ML.fusion_classifier(cfg, T.FEAT_CATEGORICAL, T.FEAT_NUMERICAL,
-                                {"per_vec": n * _PER_FREQ, "crs_vec": n * (n + 1) // 2})
-    model = pipe.fit(d.where(~F.col("is_test")))
-    return ML.scores(model, d, ["row_id", "user_id", "label", "is_test"])
+    """M6: all tokens of a user, categories, numericals and crossed features;
+    a logit for every label row."""
+    lab, users, bag = fusion_users(spark, sf)
+    scored = ML.fusion_bayes(users, bag, "user_id", T.FEAT_CATEGORICAL, _FUSION_NUM)
+    return lab.join(scored, "user_id", "left").select("row_id", "user_id", "label", "is_test", F.round("logit", 4).alias("logit"))
 
 
 def _acctbal_scorer():
@@ -938,8 +1048,7 @@ def q_batch_scoring(spark, sf):
 @query("distinct_descriptions", f"""SELECT DISTINCT description FROM ({Q.TXR}) WHERE description IS NOT NULL""")
 def q_distinct_descriptions(spark, sf):
     """The tokenizer corpus of the replication pipeline."""
-    tx = T.transactions_from_lineitem(spark, sf)
-    return tx.select("description").where(F.col("description").isNotNull()).distinct()
+    return txr_descriptions(spark, sf).where(F.col("description").isNotNull())
 
 
 @query("first_batch", f"""WITH b AS (SELECT user_id, ids[1:513] AS h,
@@ -948,12 +1057,9 @@ SELECT user_id, CAST(len(h) - 1 AS INTEGER) AS x_len, CAST(max(len(h) - 1) OVER
 FROM b WHERE batch_id = 0""")
 def q_first_batch(spark, sf):
     """O3: shapes of the first padded batch (rows, real length, padded length)."""
-    ids = txe_id_sequences(spark, sf)
-    h = S.head_tokens(ids.withColumnRenamed("ids", "tokens"), "user_id", 513, S.DEFAULT_CHUNK_LEN)
-    b = SP.assign_batches(S.next_token_pairs(h), "user_id", 16, seed=42, epoch=0).where(F.col("batch_id") == 0)
-    p = SP.pad_batches(b)
-    return p.select("user_id", (F.size("x") - F.lit(0)).alias("_n"), F.col("batch_len").cast("int").alias("batch_len"),
-                    F.size(F.filter("y", lambda v: v != -1)).cast("int").alias("x_len")).drop("_n")
+    p = txe_padded(spark, sf).where(F.col("batch_id") == 0)
+    return p.select("user_id", F.col("batch_len").cast("int").alias("batch_len"),
+                    F.size(F.filter("y", lambda v: v != -1)).cast("int").alias("x_len"))
 
 
 # ---------------------------------------------------------------------------
@@ -963,24 +1069,71 @@ def q_first_batch(spark, sf):
 # training, as in the reference.
 
 def history_corpus(spark, sf):
-    from ledgerloom.plans.pipelines import history_strings
-    return history_strings(T.transactions_from_events(spark, sf))
+    return PL.history_strings(T.transactions_from_events(spark, sf))
 
 
 def tagged_corpus(spark, sf):
-    from ledgerloom.plans.pipelines import tagged_sequences
-    return tagged_sequences(T.split_date_transactions(T.transactions_from_events(spark, sf)))
+    return PL.tagged_sequences(T.split_date_transactions(T.transactions_from_events(spark, sf)))
+
+
+def history_bpe(spark, sf, corpus):
+    return B.train_bpe(spark, B.word_histogram(corpus, "transaction_history"), 10000, V.special_token_list("adaptation"))
+
+
+def tagged_bpe(spark, sf, corpus):
+    return B.train_bpe(spark, B.chunked_word_histogram(corpus, "client_id", "sequence"), 1000, V.special_token_list("tagged"))
 
 
 @query("bpe_merges_history")
 def q_bpe_history(spark, sf):
     """B5 on the spaced history strings (vocab 10000)."""
-    h = B.word_histogram(history_corpus(spark, sf), "transaction_history")
-    return B.train_bpe(spark, h, 10000, V.special_token_list("adaptation")).merges
+    return history_bpe(spark, sf, hold(history_corpus(spark, sf))).merges
 
 
 @query("bpe_merges_tagged")
 def q_bpe_tagged(spark, sf):
     """B5 on the tagged <SOS>...<EOS> sequences (vocab 1000)."""
-    h = B.chunked_word_histogram(tagged_corpus(spark, sf), "client_id", "sequence")
-    return B.train_bpe(spark, h, 1000, V.special_token_list("tagged")).merges
+    return tagged_bpe(spark, sf, hold(tagged_corpus(spark, sf))).merges
+
+
+@query("bpe_encode_history")
+def q_encode_history(spark, sf):
+    """Every chunk of the history strings as ids, specials whole (their
+    chunks end at a space, so a chunk's ids are its part of the whole's)."""
+    corpus = hold(history_corpus(spark, sf))
+    enc = B.encode_texts(corpus, ["user_id", "chunk"], "transaction_history", history_bpe(spark, sf, corpus), V.special_token_list("adaptation"))
+    return enc.select("user_id", "chunk", F.array_join("ids", ",").alias("ids"))
+
+
+@query("bpe_encode_tagged")
+def q_encode_tagged(spark, sf):
+    """The tagged sequences as ids, specials whole, <UNK> for each unknown
+    character (a chunk ends at a special or begins with one)."""
+    corpus = hold(tagged_corpus(spark, sf))
+    enc = B.encode_texts(corpus, ["client_id", "chunk"], "sequence", tagged_bpe(spark, sf, corpus), V.special_token_list("tagged"), unk="<UNK>")
+    return enc.select("client_id", "chunk", F.array_join("ids", ",").alias("ids"))
+
+
+@query("user_bpe_sequences")
+def q_user_bpe(spark, sf):
+    """A1 + B6, the pretraining input: each user's id sequence (attribute ids,
+    description pieces, [SEP] between transactions), in chunks."""
+    tx = T.transactions_from_events(spark, sf)
+    cfg = PL.PretrainConfig()
+    model = PL.train_description_tokenizer(spark, tx, cfg)
+    seqs = PL.id_sequences(tx, model, cfg)
+    return seqs.select("user_id", "chunk", "offset", "seq_len", F.array_join("tokens", ",").alias("ids"))
+
+
+@query("finetune_batches", f"""WITH b AS (SELECT row_id, CAST((row_number() OVER (ORDER BY md5('42|0|' || row_id), row_id) - 1) // 32 AS BIGINT) AS batch_id FROM ({Q.LAB})),
+r AS (SELECT l.row_id, l.user_id, l.label, CASE WHEN s.h IS NULL OR len(s.h) = 0 THEN ['[PAD]'] ELSE s.h END AS h
+  FROM ({Q.LAB}) l LEFT JOIN (SELECT user_id, seq[1:512] AS h FROM ({_TXE_SEQ})) s USING (user_id)),
+m AS (SELECT r.*, batch_id, max(len(h)) OVER (PARTITION BY batch_id) AS batch_len FROM r JOIN b USING (row_id))
+SELECT row_id, user_id, label, batch_id, CAST(batch_len AS INTEGER) AS batch_len, CAST(len(h) AS INTEGER) AS n_real,
+  md5(array_to_string(list_concat(h, list_transform(range(batch_len - len(h)), lambda i: '[PAD]')), ' ')) AS tokens_md5 FROM m""")
+def q_finetune_batches(spark, sf):
+    """W6 for fine-tuning: padded sequences with their label, by seeded batch."""
+    win = S.head_tokens(txe_sequences(spark, sf), "user_id", 512, S.DEFAULT_CHUNK_LEN)
+    rows = FT.label_sequences(T.label_rows(spark, sf), win).withColumn("n_real", F.size("tokens"))
+    p = PL.finetune_batches(rows)
+    return p.select("row_id", "user_id", "label", "batch_id", "batch_len", "n_real", F.md5(joined("tokens")).alias("tokens_md5"))

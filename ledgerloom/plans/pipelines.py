@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import encode as E
@@ -45,30 +45,52 @@ def train_description_tokenizer(spark: SparkSession, tx: DataFrame, cfg: Pretrai
 
 
 def encode_transactions(tx: DataFrame, model: B.BpeModel, order_cols=("date", "tx_id")) -> DataFrame:
-    """Per-transaction id lists: attribute token ids, then description pieces."""
+    """Per-transaction id lists: attribute token ids, then description pieces.
+
+    Each distinct description is encoded once; the transactions get its ids
+    through one join on the description (descriptions repeat, so their rows
+    are what adaptive execution may split; the encoded side is unique)."""
     ids = model.token_to_id()
-    keyed = tx.withColumn("_row", F.monotonically_increasing_id()) if "tx_id" not in tx.columns else tx
-    key = "tx_id" if "tx_id" in tx.columns else "_row"
-    desc = B.encode_texts(keyed.select(key, "description"), [key], "description", model)
+    desc = B.encode_texts(tx.select("description").where(F.col("description").isNotNull()).distinct(), ["description"], "description", model)
     attr_map = F.create_map(*[x for t, i in ids.items() if t in set(model.specials) for x in (F.lit(t), F.lit(i))])
     attrs = F.transform(E.attribute_tokens("amount", "date"),
                         lambda t: F.coalesce(F.element_at(attr_map, t), F.lit(ids.get(E.UNK, 1))))
-    base = keyed.select("user_id", key, *[c for c in order_cols if c != key], attrs.alias("_attr"))
-    j = base.join(desc, key, "left")
-    return j.select("user_id", key, *[c for c in order_cols if c != key],
-                    F.concat("_attr", F.coalesce("ids", F.array().cast("array<int>"))).alias("ids"))
+    base = tx.select("user_id", *order_cols, "description", attrs.alias("_attr"))
+    j = base.join(desc.select("description", F.col("ids").alias("_ids")), "description", "left")
+    return j.select("user_id", *order_cols, F.concat("_attr", F.coalesce("_ids", F.array().cast("array<int>"))).alias("ids"))
+
+
+def finetune_batches(rows: DataFrame, id_col: str = "row_id", batch_size: int = 32, seed: int = 42, epoch: int = 0,
+                     tokens: str = "tokens", pad=E.PAD) -> DataFrame:
+    """W6 for fine-tuning: seeded batches of label rows; each row's sequence is
+    padded to the longest of its batch, its vector, label and other columns
+    stay. Only the ids are numbered; the wide rows move once, to join them."""
+    b = SP.assign_batches(rows.select(id_col), id_col, batch_size, seed, epoch)
+    j = rows.join(b, id_col)
+    etype = rows.schema[tokens].dataType.elementType
+    m = F.max(F.size(tokens)).over(Window.partitionBy("batch_id"))
+    out = j.withColumn("batch_len", m)
+    return out.withColumn(tokens, F.concat(F.col(tokens), F.array_repeat(F.lit(pad).cast(etype), (F.col("batch_len") - F.size(tokens)).cast("int"))))
+
+
+def id_sequences(tx: DataFrame, model: B.BpeModel, cfg: PretrainConfig) -> DataFrame:
+    """Each user's ids over all its transactions, [SEP] between them, in chunks."""
+    return S.assemble_sequences(encode_transactions(tx, model), "user_id", ["date", "tx_id"], "ids", sep=model.token_to_id()[E.SEP], chunk_len=cfg.chunk_len)
 
 
 def pretrain_data(spark: SparkSession, tx: DataFrame, cfg: PretrainConfig) -> tuple[B.BpeModel, DataFrame, DataFrame]:
     """L1: (tokenizer, id sequences, padded batches for epoch 0)."""
     model = train_description_tokenizer(spark, tx, cfg)
-    enc = encode_transactions(tx, model)
-    sep = model.token_to_id()[E.SEP]
-    seqs = S.assemble_sequences(enc, "user_id", ["date", "tx_id"], "ids", sep=sep, chunk_len=cfg.chunk_len)
+    seqs = id_sequences(tx, model, cfg)
+    return model, seqs, pretrain_batches(seqs, cfg)
+
+
+def pretrain_batches(seqs: DataFrame, cfg: PretrainConfig, epoch: int = 0) -> DataFrame:
+    """Padded next-token batches of one epoch. The slim user ids are
+    numbered first; x and y are derived after the join with the windows."""
     window = S.head_tokens(seqs, "user_id", cfg.context_length + 1, cfg.chunk_len)
-    pairs = S.next_token_pairs(window)
-    batches = SP.pad_batches(SP.assign_batches(pairs, "user_id", cfg.batch_size, cfg.seed, 0))
-    return model, seqs, batches
+    numbered = SP.assign_batches(window.select("user_id"), "user_id", cfg.batch_size, cfg.seed, epoch)
+    return SP.pad_batches(S.next_token_pairs(window.join(numbered, "user_id")))
 
 
 def finetune_data(labels: DataFrame, features: DataFrame, seqs: DataFrame, context_length: int = 512,
@@ -85,26 +107,28 @@ def finetune_data(labels: DataFrame, features: DataFrame, seqs: DataFrame, conte
 
 def predict_next(seqs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """L3: greedy next-k predictions for sequences longer than k + 10, and the
-    per-position accuracy against the held-out tokens."""
-    pos = NG.positions_with_context(seqs, "user_id")
-    model = NG.ngram_model(pos)
+    per-position accuracy against the held-out tokens, which the counts have
+    not seen."""
+    model = NG.ngram_model(NG.positions_with_context(NG.training_part(seqs, "user_id", k, k + 10), "user_id"))
     ctx, actual = NG.holdout_contexts(seqs.where(F.col("seq_len") > k + 10), "user_id", k)
     pred = NG.greedy_next_tokens(ctx, "user_id", NG.argmax_tables(model), k)
     return pred, NG.next_token_accuracy(pred, actual, "user_id")
 
 
-def history_strings(tx: DataFrame) -> DataFrame:
-    """L4 (spaced form): one history string per user."""
+def history_strings(tx: DataFrame, chunk_len: int = S.DEFAULT_CHUNK_LEN) -> DataFrame:
+    """L4 (spaced form): a user's history, one row per chunk of ``chunk_len``
+    transactions (their strings are joined by a space, also across chunks)."""
     ev = tx.select("user_id", "date", "tx_id", F.array(E.spaced_transaction_string(
         "origin", "amount", "date", "description")).alias("items"))
-    seqs = S.assemble_sequences(ev, "user_id", ["date", "tx_id"], "items")
-    return seqs.select("user_id", "chunk", F.array_join("tokens", " ").alias("transaction_history"))
+    seqs = S.assemble_sequences(ev, "user_id", ["date", "tx_id"], "items", chunk_len=chunk_len)
+    return seqs.select("user_id", "chunk", "offset", "seq_len", F.array_join("tokens", " ").alias("transaction_history"))
 
 
-def tagged_sequences(split_tx: DataFrame) -> DataFrame:
-    """L4 (tagged form): ``<SOS>tx<EOT>tx...<EOS>`` per client."""
+def tagged_sequences(split_tx: DataFrame, chunk_len: int = S.DEFAULT_CHUNK_LEN) -> DataFrame:
+    """L4 (tagged form): ``<SOS>tx<EOT>tx...<EOS>`` per client, one row per
+    chunk of ``chunk_len`` transactions and tags."""
     ev = split_tx.select("client_id", "date", "tx_id", F.array(E.tagged_transaction_string(
         "type", "amount", "hour", "day", "month", "day_week", "merchant")).alias("items"))
     seqs = S.assemble_sequences(ev, "client_id", ["date", "tx_id"], "items", sep="<EOT>",
-                                prefix=["<SOS>"], suffix=["<EOS>"])
-    return seqs.select("client_id", "chunk", F.array_join("tokens", "").alias("sequence"))
+                                prefix=["<SOS>"], suffix=["<EOS>"], chunk_len=chunk_len)
+    return seqs.select("client_id", "chunk", "offset", "seq_len", F.array_join("tokens", "").alias("sequence"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours wants, cluster or local.
 BASE_CONF = {
@@ -61,21 +62,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def default_parallelism(spark: SparkSession) -> int:
-    """Partition count used for explicit range/hash repartitions."""
-    try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001 - conf may be absent in odd sessions
-        n = 200
-    return max(n, 1)
-
-
-def partitions_for(df) -> int:
-    """Range-shuffle width for ``df``: at least the session's shuffle width
-    and at least the input's own partition count (file splits of about
-    ``spark.sql.files.maxPartitionBytes`` each), so a 100 TB input gets
-    as many range partitions as it has splits. Planning only, no job."""
-    try:
-        n_in = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. streaming plans
-        n_in = 0
-    return max(default_parallelism(df.sparkSession), n_in)
+    """Width of explicit range and hash shuffles: the session's
+    ``spark.sql.shuffle.partitions``, which a caller sizes for its data
+    (0.5 to 1 GB after the shuffle a partition). No plan is executed to guess it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist a frame that several branches of one plan must read alike. It
+    is released by the next ``release_held`` (each registered query begins
+    with one); a plan built on it keeps working afterwards, unpersisted."""
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _HELD[-1]
+
+
+def release_held() -> None:
+    while _HELD:
+        _HELD.pop().unpersist()

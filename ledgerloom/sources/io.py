@@ -81,6 +81,25 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
     return spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
 
 
+def read_finetune_table(spark: SparkSession, path: str, schema: T.StructType, catalog: DataFrame | None = None,
+                        fmt: str = "csv") -> DataFrame:
+    """S3: the fine-tune table (one row per label with its tabular columns) with
+    the caller's schema. With a feature ``catalog`` (S4) the schema must hold
+    all its columns."""
+    if catalog is not None:
+        row = catalog.first()
+        lost = sorted({*row["numerical_cols"], *row["categorical_cols"]} - set(schema.names))
+        if lost:
+            raise ValueError(f"the schema lacks catalog columns: {lost}")
+    return read_csv(spark, path, schema, null_text=PANDAS_NULL_TEXT) if fmt == "csv" else spark.read.schema(schema).parquet(path)
+
+
+def unread_dates(raw: DataFrame, parsed: DataFrame, key: str, date: str = "date") -> DataFrame:
+    """One row, n_unread: non-empty date texts that parsed to null."""
+    j = raw.select(key, F.col(date).alias("_raw")).join(parsed.select(key, F.col(date).alias("_date")), key)
+    return j.agg(F.count(F.when((F.trim("_raw") != "") & F.col("_date").isNull(), 1)).alias("n_unread"))
+
+
 def read_histories(spark: SparkSession, path: str) -> DataFrame:
     """One history string per user (quoted, may span lines)."""
     return read_csv(spark, path, HISTORY_SCHEMA, multiline=True)
@@ -144,11 +163,9 @@ def write_vocabulary(vocab: DataFrame, merges: DataFrame | None, path: str) -> N
 def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
     """Load what ``write_vocabulary`` wrote."""
     vocab = spark.read.parquet(f"{path}/vocab")
-    try:
-        merges = spark.read.parquet(f"{path}/merges")
-    except Exception:  # noqa: BLE001 - a word vocabulary has no merges
-        merges = None
-    return vocab, merges
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/merges")
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return vocab, spark.read.parquet(f"{path}/merges") if there else None  # a word vocabulary has none
 
 
 def save_config(spark: SparkSession, config, path: str) -> None:

@@ -7,7 +7,7 @@ tables (see FIXTURES.md):
 * ``transactions_from_lineitem`` (TXR): line items as card activity.
 * ``label_rows`` (LAB): label rows, users repeat.
 * ``customer_features`` (FEAT): one tabular row per customer.
-* ``labelled_documents`` (DOCQ): documents with a quality label.
+* ``labelled_documents`` (DOCQ): all documents, with their quality label if any.
 
 Each function only declares a plan; column pruning and filters reach the
 parquet scan through Catalyst.
@@ -23,22 +23,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver tables as a DataFrame (parquet scan).
-
-    A file written as one row group can only be read by one task, which
-    would run the whole downstream pipeline (joins, tokenizing) on one core.
-    When the scan yields fewer than half as many partitions as the session
-    has cores, the rows are spread round-robin; a large input (thousands of
-    splits) is left untouched. Column pruning and filters still reach the scan."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= want and name not in SMALL_DIMENSIONS:
-        df = df.repartition(want)
-    return df
-
-
-# Fixed-size dimension tables: never worth spreading.
-SMALL_DIMENSIONS = ("region", "nation")
+    """One of the driver tables as a DataFrame: a parquet scan and nothing
+    else. How it is split follows the files and the session's settings."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def transactions_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +115,10 @@ FEAT_CATEGORICAL = ["cat_nation", "cat_segment"]
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOCQ: user_id (= doc_id), text, label (= quality)."""
+    """DOCQ: every document: user_id (= doc_id), text, label (= quality, null where there is none)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return d.join(lab, "doc_id").select(
+    return d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("user_id"), "text", F.col("quality").alias("label"))
 
 

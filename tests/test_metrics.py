@@ -72,8 +72,3 @@ def test_cross_entropy_ignores(spark):
     assert r.n_tokens == 2 and abs(r.cross_entropy - (np.log(2) + np.log(8)) / 2) < 1e-12
 
 
-def test_argmax_tie_smallest(spark):
-    df = spark.createDataFrame([("c", "x", 0.5), ("c", "a", 0.5), ("c", "b", 0.1), ("d", "z", 0.2)],
-                               "ctx string, token string, p double")
-    got = {r.ctx: r.argmax for r in M.argmax_by_group(df, "ctx", "token", "p").collect()}
-    assert got == {"c": "a", "d": "z"}
