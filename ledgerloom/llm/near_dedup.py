@@ -9,11 +9,12 @@ which long documents reach after a round or two.
 
 Documents with equal sets are one class. Classes that share a band (a hash of
 ``rows`` signature values) are candidates. Within a band's bucket all members
-are first compared with one leader, in rounds with other leaders, and what a
-round confirms is joined into components; only then are members of different
-components of a bucket compared pair by pair. A large group of copies so costs
-its size, not its square, and no candidate is left out. Every comparison reads
-the whole texts.
+are first compared with its most central one, and what is confirmed is joined
+into components. Members of different components of one bucket are then
+compared where what sets them apart from the leader still allows a link
+(``_left_over``, an exact bound). A large group of copies so costs about its
+size, not its square, and no candidate is left out. Every comparison reads the
+whole texts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from ledgerloom.llm.common import mix, staged
 from ledgerloom.llm.components import components
 
 BLOCK = 1 << 20
+EXCESS_STEPS = 64  # steps of the excess (see _left_over) in a leader's size
 SIGNED = "doc_id long, key long, n_shingles long, class string, bands array<long>"
 
 
@@ -112,14 +114,14 @@ def _signer(q: int, bands: int, rows: int):
     return sign
 
 
-def _verifier(q: int, percent: int):
+def _verifier(q: int, percent: int, apart: bool):
     """Rows sorted by (leader, salt, kind): a leader's text, then its
     candidates'. One leader's set and one batch are held at a time."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, None
         for batch in batches:
             lead, kind, other = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            a, b, ok = [], [], []
+            a, b, rest, ok = [], [], [], []
             for lo, hi, data, offs in common.blocks(batch.column(3), BLOCK):
                 sets, at = shingle_sets(data, offs, q)
                 for i in range(lo, hi):
@@ -128,21 +130,22 @@ def _verifier(q: int, percent: int):
                         leader, own = lead[i], s
                         continue
                     assert leader == lead[i], "a leader's text must come first"
-                    if len(own) and len(s):
-                        place = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                        both = int((own[place] == s).sum())
-                    else:
-                        both = 0
+                    hit = own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s if len(own) and len(s) else np.zeros(len(s), bool)
+                    n = int(hit.sum())
                     a.append(lead[i])
                     b.append(other[i])
-                    ok.append(100 * both >= percent * (len(own) + len(s) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+                    rest.append(np.setxor1d(own, s, assume_unique=True).view(np.int64) if apart else None)
+                    ok.append(100 * n >= percent * (len(own) + len(s) - n))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), 
+                                              pa.array(rest, pa.list_(pa.int64())), pa.array(ok, pa.bool_())], names=["a", "b", "apart", "linked"])
     return verify
 
 
-def verified(pairs: DataFrame, texts: DataFrame, q: int, percent: int, per_leader: int = 2000) -> DataFrame:
-    """(a, b, linked) for candidate pairs of classes, on their whole texts. A
-    leader ``a`` with many candidates is spread over several groups."""
+def verified(pairs: DataFrame, texts: DataFrame, q: int, percent: int, apart: bool = False, per_leader: int = 2000) -> DataFrame:
+    """(a, b, apart, linked) for candidate pairs of classes, on their whole
+    texts: the shingles that only one of them has (if asked for), and whether
+    they are similar. A leader ``a`` with many candidates is spread over
+    several groups."""
     spark = pairs.sparkSession
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_leader).cast("int").alias("groups"))
     p = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
@@ -151,11 +154,57 @@ def verified(pairs: DataFrame, texts: DataFrame, q: int, percent: int, per_leade
     members = p.join(texts.withColumnRenamed("class", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = leaders.unionByName(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
-    return rows.select("a", "kind", "b", "text").mapInArrow(_verifier(q, percent), "a string, b string, linked boolean")
+    return rows.select("a", "kind", "b", "text").mapInArrow(_verifier(q, percent, apart), "a string, b string, apart array<long>, linked boolean")
+
+
+def _left_over(open_: DataFrame, texts: DataFrame, q: int, percent: int) -> DataFrame:
+    """(a, b, na, nb): all pairs that can still be links: they share a bucket
+    but no component.
+
+    The bucket's leader c decides which, by the shingles D that a member and c
+    do not share. Two members differ in |Da| + |Db| - 2 |Da and Db| shingles
+    and may differ in u (na + nb), u = (100 - percent) / (100 + percent); so
+    they must share half of (|Da| - u na) + (|Db| - u nb) in their D. If that
+    is nothing, the pair is taken from the bucket. Else it is found by a join
+    on shingles of D: of those, in any fixed order, only the first all-but-the-
+    needed (and one) are looked at, rare ones first. What is needed depends on
+    the other side's excess |D| - u n, so the join is by steps of that too."""
+    bucket, whole, slack = ["band", "hash"], 100 + percent, 100 - percent
+    mine = open_.select(*bucket, "class", "root", "n_shingles", F.col("l.lead").alias("c"), F.col("l.na").alias("nc"))
+    who = mine.select("class", "root", "n_shingles", "c", "nc").distinct()
+    met = verified(staged(who.where("class != c").select(F.col("c").alias("a"), F.col("class").alias("b")), "pivots"), texts, q, percent, apart=True)
+    met = staged(met.select(F.col("a").alias("c"), F.col("b").alias("class"), "apart"), "apart")
+    size, width = F.size("apart"), F.greatest(F.floor(F.col("nc") / EXCESS_STEPS), F.lit(1)) * whole
+    who = who.join(met, ["c", "class"], "left").withColumn("apart", F.coalesce("apart", F.expr("cast(array() as array<bigint>)"))) \
+             .withColumn("excess", whole * size - slack * F.col("n_shingles")).withColumn("width", width) \
+             .withColumn("step", F.floor(F.col("excess") / F.col("width")))
+    who = staged(who, "excess")
+
+    def paired(rows: DataFrame, on: dict[str, str]) -> DataFrame:
+        """Rows met with rows of another component, ``on`` own column -> the other's."""
+        named = lambda k: [F.col("class").alias(k), F.col("root").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("excess").alias(f"e{k}")]
+        x = rows.select(*on, *named("a"))
+        y = rows.select(*[F.col(v).alias(k) for k, v in on.items()], *named("b"))
+        return x.join(y, list(on)).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+
+    rows = mine.join(who.select("c", "class", "excess"), ["c", "class"])
+    free = paired(rows, {c: c for c in (*bucket, "c")}).where("ea + eb <= 0")
+    each = who.select("c", "class", F.explode("apart").alias("name"))
+    often = each.groupBy("c", "name").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ordered = each.join(often, ["c", "name"]).groupBy("c", "class").agg(F.array_sort(F.collect_list(F.struct("f", "name"))).alias("shared"))
+    steps = who.groupBy("c").agg(F.collect_set("step").alias("steps"))  # of one leader: about as many as EXCESS_STEPS
+    needed = F.greatest(F.ceil((F.col("excess") + F.col("other") * F.col("width")) / (2 * whole)), F.lit(1)).cast("int")
+    # shingles that no other member has come first in the order, and are never met
+    looked_at = F.greatest(F.size("shared") - needed + 1, F.lit(0))
+    names = who.drop("apart").join(ordered, ["c", "class"]).join(steps, "c").withColumn("other", F.explode("steps")) \
+        .select("c", "class", "root", "n_shingles", "excess", "step", "other", F.explode(F.slice("shared", 1, looked_at)).alias("s")) \
+        .withColumn("name", F.col("s.name")).drop("s")
+    bound = paired(names, {"c": "c", "name": "name", "step": "other", "other": "step"})
+    return free.select("a", "b", "na", "nb").unionByName(bound.select("a", "b", "na", "nb"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
-                    leader_rounds: int = 4, keep_key: bool = False) -> DataFrame:
+                    leader_rounds: int = 1, keep_key: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id that
     links reach, itself included), kept (doc_id = component_id).
 
@@ -184,43 +233,40 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     text_of = src.select(F.coalesce("doc_id", F.lit(common.LAST)).alias("oid"), "key", "text")
     texts = staged(text_of.join(wanted, ["oid", "key"]).dropDuplicates(["class"]).select("class", "text"), "texts")
 
-    links = tested = None  # confirmed and compared pairs so far
-    bucket, last = ["band", "hash"], False
-    for turn in range(leader_rounds + 1):
-        if turn:
-            root = components(links).withColumnRenamed("node", "class")
-            m = members.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
-            mixed = m.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 != r1")
-            open_ = staged(m.join(mixed.select(*bucket, "n"), bucket), "open")
-            if open_.isEmpty():
-                break
-            # the pairs of a bucket are at most its members times (members - 1) / 2
-            most, n_open = open_.agg(F.sum((F.col("n") - 1) / 2), F.count(F.lit(1))).first()
-            last = turn == leader_rounds or most <= 4 * n_open
-        else:
-            open_ = members.withColumn("root", F.col("class"))
-        if last:  # whatever pair is left
-            x = open_.select(*bucket, F.col("class").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-            y = open_.select(*bucket, F.col("class").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-            found = x.join(y, bucket).where("a < b and ra != rb")
-        else:
-            leader = F.struct(F.xxhash64("class", F.lit(turn)).alias("o"), F.col("class").alias("lead"), F.col("root").alias("of"), F.col("n_shingles").alias("na"))
-            found = open_.join(open_.groupBy(*bucket).agg(F.min(leader).alias("l")), bucket).where("root != l.of") \
-                .select("class", "l.o", "l.lead", "l.na", "n_shingles")
-            if turn == 0:  # one leader for each class: most groups need no more
-                found = found.groupBy("class").agg(F.min(F.struct("o", "lead", "na", "n_shingles")).alias("x")).select("class", "x.*")
-            found = found.select(F.col("lead").alias("a"), F.col("class").alias("b"), "na", F.col("n_shingles").alias("nb"))
-        sized = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = sized.select("a", "b").distinct()
+    bucket = ["band", "hash"]
+    # members of many and large buckets are near the middle of their group: most others are similar to them
+    central = members.join(members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")), bucket).groupBy("class").agg(F.sum("n").alias("weight"))
+    members = staged(members.join(central, "class"), "weighted")
+    leader = F.struct((-F.col("weight")).alias("o"), F.xxhash64("class").alias("h"), F.col("class").alias("lead"), F.col("root").alias("of"), F.col("n_shingles").alias("na"))
+
+    def opened(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold more than one component."""
+        m = members.join(components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        mixed = m.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(leader).alias("l")).where("r0 != r1")
+        return staged(m.join(mixed.select(*bucket, "l"), bucket), "open")
+
+    def compared(found: DataFrame, tested: DataFrame | None) -> DataFrame:
+        pairs = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
         if tested is not None:
-            turned = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = pairs.join(tested.unionByName(turned), ["a", "b"], "left_anti")
-        result = staged(verified(staged(pairs, "pairs"), texts, shingle, percent), "verified")
-        good = result.where("linked").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        tested = result.select("a", "b") if tested is None else tested.unionByName(result.select("a", "b"))
-        if last:
+            pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        return staged(verified(staged(pairs, "pairs"), texts, shingle, percent), "verified")
+
+    # first each class with the most central of all its buckets, then with that of each
+    everyone = members.withColumn("root", F.col("class"))
+    each = everyone.join(everyone.groupBy(*bucket).agg(F.min(leader).alias("l")), bucket).groupBy("class").agg(F.min("l").alias("l"), F.first("n_shingles").alias("nb"))
+    result = compared(each.where("class != l.lead").select(F.col("l.lead").alias("a"), F.col("class").alias("b"), "l.na", "nb"), None)
+    for _ in range(leader_rounds):
+        open_ = opened(result.where("linked"))
+        if open_.isEmpty():
             break
+        again = compared(open_.where("root != l.of").select(F.col("l.lead").alias("a"), F.col("class").alias("b"), "l.na", F.col("n_shingles").alias("nb")),
+                         result.select("a", "b"))
+        result = result.unionByName(again)
+    else:
+        open_ = opened(result.where("linked"))
+    if not open_.isEmpty():
+        result = result.unionByName(compared(_left_over(open_, texts, shingle, percent), result.select("a", "b")))
+    links = result.where("linked").select("a", "b")
 
     root = components(links)
     of_class = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
