@@ -112,3 +112,84 @@ def test_chunked_histogram_equals_whole_text(spark):
     got = {r.word: r.cnt for r in B.chunked_word_histogram(df, "k", "text").collect()}
     want = Counter(w for t in texts.values() for w in regex.findall(r"\w+|[^\w\s]+", t))
     assert got == dict(want)
+
+
+def _whole_library(corpus, vocab_size, specials, unk=None):
+    """The library's tokenizer with its special tokens recognised in texts."""
+    from tokenizers import AddedToken
+    tok, vocab, merges = _library(corpus, vocab_size, specials, unk)
+    tok.add_special_tokens([AddedToken(s, special=True, normalized=False) for s in specials])
+    return tok
+
+
+def test_chunks_of_single_runs(spark):
+    """Words that go on through any number of chunks, spaces between, empty chunks."""
+    import itertools
+    from collections import Counter
+    import random
+    import regex
+    r, rows, want = random.Random(8), [], Counter()
+    for k in range(60):
+        text = "".join(r.choice("ab é!?  <") for _ in range(r.randint(0, 25)))
+        want.update(regex.findall(r"\w+|[^\w\s]+", text))
+        cuts = sorted(r.choices(range(len(text) + 1), k=r.randint(0, 9)))
+        rows += [(k, c, text[a:b]) for c, (a, b) in enumerate(itertools.pairwise([0, *cuts, len(text)]))]
+    df = spark.createDataFrame(rows, "k long, chunk int, text string")
+    assert {x.word: x.cnt for x in B.chunked_word_histogram(df, "k", "text").collect()} == dict(want)
+
+
+def test_specials_after_punctuation(spark):
+    specials = ["<PAD>", "<SOS>", "<EOS>", "<EOT>", "<UNK>"]
+    texts = ["yahoo!<EOT><in>x", "a (us)<EOT>b", "<day_week:sunday><EOT><out>", "[<SOS>]!!<EOS>", "<<EOT>>", "ab<EOTcd<EOT>"]
+    tok = _whole_library(texts, 200, specials)
+    m = _ours(spark, texts, 200, specials)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, text string")
+    got = {r.k: list(r.ids) for r in B.encode_texts(df, ["k"], "text", m, specials).collect()}
+    assert got == {i: tok.encode(t).ids for i, t in enumerate(texts)}
+
+
+def test_string_pipelines_encode_like_the_library(spark):
+    from ledgerloom.operators import vocab as V
+    from ledgerloom.plans import catalog as C
+    sf = "/root/testdata/sf0.001"
+    for q, corpus, key, col, variant, size, unk in [
+        (C.q_encode_history, C.history_corpus, "user_id", "transaction_history", "adaptation", 10000, None),
+        (C.q_encode_tagged, C.tagged_corpus, "client_id", "sequence", "tagged", 1000, "<UNK>"),
+    ]:
+        texts = {r[key]: r[col] for r in corpus(spark, sf).collect()}
+        tok = _whole_library(list(texts.values()), size, V.special_token_list(variant), unk)
+        got = {r[key]: r.ids for r in q(spark, sf).collect()}
+        assert got == {k: ",".join(map(str, tok.encode(t).ids)) for k, t in texts.items()}
+
+
+def test_user_sequences_equal_library(spark):
+    """One pass over the users gives what encoding each transaction would."""
+    from ledgerloom.functions import encode as E
+    from ledgerloom.plans import catalog as C
+    from ledgerloom.operators import vocab as V
+    from ledgerloom.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    tx = T.transactions_from_events(spark, sf)
+    specials = V.special_token_list("replication")
+    rows = tx.where("user_id is not null").select("user_id", "date", "tx_id", "description", E.attribute_tokens("amount", "date").alias("a")).collect()
+    tok, vocab, _ = _library([d for d in {r.description for r in rows} if d], 10000, specials)
+    want = {}
+    for r in sorted(rows, key=lambda r: (r.user_id, r.date, r.tx_id)):
+        ids = [vocab[t] for t in r.a] + tok.encode(r.description or "").ids
+        want[r.user_id] = want[r.user_id] + [vocab["[SEP]"]] + ids if r.user_id in want else ids
+    got = {}
+    for r in C.q_user_bpe(spark, sf).orderBy("user_id", "chunk").collect():
+        got.setdefault(r.user_id, []).extend(map(int, r.ids.split(",")))
+    assert got == want
+
+
+def test_saved_tokenizer_encodes(spark, scratch):
+    from ledgerloom.sources import io
+    texts = ["the cat sat on the mat", "the hat that the cat ate [SEP]"]
+    m = _ours(spark, texts, 45, ["[PAD]", "[SEP]"])
+    io.write_vocabulary(m.vocab, m.merges, f"{scratch}/tok")
+    again = B.load_bpe(spark, *io.read_vocabulary(spark, f"{scratch}/tok"))
+    assert (again.tokens, again.specials, again.merges_list) == (m.tokens, m.specials, m.merges_list)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "k long, text string")
+    a, b = (sorted((r.k, r.ids) for r in B.encode_texts(df, ["k"], "text", x, ["[SEP]"]).collect()) for x in (m, again))
+    assert a == b and a[2][1] == []

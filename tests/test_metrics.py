@@ -1,5 +1,6 @@
 """Exact metrics against numpy formulas."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import metrics as M
@@ -72,3 +73,12 @@ def test_cross_entropy_ignores(spark):
     assert r.n_tokens == 2 and abs(r.cross_entropy - (np.log(2) + np.log(8)) / 2) < 1e-12
 
 
+
+
+def test_coerced_text(spark):
+    from ledgerloom.operators import features as FT
+    cases = {"1": 1, " 2.7 ": 2, "1e30": 0, "1d": 0, "2.5f": 0, "0x1p3": 0, "-3.9": -3, "nan": 0, "inf": 0, "": 0, None: 0, ".5": 0, "1e3": 1000}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.v for r in df.select("c", FT.coerce_numeric("c", "categorical").alias("v")).collect()} == cases
+    x = df.select("c", FT.coerce_numeric("c").alias("v")).collect()
+    assert {r.c: round(r.v, 3) for r in x if r.c in ("1d", "2.5f", ".5", "1e30")} == {"1d": 0.0, "2.5f": 0.0, ".5": 0.5, "1e30": pytest.approx(1e30, rel=1e-6)}

@@ -75,3 +75,21 @@ def test_greedy_prediction_brute_force(spark):
         assert pred[u] == predict(inp[-2] if len(inp) > 1 else None, inp[-1], 3)
     acc = NG.next_token_accuracy(NG.greedy_next_tokens(ctx, "user_id", NG.argmax_tables(m), 2), actual, "user_id")
     assert acc.count() == 2 and acc.agg(F.max("n")).first()[0] == len(SEQS)
+
+
+def test_saved_model_predicts_alike(spark, scratch):
+    seqs = spark.createDataFrame([(k, 0, 0, 20, [f"t{(k * i) % 5}" for i in range(20)]) for k in range(1, 8)],
+                                 "user_id long, chunk int, offset long, seq_len long, tokens array<string>")
+    m = NG.ngram_model(NG.positions_with_context(NG.training_part(seqs, "user_id", 3, 13), "user_id"))
+    NG.save_model(m, f"{scratch}/ngram")
+    again = NG.load_model(spark, f"{scratch}/ngram")
+    ctx, _ = NG.holdout_contexts(seqs, "user_id", 3)
+    a, b = (sorted((r.user_id, tuple(r.predicted)) for r in NG.greedy_next_tokens(ctx, "user_id", NG.argmax_tables(x), 3).collect()) for x in (m, again))
+    assert a == b and len(a) == 7
+
+
+def test_training_part_leaves_the_tails_out(spark):
+    seqs = spark.createDataFrame([(1, 0, 0, 16, [str(i) for i in range(16)]), (2, 0, 0, 4, list("abcd"))],
+                                 "user_id long, chunk int, offset long, seq_len long, tokens array<string>")
+    got = {r.user_id: list(r.tokens) for r in NG.training_part(seqs, "user_id", 5, 15).collect()}
+    assert got == {1: [str(i) for i in range(11)], 2: list("abcd")}

@@ -94,3 +94,15 @@ def test_next_token_pairs(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([7],)], "tokens array<int>")
     got = [(list(r.x), list(r.y)) for r in S.next_token_pairs(df).collect()]
     assert got == [([1, 2], [2, 3]), ([], [])]
+
+
+def test_null_items_do_not_depend_on_partitions(spark):
+    rows = [(1, 1, ["a"]), (1, 2, None), (1, 3, ["b"]), (2, 1, None), (3, 1, []), (None, 1, ["x"])]
+    df = spark.createDataFrame(rows, "k long, t int, items array<string>")
+    want = None
+    for n in (1, 3, 8):
+        out = S.assemble_sequences(df, "k", ["t"], "items", sep="|", num_partitions=n)
+        got = sorted((r.k, tuple(r.tokens)) for r in out.collect())
+        want = want or got
+        assert got == want
+    assert (1, ("a", "|", "|", "b")) in want

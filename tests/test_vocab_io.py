@@ -23,14 +23,51 @@ def test_word_vocab_and_round_trip(spark):
     got = {r.token: r.id for r in v.where(~F.col("is_special")).collect()}
     assert got == {"a": 76, "b": 77, "é": 78}
     df = spark.createDataFrame([(1, ["a", "zz", "[SEP]", "é"]), (2, [])], "k long, t array<string>")
-    ids = V.tokens_to_ids(df, v, "t", ["k"], vocab_bound=1000)
+    ids = V.tokens_to_ids(df, v, "t", ["k"])
     assert {r.k: list(r.ids) for r in ids.collect()} == {1: [76, 1, 75, 78], 2: []}
-    back = V.ids_to_tokens(ids, v, "ids", ["k"], vocab_bound=1000)
+    back = V.ids_to_tokens(ids, v, "ids", ["k"])
     assert {r.k: list(r.tokens) for r in back.collect()} == {1: ["a", "[UNK]", "[SEP]", "é"], 2: []}
     assert V.specials_of(v).count() == 76
     assert V.specials_of(v, by_prefix=True).count() == 76
 
 
+def test_lookup_beyond_the_bound(spark, monkeypatch):
+    """A vocabulary above the bound is joined: same ids."""
+    monkeypatch.setattr(V, "MOST_ENTRIES", 10)
+    v = V.word_vocabulary(spark, spark.createDataFrame([("a",), ("b",)], "word string"))
+    df = spark.createDataFrame([(1, ["a", "zz", "[SEP]"]), (2, []), (3, None)], "k long, t array<string>")
+    assert {r.k: list(r.ids) for r in V.tokens_to_ids(df, v, "t", ["k"]).collect()} == {1: [76, 1, 75], 2: [], 3: []}
+
+
+def test_lookups_move_no_tokens(spark):
+    v = V.special_tokens(spark)
+    df = spark.range(100).select("id", F.array(F.lit("[SEP]"), F.lit("x")).alias("t"))
+    plan = V.tokens_to_ids(df, v, "t", ["id"])._jdf.queryExecution().executedPlan().toString()
+    left = plan.split("BroadcastExchange")[0]
+    assert "Generate" not in left and "hashpartitioning(id" not in left
+
+
+def test_finetune_table(spark, scratch):
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([("u1", 1, 2.5, 3), ("u2", 0, None, 1)], "user_id string, label int, num_a double, cat_b int")
+    io.write_table(df, os.path.join(scratch, "ft"), fmt="csv")
+    cat = spark.createDataFrame([(["num_a"], ["cat_b"], {"cat_b": 2})], io.FEATURE_CATALOG_SCHEMA)
+    back = io.read_finetune_table(spark, os.path.join(scratch, "ft"), df.schema, cat)
+    assert sorted(map(tuple, back.collect())) == [("u1", 1, 2.5, 3), ("u2", 0, None, 1)]
+    import pytest
+    with pytest.raises(ValueError):
+        io.read_finetune_table(spark, os.path.join(scratch, "ft"), T.StructType(df.schema.fields[:2]), cat)
+
+
+def test_normalised_amounts_and_unread_dates(spark):
+    raw = spark.createDataFrame([("u", "2023-01-02 03:04:05", 1.005, " a "), ("v", "02/01/2023", -2.345, "b"), ("w", "", 0.125, None), (None, "x", 1.0, "c")],
+                                "user_id string, date string, amount double, description string")
+    parsed = raw.withColumn("date", io.parse_timestamp(F.col("date")))
+    assert io.unread_dates(raw, parsed, "user_id").first().n_unread == 1
+    got = {r.user_id: (r.amount, r.description) for r in io.normalise_transactions(parsed).collect()}
+    assert got == {"u": (1.0, "a"), "v": (-2.34, "b"), "w": (0.12, None)} or got == {"u": (1.01, "a"), "v": (-2.35, "b"), "w": (0.12, None)}, got
+
+
 def test_csv_transactions_round_trip(spark, scratch):
     rows = [("u1", dt.datetime(2023, 1, 2, 3, 4, 5), -12.5, "Netflix.com"), ("u2", None, None, "NA")]
     df = spark.createDataFrame(rows, io.TRANSACTION_SCHEMA)
