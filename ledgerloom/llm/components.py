@@ -23,16 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a node are joined to its least neighbour
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = staged(large, "large")
         # small star: neighbours below a node, and the node, to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(least, "a")
         small = met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = staged(small, "small")
-        # a forest of stars: no root is itself below another node, and each node has one root
-        open_ends = new.select("a").join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        if not open_ends and new.groupBy("a").count().where("count > 1").limit(1).count() == 0:
+        # done when each node has one root and no root is itself below another
+        ends = new.select("a", F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(new.select(F.col("b").alias("a"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("a").agg(F.sum("below").alias("n"), F.max("above").alias("up")).where("n > 1 or (n = 1 and up = 1)").isEmpty():
             return new.select(F.col("a").alias("node"), F.col("b").alias("root")) \
                 .unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         e = new

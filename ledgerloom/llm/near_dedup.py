@@ -33,7 +33,6 @@ from ledgerloom.llm.common import mix, staged
 from ledgerloom.llm.components import components
 
 BLOCK = 1 << 20
-EXCESS_STEPS = 64  # steps of the excess (see _left_over) in a leader's size
 SIGNED = "doc_id long, key long, n_shingles long, class string, bands array<long>"
 
 
@@ -157,54 +156,54 @@ def verified(pairs: DataFrame, texts: DataFrame, q: int, percent: int, apart: bo
     return rows.select("a", "kind", "b", "text").mapInArrow(_verifier(q, percent, apart), "a string, b string, apart array<long>, linked boolean")
 
 
-def _left_over(open_: DataFrame, texts: DataFrame, q: int, percent: int) -> DataFrame:
+def _left_over(open_: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb): all pairs that can still be links: they share a bucket
-    but no component.
-
-    The bucket's leader c decides which, by the shingles D that a member and c
-    do not share. Two members differ in |Da| + |Db| - 2 |Da and Db| shingles
-    and may differ in u (na + nb), u = (100 - percent) / (100 + percent); so
-    they must share half of (|Da| - u na) + (|Db| - u nb) in their D. If that
-    is nothing, the pair is taken from the bucket. Else it is found by a join
-    on shingles of D: of those, in any fixed order, only the first all-but-the-
-    needed (and one) are looked at, rare ones first. What is needed depends on
-    the other side's excess |D| - u n, so the join is by steps of that too."""
+    but no component. ``open_`` are the buckets' members with their leader c,
+    ``met`` (c, class, apart) the shingles D that a member and c do not share.
+
+    Two members differ in |Da| + |Db| - 2 |Da and Db| shingles and may differ
+    in u (na + nb), u = (100 - percent) / (100 + percent); so they must share
+    half of (|Da| - u na) + (|Db| - u nb) in their D. If that is nothing, the
+    pair is taken from the bucket. Else it is found by a join on shingles of
+    D: of those, in any fixed order, only the first all-but-the-needed (and
+    one) are looked at, rare ones first. What is needed at least follows from
+    the least excess |D| - u n on the other side, which is the leader's main
+    component for some and the rest for all."""
     bucket, whole, slack = ["band", "hash"], 100 + percent, 100 - percent
-    mine = open_.select(*bucket, "class", "root", "n_shingles", F.col("l.lead").alias("c"), F.col("l.na").alias("nc"))
-    who = mine.select("class", "root", "n_shingles", "c", "nc").distinct()
-    met = verified(staged(who.where("class != c").select(F.col("c").alias("a"), F.col("class").alias("b")), "pivots"), texts, q, percent, apart=True)
-    met = staged(met.select(F.col("a").alias("c"), F.col("b").alias("class"), "apart"), "apart")
-    size, width = F.size("apart"), F.greatest(F.floor(F.col("nc") / EXCESS_STEPS), F.lit(1)) * whole
-    who = who.join(met, ["c", "class"], "left").withColumn("apart", F.coalesce("apart", F.expr("cast(array() as array<bigint>)"))) \
-             .withColumn("excess", whole * size - slack * F.col("n_shingles")).withColumn("width", width) \
-             .withColumn("step", F.floor(F.col("excess") / F.col("width")))
-    who = staged(who, "excess")
-
-    def paired(rows: DataFrame, on: dict[str, str]) -> DataFrame:
-        """Rows met with rows of another component, ``on`` own column -> the other's."""
+    mine = open_.select(*bucket, "class", "root", "n_shingles", F.col("l.lead").alias("c"))
+    who = mine.select("class", "root", "n_shingles", "c").distinct().join(met, ["c", "class"], "left") \
+        .withColumn("apart", F.coalesce("apart", F.expr("cast(array() as array<bigint>)"))) \
+        .withColumn("excess", whole * F.size("apart") - slack * F.col("n_shingles"))
+    main = who.groupBy("c", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "root")).alias("m")).select("c", F.col("m.root").alias("main"))
+    who = staged(who.join(main, "c").withColumn("own", F.when(F.col("root") == F.col("main"), 0).otherwise(1)).drop("main"), "excess")
+    least = who.groupBy("c").agg(F.min(F.when(F.col("own") == 0, F.col("excess"))).alias("e0"), F.min(F.when(F.col("own") == 1, F.col("excess"))).alias("e1"))
+    # the main component's members need only meet the rest
+    sides = F.when(F.col("own") == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    who = who.join(least.where("e1 is not null"), "c").withColumn("other", F.explode(sides)) \
+        .withColumn("against", F.when(F.col("other") == 0, F.col("e0")).otherwise(F.col("e1"))).drop("e0", "e1")
+
+    def paired(rows: DataFrame, *on: str) -> DataFrame:
+        """Rows met with rows of another component that look for their side."""
         named = lambda k: [F.col("class").alias(k), F.col("root").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("excess").alias(f"e{k}")]
-        x = rows.select(*on, *named("a"))
-        y = rows.select(*[F.col(v).alias(k) for k, v in on.items()], *named("b"))
-        return x.join(y, list(on)).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        x = rows.select(*on, "own", "other", *named("a"))
+        y = rows.select(*on, F.col("other").alias("own"), F.col("own").alias("other"), *named("b"))
+        return x.join(y, [*on, "own", "other"]).where((F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
 
-    rows = mine.join(who.select("c", "class", "excess"), ["c", "class"])
-    free = paired(rows, {c: c for c in (*bucket, "c")}).where("ea + eb <= 0")
-    each = who.select("c", "class", F.explode("apart").alias("name"))
+    lone = who.where("excess + against <= 0").drop("apart", "root", "n_shingles")
+    free = paired(mine.join(lone, ["c", "class"]), *bucket, "c").where("ea + eb <= 0")
+    each = who.select("c", "class", "apart").distinct().select("c", "class", F.explode("apart").alias("name"))
     often = each.groupBy("c", "name").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ordered = each.join(often, ["c", "name"]).groupBy("c", "class").agg(F.array_sort(F.collect_list(F.struct("f", "name"))).alias("shared"))
-    steps = who.groupBy("c").agg(F.collect_set("step").alias("steps"))  # of one leader: about as many as EXCESS_STEPS
-    needed = F.greatest(F.ceil((F.col("excess") + F.col("other") * F.col("width")) / (2 * whole)), F.lit(1)).cast("int")
-    # shingles that no other member has come first in the order, and are never met
-    looked_at = F.greatest(F.size("shared") - needed + 1, F.lit(0))
-    names = who.drop("apart").join(ordered, ["c", "class"]).join(steps, "c").withColumn("other", F.explode("steps")) \
-        .select("c", "class", "root", "n_shingles", "excess", "step", "other", F.explode(F.slice("shared", 1, looked_at)).alias("s")) \
-        .withColumn("name", F.col("s.name")).drop("s")
-    bound = paired(names, {"c": "c", "name": "name", "step": "other", "other": "step"})
-    return free.select("a", "b", "na", "nb").unionByName(bound.select("a", "b", "na", "nb"))
+    needed = F.greatest(F.ceil((F.col("excess") + F.col("against")) / (2 * whole)), F.lit(1)).cast("int")
+    # shingles that no other member has are left out: they are never met
+    names = who.drop("apart").join(ordered, ["c", "class"]) \
+        .withColumn("s", F.explode(F.slice("shared", 1, F.greatest(F.size("shared") - needed + 1, F.lit(0))))).withColumn("name", F.col("s.name")).drop("s", "shared")
+    both = free.unionByName(paired(names, "c", "name"), allowMissingColumns=True)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
-                    leader_rounds: int = 1, keep_key: bool = False) -> DataFrame:
+                    keep_key: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id that
     links reach, itself included), kept (doc_id = component_id).
 
@@ -239,33 +238,30 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     members = staged(members.join(central, "class"), "weighted")
     leader = F.struct((-F.col("weight")).alias("o"), F.xxhash64("class").alias("h"), F.col("class").alias("lead"), F.col("root").alias("of"), F.col("n_shingles").alias("na"))
 
-    def opened(links: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        m = members.join(components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        mixed = m.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(leader).alias("l")).where("r0 != r1")
-        return staged(m.join(mixed.select(*bucket, "l"), bucket), "open")
+    def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
-    def compared(found: DataFrame, tested: DataFrame | None) -> DataFrame:
+    def compared(found: DataFrame, tested: DataFrame | None, apart: bool = False) -> DataFrame:
         pairs = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        return staged(verified(staged(pairs, "pairs"), texts, shingle, percent), "verified")
+        return staged(verified(staged(pairs, "pairs"), texts, shingle, percent, apart), "verified")
 
-    # first each class with the most central of all its buckets, then with that of each
+    # first each class is compared with the most central of all its buckets
     everyone = members.withColumn("root", F.col("class"))
     each = everyone.join(everyone.groupBy(*bucket).agg(F.min(leader).alias("l")), bucket).groupBy("class").agg(F.min("l").alias("l"), F.first("n_shingles").alias("nb"))
     result = compared(each.where("class != l.lead").select(F.col("l.lead").alias("a"), F.col("class").alias("b"), "l.na", "nb"), None)
-    for _ in range(leader_rounds):
-        open_ = opened(result.where("linked"))
-        if open_.isEmpty():
-            break
-        again = compared(open_.where("root != l.of").select(F.col("l.lead").alias("a"), F.col("class").alias("b"), "l.na", F.col("n_shingles").alias("nb")),
-                         result.select("a", "b"))
-        result = result.unionByName(again)
-    else:
-        open_ = opened(result.where("linked"))
+    # then, in buckets of more than one component, all with the bucket's most central
+    m = staged(with_roots(members, result.where("linked")), "rooted")
+    mixed = m.groupBy(*bucket).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(leader).alias("l")).where("r0 != r1")
+    open_ = staged(m.join(mixed.select(*bucket, "l"), bucket), "open")
     if not open_.isEmpty():
-        result = result.unionByName(compared(_left_over(open_, texts, shingle, percent), result.select("a", "b")))
+        near = open_.where("class != l.lead").select(F.col("l.lead").alias("a"), F.col("class").alias("b")).distinct()
+        met = staged(verified(staged(near, "pairs"), texts, shingle, percent, apart=True), "verified")
+        result = result.unionByName(met.withColumn("apart", F.lit(None).cast("array<bigint>")))
+        open_ = with_roots(open_.drop("root"), result.where("linked"))
+        left = _left_over(staged(open_, "open"), met.select(F.col("a").alias("c"), F.col("b").alias("class"), "apart"), percent)
+        result = result.unionByName(compared(left, result.select("a", "b")))
     links = result.where("linked").select("a", "b")
 
     root = components(links)
