@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, license_scan, near_dedup, piece_codec, quality_model, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
+from ledgerloom.llm.oracles import ORACLE  # noqa: F401 - registered with the queries
 
 TOKENIZERS = "/opt/tokenizers"  # where the public vocabulary files are
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -73,13 +74,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_secret_scan, op4_piece_codec, op5_warc, op6_quality_model, op7_quality_rules, op8_decontaminate, op9_license_scan, op10_suffix_dedup)}
-ORACLE: dict[str, str] = {}
-ORACLE["op5_warc"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-     s AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
-SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
-         (('0x' || substr(x || '00', CAST(i * 5 // 4 AS INT) + 1, 3))::INT >> (12 - 5 - (i * 5) % 4)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
-FROM s"""
