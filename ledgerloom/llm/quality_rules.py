@@ -11,8 +11,6 @@ nor are languages with too few words for a reference.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +23,11 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au"],
 }
-CLASSES = ["[a-z]+", "[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[^\x00-\x7F]+"]  # all others: one class more
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]+"
+# Character classes: lower, upper, digits, white space, non-ASCII; all others: one class more.
+CLASSES = ["[a-z]+", "[A-Z]+", "[0-9]+", SPACE, r"[^\x00-\x7F]+"]
 
 MIN_WORDS = 50            # documents below are not judged by distances
 MIN_REFERENCE = 2000      # words a language needs for a reference
@@ -36,18 +36,28 @@ MOST_WORDS = 0.20         # distance of common words of an endless text
 NOISE = 1.05              # over the root of a text's length in words: what its sampling may add to that
 
 
-def _without(text: Column, runs: str) -> Column:
-    """How many characters of ``text`` are in ``runs``."""
-    return F.length(text) - F.length(F.regexp_replace(text, runs, ""))
+def class_counts(d: DataFrame) -> DataFrame:
+    """Adds ``chars``, the characters of ``_text`` by class, and ``n_symbols``.
+    Class after class is taken out, so each pass reads what the ones before
+    have left; each rest is used twice, so it is not evaluated again."""
+    lengths = [F.length("_text")]
+    rest = "_text"
+    for i, runs in enumerate(CLASSES):
+        d = d.withColumn(f"_r{i}", F.regexp_replace(rest, runs, ""))
+        rest = f"_r{i}"
+        lengths.append(F.length(rest))
+    counts = [a - b for a, b in zip(lengths, lengths[1:])]
+    return d.withColumn("chars", F.array(*counts, lengths[-1])) \
+            .withColumn("n_symbols", (lengths[-1] - F.length(F.regexp_replace(rest, SYMBOLS, ""))).cast("long")) \
+            .drop(*[f"_r{i}" for i in range(len(CLASSES))])
 
 
 def base_counts(docs: DataFrame, cols: list[str]) -> DataFrame:
     """``cols`` with the words' array ``w`` and the base rules' counts. Each
     array is a column of its own, used twice or more, so that the optimizer
     does not move its expression into a lambda."""
-    text = F.col("_text")
-    d = docs.withColumn("w", F.filter(F.split("_text", SPACE), lambda x: x != ""))
-    d = d.withColumn("lines", F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0))
+    d = class_counts(docs).withColumn("w", F.filter(F.split("_text", SPACE), lambda x: x != ""))
+    d = d.withColumn("lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
     d = d.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     d = d.withColumn("h", F.when(F.size("wh") >= 8, F.transform(F.sequence(F.lit(1), F.size("wh") - 7), lambda i: F.xxhash64(F.slice("wh", i, 8))))
                      .otherwise(F.expr("cast(array() as array<bigint>)")))
@@ -59,24 +69,20 @@ def base_counts(docs: DataFrame, cols: list[str]) -> DataFrame:
         (acc["n"] + i + 8 - F.greatest(i, acc["end"])).alias("n"), (i + 8).alias("end")))["n"]
     n, r = F.col("n_words"), F.col("n_repeat_words")
     return d.select(*cols, "w", F.size("w").cast("long").alias("n_words"),
-                    F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-                    _without(text, SYMBOLS).cast("long").alias("n_symbols"),
+                    (F.length("_text") - F.get("chars", F.lit(CLASSES.index(SPACE)))).cast("long").alias("word_chars"), "n_symbols", "chars",
                     (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                     F.when(F.size("s") > 0, covered).otherwise(0).cast("long").alias("n_repeat_words")) \
         .withColumn("base_failed", (n < 20) | (100 * r > 30 * n))
 
 
 def histograms(d: DataFrame) -> DataFrame:
-    """Adds ``chars`` and ``common``: counts per character class and per common word."""
-    text = F.col("_text")
-    parts = [_without(text, c) for c in CLASSES]
+    """Adds ``common``: counts per common word of the language, and of all other words."""
     lists = F.expr("cast(array() as array<string>)")
     for lang, ws in COMMON.items():
         lists = F.when(F.col("_lang") == lang, F.array(*map(F.lit, ws))).otherwise(lists)
     d = d.withColumn("list", lists).withColumn("in_list", F.filter("w", lambda x: F.array_contains("list", x)))
     counts = F.transform("list", lambda x: F.size("in_list") - F.size(F.array_remove("in_list", x)))
-    return d.withColumn("chars", F.array(*parts, F.length(text) - reduce(lambda a, b: a + b, parts))) \
-        .withColumn("common", F.concat(counts, F.array(F.size("w") - F.size("in_list")))) \
+    return d.withColumn("common", F.concat(counts, F.array(F.size("w") - F.size("in_list")))) \
         .withColumn("judged_words", F.size("list") > 0).drop("list", "in_list")
 
 
