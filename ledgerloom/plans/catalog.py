@@ -650,19 +650,55 @@ def q_pair_counts(spark, sf):
     return B.pair_counts(h.select("cnt", B.char_symbols("word").alias("sym")))
 
 
+def _bpe_sql(hist: str, specials: str, size: int) -> str:
+    """Greedy byte-pair training, one merge a step, over a (word, cnt) histogram:
+    ``st`` (step, words with their symbols, vocabulary, merged pair), and
+    ``fin``, its last state."""
+    return f"""RECURSIVE h AS MATERIALIZED ({hist}),
+st AS (SELECT 0 AS step, (SELECT list({{'word': word, 'cnt': cnt, 'sym': regexp_extract_all(word, '.')}}) FROM h) AS words,
+  list_concat({specials}, (SELECT list(DISTINCT ch ORDER BY ch) FROM (SELECT unnest(regexp_extract_all(word, '.')) AS ch FROM h))) AS vocab,
+  {{'l': NULL::VARCHAR, 'r': NULL::VARCHAR}} AS b
+UNION ALL
+SELECT step + 1, list_transform(words, lambda w: {{'word': w.word, 'cnt': w.cnt, 'sym': list_reduce(list_transform(w.sym, lambda x: [x]), lambda a, x:
+    CASE WHEN a[-1] = n.b.l AND x[1] = n.b.r THEN list_append(a[1:len(a) - 1], n.b.l || n.b.r) ELSE list_concat(a, x) END)}}),
+  CASE WHEN list_contains(vocab, n.b.l || n.b.r) THEN vocab ELSE list_append(vocab, n.b.l || n.b.r) END, n.b
+FROM st, LATERAL (SELECT arg_min({{'l': l, 'r': r}}, (-c, list_position(vocab, l), list_position(vocab, r))) AS b FROM (
+  SELECT l, r, sum(cnt) AS c FROM (SELECT w.cnt AS cnt, unnest(w.sym[1:len(w.sym) - 1]) AS l, unnest(w.sym[2:]) AS r FROM (SELECT unnest(words) AS w))
+  WHERE l IS NOT NULL AND r IS NOT NULL GROUP BY l, r)) n
+WHERE len(vocab) < {size} AND n.b IS NOT NULL),
+fin AS (SELECT words, vocab FROM st WHERE step = (SELECT max(step) FROM st)),
+lex AS (SELECT w.word AS word, w.sym AS sym FROM (SELECT unnest(words) AS w FROM fin))"""
+
+
+_MERGES = """SELECT CAST(step - 1 AS INTEGER) AS rank, b.l AS "left", b.r AS "right", b.l || b.r AS merged FROM st WHERE step > 0"""
+
+
+def _encode_sql(texts: str, keys: str, text: str, pattern: str, specials: str) -> str:
+    """(keys, pieces) of texts, specials whole, over ``lex``."""
+    return f"""SELECT {keys}, flatten(list(CASE WHEN list_contains({specials}, w) THEN [w] ELSE sym END ORDER BY i)) AS pieces FROM (
+  SELECT {keys}, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {keys}, regexp_extract_all(coalesce({text}, ''), '{pattern}') AS ws FROM ({texts})))
+  LEFT JOIN lex ON lex.word = w GROUP BY {keys}"""
+
+
+_IDS = "array_to_string(list_transform(pieces, lambda x: list_position(vocab, x) - 1), ',')"
+_PLAIN = r"\w+|[^\w\s]+"
+
+
 def txr_bpe(spark, sf, vocab_size=10000):
     """The replication tokenizer: trained on distinct descriptions only."""
     return B.train_bpe(spark, txr_description_histogram(spark, sf), vocab_size, V.special_token_list("replication"))
 
 
-@query("bpe_merges")
+@query("bpe_merges", f"WITH {_bpe_sql(_DESC_HIST, _SPECIALS_SQL, 10000)} {_MERGES}")
 def q_bpe_merges(spark, sf):
     """The learned merge list (rank, left, right, merged); checked
     against the tokenizers library in tests/test_bpe.py."""
     return txr_bpe(spark, sf).merges
 
 
-@query("bpe_vocabulary")
+@query("bpe_vocabulary", f"""WITH {_bpe_sql(_DESC_HIST, _SPECIALS_SQL, 10000)}
+SELECT token, CAST(i - 1 AS INTEGER) AS id, list_contains({_SPECIALS_SQL}, token) AS is_special
+FROM (SELECT unnest(vocab) AS token, generate_subscripts(vocab, 1) AS i FROM fin)""")
 def q_bpe_vocab(spark, sf):
     """The learned vocabulary with special flags."""
     return txr_bpe(spark, sf).vocab
@@ -675,7 +711,9 @@ def _encoded_descriptions(spark, sf):
         spark, B.word_histogram(d, "description"), 10000, V.special_token_list("replication")))
 
 
-@query("bpe_encode")
+@query("bpe_encode", f"""WITH {_bpe_sql(_DESC_HIST, _SPECIALS_SQL, 10000)},
+e AS ({_encode_sql(f"SELECT DISTINCT description FROM ({Q.TXR})", "description", "description", _PLAIN, "[]::VARCHAR[]")})
+SELECT description, array_to_string(pieces, ' ') AS pieces, {_IDS} AS ids FROM e, fin""")
 def q_bpe_encode(spark, sf):
     """Every distinct description as BPE pieces and ids."""
     _, enc = _encoded_descriptions(spark, sf)
@@ -1084,19 +1122,31 @@ def tagged_bpe(spark, sf, corpus):
     return B.train_bpe(spark, B.chunked_word_histogram(corpus, "client_id", "sequence"), 1000, V.special_token_list("tagged"))
 
 
-@query("bpe_merges_history")
+_HISTORY = Q.chunked(f"""SELECT user_id, list({Q.spaced('origin', 'amount', 'date', 'description')} ORDER BY date, tx_id) AS seq
+FROM ({Q.TXE}) WHERE user_id IS NOT NULL GROUP BY user_id""", "user_id", S.DEFAULT_CHUNK_LEN)
+_HISTORY_HIST = f"SELECT w AS word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(tokens, '{_PLAIN}')) AS w FROM ({_HISTORY})) GROUP BY w"
+_TAGGED_SEQ = f"""SELECT client_id, list_concat(['<SOS>'], f0[1:len(f0)-1], ['<EOS>']) AS seq FROM (
+  SELECT client_id, flatten(list([{Q.tagged('type', 'amount', 'hour', 'day', 'month', 'day_week', 'merchant')}, '<EOT>']
+    ORDER BY date, tx_id)) AS f0 FROM ({_SPLIT_E}) WHERE client_id IS NOT NULL GROUP BY client_id)"""
+_TAGGED_HIST = f"SELECT w AS word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(array_to_string(seq, ''), '{_PLAIN}')) AS w FROM ({_TAGGED_SEQ})) GROUP BY w"
+_SPACED_PATTERN = r"<account>|<card>|<INFLOW>|<OUTFLOW>|<AMOUNT_(?:0-10|10-50|50-100|100-500|500-1000|1000\+)>|<MONTH_(?:1[0-2]|[1-9])>|<DAY_(?:[12][0-9]|3[01]|[1-9])>|<WEEKDAY_[0-6]>|\[(?:PAD|UNK|SEP)\]|" + _PLAIN
+
+
+@query("bpe_merges_history", f"WITH {_bpe_sql(_HISTORY_HIST, _ADAPTATION_SQL, 10000)} {_MERGES}")
 def q_bpe_history(spark, sf):
     """B5 on the spaced history strings (vocab 10000)."""
     return history_bpe(spark, sf, hold(history_corpus(spark, sf))).merges
 
 
-@query("bpe_merges_tagged")
+@query("bpe_merges_tagged", f"WITH {_bpe_sql(_TAGGED_HIST, _TAGGED_SQL, 1000)} {_MERGES}")
 def q_bpe_tagged(spark, sf):
     """B5 on the tagged <SOS>...<EOS> sequences (vocab 1000)."""
     return tagged_bpe(spark, sf, hold(tagged_corpus(spark, sf))).merges
 
 
-@query("bpe_encode_history")
+@query("bpe_encode_history", f"""WITH {_bpe_sql(_HISTORY_HIST, _ADAPTATION_SQL, 10000)},
+e AS ({_encode_sql(_HISTORY, "user_id, chunk", "tokens", _SPACED_PATTERN, _ADAPTATION_SQL)})
+SELECT user_id, chunk, {_IDS} AS ids FROM e, fin""")
 def q_encode_history(spark, sf):
     """Every chunk of the history strings as ids, specials whole (their
     chunks end at a space, so a chunk's ids are its part of the whole's)."""
@@ -1105,7 +1155,9 @@ def q_encode_history(spark, sf):
     return enc.select("user_id", "chunk", F.array_join("ids", ",").alias("ids"))
 
 
-@query("bpe_encode_tagged")
+@query("bpe_encode_tagged", f"""WITH {_bpe_sql(_TAGGED_HIST, _TAGGED_SQL, 1000)},
+e AS ({_encode_sql(Q.chunked(_TAGGED_SEQ, "client_id", S.DEFAULT_CHUNK_LEN, "''"), "client_id, chunk", "tokens", "<PAD>|<SOS>|<EOS>|<EOT>|<UNK>|" + _PLAIN, _TAGGED_SQL)})
+SELECT client_id, chunk, {_IDS} AS ids FROM e, fin""")
 def q_encode_tagged(spark, sf):
     """The tagged sequences as ids, specials whole, <UNK> for each unknown
     character (a chunk ends at a special or begins with one)."""
@@ -1114,7 +1166,17 @@ def q_encode_tagged(spark, sf):
     return enc.select("client_id", "chunk", F.array_join("ids", ",").alias("ids"))
 
 
-@query("user_bpe_sequences")
+_TXE_HIST = f"SELECT w AS word, count(*) AS cnt FROM (SELECT unnest({Q.words('description')}) AS w FROM (SELECT DISTINCT description FROM ({Q.TXE}))) GROUP BY w"
+
+
+@query("user_bpe_sequences", f"""WITH {_bpe_sql(_TXE_HIST, _SPECIALS_SQL, 10000)},
+e AS ({_encode_sql(f"SELECT DISTINCT description FROM ({Q.TXE})", "description", "description", _PLAIN, "[]::VARCHAR[]")}),
+f AS (SELECT user_id, flatten(list(list_concat([{Q.sign('amount')}, {Q.bin_token('amount')}, {Q.month_tok('date')}, {Q.day_tok('date')}, {Q.weekday_tok('date')}],
+    coalesce(pieces, []), ['[SEP]']) ORDER BY date, tx_id)) AS f0 FROM ({Q.TXE}) x LEFT JOIN e USING (description) WHERE user_id IS NOT NULL GROUP BY user_id),
+u AS (SELECT user_id, list_transform(f0[1:len(f0) - 1], lambda x: list_position(vocab, x) - 1) AS seq FROM f, fin)
+SELECT user_id, CAST(g.k AS INTEGER) AS chunk, CAST(g.k * {S.DEFAULT_CHUNK_LEN} AS BIGINT) AS "offset", CAST(len(seq) AS BIGINT) AS seq_len,
+  array_to_string(seq[g.k * {S.DEFAULT_CHUNK_LEN} + 1 : (g.k + 1) * {S.DEFAULT_CHUNK_LEN}], ',') AS ids
+FROM u, unnest(generate_series(0, (len(seq) - 1) // {S.DEFAULT_CHUNK_LEN})) AS g(k)""")
 def q_user_bpe(spark, sf):
     """A1 + B6, the pretraining input: each user's id sequence (attribute ids,
     description pieces, [SEP] between transactions), in chunks."""
