@@ -166,7 +166,7 @@ def _left_over(open_: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     half of (|Da| - u na) + (|Db| - u nb) in their D. If that is nothing, the
     pair is taken from the bucket. Else it is found by a join on shingles of
     D: of those, in any fixed order, only the first all-but-the-needed (and
-    one) are looked at, rare ones first. What is needed at least follows from
+    one) are looked at, rare ones first, and what comes after must suffice. What is needed at least follows from
     the least excess |D| - u n on the other side, which is the leader's main
     component for some and the rest for all."""
     bucket, whole, slack = ["band", "hash"], 100 + percent, 100 - percent
@@ -184,20 +184,25 @@ def _left_over(open_: DataFrame, met: DataFrame, percent: int) -> DataFrame:
 
     def paired(rows: DataFrame, *on: str) -> DataFrame:
         """Rows met with rows of another component that look for their side."""
-        named = lambda k: [F.col("class").alias(k), F.col("root").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("excess").alias(f"e{k}")]
+        named = lambda k: [F.col(c).alias(f"{s}{k}") for c, s in (("class", ""), ("root", "r"), ("n_shingles", "n"), ("excess", "e"), ("after", "f"))]
         x = rows.select(*on, "own", "other", *named("a"))
         y = rows.select(*on, F.col("other").alias("own"), F.col("own").alias("other"), *named("b"))
-        return x.join(y, [*on, "own", "other"]).where((F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        once = (F.col("own") < F.col("other")) | ((F.col("own") == F.col("other")) & (F.col("a") < F.col("b")))
+        # at the first shingle that both have, they share it and what both have after it, at most
+        enough = 2 * whole * (1 + F.least("fa", "fb")) >= F.col("ea") + F.col("eb")
+        return x.join(y, [*on, "own", "other"]).where(
+            once & enough & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
 
     lone = who.where("excess + against <= 0").drop("apart", "root", "n_shingles")
-    free = paired(mine.join(lone, ["c", "class"]), *bucket, "c").where("ea + eb <= 0")
+    free = paired(mine.join(lone, ["c", "class"]).withColumn("after", F.lit(0)), *bucket, "c").where("ea + eb <= 0")
     each = who.select("c", "class", "apart").distinct().select("c", "class", F.explode("apart").alias("name"))
     often = each.groupBy("c", "name").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ordered = each.join(often, ["c", "name"]).groupBy("c", "class").agg(F.array_sort(F.collect_list(F.struct("f", "name"))).alias("shared"))
     needed = F.greatest(F.ceil((F.col("excess") + F.col("against")) / (2 * whole)), F.lit(1)).cast("int")
     # shingles that no other member has are left out: they are never met
     names = who.drop("apart").join(ordered, ["c", "class"]) \
-        .withColumn("s", F.explode(F.slice("shared", 1, F.greatest(F.size("shared") - needed + 1, F.lit(0))))).withColumn("name", F.col("s.name")).drop("s", "shared")
+        .select("*", F.posexplode(F.slice("shared", 1, F.greatest(F.size("shared") - needed + 1, F.lit(0)))).alias("place", "s")) \
+        .withColumn("name", F.col("s.name")).withColumn("after", F.size("shared") - F.col("place") - 1).drop("s", "shared", "place")
     both = free.unionByName(paired(names, "c", "name"), allowMissingColumns=True)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
 
@@ -226,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 
     one = signed.where("class is not null").dropDuplicates(["class"])
     each = one.select("class", "n_shingles", F.posexplode("bands").alias("band", "hash"))
-    shared = each.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = each.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(each.join(shared, ["band", "hash"]), "members")
     wanted = members.select("class").distinct().join(classes, "class").select("class", "of.*")
     text_of = src.select(F.coalesce("doc_id", F.lit(common.LAST)).alias("oid"), "key", "text")
@@ -234,8 +239,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 
     bucket = ["band", "hash"]
     # members of many and large buckets are near the middle of their group: most others are similar to them
-    central = members.join(members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")), bucket).groupBy("class").agg(F.sum("n").alias("weight"))
-    members = staged(members.join(central, "class"), "weighted")
+    central = staged(members.groupBy("class").agg(F.sum("n").alias("weight")), "weights")
+    members = members.drop("n").join(central, "class")
     leader = F.struct((-F.col("weight")).alias("o"), F.xxhash64("class").alias("h"), F.col("class").alias("lead"), F.col("root").alias("of"), F.col("n_shingles").alias("na"))
 
     def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
