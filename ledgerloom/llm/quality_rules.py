@@ -141,7 +141,11 @@ def judge(docs: DataFrame, *, keep: list[str] | None = None, min_words: int = MI
 
 
 def passing(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    own = docs.columns
-    return judge(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in own])), keep=["_row"], **limits) \
-        .where("kept").select("_row.*")
+    """The rows of ``docs`` that the rules keep, with all their columns. The
+    verdict depends on text and language alone, so what is rejected is joined
+    back by their fingerprints: few columns of the rejected rows, no copy of the texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    mine = docs.withColumn("_ll_key", F.xxhash64(text)).withColumn("_ll_more", F.xxhash64(lang, text, F.lit(1)))
+    bad = judge(mine, keep=["_ll_key", "_ll_more"], **limits).where("not kept").select("_ll_key", "_ll_more").distinct()
+    return mine.join(bad, ["_ll_key", "_ll_more"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
