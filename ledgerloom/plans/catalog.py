@@ -72,11 +72,12 @@ def q_range3(spark, sf):
     return tx.select("tx_id", "amount", E.amount_range_3("amount").alias("amount_range"))
 
 
-@query("date_tokens", f"""SELECT tx_id, {Q.month_tok('date')} AS month_token, {Q.day_tok('date')} AS day_token,
-  {Q.weekday_tok('date')} AS weekday_token FROM ({Q.TXE})""")
+@query("date_tokens", f"""SELECT l_orderkey, l_linenumber, {Q.month_tok('date')} AS month_token, {Q.day_tok('date')} AS day_token,
+  {Q.weekday_tok('date')} AS weekday_token FROM ({Q.TXR})""")
 def q_date_tokens(spark, sf):
-    tx = T.transactions_from_events(spark, sf)
-    return tx.select("tx_id", E.month_token("date").alias("month_token"), E.day_token("date").alias("day_token"),
+    """P5 on the line items, whose dates fall in all months."""
+    tx = T.transactions_from_lineitem(spark, sf)
+    return tx.select("l_orderkey", "l_linenumber", E.month_token("date").alias("month_token"), E.day_token("date").alias("day_token"),
                      E.weekday_token("date").alias("weekday_token"))
 
 
@@ -114,10 +115,11 @@ def q_tx_tokens(spark, sf):
 
 
 @query("normalise_transactions", f"""SELECT tx_id, user_id, date, date_trunc('second', date) AS date_seconds,
-  round(amount, 2) AS amount, trim(description) AS description FROM ({Q.TXE}) WHERE user_id IS NOT NULL""")
+  round(amount / 7, 2) AS amount, trim(description) AS description FROM ({Q.TXE}) WHERE user_id IS NOT NULL""")
 def q_normalise(spark, sf):
+    """P18, on amounts of many decimals (a seventh of the events')."""
     from ledgerloom.sources.io import normalise_transactions
-    tx = T.transactions_from_events(spark, sf)
+    tx = T.transactions_from_events(spark, sf).withColumn("amount", F.col("amount") / 7)
     return normalise_transactions(tx).select("tx_id", "user_id", "date", "date_seconds", "amount", "description")
 
 

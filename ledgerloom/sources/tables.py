@@ -30,7 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def transactions_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXE: user_id, tx_id, date, amount (signed), origin, description."""
-    ev = table(spark, sf_dir, "events")
+    return event_transactions(table(spark, sf_dir, "events"))
+
+
+def event_transactions(ev: DataFrame) -> DataFrame:
+    """The TXE view of an events table or stream."""
     negative = F.col("event_type").isin("purchase", "error")
     return ev.select(
         F.col("user_id"),

@@ -11,11 +11,11 @@ stream appends to.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions import encode as E
+from ledgerloom.sources.tables import event_transactions
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -36,12 +36,7 @@ def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 def encode_events(events: DataFrame) -> DataFrame:
     """Per-event tokens of a (batch or streaming) events DataFrame, using the
     same view as the batch queries (signed amount, origin, description)."""
-    negative = F.col("event_type").isin("purchase", "error")
-    tx = events.select(
-        "user_id", F.col("event_id").alias("tx_id"), F.col("ts").alias("date"),
-        F.when(negative, -F.col("value")).otherwise(F.col("value")).alias("amount"),
-        F.when(F.col("event_type").isin("purchase", "click"), F.lit("card")).otherwise(F.lit("account")).alias("origin"),
-        F.concat(F.col("event_type"), F.lit(".com")).alias("description"))
+    tx = event_transactions(events)
     return tx.select("user_id", "tx_id", "date",
                      E.transaction_tokens("amount", "date", "description").alias("tokens"),
                      E.spaced_transaction_string("origin", "amount", "date", "description").alias("spaced"))
