@@ -17,8 +17,8 @@ from ledgerloom.operators.ranking import global_index
 
 # ---------------------------------------------------------------------------
 # Special-token catalogs of the three pipeline variants.
-# "replication": [PAD] [UNK], sign, 21 amount bins, 12 months, 31 days, 7 weekdays, [SEP]
-# "adaptation":  [PAD] [UNK], origin, sign, 6 amount ranges, months, days, weekdays, [SEP]
+# "binned": [PAD] [UNK], sign, 21 amount bins, 12 months, 31 days, 7 weekdays, [SEP]
+# "spaced":  [PAD] [UNK], origin, sign, 6 amount ranges, months, days, weekdays, [SEP]
 # "tagged":      <PAD> <SOS> <EOS> <EOT> <UNK>
 TAGGED_SPECIALS = ["<PAD>", "<SOS>", "<EOS>", "<EOT>", "<UNK>"]
 ORIGIN_TOKENS = ["<account>", "<card>"]
@@ -26,15 +26,15 @@ SIGN_TOKENS = ["<INFLOW>", "<OUTFLOW>"]
 # ---------------------------------------------------------------------------
 
 
-def special_token_list(variant: str = "replication") -> list[str]:
+def special_token_list(variant: str = "binned") -> list[str]:
     """The ordered special tokens of a variant (ids = list positions)."""
     months = [f"{MONTH}{m}>" for m in range(1, 13)]
     days = [f"{DAY}{d}>" for d in range(1, 32)]
     weekdays = [f"{WEEKDAY}{w}>" for w in range(7)]
-    if variant == "replication":
+    if variant == "binned":
         amounts = [f"{AMOUNT}{i}>" for i in range(len(AMOUNT_EDGES))]
         return [PAD, UNK] + SIGN_TOKENS + amounts + months + days + weekdays + [SEP]
-    if variant == "adaptation":
+    if variant == "spaced":
         amounts = [f"{AMOUNT}{r}>" for r in AMOUNT_RANGES_6]
         return [PAD, UNK] + ORIGIN_TOKENS + SIGN_TOKENS + amounts + months + days + weekdays + [SEP]
     if variant == "tagged":
@@ -42,7 +42,7 @@ def special_token_list(variant: str = "replication") -> list[str]:
     raise ValueError(f"unknown variant {variant!r}")
 
 
-def special_tokens(spark: SparkSession, variant: str = "replication") -> DataFrame:
+def special_tokens(spark: SparkSession, variant: str = "binned") -> DataFrame:
     """U1 as a DataFrame (token, id, is_special): the list, exploded with its places as ids."""
     toks = special_token_list(variant)
     arr = F.array(*[F.lit(t) for t in toks])
@@ -50,7 +50,7 @@ def special_tokens(spark: SparkSession, variant: str = "replication") -> DataFra
             .select("token", F.col("id").cast("int").alias("id"), F.lit(True).alias("is_special")))
 
 
-def word_vocabulary(spark: SparkSession, words: DataFrame, variant: str = "replication",
+def word_vocabulary(spark: SparkSession, words: DataFrame, variant: str = "binned",
                     word_col: str = "word") -> DataFrame:
     """Specials first, then each distinct word in code-point order.
 

@@ -335,14 +335,14 @@ def _txe_words(spark, sf):
 
 
 def txe_vocab(spark, sf):
-    return V.word_vocabulary(spark, _txe_words(spark, sf), "replication")
+    return V.word_vocabulary(spark, _txe_words(spark, sf), "binned")
 
 
 # The catalogs, written out so that the oracle does not lean on the operator.
 _MDW_SQL = """list_transform(range(1, 13), lambda m: '<MONTH_' || m || '>'), list_transform(range(1, 32), lambda d: '<DAY_' || d || '>'),
   list_transform(range(7), lambda w: '<WEEKDAY_' || w || '>'), ['[SEP]']"""
 _SPECIALS_SQL = f"""flatten([['[PAD]', '[UNK]', '<INFLOW>', '<OUTFLOW>'], list_transform(range(21), lambda a: '<AMOUNT_' || a || '>'), {_MDW_SQL}])"""
-_ADAPTATION_SQL = f"""flatten([['[PAD]', '[UNK]', '<account>', '<card>', '<INFLOW>', '<OUTFLOW>', '<AMOUNT_0-10>', '<AMOUNT_10-50>',
+_SPACED_SQL = f"""flatten([['[PAD]', '[UNK]', '<account>', '<card>', '<INFLOW>', '<OUTFLOW>', '<AMOUNT_0-10>', '<AMOUNT_10-50>',
   '<AMOUNT_50-100>', '<AMOUNT_100-500>', '<AMOUNT_500-1000>', '<AMOUNT_1000+>'], {_MDW_SQL}])"""
 _TAGGED_SQL = "['<PAD>', '<SOS>', '<EOS>', '<EOT>', '<UNK>']"
 _TXE_VOCAB = f"""SELECT token, CAST(id AS INTEGER) AS id FROM (
@@ -371,11 +371,11 @@ def _catalog_usage(spark, texts, variant):
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query("special_catalog_spaced", _catalog_usage_sql(_ADAPTATION_SQL, f"SELECT {Q.spaced('origin', 'amount', 'date', 'description')} AS txt FROM ({Q.TXE})"))
+@query("special_catalog_spaced", _catalog_usage_sql(_SPACED_SQL, f"SELECT {Q.spaced('origin', 'amount', 'date', 'description')} AS txt FROM ({Q.TXE})"))
 def q_catalog_spaced(spark, sf):
     """U1, spaced form: its catalog, with the number of transactions that hold each token."""
     tx = T.transactions_from_events(spark, sf)
-    return _catalog_usage(spark, tx.select(E.spaced_transaction_string("origin", "amount", "date", "description").alias("txt")), "adaptation")
+    return _catalog_usage(spark, tx.select(E.spaced_transaction_string("origin", "amount", "date", "description").alias("txt")), "spaced")
 
 
 @query("special_catalog_tagged", _catalog_usage_sql(_TAGGED_SQL, f"""SELECT '<SOS>' || string_agg({Q.tagged('type', 'amount', 'hour', 'day', 'month', 'day_week', 'merchant')}, '<EOT>') || '<EOS>' AS txt
@@ -393,7 +393,7 @@ FROM (SELECT unnest({_SPECIALS_SQL}) AS token, CAST(generate_subscripts({_SPECIA
 LEFT JOIN (SELECT unnest(seq) AS tok FROM ({_TXE_SEQ})) t ON t.tok = v.token
 GROUP BY v.token, v.id""")
 def q_special_usage(spark, sf):
-    sp = V.special_tokens(spark, "replication")
+    sp = V.special_tokens(spark, "binned")
     used = S.tokens_long(txe_sequences(spark, sf), "user_id").groupBy("token").agg(F.count(F.lit(1)).alias("n_used"))
     # the special catalog has a fixed size (76 rows): broadcast is bounded
     return used.join(F.broadcast(sp), "token", "right").select(
@@ -620,7 +620,7 @@ def q_word_histogram(spark, sf):
     return B.word_histogram(T.table(spark, sf, "documents"), "text")
 
 
-_SPACED_SPECIALS = V.special_token_list("adaptation")
+_SPACED_SPECIALS = V.special_token_list("spaced")
 
 
 @query("special_aware_split", f"""SELECT tx_id, array_to_string(regexp_extract_all(
@@ -687,8 +687,8 @@ _PLAIN = r"\w+|[^\w\s]+"
 
 
 def txr_bpe(spark, sf, vocab_size=10000):
-    """The replication tokenizer: trained on distinct descriptions only."""
-    return B.train_bpe(spark, txr_description_histogram(spark, sf), vocab_size, V.special_token_list("replication"))
+    """The tokenizer of the binned form: trained on distinct descriptions only."""
+    return B.train_bpe(spark, txr_description_histogram(spark, sf), vocab_size, V.special_token_list("binned"))
 
 
 @query("bpe_merges", f"WITH {_bpe_sql(_DESC_HIST, _SPECIALS_SQL, 10000)} {_MERGES}")
@@ -710,7 +710,7 @@ def _encoded_descriptions(spark, sf):
     d = txr_descriptions(spark, sf)
     d = hold(d)
     return d, B.encode_texts(d, ["description"], "description", B.train_bpe(
-        spark, B.word_histogram(d, "description"), 10000, V.special_token_list("replication")))
+        spark, B.word_histogram(d, "description"), 10000, V.special_token_list("binned")))
 
 
 @query("bpe_encode", f"""WITH {_bpe_sql(_DESC_HIST, _SPECIALS_SQL, 10000)},
@@ -1087,7 +1087,7 @@ def q_batch_scoring(spark, sf):
 
 @query("distinct_descriptions", f"""SELECT DISTINCT description FROM ({Q.TXR}) WHERE description IS NOT NULL""")
 def q_distinct_descriptions(spark, sf):
-    """The tokenizer corpus of the replication pipeline."""
+    """The tokenizer corpus of the binned form."""
     return txr_descriptions(spark, sf).where(F.col("description").isNotNull())
 
 
@@ -1117,7 +1117,7 @@ def tagged_corpus(spark, sf):
 
 
 def history_bpe(spark, sf, corpus):
-    return B.train_bpe(spark, B.word_histogram(corpus, "transaction_history"), 10000, V.special_token_list("adaptation"))
+    return B.train_bpe(spark, B.word_histogram(corpus, "transaction_history"), 10000, V.special_token_list("spaced"))
 
 
 def tagged_bpe(spark, sf, corpus):
@@ -1134,7 +1134,7 @@ _TAGGED_HIST = f"SELECT w AS word, count(*) AS cnt FROM (SELECT unnest(regexp_ex
 _SPACED_PATTERN = r"<account>|<card>|<INFLOW>|<OUTFLOW>|<AMOUNT_(?:0-10|10-50|50-100|100-500|500-1000|1000\+)>|<MONTH_(?:1[0-2]|[1-9])>|<DAY_(?:[12][0-9]|3[01]|[1-9])>|<WEEKDAY_[0-6]>|\[(?:PAD|UNK|SEP)\]|" + _PLAIN
 
 
-@query("bpe_merges_history", f"WITH {_bpe_sql(_HISTORY_HIST, _ADAPTATION_SQL, 10000)} {_MERGES}")
+@query("bpe_merges_history", f"WITH {_bpe_sql(_HISTORY_HIST, _SPACED_SQL, 10000)} {_MERGES}")
 def q_bpe_history(spark, sf):
     """B5 on the spaced history strings (vocab 10000)."""
     return history_bpe(spark, sf, hold(history_corpus(spark, sf))).merges
@@ -1146,14 +1146,14 @@ def q_bpe_tagged(spark, sf):
     return tagged_bpe(spark, sf, hold(tagged_corpus(spark, sf))).merges
 
 
-@query("bpe_encode_history", f"""WITH {_bpe_sql(_HISTORY_HIST, _ADAPTATION_SQL, 10000)},
-e AS ({_encode_sql(_HISTORY, "user_id, chunk", "tokens", _SPACED_PATTERN, _ADAPTATION_SQL)})
+@query("bpe_encode_history", f"""WITH {_bpe_sql(_HISTORY_HIST, _SPACED_SQL, 10000)},
+e AS ({_encode_sql(_HISTORY, "user_id, chunk", "tokens", _SPACED_PATTERN, _SPACED_SQL)})
 SELECT user_id, chunk, {_IDS} AS ids FROM e, fin""")
 def q_encode_history(spark, sf):
     """Every chunk of the history strings as ids, specials whole (their
     chunks end at a space, so a chunk's ids are its part of the whole's)."""
     corpus = hold(history_corpus(spark, sf))
-    enc = B.encode_texts(corpus, ["user_id", "chunk"], "transaction_history", history_bpe(spark, sf, corpus), V.special_token_list("adaptation"))
+    enc = B.encode_texts(corpus, ["user_id", "chunk"], "transaction_history", history_bpe(spark, sf, corpus), V.special_token_list("spaced"))
     return enc.select("user_id", "chunk", F.array_join("ids", ",").alias("ids"))
 
 

@@ -41,7 +41,7 @@ def train_description_tokenizer(spark: SparkSession, tx: DataFrame, cfg: Pretrai
     """L1 tokenizer: BPE over the distinct non-null descriptions."""
     d = tx.select("description").where(F.col("description").isNotNull()).distinct()
     return B.train_bpe(spark, B.word_histogram(d, "description"), cfg.vocab_size,
-                       V.special_token_list("replication"))
+                       V.special_token_list("binned"))
 
 
 def encode_transactions(tx: DataFrame, model: B.BpeModel, order_cols=("date", "tx_id")) -> DataFrame:

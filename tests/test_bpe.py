@@ -89,7 +89,7 @@ def test_string_pipeline_tokenizers_equal_library(spark):
     sf = "/root/testdata/sf0.001"
     for corpus_df, col, specials, vs in [
         (C.tagged_corpus(spark, sf), "sequence", V.special_token_list("tagged"), 1000),
-        (C.history_corpus(spark, sf), "transaction_history", V.special_token_list("adaptation"), 10000),
+        (C.history_corpus(spark, sf), "transaction_history", V.special_token_list("spaced"), 10000),
     ]:
         assert corpus_df.agg(F.max("chunk")).first()[0] == 0  # whole strings at this scale
         corpus = [r[0] for r in corpus_df.select(col).collect()]
@@ -153,7 +153,7 @@ def test_string_pipelines_encode_like_the_library(spark):
     from ledgerloom.plans import catalog as C
     sf = "/root/testdata/sf0.001"
     for q, corpus, key, col, variant, size, unk in [
-        (C.q_encode_history, C.history_corpus, "user_id", "transaction_history", "adaptation", 10000, None),
+        (C.q_encode_history, C.history_corpus, "user_id", "transaction_history", "spaced", 10000, None),
         (C.q_encode_tagged, C.tagged_corpus, "client_id", "sequence", "tagged", 1000, "<UNK>"),
     ]:
         texts = {r[key]: r[col] for r in corpus(spark, sf).collect()}
@@ -170,7 +170,7 @@ def test_user_sequences_equal_library(spark):
     from ledgerloom.sources import tables as T
     sf = "/root/testdata/sf0.001"
     tx = T.transactions_from_events(spark, sf)
-    specials = V.special_token_list("replication")
+    specials = V.special_token_list("binned")
     rows = tx.where("user_id is not null").select("user_id", "date", "tx_id", "description", E.attribute_tokens("amount", "date").alias("a")).collect()
     tok, vocab, _ = _library([d for d in {r.description for r in rows} if d], 10000, specials)
     want = {}

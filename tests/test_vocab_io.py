@@ -10,8 +10,8 @@ from ledgerloom.sources import io
 
 
 def test_special_catalog_sizes(spark):
-    assert len(V.special_token_list("replication")) == 76
-    assert len(V.special_token_list("adaptation")) == 63
+    assert len(V.special_token_list("binned")) == 76
+    assert len(V.special_token_list("spaced")) == 63
     assert V.special_token_list("tagged") == ["<PAD>", "<SOS>", "<EOS>", "<EOT>", "<UNK>"]
     sp = V.special_tokens(spark).orderBy("id").collect()
     assert sp[0].token == "[PAD]" and sp[1].token == "[UNK]" and sp[-1].token == "[SEP]" and sp[-1].id == 75
