@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     one = signed.where("class is not null").dropDuplicates(["class"])
     each = one.select("class", "n_shingles", F.posexplode("bands").alias("band", "hash"))
     shared = each.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(each.join(shared, ["band", "hash"]), "members")
+    # written, so that the join has a shuffle of its own and a large bucket's rows can be split
+    members = staged(each.join(staged(shared, "buckets"), ["band", "hash"]), "members")
     wanted = members.select("class").distinct().join(classes, "class").select("class", "of.*")
     text_of = src.select(F.coalesce("doc_id", F.lit(common.LAST)).alias("oid"), "key", "text")
     texts = staged(text_of.join(wanted, ["oid", "key"]).dropDuplicates(["class"]).select("class", "text"), "texts")

@@ -212,7 +212,8 @@ def repeated_spans(src: DataFrame, width: int) -> DataFrame:
     seg = staged(src.select("doc", "key", "text").mapInArrow(_segmenter(width), SEGMENT), "segments")
     shared = seg.groupBy("symbol").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("segment").alias("s0"), F.max("segment").alias("s1")) \
         .where("d0 != d1").select("symbol", "d0", (F.col("s0") != F.col("s1")).alias("mixed"))
-    seg = staged(seg.join(shared, "symbol"), "shared")
+    # written, so that the join has a shuffle of its own and a very frequent symbol's rows can be split
+    seg = staged(seg.join(staged(shared, "symbols"), "symbol"), "shared")
 
     first = seg.where("mixed").groupBy("symbol", "segment").agg(F.min(F.struct("doc", "key", "at", "n")).alias("of"))
     todo = first.select("of.doc", "of.key", F.struct("of.at", "of.n", "symbol", "segment", F.col("of.doc").alias("least")).alias("cell")) \
@@ -222,6 +223,7 @@ def repeated_spans(src: DataFrame, width: int) -> DataFrame:
     least = windows.groupBy("symbol", "window").agg(F.min("least").alias("d0"))
     per = windows.join(least, ["symbol", "window"]).groupBy("symbol", "segment").agg(F.array_sort(F.collect_list(F.struct("off", "d0"))).alias("mins"))
 
+    per = staged(per, "mins")
     whole = seg.where("not mixed and d0 < doc").select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n") + (width - 1)).alias("b"))
     some = seg.where("mixed").select("doc", "key", "at", "symbol", "segment").join(per, ["symbol", "segment"]) \
         .select("doc", "key", "at", F.explode("mins").alias("m")).where("m.d0 < doc") \

@@ -227,7 +227,8 @@ def repeated_spans(src: DataFrame, width: int, part: int) -> DataFrame:
     seg = staged(src.select("doc", "key", "text").mapInArrow(_segmenter(width, part), SEGMENT), "segments")
     shared = seg.groupBy("symbol").agg(F.count(F.lit(1)).alias("c"), F.min("segment").alias("s0"), F.max("segment").alias("s1")) \
         .where("c > 1").select("symbol", (F.col("s0") != F.col("s1")).alias("mixed"))
-    seg = staged(seg.join(shared, "symbol"), "shared")
+    # written, so that the join has a shuffle of its own and a very frequent symbol's rows can be split
+    seg = staged(seg.join(staged(shared, "symbols"), "symbol"), "shared")
 
     first = staged(seg.where("mixed").groupBy("symbol", "segment").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "key", "at", "n", "anchor")).alias("of")), "distinct")
     large = first.groupBy("symbol").agg(F.count(F.lit(1)).alias("v")).select("symbol", (F.col("v") > MANY).alias("many"))

@@ -48,14 +48,14 @@ def base32_sha1(text: Column) -> Column:
 
 def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type,
-    refers_to. The digests are counted before the join, so a payload held by
-    a third of all pages is one row a task there; in the join its rows may be
-    split by adaptive execution."""
+    refers_to. The digests' largest ids are found before the join, so a payload
+    held by a third of all pages is one row a task there; they are written, so
+    the join has shuffles of its own and that payload's rows can be split."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"),
                      F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     top = p.groupBy("payload_digest").agg(F.max("page_id").alias("top")).withColumnRenamed("payload_digest", "d")
-    j = p.join(top, F.col("payload_digest") == F.col("d")).drop("d")
+    j = p.join(common.staged(top, "digests"), F.col("payload_digest") == F.col("d")).drop("d")
     again = (F.col("payload_bytes") >= least_bytes) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return j.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("top"))).drop("top")
 
