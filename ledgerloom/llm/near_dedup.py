@@ -32,7 +32,7 @@ from ledgerloom.llm import common
 from ledgerloom.llm.common import mix, staged
 from ledgerloom.llm.components import components
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 SIGNED = "doc_id long, key long, n_shingles long, class string, bands array<long>"
 
 

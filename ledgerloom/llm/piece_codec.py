@@ -248,6 +248,7 @@ def _coder(model_bytes: bytes, cache_units: int, digest: bool):
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, 256) for c in batch.columns[1:]),
                                                   *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))],
                                                  names=[*batch.schema.names[1:], *names])
+        cache.older = {}  # other tasks of this worker may need the memory
     return code
 
 
@@ -258,7 +259,7 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str, *, cache_units: int = 400_000, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str, *, cache_units: int = 200_000, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole ``text`` of ``docs`` with the model file.
 
     Returns doc_id, the columns ``keep``, ids and decoded (or with ``digest``
