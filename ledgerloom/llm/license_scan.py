@@ -3,8 +3,9 @@
 A text compresses far better when the compressor already knows its wording.
 Around every cue word a candidate block is compressed by zstandard alone and
 with each license template as raw dictionary; templates are ranked by the
-bytes they save. The best ones are then compared word by word:
-a winner is confirmed if few words are missing, added or changed.
+bytes they save. Every one that saves enough is then compared word by word:
+it is confirmed if few words are missing, added or changed; the rank only
+decides between equals.
 """
 
 from __future__ import annotations
@@ -54,7 +55,6 @@ WORD = re.compile(r"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
 
 LEAST_SAVING = 0.40       # bytes that a template must save, as a share of its own compressed size
 MOST_DIFFERENT = 0.10     # words missing, added or changed, as a share of the template's
-TRIED = 5                 # best-ranked templates whose wording is compared
 OUT = "doc_id long, found array<struct<license:string,start:int,end:int,saving:int,different:int>>"
 
 
@@ -91,6 +91,15 @@ class Scanner:
         _, t, words, _ = self.wordings[k]
         lo = max(0, cue - len(t) - 40)
         near = [(m[0].lower(), lo + m.start(), lo + m.end()) for m in WORD.finditer(text[lo:cue + len(t) + 40])]
+        if hit := self.aligned(near, cue, words):
+            return hit
+        # a like notice next to this one drew the alignment to itself: only where the cue word is the wording's
+        at, slack = next((i for i, (_, _, end) in enumerate(near) if cue < end), 0), int(MOST_DIFFERENT * len(words))
+        hits = [hit for j, w in enumerate(words) if near and w == near[at][0]
+                if (hit := self.aligned(near[max(0, at - j - slack):at - j + len(words) + slack], cue, words))]
+        return min(hits, key=lambda h: h[2], default=None)
+
+    def aligned(self, near: list[tuple[str, int, int]], cue: int, words: list[str]) -> tuple[int, int, int] | None:
         blocks = [b for b in difflib.SequenceMatcher(None, [w for w, _, _ in near], words, autojunk=False).get_matching_blocks() if b.size]
         # stray words far from the body are no part of it
         body = max(blocks, key=lambda b: b.size, default=None)
@@ -109,7 +118,7 @@ class Scanner:
         for m in CUE.finditer(text):
             if found and m.start() < found[-1][1]:
                 continue
-            hits = [(hit[2] / len(self.wordings[k][2]), rank, k, saving, hit) for rank, (saving, k) in enumerate(self.candidates(text, m.start())[:TRIED])
+            hits = [(hit[2] / len(self.wordings[k][2]), rank, k, saving, hit) for rank, (saving, k) in enumerate(self.candidates(text, m.start()))
                     if (hit := self.confirm(text, m.start(), k))]
             if hits:  # the fewest differing words, then the better rank
                 _, _, k, saving, (start, end, different) = min(hits)

@@ -357,6 +357,18 @@ def test_licenses(spark, docs, none):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).collect() == []
 
 
+def test_adjacent_licenses():
+    s = license_scan.Scanner()
+    cc, gpl = license_scan.TEMPLATES["CC-BY-4.0"][1], license_scan.TEMPLATES["GPL-3.0"][0]
+    assert [f[2] for f in s.scan(f"{cc} All rights reserved. {gpl}")] == ["CC-BY-4.0", "All-Rights-Reserved", "GPL-3.0"]
+    notices = [(n, w) for n, ws in license_scan.TEMPLATES.items() for w in ws if len(w) < 100]
+    r = random.Random(9)
+    for a in notices:
+        for b in notices:
+            c = r.choice(notices)
+            assert [f[2] for f in s.scan(f"{a[1]} {b[1]} {c[1]}")] == [a[0], b[0], c[0]]
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline(spark):
