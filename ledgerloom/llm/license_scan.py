@@ -4,8 +4,9 @@ A text compresses far better when the compressor already knows its wording.
 Around every cue word a candidate block is compressed by zstandard alone and
 with each license template as raw dictionary; templates are ranked by the
 bytes they save. Every one that saves enough is then compared word by word:
-it is confirmed if few words are missing, added or changed; the rank only
-decides between equals.
+it is confirmed if few words are missing, added or changed, and none of those
+that tell licenses apart (names and versions); the rank only decides between
+equals.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # License wordings (fixed values): short notices and standard header paragraphs.
+GNU = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+       "the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (GNU.format("program", ":", "Affero ", ",", "3"),),
     "All-Rights-Reserved": ("All rights reserved.",),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -31,15 +35,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", GNU.format("program", ";", "", ";", "2"),),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", GNU.format("program", ":", "", ",", "3"),),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies.",),
+    "LGPL-2.0": (GNU.format("library", ";", "Library ", ";", "2"),),
+    "LGPL-2.1": (GNU.format("library", ";", "Lesser ", ";", "2.1"),),
+    "LGPL-3.0": (GNU.format("program", ":", "Lesser ", ",", "3"),),
     "MIT": (
         "Released under the MIT License.", "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -51,25 +58,42 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 CUE = re.compile(r"licen[sc]e|all rights reserved|permission|redistribut|public domain|free software", re.I | re.A)
-WORD = re.compile(r"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
+WORD = re.compile(r"[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*")
+COMMENT = ("dnl", "rem")  # words that begin a comment line
+# what tells licenses apart, over a wording's plain words: in a text these words stand together, unchanged
+TELLING = re.compile(r"\b(?:gnu (?:\w+ )?general public license|(?:apache|mozilla public|mit) license|creative commons(?: [a-z]+)+ [0-9.]+|cc by(?: [a-z]+)* [0-9.]+"
+                     r"|(?<=version )[0-9.]+|(?<=\bv )[0-9.]+|subject to the following conditions)\b")
 
 LEAST_SAVING = 0.40       # bytes that a template must save, as a share of its own compressed size
 MOST_DIFFERENT = 0.10     # words missing, added or changed, as a share of the template's
 OUT = "doc_id long, found array<struct<license:string,start:int,end:int,saving:int,different:int>>"
 
 
+def plain(word: str) -> str:
+    """In lower case; 2.0 and v2 are 2, licence is license."""
+    w = re.sub(r"^v(?=[0-9])", "", word.lower().replace("licence", "license"))
+    return re.sub(r"(?:\.0)+$", "", w) if w[0].isdigit() else w
+
+
+def telling(words: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of the words that tell licenses apart."""
+    text = " ".join(words)
+    return [(text[:m.start()].count(" "), text[:m.end()].count(" ") + 1) for m in TELLING.finditer(text)]
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES):
         import zstandard
 
         # one-shot frames without a checksum or size: the bytes left are the content's
-        plain = zstandard.ZstdCompressionParameters.from_level(12, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.alone = zstandard.ZstdCompressor(compression_params=plain)
+        bare = zstandard.ZstdCompressionParameters.from_level(12, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.alone = zstandard.ZstdCompressor(compression_params=bare)
         self.wordings = []
         for name, texts in templates.items():
             for t in texts:
                 known = zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.wordings.append((name, t, [w.lower() for w in WORD.findall(t)], zstandard.ZstdCompressor(dict_data=known, compression_params=plain)))
+                self.wordings.append((name, t, [plain(w) for w in WORD.findall(t)], zstandard.ZstdCompressor(dict_data=known, compression_params=bare)))
+        self.telling = [telling(words) for _, _, words, _ in self.wordings]
         self.frame = len(self.alone.compress(b""))
         self.own = [len(self.alone.compress(t.encode())) - self.frame for _, t, _, _ in self.wordings]
 
@@ -90,16 +114,17 @@ class Scanner:
         """(start, end, different words) if the words around the cue are the wording's."""
         _, t, words, _ = self.wordings[k]
         lo = max(0, cue - len(t) - 40)
-        near = [(m[0].lower(), lo + m.start(), lo + m.end()) for m in WORD.finditer(text[lo:cue + len(t) + 40])]
-        if hit := self.aligned(near, cue, words):
+        near = [(plain(m[0]), lo + m.start(), lo + m.end()) for m in WORD.finditer(text[lo:cue + len(t) + 40]) if m[0].lower() not in COMMENT]
+        if hit := self.aligned(near, cue, k):
             return hit
         # a like notice next to this one drew the alignment to itself: only where the cue word is the wording's
         at, slack = next((i for i, (_, _, end) in enumerate(near) if cue < end), 0), int(MOST_DIFFERENT * len(words))
         hits = [hit for j, w in enumerate(words) if near and w == near[at][0]
-                if (hit := self.aligned(near[max(0, at - j - slack):at - j + len(words) + slack], cue, words))]
+                if (hit := self.aligned(near[max(0, at - j - slack):at - j + len(words) + slack], cue, k))]
         return min(hits, key=lambda h: h[2], default=None)
 
-    def aligned(self, near: list[tuple[str, int, int]], cue: int, words: list[str]) -> tuple[int, int, int] | None:
+    def aligned(self, near: list[tuple[str, int, int]], cue: int, k: int) -> tuple[int, int, int] | None:
+        words = self.wordings[k][2]
         blocks = [b for b in difflib.SequenceMatcher(None, [w for w, _, _ in near], words, autojunk=False).get_matching_blocks() if b.size]
         # stray words far from the body are no part of it
         body = max(blocks, key=lambda b: b.size, default=None)
@@ -110,6 +135,9 @@ class Scanner:
         different = max(len(words), last - first) - shared
         if different > MOST_DIFFERENT * len(words) or not near[first][1] <= cue < near[last - 1][2]:
             return None
+        place = {b.b + i: b.a + i for b in blocks for i in range(b.size)}
+        if any(place.get(j) is None or place[j] - place.get(p, -1) != j - p for p, q in self.telling[k] for j in range(p, q)):
+            return None
         return near[first][1], near[last - 1][2], different
 
     def scan(self, text: str) -> list[tuple[int, int, str, int, int]]:

@@ -369,6 +369,26 @@ def test_adjacent_licenses():
             assert [f[2] for f in s.scan(f"{a[1]} {b[1]} {c[1]}")] == [a[0], b[0], c[0]]
 
 
+def test_telling_words():
+    s = license_scan.Scanner()
+    names = lambda t: [f[2] for f in s.scan(f"Foo bar.\n{t}\nOther text")]
+    two, three = license_scan.TEMPLATES["GPL-2.0"][1], license_scan.TEMPLATES["GPL-3.0"][1]
+    for text, want in ((two, "GPL-2.0"), (three, "GPL-3.0")):
+        assert names(text) == names(text.replace("redistribute", "share")) == names(text.replace("License", "Licence")) == names("# " + text.replace(", ", ",\n# ")) == [want]
+        assert names("dnl " + text.replace("GNU ", "GNU\ndnl ")) == [want]
+        assert names(text.replace("GNU ", "GNU Affero ").replace("version 2", "version 3")) == ["AGPL-3.0"]
+    lesser = two.replace("program", "library").replace("GNU ", "GNU Lesser ")
+    assert names(lesser.replace("version 2", "version 2.1")) == ["LGPL-2.1"] and names(lesser.replace("Lesser", "Library")) == ["LGPL-2.0"]
+    assert names(three.replace("GNU ", "GNU Lesser ")) == ["LGPL-3.0"]
+    assert names(three.replace("version 3", "version 4")) == names(three.replace("GNU ", "GNU Other ")) == []
+    cc = license_scan.TEMPLATES["CC-BY-4.0"][1]
+    assert names(cc) == names(cc.replace(" a ", " the ")) == ["CC-BY-4.0"] and names(cc.replace("4.0", "3.0")) == []
+    for more, want in (("NoDerivatives", "ND"), ("NonCommercial-NoDerivatives", "NC-ND"), ("NonCommercial ShareAlike", "NC-SA"), ("ShareAlike", "SA")):
+        assert names(cc.replace("Attribution", f"Attribution-{more}")) == [f"CC-BY-{want}-4.0"]
+    apache = license_scan.TEMPLATES["Apache-2.0"][1]
+    assert names(apache) == names(apache.replace("2.0 (", "2 (")) == ["Apache-2.0"] and names(apache.replace("Version 2.0", "Version 1.1")) == []
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline(spark):
