@@ -1,9 +1,10 @@
 """WARC archives: writing with revisit records, and a reader that salvages.
 
 Writing is DataFrame work: pages with equal payloads are one response (the
-largest page_id) and revisits; each row becomes one record of text, and
-Spark's text writer, with the record end as line separator, writes the
-archives (gzip or plain) to any store it knows. Reading takes whole files
+largest page_id) and revisits; each row becomes one record, and Spark's text
+writer writes the archives to any store it knows: with gzip, each record is a
+member of its own, compressed in the task, and the line separator is an empty
+member; plain records have the record end as line separator. Reading takes whole files
 through Spark's binary reader; a file is as large as its writer made it
 (here one output task's share), and is parsed in one pass.
 
@@ -15,6 +16,7 @@ version line, goes on there, and reports the bytes between as a gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -85,9 +87,37 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 0, compression: str
     id and payload with the largest are all responses; a null page_id never
     is the response others refer to and is a revisit where its payload has
     one; a null or missing url is left out; other columns are ignored. An
-    empty table writes no records.
+    empty table writes no records. With gzip a damaged member costs its own
+    record only.
     """
-    records(with_types(pages, least_bytes)).write.option("lineSep", END).option("compression", compression).text(path)
+    rows = records(with_types(pages, least_bytes))
+    if compression.lower() != "gzip":
+        rows.write.option("lineSep", END).option("compression", compression).text(path)
+        return
+    # the writer copies a string's bytes as they are, and the separator's in the encoding named
+    zipped = rows.mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+    zipped.write.option("lineSep", _member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    _gz_names(pages.sparkSession, path)
+
+
+def _member(raw: bytes) -> bytes:
+    return gzip.compress(raw, 6, mtime=0)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = [_member(v.as_py().encode() + END.encode()) for v in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
+
+
+def _gz_names(spark: SparkSession, path: str) -> None:
+    """The writer took the members for plain text and named the files so."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    folder = of(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in store.listStatus(folder):
+        if f.getPath().getName().endswith(".txt"):
+            store.rename(f.getPath(), of(f.getPath().toString() + ".gz"))
 
 
 # ---------------------------------------------------------------- reading

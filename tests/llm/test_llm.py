@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -227,6 +228,23 @@ def test_warc_text_comes_back(spark, scratch):
         same([(r["target"], r["payload"].decode()) for r in got.collect()], [(u, t) for _, u, t, *_ in rows])
 
 
+def test_salvage_of_written(spark, scratch):
+    rows = [(k, f"http://x/{k}", f"<b>{k} é</b>" * 50, "k", "p") for k in range(40)]
+    warc.write(_pages(spark, rows).coalesce(1), f"{scratch}/written")
+    seen, lost = 0, 0
+    for path in Path(f"{scratch}/written").glob("part-*.gz"):
+        data = path.read_bytes()
+        whole = _names(data)
+        assert gzip.decompress(data).count(b"WARC-Type: ") == len(whole)
+        assert not [x for x in whole if x[0] != "<"]
+        bad = bytearray(data)
+        bad[len(data) // 3] ^= 255
+        left = [x for x in _names(bytes(bad)) if x[0] == "<"]
+        seen, lost = seen + len(whole), lost + len(whole) - len(left)
+        assert set(left) <= set(whole) and len(whole) - len(left) <= 1
+    assert seen == len(rows)
+
+
 def _record(k, payload, digest=True):
     import base64
     d = base64.b32encode(hashlib.sha1(payload if digest else b"other").digest()).decode()
