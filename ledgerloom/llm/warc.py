@@ -125,18 +125,52 @@ def _gz_names(spark: SparkSession, path: str) -> None:
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What the gzip member at ``at`` holds as far as it is sound, the end of
     what was read, and whether the member is whole."""
-    z, out = zlib.decompressobj(31), []
+    z, out, step = zlib.decompressobj(31), [], 65536
     pos = at
     while pos < len(data) and not z.eof:
-        chunk = data[pos:pos + 65536]
+        chunk, before = data[pos:pos + step], z.copy()
         try:
             out.append(z.decompress(chunk))
-        except zlib.error:
+        except zlib.error:  # what came out before the flaw is lost: again in smaller pieces
+            z = before
+            if step > 1:
+                step //= 16
+                continue
+            try:
+                while piece := z.decompress(chunk, 1):
+                    out.append(piece)
+                    chunk = z.unconsumed_tail
+            except zlib.error:
+                pass
             return b"".join(out), pos, False
         pos += len(chunk)
     return b"".join(out), pos - len(z.unused_data), z.eof
 
 
+def _begins(data: bytes, at: int) -> bool:
+    """Is there a gzip member at ``at``: it can be read a while, or at least a version line?"""
+    part = data[at:at + 4096]
+    try:
+        return bool(zlib.decompressobj(31).decompress(part))
+    except zlib.error:
+        return bool(VERSION.match(_inflate(part, 0)[0]))
+
+
+def _plain_after(data: bytes, pos: int, flaw: int, out: bytes) -> int:
+    """The first version line after ``pos`` that is not in ``out`` already, as
+    a block that holds its bytes as they are has it there; -1 if there is none."""
+    seen = 0
+    for m in VERSION.finditer(data, pos + 1):
+        x = m.start()
+        # the bytes after the line, short of a checksum, or those before: a block's own header can lie on one side
+        sides = [(x, min(x + 200, flaw - 16)), (max(pos, x - 100), x + 20)]
+        places = [out.find(data[a:b], seen) for a, b in sides if b <= flaw and b - a >= 64]
+        if max(places, default=-1) < 0:
+            return x
+        seen = min(k for k in places if k >= 0) + 1
+    return -1
+
+
 def _headers(raw: bytes) -> dict[str, str] | None:
     out = {}
     for line in raw.split(b"\r\n"):
@@ -195,10 +229,9 @@ def parse(data: bytes) -> Iterator[tuple[int, int, str, dict | None, bytes]]:
             out, end, sound = _inflate(data, pos)
             if not sound:  # the next member that really is one
                 nxt = data.find(MAGIC, pos + 1)
-                while nxt >= 0 and not _inflate(data[nxt:nxt + 4096], 0)[0]:
+                while nxt >= 0 and not _begins(data, nxt):
                     nxt = data.find(MAGIC, nxt + 1)
-                plain = VERSION.search(data, pos + 1)
-                stops = [x for x in (nxt, plain.start() if plain else -1) if x >= 0]
+                stops = [x for x in (nxt, _plain_after(data, pos, end, out)) if x >= 0]
                 end = min(stops, default=len(data))
             for _, _, fail, head, block in _records(out, sound):
                 yield pos, end, fail, head, block
@@ -207,7 +240,7 @@ def parse(data: bytes) -> Iterator[tuple[int, int, str, dict | None, bytes]]:
             pos = end
             continue
         nxt = data.find(MAGIC, pos)
-        while nxt >= 0 and not _inflate(data[nxt:nxt + 4096], 0)[0]:  # inside a payload, most likely
+        while nxt >= 0 and not _begins(data, nxt):  # inside a payload, most likely
             nxt = data.find(MAGIC, nxt + 1)
         # plain records up to the member, unless a record reaches beyond it
         stop = len(data)

@@ -274,6 +274,27 @@ def test_salvage():
     assert min(a for a, _ in gaps) == len(plain[0]) and max(b for _, b in gaps) == len(data) - len(plain[2])
 
 
+def test_salvage_before_the_flaw():
+    r = random.Random(3)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(700)).encode() for _ in range(15)]
+    plain = [_record(k, t) for k, t in enumerate(texts)]
+    ids = [f"<{k}>" for k in range(15)]
+    for level in (0, 6):
+        member = gzip.compress(b"".join(plain), level)
+        assert len(member) > 65536
+        for data in (member, gzip.compress(plain[0], level)):
+            bad = bytearray(data)
+            bad[-8] ^= 255  # the checksum
+            out, _, sound = warc._inflate(bytes(bad), 0)
+            assert out == gzip.decompress(data) and not sound
+            assert _names(bytes(bad)) == ids[:len(out) // len(plain[0]) or 1] + ["broken member"]
+        bad = bytearray(member)
+        for k in range(64):
+            bad[len(member) * 7 // 10 + k] ^= 255
+        got = [x for x in _names(bytes(bad) + gzip.compress(_record(99, b"last"))) if x[0] == "<"]
+        assert got[:9] == ids[:9] and got[-1] == "<99>" and len(set(got)) == len(got)
+
+
 # ------------------------------------------------------------------ 6
 
 def test_quality_model(spark, docs, none):
