@@ -3,9 +3,10 @@
 A vocabulary learned from natural text packs about four characters of a word
 into one token, but hardly two of a random string. Runs of secret-like
 characters whose characters per token fall below a limit are reported as
-kind ``random``, unless they are known digests or identifiers (content
-hashes of usual lengths, UUIDs, strings that a digest label announces) or a
-pattern has reported them already.
+kind ``random``; of other runs, each stretch that does (the words of a path
+or a name do not hide the key behind them). Known digests or identifiers
+(content hashes of usual lengths, UUIDs, strings that a digest label
+announces) and what a pattern has reported already are left out.
 """
 
 from __future__ import annotations
@@ -27,11 +28,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+LEAST_RUN = 20
+PART = re.compile(r"[A-Za-z0-9+]+")  # between separators
+LEAST_PART = 0.8   # characters of a stretch that are no separators
+MOST_DROP = 6.0    # a stretch ends before tokens that are so many characters above the limit together
 DIGEST_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST_LABEL = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512))[:=-]?$", re.I | re.A)
 SELF_LABELLED = re.compile(r"sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*", re.A)
+INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}(?![A-Za-z0-9])|sha(?:1-[A-Za-z0-9+/]{{27}}|256-[A-Za-z0-9+/]{{43}}|384-[A-Za-z0-9+/]{{64}}|512-[A-Za-z0-9+/]{{86}})(?![A-Za-z0-9+])=*)")
 
 OUT = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -71,19 +77,77 @@ def known_identifier(text: str, start: int, end: int) -> bool:
                 or DIGEST_LABEL.search(text[max(0, start - 8):start]))
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a range without the taken ones (in order of start)."""
+    for a, b in taken:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def identifiers(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Digests and identifiers inside a run."""
+    found = [m.span() for m in INSIDE.finditer(text, start, end)]
+    return sorted(found + [m.span() for m in PART.finditer(text, start, end) if len(m[0]) >= LEAST_RUN and known_identifier(text, *m.span())])
+
+
+def stretches(text: str, start: int, end: int, encoding, most_chars_per_token: float) -> list[tuple[int, int]]:
+    """The stretches of a run that hold few characters per token, separators
+    not counted, widened to whole parts where these do."""
+    tokens, parts = [], []  # (start, end, part), (start, end, characters over the limit)
+    for m in PART.finditer(text, start, end):
+        at = m.start()
+        ids = encoding.encode_ordinary(m[0])
+        for i in ids:
+            n = len(encoding.decode_single_token_bytes(i))
+            tokens.append((at, at + n, len(parts)))
+            at += n
+        parts.append((*m.span(), len(m[0]) - most_chars_per_token * len(ids)))
+    out: list[tuple[int, int]] = []
+    i = 0
+    while i < len(tokens):
+        total, best, last, k = 0.0, 0.0, -1, i
+        while k < len(tokens) and total >= 0 and total > best - MOST_DROP:
+            total += most_chars_per_token - (tokens[k][1] - tokens[k][0])
+            if total > best:
+                best, last = total, k
+            k += 1
+        if last < 0:
+            i += 1
+            continue
+        (a, _, first), (_, b, final) = tokens[i], tokens[last]
+        a = parts[first][0] if parts[first][2] <= 0 else a
+        b = parts[final][1] if parts[final][2] <= 0 else b
+        own = sum(min(b, q) - max(a, p) for p, q, _ in parts[first:final + 1])
+        if b - a >= LEAST_RUN and own >= LEAST_PART * (b - a):
+            b = b if text[b:end].strip("=") else end
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        i = last + 1
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], encoding, most_chars_per_token: float) -> list[tuple[int, int, str]]:
-    if max(map(len, text.split()), default=0) < 20:
+    if max(map(len, text.split()), default=0) < LEAST_RUN:
         return []
     out = []
     for m in RUN.finditer(text):
         s = m[0].rstrip(".")
         start, end = m.start(), m.start() + len(s)
-        if len(s) < 20 or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+        if len(s) < LEAST_RUN or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
             continue
         if any(a < end and start < b for a, b, _ in base) or known_identifier(text, start, end):
             continue
         if len(s) / len(encoding.encode_ordinary(s)) <= most_chars_per_token:
             out.append((start, end, "random"))
+            continue
+        for a, b in outside(start, end, identifiers(text, start, end)):
+            out += [(p, q, "random") for p, q in stretches(text, a, b, encoding, most_chars_per_token)]
     return out
 
 

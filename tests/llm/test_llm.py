@@ -162,6 +162,23 @@ def test_secrets(docs, rows):
         assert row["base_sha256"] == brute.sha("")
 
 
+def _random_in(text):
+    enc = secret_scan._encoding(queries.ranks(), queries.split_pattern())
+    return [text[a:b] for a, b, k in secret_scan.find(text, enc, 2.3) if k == "random"]
+
+
+def test_secrets_behind_words():
+    r = random.Random(8)
+    word = "/service/authentication/callback/session/identifier/"
+    for _ in range(50):
+        key = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz") for _ in range(23)) + "7"
+        for text in (word + key, f"{word}{key}{word}annual_report", f"connection_string_description={key}"):
+            (found,) = _random_in(text)
+            assert key in found
+    assert _random_in(f"{word}123e4567-e89b-12d3-a456-426614174000/profile/settings/notification") == []
+    assert _random_in(f"{word * 4}sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=") == [] and _random_in(word * 3 + "2024/january.txt") == []
+
+
 def test_redaction(docs, none):
     out = secret_scan.redact(docs, queries.ranks(), queries.split_pattern())
     assert out.columns == docs.columns and out.count() == docs.count()
