@@ -29,6 +29,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 LEAST_RUN = 20
+SEPARATORS = "/_=.-"
 PART = re.compile(r"[A-Za-z0-9+]+")  # between separators
 LEAST_PART = 0.8   # characters of a stretch that are no separators
 MOST_DROP = 6.0    # a stretch ends before tokens that are so many characters above the limit together
@@ -136,18 +137,21 @@ def random_spans(text: str, base: list[tuple[int, int, str]], encoding, most_cha
     if max(map(len, text.split()), default=0) < LEAST_RUN:
         return []
     out = []
+    taken = [(a, b) for a, b, _ in base]
     for m in RUN.finditer(text):
-        s = m[0].rstrip(".")
-        start, end = m.start(), m.start() + len(s)
-        if len(s) < LEAST_RUN or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+        run = m.start(), m.start() + len(m[0].rstrip("."))
+        if known_identifier(text, *run):
             continue
-        if any(a < end and start < b for a, b, _ in base) or known_identifier(text, start, end):
-            continue
-        if len(s) / len(encoding.encode_ordinary(s)) <= most_chars_per_token:
-            out.append((start, end, "random"))
-            continue
-        for a, b in outside(start, end, identifiers(text, start, end)):
-            out += [(p, q, "random") for p, q in stretches(text, a, b, encoding, most_chars_per_token)]
+        for start, end in outside(*run, taken):
+            start += start > run[0] and text[start] in SEPARATORS
+            end -= end < run[1] and text[end - 1] in SEPARATORS
+            if end - start < LEAST_RUN or not PART.search(text, start, end) or known_identifier(text, start, end):
+                continue
+            if (end - start) / len(encoding.encode_ordinary(text[start:end])) <= most_chars_per_token:
+                out.append((start, end, "random"))
+                continue
+            for a, b in outside(start, end, identifiers(text, start, end)):
+                out += [(p, q, "random") for p, q in stretches(text, a, b, encoding, most_chars_per_token)]
     return out
 
 
