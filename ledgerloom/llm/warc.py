@@ -301,11 +301,13 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     """Archives of ``pages`` in the shared folder, read back: page_id,
-    payload_bytes, payload_digest, record_type, refers_to."""
+    payload_bytes, payload_digest, record_type, refers_to. A gap in what was
+    just written is an error: its page would be missing."""
     spark = pages.sparkSession
     path = f"{common.shared_dir(spark)}/ledgerloom-warc-{uuid.uuid4().hex}"
     write(pages, path, least_bytes=least_bytes)
     common.delete_at_exit(spark, path)
     number = lambda c: F.regexp_extract(c, f"^{URN}(-?[0-9]+)$", 1).try_cast("long")
-    return read(spark, path, payloads=False).where("kind = 'record'").select(
+    gap = F.raise_error(F.format_string("gap in a new archive: %s, %d bytes at %d of %s", "reason", "length", "position", "file")).cast("boolean")
+    return read(spark, path, payloads=False).where(F.when(F.col("kind") == "record", True).otherwise(gap)).select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -300,6 +300,22 @@ def test_salvage():
     assert min(a for a, _ in gaps) == len(plain[0]) and max(b for _, b in gaps) == len(data) - len(plain[2])
 
 
+def test_round_trip_tells_gaps(spark, monkeypatch):
+    def damaged(pages, path, **options):
+        whole(pages, path, **options)
+        for f in Path(path).glob("part-*"):
+            data = bytearray(f.read_bytes())
+            data[len(data) // 2:len(data) // 2 + 9] = bytes(9)
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+            f.write_bytes(data)
+
+    whole = warc.write
+    monkeypatch.setattr(warc, "write", damaged)
+    rows = [(k, f"http://x/{k}", f"<b>{k} é</b>" * 50, "k", "p") for k in range(40)]
+    with pytest.raises(Exception, match="gap in a new archive"):
+        warc.round_trip(_pages(spark, rows)).collect()
+
+
 def test_salvage_before_the_flaw():
     r = random.Random(3)
     texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(700)).encode() for _ in range(15)]
