@@ -273,18 +273,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     root = components(links)
     of_class = classes.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "root").select("class", "component_id")
+    named = of_class.join(least, "root").select("class", "component_id", "root")
     out = signed.select("doc_id", "key", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", *(["key"] if keep_key else []), "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", *(["key", "root"] if keep_key else []), "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns. Of
-    repeated rows (same id and text) one stays."""
-    kept = near_duplicates(docs, keep_key=True, **options).where("kept").groupBy("doc_id", "key") \
+    repeated rows (same id and text) one stays, as of a group's different texts
+    under one id (or under none). Texts without shingles all stay."""
+    kept = near_duplicates(docs, keep_key=True, **options).where("kept").groupBy("root", "doc_id", "key") \
         .agg(F.count(F.lit(1)).alias("_ll_n"), F.max("n_shingles").alias("_ll_size")).withColumnsRenamed({"doc_id": "_ll_kept", "key": "_ll_text"})
+    alone = F.when(F.col("root").isNull(), F.struct("_ll_kept", "_ll_text"))
+    kept = kept.groupBy("root", alone.alias("alone")).agg(F.min(F.struct("_ll_kept", "_ll_text", "_ll_n", "_ll_size")).alias("of")).select("of.*")
     mine = docs.withColumn("_ll_id", F.col("doc_id").cast("long")).withColumn("_ll_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     j = mine.join(kept, F.col("_ll_id").eqNullSafe(F.col("_ll_kept")) & (F.col("_ll_key") == F.col("_ll_text")))
     own = [F.col(f"`{c}`") for c in docs.columns]

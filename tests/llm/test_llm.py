@@ -77,6 +77,17 @@ def test_representatives(docs, rows):
     assert len(got) == len(want) + word_free
 
 
+def test_representatives_of_one_id(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = lambda *drop: " ".join(w for k, w in enumerate(words) if k not in drop)
+    other = lambda *drop: near(*drop).replace("w", "v")
+    rows = [(7, near()), (7, near(0)), (7, near(199)), (9, near(1)), (7, "quite another text under this id"), (None, other()), (None, other(0)), (7, ""), (None, None), (None, "")]
+    got = near_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert len([r for r in got if r["text"] and r["text"].startswith("w")]) == 1
+    assert [r["doc_id"] for r in got if r["text"] and r["text"].startswith("v")] == [None]
+    assert len(got) == 6 and (7, rows[4][1]) in [tuple(r) for r in got]
+
+
 def test_signatures_estimate():
     import numpy as np
     g = np.random.default_rng(0)
