@@ -100,4 +100,49 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM s"""
 
-ORACLE = {"op1_near_dedup": NEAR, "op2_substring_dedup": PASSAGES, "op5_warc": WARC, "op7_quality_rules": RULES, "op8_decontaminate": BENCHMARK}
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        out.append(c)
+    return out
+
+
+def _hash_part(key: str, k: int) -> str:
+    """The k-th group of 8 hex digits of a key's sha256, as a number."""
+    return f"CAST(('0x' || substr(sha256({key}), {8 * k + 1}, 8)) AS BIGINT)"
+
+
+# CRC-32 byte by byte, of each different feature once.
+IMPORTANCE = f"""WITH d AS (SELECT doc_id, {_words(_LOWER, _ITEM)} AS w FROM documents),
+b AS (SELECT {_words(_LOWER, _ITEM)} AS w FROM benchmark),
+k AS (SELECT unnest([1, 2, 3]) AS k),
+df AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS f FROM d, k, unnest(generate_series(1, len(w) - k + 1)) AS g(i)),
+bf AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS f FROM b, k, unnest(generate_series(1, len(w) - k + 1)) AS g(i)),
+x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+t AS MATERIALIZED (SELECT {_crc_table()}::BIGINT[] AS tab),
+c AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))),
+  lambda a, e: xor(a >> 8, tab[xor(a & 255, e) + 1]))) % 10000 AS bucket FROM x, t),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN c USING (f) GROUP BY bucket),
+tt AS (SELECT bucket, count(*) AS t FROM bf JOIN c USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000)
+  / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM tt)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN tt USING (bucket)),
+w AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM df JOIN c USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(({_hash_part("'42:' || doc_id", 0)}::DOUBLE + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS drawn FROM z WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
+_FIM = ", ".join(f"""{_hash_part("'1:' || doc_id", k)} AS h{k + 1}""" for k in range(4))
+MIDDLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, {_FIM} FROM documents),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, substr(x, 1, a) AS pre, substr(x, a + 1, b - a) AS mid, substr(x, b + 1, n - b) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(x) AS restored_sha256 FROM p"""
+
+ORACLE = {"op1_near_dedup": NEAR, "op2_substring_dedup": PASSAGES, "op5_warc": WARC, "op7_quality_rules": RULES, "op8_decontaminate": BENCHMARK,
+          "op11_importance_resample": IMPORTANCE, "op13_fill_middle": MIDDLE}

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, license_scan, near_dedup, piece_codec, quality_model, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
+from ledgerloom.llm import (decontaminate, fill_middle, importance, license_scan, near_dedup, piece_codec, quality_model, quality_rules, secret_scan, substring_dedup,
+                            suffix_dedup, warc, word_codec)
 from ledgerloom.llm.oracles import ORACLE  # noqa: F401 - registered with the queries
 
 TOKENIZERS = "/opt/tokenizers"  # where the public vocabulary files are
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def split_pattern() -> str:
     import public_tokenizers
 
@@ -73,4 +80,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=200, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_secret_scan, op4_piece_codec, op5_warc, op6_quality_model, op7_quality_rules, op8_decontaminate, op9_license_scan, op10_suffix_dedup)}
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+
+
+def op12_word_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_codec.encode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digest=True)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20, digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_secret_scan, op4_piece_codec, op5_warc, op6_quality_model, op7_quality_rules,
+                                   op8_decontaminate, op9_license_scan, op10_suffix_dedup, op11_importance_resample, op12_word_codec, op13_fill_middle)}
