@@ -52,8 +52,16 @@ class WordTable:
                 or steps[1]["use_regex"] or steps[1]["add_prefix_space"] or any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
             raise ValueError("a byte-level BPE with word ends over lower-cased NFC text is needed")
         self.library = Tokenizer.from_str(data.decode("utf-8"))
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling: dict[str, str] = {}
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern).findall
+        self.ascii_words = self.words
+        plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", " \\t\\n\\v\\f\\r")
+        if "\\p" not in plain:  # the same classes among ASCII characters, for Python's faster matcher
+            faster, chars = re.compile(plain).findall, [chr(c) for c in range(128)]
+            if all(faster(t) == self.words(t) for t in [f"a{x}{y}1'{x}" for x in chars for y in chars]):
+                self.ascii_words = faster
         self.id = model["vocab"]
         self.added = {a["content"]: a["id"] for a in added}
         self.specials = re.compile("|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True))) if added else None
@@ -76,7 +84,7 @@ class WordTable:
             return False
         text = f"a{plain}1{plain}{plain}!"
         got = [t for t, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return got == [self.as_bytes(w)[0][0] for w in self.words(text)]
+        return got == [self.as_bytes(w) for w in self.words(text)]
 
     def pre_tokens(self, text: str) -> list[str]:
         """The pre-tokens of a stretch without added tokens, as plain text."""
@@ -88,7 +96,8 @@ class WordTable:
             if not new.isdisjoint(self.doubted) or not unicodedata.is_normalized("NFC", text):
                 norm = self.library.normalizer.normalize_str(text)
                 return [norm[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(norm)]
-        return self.words(text.lower())
+            return self.words(text.lower())
+        return self.ascii_words(text.lower())
 
     def stretches(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is it an added token, text) from left to right; what is between added
@@ -108,14 +117,46 @@ class WordTable:
 
     # ------------------------------------------------------------ merges
 
+    def as_bytes(self, pre_token: str) -> str:
+        """The library's spelling of a text's bytes, a character each; the spelling
+        of each character is asked for once (there are at most 1.1 million)."""
+        spelling = self.spelling
+        try:
+            return "".join([spelling[ch] for ch in pre_token])
+        except KeyError:
+            for ch in set(pre_token).difference(spelling):
+                spelling[ch] = self.byte_level.pre_tokenize_str(ch)[0][0]
+            return "".join([spelling[ch] for ch in pre_token])
+
     def fragments(self, word: str) -> list[str]:
         """A pre-token (one character a byte) cut at its forced boundaries."""
-        inside, cuts = self.inside, [0]
-        cuts += [k for k in range(1, len(word)) if word[k - 1:k + 1] not in inside]
-        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+        pairs = list(map(str.__add__, word, word[1:]))
+        if self.inside.issuperset(pairs):
+            return [word]
+        cuts = [0, *(k for k, pair in enumerate(pairs, 1) if pair not in self.inside), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def merged(self, sym: list[str]) -> list[str]:
-        """Merges by rank, leftmost first, over the symbols of one fragment."""
+        """Merges by rank, leftmost first, over the symbols of one fragment: the
+        least rank of a short list is looked for anew, a long one has a heap."""
+        if len(sym) > 100:
+            return self._merged_long(sym)
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(pair, none) for pair in zip(sym, sym[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            i = ranks.index(least)
+            sym[i] += sym.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((sym[i - 1], sym[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((sym[i], sym[i + 1]), none)
+        return sym
+
+    def _merged_long(self, sym: list[str]) -> list[str]:
         nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
         heap: list[tuple[int, int, str, str]] = []
 
@@ -140,7 +181,7 @@ class WordTable:
         return [s for s in sym if s]
 
     def tokens(self, pre_token: str) -> list[str]:
-        parts = self.fragments(self.as_bytes(pre_token)[0][0])
+        parts = self.fragments(self.as_bytes(pre_token))
         out: list[str] = []
         for k, part in enumerate(parts):
             sym = list(part)
@@ -223,7 +264,7 @@ def _coder(data: bytes, most: int, digest: bool):
     return code
 
 
-def encode(docs: DataFrame, vocabulary: str, *, cache_words: int = 150_000, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, cache_words: int = 300_000, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole ``text`` of ``docs`` with the vocabulary file
     (about 2 MB, sent with the tasks), as the tokenizers library does without
     special tokens added; strings of added tokens in a text are those tokens.
