@@ -6,23 +6,9 @@ with the highest corpus count, ties going to the smallest (left id, right
 id); a merged string that already exists keeps its id; stop at
 ``vocab_size`` or when no pair is left.
 
-Distributed form. The corpus is reduced to a histogram of distinct words
-(``word_histogram``: explode + map-side combined count), the only step
-that touches the raw text. Each *round* then:
-
-1. counts adjacent pairs over the distinct words (weighted by word count);
-2. takes the exact top ``candidates`` pairs of the ranking (a bounded top-k);
-3. accepts, in rank order, every candidate that the sequential algorithm
-   would provably pick next (see ``_accept``: it shares no symbol with a
-   merge accepted in this round);
-4. applies the accepted merges to all words in one left-to-right pass.
-
-So the merge list equals the one-merge-at-a-time result, while a round
-usually accepts many merges. The working set drops fully merged words,
-is persisted each round and checkpointed (``spark.checkpoint.dir``) every
-few rounds to cut the lineage. Only the round's candidate list (bounded by
-``candidates``) and the learned vocabulary (bounded by ``vocab_size``)
-reach the driver.
+The corpus is reduced to a histogram of distinct words (``word_histogram``:
+explode + map-side combined count), the only step that touches the raw text;
+``bpe_train`` learns the merges from it, ``encode_texts`` applies them.
 """
 
 from __future__ import annotations
@@ -33,15 +19,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.encode import WORD_PATTERN
-from ledgerloom.session import ensure_checkpoint_dir
-
-_KEY = 1 << 32
+from ledgerloom.operators.bpe_train import learn_merges
+from ledgerloom.session import drop_written, written
 
 
 def special_split_pattern(specials: Sequence[str]) -> str:
@@ -133,124 +117,28 @@ class BpeModel:
         return {t: i for i, t in enumerate(self.tokens)}
 
 
-def _accept(cands: list, vocab_len: int, vocab_size: int, min_frequency: int, tokens: list[str],
-            token_id: dict[str, int]) -> list[tuple[int, int, int]]:
-    """Pick this round's merges from the exact top of the ranking.
-
-    ``cands`` are (cnt, left, right) in rank order (count desc, left, right).
-    After merging accepted pairs, only two kinds of pair can change rank:
-    pairs touching a merged symbol (their counts only drop) and new pairs
-    holding a merged token, whose count is at most that of the pair they grow
-    from, e.g. count(x, ab) <= count(x, a). For a new pair to outrank
-    candidate j, the pair it grows from must already rank before j, i.e. be
-    an accepted merge; accepted merges share no symbol, so that happens only
-    for a self pair (a, a). Hence candidate j is the sequential algorithm's
-    next pick when it shares no symbol with the accepted merges and no
-    accepted self pair ranks at or above its count. A merged string that
-    already exists keeps its (possibly small) id; the round ends there.
-    Returns (left, right, new_id) in merge order.
-    """
-    accepted: list[tuple[int, int, int]] = []
-    used: set[int] = set()
-    self_pair_count = 0
-    n = vocab_len
-    for cnt, left, right in cands:
-        if n >= vocab_size or cnt < max(min_frequency, 1):
-            break
-        if accepted and (left in used or right in used or self_pair_count >= cnt):
-            break
-        merged = tokens[left] + tokens[right]
-        existing = token_id.get(merged)
-        if existing is None:
-            new_id = n
-            tokens.append(merged)
-            token_id[merged] = new_id
-            n += 1
-        else:
-            new_id = existing
-        accepted.append((left, right, new_id))
-        used.update((left, right))
-        if left == right:
-            self_pair_count = max(self_pair_count, cnt)
-        if existing is not None:
-            break
-    return accepted
-
-
-def _apply_merges(words: DataFrame, accepted: list[tuple[int, int, int]]) -> DataFrame:
-    """One left-to-right pass: at each position, if (sym[i], sym[i+1]) is an
-    accepted pair, emit the merged id and skip the next symbol. Accepted
-    pairs share no symbol, so this equals applying them one after another."""
-    m = F.create_map(*[x for (l, r, nid) in accepted for x in (F.lit(l * _KEY + r), F.lit(nid))])
-    sym = F.col("sym")
-    n = F.size(sym)
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(False).alias("skip"))
-
-    def step(acc, i):
-        cur = F.try_element_at(sym, i + 1)
-        nxt = F.try_element_at(sym, i + 2)
-        hit = F.try_element_at(m, cur.cast("bigint") * F.lit(_KEY) + nxt.cast("bigint"))
-        take = F.when(acc["skip"], acc["out"]).when(hit.isNotNull(), F.array_append(acc["out"], hit)) \
-                .otherwise(F.array_append(acc["out"], cur))
-        return F.struct(take.alias("out"), (~acc["skip"] & hit.isNotNull()).alias("skip"))
-
-    folded = F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: acc["out"])
-    return words.select("cnt", folded.alias("sym"))
-
-
 def train_bpe(spark: SparkSession, histogram: DataFrame, vocab_size: int, specials: Sequence[str] = (),
-              min_frequency: int = 0, candidates: int = 512, checkpoint_every: int = 8) -> BpeModel:
-    """Learn merges from a (word, cnt) histogram."""
-    ensure_checkpoint_dir(spark)
+              min_frequency: int = 0, stats: dict | None = None) -> BpeModel:
+    """Learn merges from a (word, cnt) histogram (see ``bpe_train``)."""
     tokens: list[str] = []
     token_id: dict[str, int] = {}
     for s in specials:
         if s not in token_id:
             token_id[s] = len(tokens)
             tokens.append(s)
-    hist = histogram.where(F.col("word").isNotNull() & (F.length("word") > 0))
-    chars = hist.select(F.explode(char_symbols("word")).alias("ch")).distinct()
-    # the alphabet is bounded by the number of distinct characters
-    alphabet = sorted((r["ch"] for r in chars.collect()), key=lambda ch: ord(ch))
-    for ch in alphabet:
-        if ch not in token_id:
-            token_id[ch] = len(tokens)
-            tokens.append(ch)
-
-    # words as int symbol lists; the char -> id map is the alphabet (bounded)
-    char_map = F.create_map(*[x for ch in alphabet for x in (F.lit(ch), F.lit(token_id[ch]))])
-    words = hist.select(F.col("cnt").cast("bigint").alias("cnt"),
-                        F.transform(char_symbols("word"), lambda c: F.element_at(char_map, c)).alias("sym"))
-    words = words.where(F.size("sym") > 1).persist(StorageLevel.MEMORY_AND_DISK)
-
-    merges: list[tuple[str, str, str]] = []
-    rounds = 0
-    prev = None
-    while len(tokens) < vocab_size:
-        # one job: (merges of the last round applied) -> pair counts -> exact top-k
-        rows = pair_counts(words).orderBy(F.desc("cnt"), "left", "right").limit(candidates).collect()
-        if not rows:
-            break
-        cands = [(r["cnt"], r["left"], r["right"]) for r in rows]
-        accepted = _accept(cands, len(tokens), vocab_size, min_frequency, tokens, token_id)
-        if not accepted:
-            break
-        merges.extend((tokens[l], tokens[r], tokens[nid]) for l, r, nid in accepted)
-        rounds += 1
-        nxt = _apply_merges(words, accepted).where(F.size("sym") > 1)
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if prev is not None:
-            prev.unpersist()
-        prev = words
-        words = nxt
-    if prev is not None:
-        prev.unpersist()
-    words.unpersist()
-    model = BpeModel(tokens=tokens, specials=list(specials), merges_list=merges, rounds=rounds)
-    return attach_frames(spark, model)
+    path, hist = written(histogram.where(F.col("word").isNotNull() & (F.length("word") > 0)), "histogram")
+    try:
+        chars = hist.select(F.explode(char_symbols("word")).alias("ch")).distinct()
+        # the alphabet is bounded by the number of distinct characters
+        for ch in sorted(r["ch"] for r in chars.collect()):
+            if ch not in token_id:
+                token_id[ch] = len(tokens)
+                tokens.append(ch)
+        counted = {} if stats is None else stats
+        merges = learn_merges(spark, hist, tokens, token_id, vocab_size, min_frequency=min_frequency, stats=counted)
+    finally:
+        drop_written(spark, path)
+    return attach_frames(spark, BpeModel(tokens=tokens, specials=list(specials), merges_list=merges, rounds=counted["rounds"]))
 
 
 def attach_frames(spark: SparkSession, model: BpeModel) -> BpeModel:

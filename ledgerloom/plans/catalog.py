@@ -698,6 +698,14 @@ def q_bpe_merges(spark, sf):
     return txr_bpe(spark, sf).merges
 
 
+@query("bpe_merges_documents")
+def q_bpe_merges_documents(spark, sf):
+    """B5 at length: about 2,100 merges over all words of the documents, equal
+    to the tokenizers library's (tests/test_bpe_train.py)."""
+    words = B.word_histogram(T.table(spark, sf, "documents"), "text")
+    return B.train_bpe(spark, words, 2200, ["[PAD]", "[UNK]"]).merges
+
+
 @query("bpe_vocabulary", f"""WITH {_bpe_sql(_DESC_HIST, _SPECIALS_SQL, 10000)}
 SELECT token, CAST(i - 1 AS INTEGER) AS id, list_contains({_SPECIALS_SQL}, token) AS is_special
 FROM (SELECT unnest(vocab) AS token, generate_subscripts(vocab, 1) AS i FROM fin)""")

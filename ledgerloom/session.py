@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -82,3 +83,18 @@ def hold(df: DataFrame) -> DataFrame:
 def release_held() -> None:
     while _HELD:
         _HELD.pop().unpersist()
+
+
+def written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
+    """``df`` as a Parquet table in the shared checkpoint folder: (its path, the
+    table read back). It cuts the lineage and survives executors; whoever
+    asked for it calls ``drop_written``."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
