@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -164,8 +165,16 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return data + up.astype(np.uint8) * np.uint8(32)
 
 
+#: Words up to this many bytes take the vectorised hash. Modulo 2**64 a polynomial
+#: cannot tell some long words of two letters apart, so longer ones take XXH3.
+SHORT_WORD = 32
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(_BYTE[data]), starts, ends)
+    out = span_hash(prefix_sums(_BYTE[data]), starts, ends)
+    for i in np.flatnonzero(ends - starts > SHORT_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]])
+    return out
 
 
 def byte_sums(data: np.ndarray) -> np.ndarray:
