@@ -64,6 +64,8 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label",
        negatives (one row per partition) give broadcast prefix offsets;
     3. negatives below each score = partition offset + running sum inside
        the partition, both from one range shuffle; then one aggregate.
+
+    Where one of the classes has no row, the area is not defined: ``auc`` is null.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
     y = F.col(label).cast("int")
@@ -81,7 +83,7 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label",
                   .join(F.broadcast(offs), "_p")
     u = F.sum(F.col("pos") * (F.col("_off") + F.col("_below") + F.col("neg") / 2.0))
     tot = below.agg(u.alias("_u"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    return tot.select((F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auc"),
+    return tot.select(F.try_divide(F.col("_u"), F.col("_P") * F.col("_N")).alias("auc"),
                       F.col("_P").cast("bigint").alias("n_pos"), F.col("_N").cast("bigint").alias("n_neg"))
 
 

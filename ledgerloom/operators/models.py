@@ -111,7 +111,8 @@ def fusion_bayes(users: DataFrame, bag: DataFrame, key: str, cat_cols: Sequence[
 
     ``users`` has one row a key with the columns and pos / neg, the user's
     training labels of either class (0 for users of the test part), so the
-    labels' repeated users are weights, not rows."""
+    labels' repeated users are weights, not rows. A numerical column without
+    training values in one of the classes tells nothing and drops out."""
     counts = bag.join(users.select(key, "pos", "neg").where("pos + neg > 0"), key).groupBy("token").agg(
         F.sum(F.col("cnt") * F.col("pos")).alias("pos"), F.sum(F.col("cnt") * F.col("neg")).alias("neg"))
     out = users.join(token_scores(bag, token_weights(counts), key), key, "left").withColumn("logit", F.coalesce("score", F.lit(0.0))).drop("score")
@@ -124,8 +125,8 @@ def fusion_bayes(users: DataFrame, bag: DataFrame, key: str, cat_cols: Sequence[
         x = F.col(c).cast("double")
         for side in ("pos", "neg"):
             n = F.sum(F.when(x.isNotNull(), F.col(side)))
-            mean = F.sum(F.col(side) * x) / n
-            moments += [mean.alias(f"_m{side}{i}"), (F.sum(F.col(side) * x * x) / n - mean * mean + 1e-9).alias(f"_v{side}{i}")]
+            mean = F.try_divide(F.sum(F.col(side) * x), n)
+            moments += [mean.alias(f"_m{side}{i}"), (F.try_divide(F.sum(F.col(side) * x * x), n) - mean * mean + 1e-9).alias(f"_v{side}{i}")]
     out = out.crossJoin(F.broadcast(users.agg(*moments))).crossJoin(F.broadcast(class_prior(users)))  # one row each
     logit = F.col("logit") + F.col("prior")
     for i, c in enumerate(num_cols):

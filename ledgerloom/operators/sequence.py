@@ -192,3 +192,63 @@ def tokens_long(seqs: DataFrame, key: str) -> DataFrame:
     """Long form (key, pos, token): one row per position, pos 0-based."""
     return seqs.select(key, "offset", F.posexplode("tokens").alias("_i", "token")) \
                .select(key, (F.col("offset") + F.col("_i")).alias("pos"), "token")
+
+
+# ---------------------------------------------------------------------------
+# As-of windows
+
+def tokens_until(events: DataFrame, labels: DataFrame, key: str, time: str, row_id: str, as_of: str, n_tokens: str = "n_tokens") -> DataFrame:
+    """(key, row_id, upto): how many tokens of its key's events are dated at or
+    before a label row's time.
+
+    Events and label rows are merged on (key, time) by one range shuffle of slim
+    rows, so a key with a third of all rows is spread over many tasks. Running
+    sums inside each partition plus the partitions' totals (one row each,
+    broadcast) give a running sum over everything; a key's own start is the
+    smallest sum before any of its rows."""
+    n = default_parallelism(events.sparkSession)
+    e = events.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.col(n_tokens).cast("bigint").alias("_n"),
+                                                    F.lit(None).cast(labels.schema[row_id].dataType).alias("_id"))
+    # one row a key and time: what lies between two label times is only summed
+    e = e.groupBy("_k", "_t", "_kind", "_id").agg(F.sum("_n").alias("_n"))
+    rows = labels.where(F.col(key).isNotNull() & F.col(as_of).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(as_of).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_n"), F.col(row_id).alias("_id"))
+    order = ["_k", "_t", "_kind", "_id"]
+    ranged = hold(e.unionByName(rows).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_pn"))
+    before = totals.select("_p", F.coalesce(F.sum("_pn").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = ranged.withColumn("_in", inside).join(F.broadcast(before), "_p").withColumn("_sum", F.col("_before") + F.col("_in"))
+    starts = run.groupBy("_k").agg(F.min(F.col("_sum") - F.col("_n")).alias("_start"))
+    return run.where(F.col("_kind") == 1).join(starts, "_k").select(
+        F.col("_k").alias(key), F.col("_id").alias(row_id), (F.col("_sum") - F.col("_start")).alias("upto"))
+
+
+def windows_as_of(seqs: DataFrame, upto: DataFrame, key: str, row_id: str, n: int, chunk_len: int, sep: bool = True) -> DataFrame:
+    """(row_id, tokens): the last ``n`` tokens of each key's sequence before
+    position ``upto`` (without the separator that ends the last event). A
+    window reads the one or few chunks that hold it, by an equi-join."""
+    hi = F.col("upto") - F.when((F.col("upto") > 0) & F.lit(sep), 1).otherwise(0)
+    w = upto.select(key, row_id, hi.alias("_hi")).withColumn("_lo", F.greatest(F.col("_hi") - n, F.lit(0))).where(F.col("_hi") > F.col("_lo"))
+    w = w.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_lo") / chunk_len), F.floor((F.col("_hi") - 1) / chunk_len)))).withColumn("chunk", F.col("chunk").cast("int"))
+    j = w.join(seqs.select(key, "chunk", "offset", "tokens"), [key, "chunk"])
+    lo, hi2 = F.greatest(F.col("_lo"), F.col("offset")), F.least(F.col("_hi"), F.col("offset") + F.size("tokens"))
+    part = F.slice("tokens", (lo - F.col("offset") + 1).cast("int"), F.greatest(hi2 - lo, F.lit(0)).cast("int"))
+    return j.select(row_id, "chunk", part.alias("_s")).groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("chunk", "_s"))).alias("_c")) \
+            .select(row_id, F.flatten(F.transform("_c", lambda c: c["_s"])).alias("tokens"))
+
+
+def label_sequences_as_of(events: DataFrame, labels: DataFrame, key: str, order_by: Sequence[str], items: str, row_id: str, as_of: str, n: int, *,
+                          sep=None, chunk_len: int = DEFAULT_CHUNK_LEN) -> DataFrame:
+    """J2 with a time cut: every label row with the last ``n`` tokens of its
+    key's events dated (first column of ``order_by``) at or before the row's
+    own ``as_of``. No later event is in a sequence. Rows without such an event,
+    without a key or without a time get an empty array; ``row_id`` is unique."""
+    extra = 0 if sep is None else 1
+    dated = events.where(F.col(order_by[0]).isNotNull())
+    sized = dated.withColumn("_size", F.coalesce(F.size(items), F.lit(0)) + extra)
+    upto = tokens_until(sized, labels, key, order_by[0], row_id, as_of, "_size")
+    seqs = assemble_sequences(dated, key, order_by, items, sep=sep, chunk_len=chunk_len)
+    windows = windows_as_of(seqs, upto, key, row_id, n, chunk_len, sep is not None)
+    etype = _elem_type(events, items)
+    return labels.join(windows, row_id, "left").withColumn("tokens", F.coalesce(F.col("tokens"), F.array().cast(f"array<{etype}>")))

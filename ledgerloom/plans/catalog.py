@@ -17,7 +17,7 @@ from ledgerloom.functions import encode as E
 from ledgerloom.operators import sequence as S
 from ledgerloom.plans import pipelines as PL
 from ledgerloom.operators.ranking import global_index
-from ledgerloom.session import hold
+from ledgerloom.session import hold, written
 from ledgerloom.plans import sql_fragments as Q
 from ledgerloom.sources import tables as T
 
@@ -439,6 +439,21 @@ def q_label_sequence(spark, sf):
     return j.select("row_id", "user_id", "label", joined("tokens").alias("tokens"))
 
 
+@query("label_sequence_as_of", f"""WITH ev AS (SELECT user_id, {Q.TXR_ORDER}, list_concat({Q.tx_tokens('amount', 'date', 'description')}, ['[SEP]']) AS toks FROM ({Q.TXR})),
+j AS (SELECT o.o_orderkey AS row_id, flatten(list(toks ORDER BY {Q.TXR_ORDER})) AS f0
+  FROM orders o JOIN ev ON ev.user_id = o.o_custkey AND ev.date <= o.o_orderdate GROUP BY o.o_orderkey)
+SELECT l.row_id, l.user_id, l.label, coalesce(array_to_string(f0[greatest(len(f0) - 1 - 128, 0) + 1:len(f0) - 1], ' '), '') AS tokens
+FROM ({Q.LAB}) l LEFT JOIN j USING (row_id)""")
+def q_label_sequence_as_of(spark, sf):
+    """J2 with a time cut: the last 128 tokens of the user's transactions up to the order's own date."""
+    labels = T.label_rows(spark, sf)
+    dates = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("user_id"),
+                                                F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"), F.col("o_orderdate").alias("as_of"))
+    out = S.label_sequences_as_of(_txr_token_events(spark, sf), dates.select(*labels.columns, "as_of"), "user_id", T.TXR_ORDER, "toks",
+                                  "row_id", "as_of", 128, sep=E.SEP, chunk_len=64)
+    return out.select("row_id", "user_id", "label", joined("tokens").alias("tokens"))
+
+
 @query("corpus_counts", f"""SELECT (SELECT count(*) FROM ({_TXE_SEQ})) AS n_users,
   (SELECT CAST(sum(len(seq)) AS BIGINT) FROM ({_TXE_SEQ})) AS n_tokens,
   (SELECT count(*) FROM ({_TXE_VOCAB})) AS vocab_size,
@@ -513,6 +528,61 @@ def q_pad_batches(spark, sf):
                     F.array_join("y", ",").alias("y"))
 
 
+_USERS = f"SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS position FROM (SELECT DISTINCT user_id FROM ({Q.LAB}))"
+
+
+def _permuted_sql(epoch: int, seed: int) -> str:
+    """The swap-or-not rounds, one nested query each, from their stated constants."""
+    q = f"SELECT user_id, position, position AS x, n FROM u, (SELECT count(*) AS n FROM u)"
+    for key, factor, shift in SP.round_constants(seed, epoch):
+        q = f"""SELECT user_id, position, CASE WHEN ((greatest(x, y) * {factor} + {shift}) % 2147483647 >> 13) % 2 = 1 THEN y ELSE x END AS x, n
+FROM (SELECT *, ((({key} % n - x) % n) + n) % n AS y FROM ({q}))"""
+    return f"SELECT user_id, position, {epoch} AS epoch, CAST(x AS BIGINT) AS shuffled, CAST(x // 16 AS BIGINT) AS batch_id FROM ({q})"
+
+
+@query("epoch_batches", f"WITH u AS ({_USERS}) {_permuted_sql(0, 42)} UNION ALL {_permuted_sql(1, 42)}")
+def q_epoch_batches(spark, sf):
+    """W7 + W8 for two epochs: users are numbered once and written; every epoch's
+    batch id is an expression of the stored number."""
+    users = T.label_rows(spark, sf).select("user_id").distinct()
+    _, numbered = written(global_index(users, ["user_id"], name="position").select("user_id", "position"), "positions", kept=True)
+    return SP.epoch_batches(numbered, 16, seed=42, epochs=2)
+
+
+def _lengths(spark, sf):
+    """(user_id, length) of the line items' sequences, cut at 513 tokens."""
+    return (_txr_token_events(spark, sf).where(F.col("user_id").isNotNull()).groupBy("user_id")
+            .agg(F.least(F.sum(F.size("toks") + 1) - 1, F.lit(513)).cast("int").alias("length")))
+
+
+_LENGTHS = f"SELECT user_id, CAST(least(len(seq), 513) AS INTEGER) AS length FROM ({_TXR_SEQ})"
+_PACKED = f"""l AS ({_LENGTHS}), bl AS (SELECT length, count(*) AS n FROM l GROUP BY length),
+cut AS (SELECT length, n, CAST(floor((sum(n) OVER (ORDER BY length) - n) * 16 / sum(n) OVER ()) AS INTEGER) AS bucket FROM bl),
+per AS (SELECT bucket, sum(n) AS rows_, greatest(8192 // max(length), 1) AS batch_rows FROM cut GROUP BY bucket),
+pre AS (SELECT *, coalesce(sum(ceil(rows_ / batch_rows)) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_batch FROM per),
+r AS (SELECT l.user_id, l.length, c.bucket, row_number() OVER (PARTITION BY c.bucket ORDER BY md5('42|0|' || l.user_id), l.user_id) - 1 AS place FROM l JOIN cut c USING (length)),
+packed AS (SELECT user_id, length, r.bucket, CAST(first_batch + place // batch_rows AS BIGINT) AS batch_id FROM r JOIN pre USING (bucket))"""
+
+
+@query("packed_batches", f"WITH {_PACKED} SELECT * FROM packed")
+def q_packed_batches(spark, sf):
+    """W6 by length: batches of like lengths within a budget of padded tokens."""
+    return SP.packed_batches(_lengths(spark, sf), "user_id").select("user_id", "length", "bucket", "batch_id")
+
+
+@query("padding_report", f"""WITH {_PACKED}, plain AS (
+  SELECT length, (row_number() OVER (ORDER BY md5('42|0|' || user_id), user_id) - 1) // 16 AS batch_id FROM l),
+one AS (SELECT 'packed' AS form, batch_id, sum(length) AS t, max(length) * count(*) AS p FROM packed GROUP BY batch_id
+  UNION ALL SELECT 'fixed' AS form, batch_id, sum(length) AS t, max(length) * count(*) AS p FROM plain GROUP BY batch_id)
+SELECT form, count(*) AS n_batches, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(p) AS BIGINT) AS padded_tokens, round(1 - sum(t) / sum(p), 9) AS padding FROM one GROUP BY form""")
+def q_padding_report(spark, sf):
+    """Padding of packed batches beside that of batches of 16 in shuffled order."""
+    rows = hold(_lengths(spark, sf))
+    packed = SP.padding_share(SP.packed_batches(rows, "user_id")).withColumn("form", F.lit("packed"))
+    fixed = SP.padding_share(SP.assign_batches(rows, "user_id", 16)).withColumn("form", F.lit("fixed"))
+    return packed.unionByName(fixed).select("form", "n_batches", "tokens", "padded_tokens", F.round("padding", 9).alias("padding"))
+
+
 @query("mean_of_batch_means", f"""SELECT round(avg(bm), 9) AS mean_of_batch_means, count(*) AS n_batches FROM (
   SELECT batch_id, avg(CAST(len(seq) AS DOUBLE)) AS bm FROM (
     SELECT seq, (row_number() OVER (ORDER BY md5('42|0|' || user_id), user_id) - 1) // 16 AS batch_id

@@ -70,6 +70,7 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 _HELD: list[DataFrame] = []
+_KEPT: list[tuple[SparkSession, str]] = []
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -83,15 +84,19 @@ def hold(df: DataFrame) -> DataFrame:
 def release_held() -> None:
     while _HELD:
         _HELD.pop().unpersist()
+    while _KEPT:
+        drop_written(*_KEPT.pop())
 
 
-def written(df: DataFrame, label: str) -> tuple[str, DataFrame]:
+def written(df: DataFrame, label: str, kept: bool = False) -> tuple[str, DataFrame]:
     """``df`` as a Parquet table in the shared checkpoint folder: (its path, the
-    table read back). It cuts the lineage and survives executors; whoever
-    asked for it calls ``drop_written``."""
+    table read back). It cuts the lineage and survives executors. Whoever asked
+    for it calls ``drop_written``; with ``kept`` it goes like what ``hold`` keeps."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if kept:
+        _KEPT.append((spark, path))
     return path, spark.read.schema(df.schema).parquet(path)
 
 

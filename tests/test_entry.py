@@ -17,9 +17,9 @@ def test_registry_consistent():
         assert "LIMIT" not in text.upper() or name == "sample_k", name
 
 
-#: Queries that learn something (a vocabulary, merges) before their plan is complete.
+#: Queries that learn, count or number something before their plan is complete.
 FITTING = ("bpe_", "user_bpe", "decode_tokens", "token_to_id", "id_to_token", "pad_batches", "first_batch", "format_tokens",
-           "embedding_lookup", "pool_", "op", "pipeline")
+           "embedding_lookup", "pool_", "epoch_batches", "op", "pipeline")
 
 
 def test_plans_start_no_job(spark, monkeypatch):
