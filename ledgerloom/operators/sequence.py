@@ -194,6 +194,48 @@ def tokens_long(seqs: DataFrame, key: str) -> DataFrame:
                .select(key, (F.col("offset") + F.col("_i")).alias("pos"), "token")
 
 
+# ---------------------------------------------------------------------------
+# Windows taken before the assembly
+
+CUT_SALTS = 32
+
+
+def edge_tokens(events: DataFrame, key: str, order_by: Sequence[str], items: str, n: int, *, newest: bool = True, sep=None, least_items: int = 0) -> DataFrame:
+    """W2 / W3 ahead of A1: (key, seq_len, tokens), the last (or first) ``n`` tokens
+    of each key's sequence, equal to ``tail_tokens`` (``head_tokens``) of the
+    assembled one, but no more than the events that can hold them are moved.
+
+    An event has ``least_items`` tokens or more (and its separator), so the window
+    lies in that many events at most. The ranked filters are executed with a
+    limit per group before each shuffle: a task sends at most that many
+    events of a key, first by (key, salt), then by key, so a key with a third of all
+    rows ends as ``CUT_SALTS`` times that many events in one task. ``seq_len``
+    is a sum combined in the tasks. Events without tokens are left out where there
+    is no separator (they add nothing)."""
+    etype = _elem_type(events, items)
+    extra = 0 if sep is None else 1
+    most = -(-(n + extra) // max(least_items + extra, 1))
+    toks = F.coalesce(F.col(items), F.array().cast(f"array<{etype}>"))
+    ev = events.where(F.col(key).isNotNull()).select(key, *order_by, toks.alias("_items"))
+    if sep is None:
+        ev = ev.where(F.size("_items") > 0)
+    total = ev.groupBy(key).agg((F.sum(F.size("_items") + extra) - extra).cast("bigint").alias("seq_len"))
+    order = [F.desc(c) if newest else F.asc(c) for c in [*order_by, "_items"]]
+    salted = ev.withColumn("_salt", F.pmod(F.xxhash64(*order_by, "_items"), F.lit(CUT_SALTS)))
+    near = salted.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))).where(F.col("_r") <= most)
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= most)
+    rows = F.sort_array(F.collect_list(F.struct("_r", "_items")), asc=not newest)
+    one = F.transform("_rows", lambda r: r["_items"] if sep is None else F.concat(r["_items"], _lit_array([sep], etype)))
+    flat = near.groupBy(key).agg(rows.alias("_rows")).select(key, F.flatten(one).alias("_flat")).join(total, key)
+    size = F.size("_flat")
+    if newest:  # without the separator after the last event
+        last = size - extra
+        tokens = F.slice("_flat", F.greatest(last - n, F.lit(0)) + 1, F.least(last, F.lit(n)))
+    else:
+        tokens = F.slice("_flat", 1, F.least(F.lit(n), F.col("seq_len").cast("int"), size))
+    return flat.select(key, "seq_len", tokens.alias("tokens"))
+
+
 # ---------------------------------------------------------------------------
 # As-of windows
 

@@ -206,9 +206,17 @@ def q_truncate_head(spark, sf):
 @query("truncate_tail", f"""SELECT user_id, CAST(len(seq) AS BIGINT) AS seq_len,
   array_to_string(seq[greatest(len(seq) - 100, 0) + 1:], ' ') AS tokens FROM ({_TXR_SEQ})""")
 def q_truncate_tail(spark, sf):
-    seqs = S.assemble_sequences(_txr_token_events(spark, sf), "user_id", T.TXR_ORDER, "toks",
-                                sep=E.SEP, chunk_len=64)
-    t = S.tail_tokens(seqs, "user_id", 100)
+    """W3 before the assembly: an event has five tokens or more, so a task sends
+    at most 17 events of a user."""
+    t = S.edge_tokens(_txr_token_events(spark, sf), "user_id", T.TXR_ORDER, "toks", 100, sep=E.SEP, least_items=5)
+    return t.select("user_id", "seq_len", joined("tokens").alias("tokens"))
+
+
+@query("truncate_oldest", f"""SELECT user_id, CAST(len(seq) AS BIGINT) AS seq_len,
+  array_to_string(seq[1:60], ' ') AS tokens FROM ({_TXR_SEQ})""")
+def q_truncate_oldest(spark, sf):
+    """W2 before the assembly."""
+    t = S.edge_tokens(_txr_token_events(spark, sf), "user_id", T.TXR_ORDER, "toks", 60, newest=False, sep=E.SEP, least_items=5)
     return t.select("user_id", "seq_len", joined("tokens").alias("tokens"))
 
 
@@ -326,6 +334,24 @@ def q_feature_catalog(spark, sf):
                       render(F.col("cat_max_plus_one")).alias("cat_max_plus_one"))
 
 
+_CODES = ["o_custkey", "l_linenumber", "l_suppkey", "p_size", "l_partkey"]
+_CODED = """SELECT o_custkey, l_linenumber, l_suppkey, p_size, l_partkey FROM lineitem
+JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
+
+
+@query("feature_catalog_wide", " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS cardinality, CAST(max({c}) + 1 AS BIGINT) AS max_plus_one, true AS is_exact FROM ({_CODED})"
+                                                  for c in _CODES))
+def q_feature_catalog_wide(spark, sf):
+    """A6 in one pass over the coded columns of the line items (bitmaps; codes
+    beyond 32,767, at larger scales, are estimated and marked)."""
+    li, o, p = (T.table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    cat = FT.feature_catalog_sketched(rows, [], _CODES)
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col("cat_cardinalities")[c].alias("cardinality"), F.col("cat_max_plus_one")[c].alias("max_plus_one"),
+                              F.col("is_exact")[c].alias("is_exact")) for c in _CODES])
+    return cat.select(F.explode(each).alias("e")).select("e.*")
+
+
 # ---------------------------------------------------------------------------
 # Vocabulary: U1, J4, J5, B9 and the label -> sequence join J2
 
@@ -1279,3 +1305,71 @@ def q_finetune_batches(spark, sf):
     rows = FT.label_sequences(T.label_rows(spark, sf), win).withColumn("n_real", F.size("tokens"))
     p = PL.finetune_batches(rows)
     return p.select("row_id", "user_id", "label", "batch_id", "batch_len", "n_real", F.md5(joined("tokens")).alias("tokens_md5"))
+
+
+# ---------------------------------------------------------------------------
+# Sinks and sources: written to the shared folder, read back, compared in full
+
+import uuid  # noqa: E402
+
+from ledgerloom.sources import io as IO  # noqa: E402
+from ledgerloom.session import kept_folder  # noqa: E402
+
+
+@query("csv_round_trip", f"SELECT * FROM ({_FT_TABLE})")
+def q_csv_round_trip(spark, sf):
+    """S3 + S7: the fine-tune table as CSV, read with its declared schema."""
+    table = finetune_table(spark, sf)
+    path = kept_folder(spark, "finetune")
+    IO.write_table(table, path, "csv")
+    return IO.read_finetune_table(spark, path, table.schema)
+
+
+@query("history_csv_split", "SELECT CAST(doc_id AS VARCHAR) AS user_id, text AS transaction_history FROM documents WHERE text <> ''")
+def q_history_csv_split(spark, sf):
+    """Texts with line breaks in quotes as CSV, files read by several tasks."""
+    rows = T.table(spark, sf, "documents").where(F.col("text") != "").select(F.col("doc_id").cast("string").alias("user_id"), F.col("text").alias("transaction_history"))
+    path = kept_folder(spark, "histories")
+    IO.write_table(rows, path, "csv")
+    return IO.read_csv_split(spark, path, IO.HISTORY_SCHEMA)
+
+
+@query("stored_sequence_join", ORACLE["label_sequence"])
+def q_stored_sequence_join(spark, sf):
+    """S5 + S6 + J2: windows stored in buckets by user; the labels are dealt to
+    the buckets and the stored side is read where it lies."""
+    win = S.head_tokens(txe_sequences(spark, sf), "user_id", 512, S.DEFAULT_CHUNK_LEN)
+    name, path = f"ledgerloom_sequences_{uuid.uuid4().hex}", kept_folder(spark, "sequences")
+    IO.write_bucketed(win.select("user_id", "tokens"), name, path, "user_id", 16)
+    j = IO.join_bucketed(T.label_rows(spark, sf), spark, name, "user_id")
+    return j.select("row_id", "user_id", "label", F.coalesce(F.when(F.size("tokens") > 0, joined("tokens")), F.lit("[PAD]")).alias("tokens"))
+
+
+@query("stored_model_probs", ORACLE["next_token_probs"])
+def q_stored_model_probs(spark, sf):
+    """The next-token model saved and loaded."""
+    _, m = txe_ngram(spark, sf)
+    path = kept_folder(spark, "model")
+    NG.save_model(m, path)
+    return NG.load_model(spark, path)["p2"].select("c2", "c1", "token", F.round("p2", 9).alias("p"))
+
+
+@query("stored_config_batches", f"""SELECT user_id, md5('42|1|' || user_id) AS shuffle_key, 16 AS batch_size FROM ({_USERS})""")
+def q_stored_config(spark, sf):
+    """A run config saved and loaded, its seed and batch size used."""
+    path = kept_folder(spark, "config")
+    IO.save_config(spark, PL.PretrainConfig(), path)
+    cfg = IO.load_config(spark, PL.PretrainConfig, path)
+    users = T.label_rows(spark, sf).select("user_id").distinct()
+    return users.select("user_id", SP.hash_order(cfg.seed, "user_id", 1).alias("shuffle_key"), F.lit(cfg.batch_size).alias("batch_size"))
+
+
+@query("sequences_of_known_users", f"""SELECT user_id, count(*) AS n_events FROM (
+  SELECT CASE WHEN substr(md5(CAST(tx_id AS VARCHAR)), 1, 1) <> '0' THEN user_id END AS user_id FROM ({Q.TXE})) WHERE user_id IS NOT NULL GROUP BY user_id""")
+def q_known_users(spark, sf):
+    """D3: a sixteenth of the events has no user; those are in no sequence."""
+    tx = T.transactions_from_events(spark, sf)
+    lost = F.substring(F.md5(F.col("tx_id").cast("string")), 1, 1) == "0"
+    ev = tx.select(F.when(~lost, F.col("user_id")).alias("user_id"), "date", "tx_id", F.array(F.lit("x")).alias("toks"))
+    seqs = S.assemble_sequences(ev, "user_id", ["date", "tx_id"], "toks")
+    return seqs.where(F.col("chunk") == 0).select("user_id", F.col("seq_len").alias("n_events"))

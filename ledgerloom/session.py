@@ -71,6 +71,7 @@ def default_parallelism(spark: SparkSession) -> int:
 
 _HELD: list[DataFrame] = []
 _KEPT: list[tuple[SparkSession, str]] = []
+_OLD: list[tuple[SparkSession, str]] = []
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -84,14 +85,17 @@ def hold(df: DataFrame) -> DataFrame:
 def release_held() -> None:
     while _HELD:
         _HELD.pop().unpersist()
-    while _KEPT:
-        drop_written(*_KEPT.pop())
+    while _OLD:
+        drop_written(*_OLD.pop())
+    _OLD.extend(_KEPT)  # one query later: the last query's result may be read yet
+    _KEPT.clear()
 
 
 def written(df: DataFrame, label: str, kept: bool = False) -> tuple[str, DataFrame]:
     """``df`` as a Parquet table in the shared checkpoint folder: (its path, the
     table read back). It cuts the lineage and survives executors. Whoever asked
-    for it calls ``drop_written``; with ``kept`` it goes like what ``hold`` keeps."""
+    for it calls ``drop_written``; with ``kept`` it is deleted by the second
+    ``release_held`` from now."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -103,3 +107,10 @@ def written(df: DataFrame, label: str, kept: bool = False) -> tuple[str, DataFra
 def drop_written(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted by the second ``release_held`` from now."""
+    path = f"{ensure_checkpoint_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
+    return path

@@ -8,9 +8,11 @@ per user.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, fields, is_dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,3 +183,93 @@ def load_config(spark: SparkSession, cls, path: str):
     d = json.loads(line)
     names = {f.name for f in fields(cls)}
     return cls(**{k: v for k, v in d.items() if k in names})
+
+
+# ---------------------------------------------------------------------------
+# Tables laid out for a join
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int, sort: list[str] | None = None) -> None:
+    """S5 for repeated joins: ``df`` as an external table at ``path``, dealt to
+    ``buckets`` buckets by ``key``. A join on ``key`` with it then moves the other
+    side only. Each task writes one bucket, so there is one file a bucket."""
+    w = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *(sort or []))
+    w.option("path", path).saveAsTable(table)
+
+
+def join_bucketed(rows: DataFrame, spark: SparkSession, table: str, key: str, how: str = "left") -> DataFrame:
+    """J2 on a bucketed table: ``rows`` are dealt to its buckets, the table is read
+    where it lies (no exchange, whatever its size)."""
+    return rows.join(spark.table(table).hint("merge"), key, how)
+
+
+# ---------------------------------------------------------------------------
+# CSV with line breaks in quotes, several tasks a file
+
+def read_csv_split(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """S2 at size: CSV whose quoted fields may hold line breaks, read by as many
+    tasks as its bytes need (Spark's ``multiLine`` reads a file in one task).
+
+    A line break lies inside a field where the number of quotes before it in
+    the file is odd (quotes in fields are doubled). So: the quotes of every
+    split are counted; running parities over the splits of a file (one slim row
+    each, broadcast) tell each split how it begins; each task then joins its
+    lines to records. What a split's first lines add to a record of the split
+    before, and a last record that is not closed, are fragments: at most two a
+    split, put together by a small shuffle. Records become columns by
+    ``from_csv``. The bytes are read twice and not shuffled. An empty
+    unquoted field is null."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    per = lines.groupBy("file", "at").agg((F.sum(quotes) % 2).alias("_odd"))
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("file", "at", (F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2 == 1).alias("_open"))
+    marked = lines.join(F.broadcast(starts), ["file", "at"]).select("file", "at", "_open", "value")  # one row a split
+
+    def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held, began_open, first = None, [], False, False
+        out: list[tuple] = []
+
+        def close(end_of_split: bool) -> None:
+            """The held lines as a record, or a fragment that neighbours complete."""
+            nonlocal held, began_open
+            if held:
+                kind = 0 if not began_open and not end_of_split else 1 if not end_of_split else 3 if not began_open else 2
+                out.append((*split, kind, "\n".join(held), first))
+            held, began_open = [], False
+
+        for batch in batches:
+            for file, at, opened, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, at) != split:
+                    close(True)
+                    split, began_open, inside, first = (file, at), opened, opened, at == 0
+                held.append(value)
+                if value.count('"') % 2:
+                    inside = not inside
+                if not inside:
+                    close(False)
+                    first = False
+            if out:
+                yield _fragments(out)
+                out = []
+        close(True)
+        if out:
+            yield _fragments(out)
+
+    rows = marked.mapInArrow(join_lines, "file string, at long, kind int, record string, first boolean")
+    order = Window.partitionBy("file").orderBy("at", "kind")
+    # kinds: 1 ends a record of earlier splits, 2 is inside one, 3 begins one that goes on
+    pieces = rows.where("kind > 0").withColumn("_n", F.sum(F.when(F.col("kind") == 3, 1).otherwise(0)).over(order))
+    whole = pieces.groupBy("file", "_n").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "record"))).alias("_p"), F.max(F.when(F.col("kind") == 3, F.col("first"))).alias("first")) \
+        .select(F.array_join(F.transform("_p", lambda x: x["record"]), "\n").alias("record"), "first")
+    records = rows.where("kind = 0").select("record", "first").unionByName(whole)
+    if header:
+        records = records.where(~F.coalesce(F.col("first"), F.lit(False)))
+    text = F.regexp_replace("record", "\r$", "")
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return records.where(F.length(text) > 0).select(F.from_csv(text, F.lit(ddl), options).alias("_r")).select("_r.*")
+
+
+def _fragments(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["file", "at", "kind", "record", "first"])

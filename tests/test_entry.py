@@ -19,7 +19,7 @@ def test_registry_consistent():
 
 #: Queries that learn, count or number something before their plan is complete.
 FITTING = ("bpe_", "user_bpe", "decode_tokens", "token_to_id", "id_to_token", "pad_batches", "first_batch", "format_tokens",
-           "embedding_lookup", "pool_", "epoch_batches", "op", "pipeline")
+           "embedding_lookup", "pool_", "epoch_batches", "csv_round_trip", "history_csv", "stored_", "token_vectors", "user_token_vectors", "op", "pipeline")
 
 
 def test_plans_start_no_job(spark, monkeypatch):
