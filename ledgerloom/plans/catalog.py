@@ -1373,3 +1373,47 @@ def q_known_users(spark, sf):
     ev = tx.select(F.when(~lost, F.col("user_id")).alias("user_id"), "date", "tx_id", F.array(F.lit("x")).alias("toks"))
     seqs = S.assemble_sequences(ev, "user_id", ["date", "tx_id"], "toks")
     return seqs.where(F.col("chunk") == 0).select("user_id", F.col("seq_len").alias("n_events"))
+
+
+# ---------------------------------------------------------------------------
+# Learned token vectors (M4)
+
+from ledgerloom.operators import vectors as VC  # noqa: E402
+
+_COOC = f"""t AS (SELECT user_id, unnest(seq) AS tok, generate_subscripts(seq, 1) AS pos FROM ({_TXR_SEQ})),
+co AS (SELECT a.tok AS "left", b.tok AS "right", count(*) AS cnt FROM t a JOIN t b ON a.user_id = b.user_id AND b.pos - a.pos IN (1, 2) GROUP BY a.tok, b.tok),
+sy AS (SELECT a, b, sum(cnt) AS cnt FROM (SELECT "left" AS a, "right" AS b, cnt FROM co UNION ALL SELECT "right", "left", cnt FROM co) GROUP BY a, b),
+m AS (SELECT a, sum(cnt) AS m FROM sy GROUP BY a)"""
+
+
+def _txr_chunks(spark, sf):
+    return S.assemble_sequences(_txr_token_events(spark, sf), "user_id", T.TXR_ORDER, "toks", sep=E.SEP, chunk_len=64)
+
+
+@query("token_cooccurrences", f'WITH {_COOC} SELECT "left", "right", CAST(cnt AS BIGINT) AS cnt FROM co')
+def q_cooccurrences(spark, sf):
+    return VC.cooccurrences(_txr_chunks(spark, sf), "user_id", 2)
+
+
+@query("token_ppmi", f"""WITH {_COOC}, v AS (SELECT sy.a, sy.b, ln(sy.cnt::DOUBLE * (SELECT sum(cnt) FROM sy) / (x.m::DOUBLE * y.m)) AS value
+FROM sy JOIN m x ON x.a = sy.a JOIN m y ON y.a = sy.b) SELECT a, b, round(value, 9) AS value FROM v WHERE value > 0""")
+def q_ppmi(spark, sf):
+    return VC.ppmi(VC.cooccurrences(_txr_chunks(spark, sf), "user_id", 2)).select("a", "b", F.round("value", 9).alias("value"))
+
+
+def txr_token_vectors(spark, sf, seqs):
+    return VC.token_vectors(VC.ppmi(VC.cooccurrences(seqs, "user_id", 2)), rank=16)
+
+
+@query("token_vectors")
+def q_token_vectors(spark, sf):
+    """M4: a vector for each token, learned from the sequences (tests hold it
+    against a dense factorisation)."""
+    return txr_token_vectors(spark, sf, _txr_chunks(spark, sf))
+
+
+@query("user_token_vectors")
+def q_user_token_vectors(spark, sf):
+    """M4: users as the mean of their tokens' learned vectors."""
+    seqs = hold(_txr_chunks(spark, sf))
+    return VC.pooled(seqs, "user_id", txr_token_vectors(spark, sf, seqs))
