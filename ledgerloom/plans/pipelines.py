@@ -8,7 +8,7 @@
 * ``history_strings`` / ``tagged_sequences``: the string pipelines (L4).
 
 Every function only builds DataFrames, except where a model must be
-fitted (BPE rounds, the n-gram argmax tables for k > 10, Spark ML fit).
+fitted (BPE rounds, Spark ML fit).
 """
 
 from __future__ import annotations
