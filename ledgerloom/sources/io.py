@@ -108,14 +108,14 @@ def read_histories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise_transactions(tx: DataFrame, amount: str = "amount", date: str = "date") -> DataFrame:
-    """Drop null users, amounts rounded to 2 places (half-even, closest
-    to numpy), timestamps also truncated to whole seconds, trimmed text."""
+    """Drop null users, amounts rounded to 2 places by numpy's rule (the
+    scaled value to the nearest integer, halves to even), timestamps also truncated to whole seconds, trimmed text."""
     out = tx.where(F.col("user_id").isNotNull())
     dt = out.schema[date].dataType
     if isinstance(dt, T.StringType):
         out = out.withColumn(date, F.try_to_timestamp(F.col(date)).cast("timestamp_ntz"))
     return (out.withColumn("date_seconds", F.date_trunc("second", F.col(date)).cast("timestamp_ntz"))
-            .withColumn(amount, F.bround(F.col(amount), 2))
+            .withColumn(amount, F.rint(F.col(amount) * 100) / 100)
             .withColumn("description", F.trim(F.col("description"))))
 
 
