@@ -126,15 +126,19 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _B = int(_RNG.integers(1, 1 << 62)) * 8 + 5
 _BI = pow(_B, -1, 1 << 64)
 _POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_POW_KEPT = 1 << 22  # powers that stay for the next call: 32 MB
 
 
 def powers(n: int, kind: str = "up") -> np.ndarray:
     """B**i (or its inverse) modulo 2**64 for i < n."""
-    if len(_POW[kind]) < n:
-        out = np.full(max(n, 1 << 16), np.uint64(_B if kind == "up" else _BI), np.uint64)
-        out[0] = 1
-        _POW[kind] = np.cumprod(out, dtype=np.uint64)
-    return _POW[kind][:n]
+    if len(_POW[kind]) >= n:
+        return _POW[kind][:n]
+    out = np.full(max(n, 1 << 16), np.uint64(_B if kind == "up" else _BI), np.uint64)
+    out[0] = 1
+    out = np.cumprod(out, dtype=np.uint64)
+    if len(out) <= _POW_KEPT:
+        _POW[kind] = out
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -168,12 +172,23 @@ def lowered(data: np.ndarray) -> np.ndarray:
 #: Words up to this many bytes take the vectorised hash. Modulo 2**64 a polynomial
 #: cannot tell some long words of two letters apart, so longer ones take XXH3.
 SHORT_WORD = 32
+#: Bytes whose running sums are held at a time, at about 36 bytes each.
+STRETCH = 1 << 20
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = span_hash(prefix_sums(_BYTE[data]), starts, ends)
-    for i in np.flatnonzero(ends - starts > SHORT_WORD):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]])
+    """A hash per word, stretch by stretch: what is held beside the words'
+    places does not grow with the text."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + STRETCH, "left"))
+        a, b = starts[lo:hi], ends[lo:hi]
+        short = np.minimum(b, a + SHORT_WORD)  # a longer word's own hash follows
+        out[lo:hi] = span_hash(prefix_sums(_BYTE[data[a[0]:short[-1]]]), a - a[0], short - a[0])
+        for i in np.flatnonzero(b - a > SHORT_WORD):
+            out[lo + i] = xxhash.xxh3_64_intdigest(data[a[i]:b[i]])
+        lo = hi
     return out
 
 
