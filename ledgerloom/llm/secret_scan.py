@@ -5,8 +5,9 @@ into one token, but hardly two of a random string. Runs of secret-like
 characters whose characters per token fall below a limit are reported as
 kind ``random``; of other runs, each stretch that does (the words of a path
 or a name do not hide the key behind them). Known digests or identifiers
-(content hashes of usual lengths, UUIDs, strings that a digest label
-announces) and what a pattern has reported already are left out.
+(content hashes of usual lengths in hex, UUIDs, strings behind a digest label
+that have that digest's own length in hex or base64) and what a pattern has
+reported already are left out.
 """
 
 from __future__ import annotations
@@ -33,12 +34,23 @@ SEPARATORS = "/_=.-"
 PART = re.compile(r"[A-Za-z0-9+]+")  # between separators
 LEAST_PART = 0.8   # characters of a stretch that are no separators
 MOST_DROP = 6.0    # a stretch ends before tokens that are so many characters above the limit together
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
 DIGEST_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
-DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex
+DIGEST_LENGTHS = tuple(2 * n for n in DIGEST_BYTES.values())  # in hex
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-DIGEST_LABEL = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512))[:=-]?$", re.I | re.A)
-SELF_LABELLED = re.compile(r"sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*", re.A)
-INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}(?![A-Za-z0-9])|sha(?:1-[A-Za-z0-9+/]{{27}}|256-[A-Za-z0-9+/]{{43}}|384-[A-Za-z0-9+/]{{64}}|512-[A-Za-z0-9+/]{{86}})(?![A-Za-z0-9+])=*)")
+DIGEST_LABEL = re.compile(r"(md5|sha-?(?:1|224|256|384|512))[:=-]?$", re.I | re.A)
+
+
+def written(n: int) -> str:
+    """A pattern of a digest of ``n`` bytes: hex in one case, or base64 of
+    either alphabet, padded or not."""
+    pad = -n % 3
+    return rf"(?:[0-9a-f]{{{2 * n}}}|[0-9A-F]{{{2 * n}}}|[A-Za-z0-9+/_-]{{{-(-8 * n // 6)}}}(?:{'=' * pad})?)(?![A-Za-z0-9+/_=-])"
+
+
+WRITTEN = {label: re.compile(written(n)) for label, n in DIGEST_BYTES.items()}
+SELF_LABELLED = re.compile("|".join(rf"{'sha-?' + label[3:] if label != 'md5' else label}[:=-]{written(n)}" for label, n in DIGEST_BYTES.items()), re.I | re.A)
+INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}(?![A-Za-z0-9])|(?i:{SELF_LABELLED.pattern}))", re.A)
 
 OUT = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -74,8 +86,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def known_identifier(text: str, start: int, end: int) -> bool:
     """Is this string a digest or an identifier rather than a secret?"""
     s = text[start:end]
+    label = DIGEST_LABEL.search(text[max(0, start - 8):start])
     return bool(len(s) in DIGEST_LENGTHS and DIGEST_HEX.fullmatch(s) or UUID.fullmatch(s) or SELF_LABELLED.fullmatch(s)
-                or DIGEST_LABEL.search(text[max(0, start - 8):start]))
+                or label and WRITTEN[label[1].lower().replace("-", "")].fullmatch(s))
 
 
 def outside(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:

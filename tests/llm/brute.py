@@ -97,3 +97,56 @@ def rules(t):
     again = {k + j for k in range(len(w) - 7) if seen[tuple(w[k:k + 8])] > 1 for j in range(8)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w))
+
+
+ALNUM = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _while(text, at, allowed):
+    while at < len(text) and text[at] in allowed:
+        at += 1
+    return at
+
+
+def base_secrets(text):
+    """(n_assign, n_access, n_hex, digest of the base spans), read character by character."""
+    text = text or ""
+    low = text.translate(LOW)
+    spans = []
+    at = 0
+    while at < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, at):
+                continue
+            p = at + len(word)
+            p += text[p:p + 1] in ('"', "'") and p < len(text)
+            p = _while(text, p, " ")
+            if text[p:p + 1] not in (":", "="):
+                continue
+            p = _while(text, p + 1, " ")
+            p += text[p:p + 1] in ('"', "'") and p < len(text)
+            end = _while(text, p, ALNUM | set("+/_.=-"))
+            if end > p:
+                if end - p >= 6:
+                    spans.append((at, 0, end, "assign"))
+                break
+            end = None
+        at = end or at + 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        end = _while(text, at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        if end == at + 4:
+            at += 1
+            continue
+        if end - at >= 20:
+            spans.append((at, 1, end, "access"))
+        at = end
+    at = 0
+    while at < len(text):
+        end = _while(text, at, set("0123456789abcdef"))
+        if end - at >= 24:
+            spans.append((at, 2, end, "hex"))
+        at = max(end, at + 1)
+    line = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+    return (*[sum(s[1] == k for s in spans) for k in range(3)], sha(line))

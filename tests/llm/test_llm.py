@@ -1,3 +1,5 @@
+import base64
+import functools
 import gzip
 import hashlib
 import random
@@ -168,13 +170,54 @@ def test_secrets(docs, rows):
     enc = secret_scan._encoding(ranks, queries.split_pattern())
     found = secret_scan.find("key q8Zr2LmX0vKc93TbYw71 sha256:q8Zr2LmX0vKc93TbYw71AA 123e4567-e89b-12d3-a456-426614174000 internationalization2 "
                              "/usr/share/documents/letters/2024/january.txt", enc, 2.3)
-    assert found == [(4, 24, "random")]
-    for row in out.where("n_assign + n_access + n_hex = 0").collect():
-        assert row["base_sha256"] == brute.sha("")
+    assert found == [(4, 24, "random"), (32, 54, "random")]  # 22 characters are no SHA-256
+    want = [(d, *brute.base_secrets(t)) for d, t in pairs(rows)]
+    same([tuple(r)[:5] for r in out.collect()], want)
+    assert sum(w[1] + w[2] + w[3] for w in want) > 0
+
+
+def test_secrets_table(spark):
+    same([tuple(r)[:5] for r in queries.op3_secret_scan(spark, SF).collect()],
+         [(d, *brute.base_secrets(t)) for d, t in table_rows("documents", "doc_id, text")])
+
+
+def test_base_secrets_made():
+    r = random.Random(31)
+    bits = ["password", "PassWd", "secret", "toKen", "api_key", "apikey", "ApI_", '"', "'", " ", ":", "=", "AKIA", "IA", "ABCDEFGH", "0123456789abcdef", "AB12CD34", "abc", "x.y/z", "é", "\n", "ſ"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 24)))
+        base = secret_scan.base_spans(text)
+        line = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert (*[sum(k == n for _, _, k in base) for n in ("assign", "access", "hex")], brute.sha(line)) == brute.base_secrets(text), text
+
+
+def test_labelled_digests():
+    """What a label announces is a digest only in that digest's own length."""
+    r = random.Random(17)
+    key = lambda n, letters="ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789": "".join(r.choice(letters) for _ in range(n))
+    for label, n in secret_scan.DIGEST_BYTES.items():
+        for raw in (r.randbytes(n) for _ in range(20)):
+            b64 = base64.b64encode(raw).decode()
+            url = base64.urlsafe_b64encode(raw).decode()
+            for digest in (b64, b64.rstrip("="), url, raw.hex(), raw.hex().upper()):
+                for mark in (":", "=") + (("-",) if "_" not in digest else ()):
+                    assert _random_in(f"see {label}{mark}{digest} here") == [], (label, mark, digest)
+        for size in (28, 33, 50):
+            secret = key(size)
+            for mark in (":", "=", "-"):
+                (found,) = _random_in(f"see {label}{mark}{secret} here")
+                assert found.endswith(secret)
+    long = key(60)
+    assert [f.endswith(long) for f in _random_in(f"sha256-{long} md5:{long}")] == [True, True]
+
+
+@functools.cache
+def _scan_encoding():
+    return secret_scan._encoding(queries.ranks(), queries.split_pattern())
 
 
 def _random_in(text):
-    enc = secret_scan._encoding(queries.ranks(), queries.split_pattern())
+    enc = _scan_encoding()
     return [text[a:b] for a, b, k in secret_scan.find(text, enc, 2.3) if k == "random"]
 
 
@@ -243,7 +286,6 @@ def _pages(spark, rows):
 def test_warc(spark):
     rows = [(1, "u1", "<p>one</p>", "k", "p"), (2, None, "<p>one</p>", "k", "p"), (5, "u\r\nX: y", "<p>one</p>", "k", "p"), (3, "u3", None, "k", "p"), (4, "u4", "", "k", "p"),
             (6, "u6", "é WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n", "k", "p"), (None, "u7", "<p>one</p>", "k", "p"), (8, "u8", "x" * 300000, "k", "p"), (9, "u9", "own", "k", "p"), (9, "u9", "own", "k", "p")]
-    import base64
     import hashlib as h
     dig = lambda t: base64.b32encode(h.sha1((t or "").encode()).digest()).decode()
     top = {}
@@ -283,7 +325,6 @@ def test_salvage_of_written(spark, scratch):
 
 
 def _record(k, payload, digest=True):
-    import base64
     d = base64.b32encode(hashlib.sha1(payload if digest else b"other").digest()).decode()
     return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{k}>\r\nWARC-Payload-Digest: sha1:{d}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
 
