@@ -34,7 +34,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang and the ids of each text."""
-    return piece_codec.encode(docs, queries.PIECE_MODEL, keep=["lang", "source"])
+    return piece_codec.encode(docs, queries.tokenizer_file("piece_bpe_32k.model"), keep=["lang", "source"])
 
 
 STAGES = [
