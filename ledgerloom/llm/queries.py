@@ -10,9 +10,6 @@ from ledgerloom.llm import (decontaminate, fill_middle, importance, license_scan
                             suffix_dedup, warc, word_codec)
 from ledgerloom.llm.oracles import ORACLE  # noqa: F401 - registered with the queries
 
-TOKENIZERS = "/opt/tokenizers"  # where the public vocabulary files are
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -24,6 +21,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def piece_model() -> str:
+    return tokenizer_file("piece_bpe_32k.model")
+
+
 def split_pattern() -> str:
     import public_tokenizers
 
@@ -39,7 +40,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranks() -> bytes:
-    return secret_scan.vocabulary(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return secret_scan.vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, digest=True)
+    return piece_codec.encode(table(spark, sf_dir, "documents"), piece_model(), digest=True)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

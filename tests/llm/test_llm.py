@@ -255,26 +255,26 @@ def test_redaction(docs, none):
 
 def test_codec(docs, rows):
     from sentencepiece import SentencePieceProcessor
-    lib = SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    lib = SentencePieceProcessor(model_file=queries.piece_model())
     want = []
     for i, t in pairs(rows):
         ids = lib.encode(t or "")
         want.append((i, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(lib.decode(ids))))
-    same(piece_codec.encode(docs, queries.PIECE_MODEL, digest=True).collect(), want)
-    plain = piece_codec.encode(docs, queries.PIECE_MODEL, keep=["source"])
+    same(piece_codec.encode(docs, queries.piece_model(), digest=True).collect(), want)
+    plain = piece_codec.encode(docs, queries.piece_model(), keep=["source"])
     assert plain.columns == ["doc_id", "source", "ids", "decoded"]
     assert plain.where("decoded is null").count() == 0
 
 
 def test_codec_random(none):
-    table = piece_codec.PieceTable(piece_codec.model_bytes(queries.PIECE_MODEL))
+    table = piece_codec.PieceTable(piece_codec.model_bytes(queries.piece_model()))
     cache = piece_codec.UnitCache(table, 50)
     r, pieces = random.Random(4), list(table.id)
     for k in range(1500):
         t = "".join(r.choice(pieces) for _ in range(20)) if k % 2 else "".join(r.choice("aehinrst ▁\n😀") for _ in range(40))
         assert piece_codec.encode_text(table, cache, t) == table.library.encode(t)
     assert len(cache) <= 50
-    assert piece_codec.encode(none, queries.PIECE_MODEL).collect() == []
+    assert piece_codec.encode(none, queries.piece_model()).collect() == []
 
 
 # ------------------------------------------------------------------ 5
@@ -546,7 +546,7 @@ def test_pipeline(spark):
     before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (three, four))
     assert after == {d: secret_scan.redacted(t, secret_scan.find(t, enc, 2.3), "[REDACTED]") for d, t in before.items()}
     five = stage["piece_codec"](spark, four, SF)
-    lib = SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    lib = SentencePieceProcessor(model_file=queries.piece_model())
     got = {r["doc_id"]: r["ids"] for r in five.collect()}
     assert got == {d: lib.encode(t) for d, t in after.items()}
     assert c.run(spark, SF).count() == len(got)
