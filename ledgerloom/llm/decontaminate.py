@@ -16,6 +16,8 @@ if its rarest shingle does, so that one shingle is its necessary prefix:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -24,8 +26,9 @@ from ledgerloom.llm.common import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of the items up to which they are sent to every task: at about 150 bytes each, 30 MB.
+#: A table of the items is sent to every task up to so many rows and so many bytes of text.
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -51,6 +54,16 @@ def item_windows(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             each.select("window", "item_id").distinct())
 
 
+def sent(text: Column) -> tuple[Column, Column]:
+    """What a table weighs: its rows and the bytes of their text."""
+    return F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+
+
+def sending(rows: int, size: int) -> Callable[[DataFrame], DataFrame]:
+    """The broadcast hint for a table of this weight, or no hint."""
+    return F.broadcast if rows <= BROADCAST_WINDOWS and size <= BROADCAST_BYTES else (lambda x: x)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle: int = 3, keep_key: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of an
     item's window), items (ids of the items with occurring windows, as sorted
@@ -60,14 +73,16 @@ def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle:
     items, and an empty ``items``, hit nothing; items with equal texts are
     all named; a null item_id counts as an item named "" ; repeated rows and
     rows with equal or null ids are judged each by its own text; other
-    columns are ignored. Items' windows are broadcast only when their count
-    allows it, else joined by a shuffle that adaptive execution may split.
+    columns are ignored. The items' tables are broadcast only where their rows
+    and bytes allow it (the windows and the item ids each by its own count), else
+    joined by a shuffle that adaptive execution may split.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.xxhash64("text"))  # with doc_id: the document
     windows, of_item = (staged(x, "windows") for x in item_windows(items, width))
-    lengths, n_windows = windows.agg(F.collect_set(F.least("n", F.lit(shingle))), F.count(F.lit(1))).first()  # at most `shingle` lengths
-    small = F.broadcast if n_windows <= BROADCAST_WINDOWS else (lambda x: x)
+    lengths, *size = windows.agg(F.collect_set(F.least("n", F.lit(shingle))), *sent(F.concat_ws(" ", "words"))).first()  # at most `shingle` lengths
+    small = sending(*size)
+    small_ids = sending(*of_item.agg(*sent(F.concat_ws(" ", "window", F.col("item_id").cast("string")))).first())
 
     hits, pieces = None, None
     for q in sorted(lengths):
@@ -115,7 +130,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 13, shingle:
         .select("doc_id", "key", true.alias("true"))
         .select("doc_id", "key", covered.cast("long").alias("n_hit"), F.transform("true", lambda c: c["window"]).alias("windows")))
     verified = staged(verified, "verified")
-    named = (verified.select("doc_id", "key", F.explode("windows").alias("window")).join(small(of_item), "window")
+    named = (verified.select("doc_id", "key", F.explode("windows").alias("window")).join(small_ids(of_item), "window")
              .groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items")))
     found = verified.select("doc_id", "key", "n_hit").alias("v").join(
         named.alias("n"), F.col("v.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("v.key") == F.col("n.key")), "left").select("v.*", "items")

@@ -456,11 +456,35 @@ def test_decontaminate(spark, docs, rows):
         same(decontaminate.digest(decontaminate.contaminated(docs, made)).collect(), brute.benchmark(pairs(rows), items))
     finally:
         decontaminate.BROADCAST_WINDOWS = shuffled
+    sends = decontaminate.BROADCAST_BYTES
+    try:
+        decontaminate.BROADCAST_BYTES = 1000
+        same(decontaminate.digest(decontaminate.contaminated(docs, made)).collect(), brute.benchmark(pairs(rows), items))
+    finally:
+        decontaminate.BROADCAST_BYTES = sends
     clean = decontaminate.clean(docs, made)
     assert clean.columns == docs.columns
     same([(r["doc_id"], r["text"]) for r in clean.collect()], [p for p, v in zip(pairs(rows), brute.benchmark(pairs(rows), items)) if not v[5]])
 
 
+def test_decontaminate_sends_by_weight(spark):
+    """One window of very many items, and one item of a very long word, are not sent to every task."""
+    hints = lambda found: found._jdf.queryExecution().logical().toString().count("strategy=broadcast")
+    docs = spark.createDataFrame([(1, "yes it is"), (2, "no")], "doc_id long, text string")
+    few = spark.createDataFrame([(1, "yes")], "item_id long, text string")
+    n = decontaminate.BROADCAST_WINDOWS + 1
+    many = spark.range(n).select(F.col("id").alias("item_id"), F.lit("yes").alias("text"))
+    long = few.unionByName(spark.range(1).select(F.lit(2).cast("long").alias("item_id"), F.repeat(F.lit("y"), decontaminate.BROADCAST_BYTES).alias("text")))
+    found = {name: decontaminate.contaminated(docs, items) for name, items in (("few", few), ("many", many), ("long", long))}
+    assert {name: hints(f) for name, f in found.items()} == {"few": 1, "many": 0, "long": 1}  # of the ids; the words are judged apart
+    heavy = few.agg(*decontaminate.sent(F.repeat("text", 20_000_000))).first()
+    assert heavy == (1, 60_000_000) and few.agg(*decontaminate.sent(F.lit(None).cast("string"))).first() == (1, 0)
+    assert "broadcast" not in decontaminate.sending(*heavy)(few)._jdf.queryExecution().logical().toString()
+    for name, sizes in (("few", [1, 0]), ("many", [n, 0]), ("long", [1, 0])):
+        got = found[name].select("doc_id", "n_words", "n_hit", F.size("items")).collect()
+        same([tuple(r) for r in got], [(1, 3, 1, sizes[0]), (2, 1, 0, sizes[1])])
+
+
 def test_decontaminate_table(spark, docs, none):
     same(queries.op8_decontaminate(spark, SF).collect(), brute.benchmark(table_rows("documents", "doc_id, text"), table_rows("benchmark", "item_id, text")))
     empty = spark.createDataFrame([], "item_id long, text string")
