@@ -529,14 +529,14 @@ def test_adjacent_licenses():
 def test_telling_words():
     s = license_scan.Scanner()
     names = lambda t: [f[2] for f in s.scan(f"Foo bar.\n{t}\nOther text")]
-    two, three = license_scan.TEMPLATES["GPL-2.0"][1], license_scan.TEMPLATES["GPL-3.0"][1]
-    for text, want in ((two, "GPL-2.0"), (three, "GPL-3.0")):
+    two, three = license_scan.TEMPLATES["GPL-2.0-or-later"][0], license_scan.TEMPLATES["GPL-3.0-or-later"][0]
+    for text, want in ((two, "GPL-2.0-or-later"), (three, "GPL-3.0-or-later")):
         assert names(text) == names(text.replace("redistribute", "share")) == names(text.replace("License", "Licence")) == names("# " + text.replace(", ", ",\n# ")) == [want]
         assert names("dnl " + text.replace("GNU ", "GNU\ndnl ")) == [want]
-        assert names(text.replace("GNU ", "GNU Affero ").replace("version 2", "version 3")) == ["AGPL-3.0"]
+        assert names(text.replace("GNU ", "GNU Affero ").replace("version 2", "version 3")) == ["AGPL-3.0-or-later"]
     lesser = two.replace("program", "library").replace("GNU ", "GNU Lesser ")
-    assert names(lesser.replace("version 2", "version 2.1")) == ["LGPL-2.1"] and names(lesser.replace("Lesser", "Library")) == ["LGPL-2.0"]
-    assert names(three.replace("GNU ", "GNU Lesser ")) == ["LGPL-3.0"]
+    assert names(lesser.replace("version 2", "version 2.1")) == ["LGPL-2.1-or-later"] and names(lesser.replace("Lesser", "Library")) == ["LGPL-2.0-or-later"]
+    assert names(three.replace("GNU ", "GNU Lesser ")) == ["LGPL-3.0-or-later"]
     assert names(three.replace("version 3", "version 4")) == names(three.replace("GNU ", "GNU Other ")) == []
     cc = license_scan.TEMPLATES["CC-BY-4.0"][1]
     assert names(cc) == names(cc.replace(" a ", " the ")) == ["CC-BY-4.0"] and names(cc.replace("4.0", "3.0")) == []
@@ -546,6 +546,45 @@ def test_telling_words():
     assert names(apache) == names(apache.replace("2.0 (", "2 (")) == ["Apache-2.0"] and names(apache.replace("Version 2.0", "Version 1.1")) == []
 
 
+def test_relatives():
+    """Licenses that open with the same words are told apart by their clauses."""
+    s = license_scan.Scanner()
+    names = lambda t: [f[2] for f in s.scan(f"Copyright (c) 2020 Someone.\n{t}\nOther text")]
+    bsd = license_scan.TEMPLATES["BSD"][0]
+    source = "\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    binary = ("\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+              "in the documentation and/or other materials provided with the distribution.")
+    adverts = "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement: by Someone."
+    names_clause = ("\n{}. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+                    "from this software without specific prior written permission.")
+    two, three, four = bsd + source + binary, bsd + source + binary + names_clause.format(3), bsd + source + binary + adverts + names_clause.format(4)
+    for text, want in ((bsd, "BSD"), (bsd + source, "BSD-1-Clause"), (two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (four, "BSD-4-Clause")):
+        assert names(text) == names("# " + text.replace("\n", "\n# ").replace(", ", ",\n# ")) == [want]
+    assert names(f"{two}\n{three}\n{bsd}\n{four}") == ["BSD-2-Clause", "BSD-3-Clause", "BSD", "BSD-4-Clause"]
+    mit, zero = license_scan.TEMPLATES["MIT"][2], license_scan.TEMPLATES["MIT-0"][0]
+    notice = "\nThe above copyright notice and this notice shall be included in all copies or substantial portions of the Software."
+    evil = "\nThe Software shall be used for Good, not Evil."
+    assert names(mit + notice) == ["MIT"] and names(mit + notice + evil) == ["JSON"] and names(zero + " The software is provided as is.") == ["MIT-0"]
+    assert names(f"Licensed under the MIT License. {evil}") == ["MIT"] and names(mit.replace("charge", "cost").replace("rights", "right")) == ["MIT"]
+    assert names(mit.replace("subject to the following", "subject to these")) in ([], ["MIT-0"])
+    for v in ("2", "3"):
+        later, only = license_scan.TEMPLATES[f"GPL-{v}.0-or-later"], license_scan.TEMPLATES[f"GPL-{v}.0-only"]
+        assert [names(t) for t in (*later, *only)] == [[f"GPL-{v}.0-or-later"], [f"GPL-{v}.0-only"], [f"GPL-{v}.0-only"]]
+
+
+def test_tags():
+    s = license_scan.Scanner()
+    names = lambda t: [f[2] for f in s.scan(t)]
+    assert {"MIT", "MIT-0", "JSON", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "CC-BY-NC-4.0"} <= set(license_scan.TAGGED)
+    for name in license_scan.TAGGED:
+        tag = license_scan.TAG + name
+        assert names(tag) == names(f"// {tag}\nint main() {{}}") == names(f"/* {tag} */ {name}") == names(f"{tag}.") == [name], name
+        assert names(tag + "-Other") == names(tag + "x") == []
+    assert names(license_scan.TAG + "Some-Other-1.0") == []
+    lines = "".join(f"# {license_scan.TAG}{name}\n" for name in license_scan.TAGGED)
+    assert names(lines) == license_scan.TAGGED
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline(spark):
