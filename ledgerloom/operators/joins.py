@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_ENTRIES = 200_000  # of about 50 bytes: 10 MB in every task
+MOST_ENTRIES = 200_000  # and
+MOST_BYTES = 16 << 20   # of their keys and values: what every task may hold
 BUCKETS = 4096
 SALTS = 8
 
@@ -25,6 +26,16 @@ def salted_lookup(rows: DataFrame, table: DataFrame, row_key: str, table_key: st
     return r.join(t, (F.col(row_key) == F.col("_key")) & (F.col("_salt") == F.col("_salt_t")), how).drop("_key", "_salt", "_salt_t")
 
 
+def travels(table: DataFrame, src: str, dst: str, rows: int | None = None) -> bool:
+    """Is the table light enough, in rows and in bytes, to be sent to every
+    task? One aggregate; none where the caller knows of too many ``rows``."""
+    if rows is not None and rows > MOST_ENTRIES:
+        return False
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (src, dst)), F.lit(0))
+    n, held = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return n <= MOST_ENTRIES and held <= MOST_BYTES
+
+
 def bucketed(table: DataFrame, src: str, dst: str) -> DataFrame:
     """One row, ``_buckets``: an array of maps src -> dst by hash of src."""
     spark = table.sparkSession

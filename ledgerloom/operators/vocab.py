@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.encode import AMOUNT, AMOUNT_EDGES, AMOUNT_RANGES_6, DAY, MONTH, PAD, SEP, UNK, WEEKDAY
-from ledgerloom.operators.joins import MOST_ENTRIES, bucketed, lookup_in_arrays
+from ledgerloom.operators.joins import bucketed, lookup_in_arrays, travels
 from ledgerloom.operators.ranking import global_index
 
 # ---------------------------------------------------------------------------
@@ -79,13 +79,12 @@ def _map_array(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], col: st
                src: str, dst: str, fill, vocab_rows: int | None) -> DataFrame:
     """Map the elements of ``col`` through ``vocab`` (``src`` -> ``dst``).
 
-    ``vocab_rows`` is the vocabulary's size where the caller knows it, else
-    it is counted. Up to ``MOST_ENTRIES`` the vocabulary travels to the rows;
-    beyond, elements are exploded, joined and re-collected per ``key_cols``
+    A vocabulary of few rows and bytes (``joins.travels``) travels to the rows;
+    ``vocab_rows`` spares counting one that is known to be too large. For it,
+    elements are exploded, joined and re-collected per ``key_cols``
     (one output row per key; arrays stay as bounded as the input's)."""
     keys = list(key_cols)
-    n = vocab.limit(MOST_ENTRIES + 1).count() if vocab_rows is None else vocab_rows
-    if n <= MOST_ENTRIES:
+    if travels(vocab, src, dst, vocab_rows):
         return lookup_in_arrays(df.select(*keys, col), bucketed(vocab, src, dst), col, "_out", fill).select(*keys, F.col("_out").alias(out_col))
     long = df.select(*keys, F.posexplode_outer(col).alias("_pos", "_src"))
     v = vocab.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"))

@@ -390,9 +390,9 @@ def _catalog_usage_sql(tokens: str, text: str) -> str:
 FROM (SELECT unnest({tokens}) AS token, CAST(generate_subscripts({tokens}, 1) - 1 AS INTEGER) AS id) v, ({text}) t GROUP BY v.token, v.id"""
 
 
-def _catalog_usage(spark, texts, variant):
+def _catalog_usage(texts, variant, held=lambda t: F.contains("txt", F.lit(t))):
     toks = V.special_token_list(variant)  # a fixed list
-    counts = texts.agg(*[F.count(F.when(F.contains("txt", F.lit(t)), 1)).alias(f"n{i}") for i, t in enumerate(toks)])
+    counts = texts.agg(*[F.count(F.when(held(t), 1)).alias(f"n{i}") for i, t in enumerate(toks)])
     rows = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(i).alias("id"), F.col(f"n{i}").alias("n_texts")) for i, t in enumerate(toks)])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -401,7 +401,7 @@ def _catalog_usage(spark, texts, variant):
 def q_catalog_spaced(spark, sf):
     """U1, spaced form: its catalog, with the number of transactions that hold each token."""
     tx = T.transactions_from_events(spark, sf)
-    return _catalog_usage(spark, tx.select(E.spaced_transaction_string("origin", "amount", "date", "description").alias("txt")), "spaced")
+    return _catalog_usage(tx.select(E.spaced_transaction_string("origin", "amount", "date", "description").alias("txt")), "spaced")
 
 
 @query("special_catalog_tagged", _catalog_usage_sql(_TAGGED_SQL, f"""SELECT '<SOS>' || string_agg({Q.tagged('type', 'amount', 'hour', 'day', 'month', 'day_week', 'merchant')}, '<EOT>') || '<EOS>' AS txt
@@ -410,8 +410,15 @@ def q_catalog_tagged(spark, sf):
     """U1, tagged form: its catalog, with the number of client days that hold each token."""
     sd = T.split_date_transactions(T.transactions_from_events(spark, sf)).where(F.col("client_id").isNotNull())
     tx = sd.withColumn("s", E.tagged_transaction_string("type", "amount", "hour", "day", "month", "day_week", "merchant"))
-    texts = tx.groupBy("client_id", F.date_trunc("day", "date").alias("d")).agg(F.concat(F.lit("<SOS>"), F.array_join(F.collect_list("s"), "<EOT>"), F.lit("<EOS>")).alias("txt"))
-    return _catalog_usage(spark, texts, "tagged")
+    # a day's text is "<SOS>", its strings with "<EOT>" between and "<EOS>": each string is searched where it lies, no day is gathered
+    toks = V.special_token_list("tagged")
+    days = tx.groupBy("client_id", F.date_trunc("day", "date").alias("d")).agg(
+        F.count("s").alias("n"), *[F.max(F.contains("s", F.lit(t))).alias(t) for t in toks])
+    least = {"<SOS>": 1, "<EOS>": 1, "<EOT>": 2}  # strings that make it part of the text
+
+    def held(t):
+        return F.col(f"`{t}`") | (F.col("n") >= least[t]) if t in least else F.col(f"`{t}`")
+    return _catalog_usage(days, "tagged", held)
 
 
 @query("special_token_usage", f"""SELECT v.token, v.id, CAST(count(t.tok) AS BIGINT) AS n_used
