@@ -13,23 +13,30 @@ How the assembly scales (``assemble_sequences``):
 
 1. range-partition events on (key, order...) so a hot key is spread over
    many partitions, then sort inside each partition;
-2. cut every partition into *pieces* of at most ``piece_rows`` rows of one key
-   and collect each piece with a map-side (partial) aggregate: all rows of a
-   piece live in one task, so the shuffle after it only moves finished pieces;
-3. number the pieces per key on a slim (key, piece, length) table — a hot key
-   has at most partitions x pieces rows there — giving every piece its offset;
-4. pieces of single-piece short users are the answer; the rest are cut at
-   chunk boundaries and regrouped by (key, chunk), each group <= chunk_len.
+2. walk each sorted partition once, batch by batch: a key that begins and ends
+   inside a batch is *closed*, and its finished chunks are cut there; what
+   touches a batch's first or last key is an *open* piece, at most two a
+   batch (a hot key has one a batch, of at most ``piece_rows`` rows). Both are
+   written as one Parquet table, whose dictionaries make tokens small;
+3. number the open pieces per key on a slim (key, piece, length) table, giving
+   every piece its offset;
+4. cut the open pieces at chunk boundaries and regroup them by (key, chunk),
+   each group <= chunk_len. Closed keys' tokens are moved once, by the range shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.session import default_parallelism, hold
+from ledgerloom.session import default_parallelism, hold, written
 
 DEFAULT_CHUNK_LEN = 4096
 PIECE_ROWS_LOG2 = 16  # pieces of at most 65,536 events
@@ -66,52 +73,35 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
         ev = ev.withColumn("_items", F.concat(F.col("_items"), _lit_array([sep], etype)))
 
     # 1-2: range partition (hot keys spread), total sort inside, pieces.
-    # equal (key, order) rows always share a partition; the items only break
-    # ties inside the partition sort, which makes the piece cut reproducible
+    # the items break ties inside the partition sort. The table is written:
+    # all its readers must see the same pieces
     ranged = (ev.repartitionByRange(n_parts, key, *order_by)
               .sortWithinPartitions(key, *order_by, "_items")
-              .withColumn("_piece", F.shiftright(F.monotonically_increasing_id(), piece_rows_log2)))
-    # used by two branches: both must see the same piece numbering
-    pieces = hold(ranged.groupBy(key, "_piece")
-              .agg(F.sort_array(F.collect_list(F.struct(*order_by, "_items"))).alias("_rows"))
-              .select(key, "_piece", F.flatten(F.transform("_rows", lambda r: r["_items"])).alias("_tok"))
-              .withColumn("_n", F.size("_tok").cast("bigint")))
+              .select(F.col(key).alias("_k"), "_items"))
+    fields = [T.StructField("_k", ranged.schema["_k"].dataType), *_PIECE_FIELDS, T.StructField("tokens", ranged.schema["_items"].dataType)]
+    walk = _cut_pieces(list(prefix), list(suffix), 0 if sep is None else 1, chunk_len, 1 << piece_rows_log2)
+    _, pieces = written(ranged.mapInArrow(walk, T.StructType(fields)), "pieces", kept=True)
+    closed = pieces.where(F.col("_piece").isNull()).select(F.col("_k").alias(key), "chunk", "offset", "seq_len", "tokens")
+    pieces = pieces.where(F.col("_piece").isNotNull()).select(F.col("_k").alias(key), "_piece", F.col("seq_len").alias("_n"), F.col("tokens").alias("_tok"))
 
     # 3: offsets on the slim table.
     by_key = Window.partitionBy(key)
     slim = (pieces.select(key, "_piece", "_n")
             .withColumn("_off", F.sum("_n").over(by_key.orderBy("_piece")) - F.col("_n"))
             .withColumn("_tot", F.sum("_n").over(by_key))
-            .withColumn("_np", F.count(F.lit(1)).over(by_key))
             .drop("_n"))
     p, s, L = len(prefix), len(suffix), chunk_len
     core_len = F.col("_tot") - F.lit(1 if sep is not None else 0)
-    final_len = core_len + F.lit(p + s)
-    placed = (pieces.join(slim, [key, "_piece"])
-              .withColumn("_core", core_len)
-              .withColumn("_len", final_len))
-
-    def whole(tok: Column) -> Column:
-        parts = []
-        if p:
-            parts.append(_lit_array(prefix, etype))
-        parts.append(tok)
-        if s:
-            parts.append(_lit_array(suffix, etype))
-        return F.concat(*parts) if len(parts) > 1 else tok
-
-    fast_cond = (F.col("_np") == 1) & (F.col("_len") <= L)
-    fast = placed.where(fast_cond).select(
-        key, F.lit(0).alias("chunk"), F.lit(0).cast("bigint").alias("offset"),
-        F.col("_len").alias("seq_len"),
-        whole(F.slice("_tok", 1, F.col("_core").cast("int"))).alias("tokens"))
-
-    # 4: cut the remaining pieces (and the prefix/suffix) at chunk boundaries.
-    slow = placed.where(~fast_cond)
+    slow = (pieces.join(slim, [key, "_piece"])
+            .withColumn("_core", core_len)
+            .withColumn("_len", core_len + F.lit(p + s)))
+
+    # 4: cut the pieces (and the prefix/suffix) at chunk boundaries.
     parts = [slow.select(key, "_len", (F.col("_off") + p).alias("_start"),
                          F.slice("_tok", 1, F.greatest(F.least(F.col("_n"), F.col("_core") - F.col("_off")),
                                                         F.lit(0)).cast("int")).alias("_seg"))]
-    firsts = slow.where(F.col("_off") == 0)
+    # a key's first piece, also where pieces of no tokens share its offset
+    firsts = slow.groupBy(key).agg(F.max("_len").alias("_len"), F.max("_core").alias("_core"))
     if p:
         parts.append(firsts.select(key, "_len", F.lit(0).cast("bigint").alias("_start"),
                                    _lit_array(prefix, etype).alias("_seg")))
@@ -121,8 +111,9 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
     segs = parts[0]
     for extra in parts[1:]:
         segs = segs.unionByName(extra)
-    segs = segs.where(F.size("_seg") > 0).withColumn("_end", F.col("_start") + F.size("_seg"))
-    k = F.explode(F.sequence(F.floor(F.col("_start") / L), F.floor((F.col("_end") - 1) / L))).alias("chunk")
+    # a key without any token keeps its one empty chunk
+    segs = segs.where((F.size("_seg") > 0) | (F.col("_len") == 0)).withColumn("_end", F.col("_start") + F.size("_seg"))
+    k = F.explode(F.sequence(F.floor(F.col("_start") / L), F.greatest(F.floor((F.col("_end") - 1) / L), F.lit(0)))).alias("chunk")
     cut = segs.select(key, "_len", "_start", "_end", "_seg", k)
     lo = F.greatest(F.col("chunk") * L, F.col("_start"))
     hi = F.least((F.col("chunk") + 1) * L, F.col("_end"))
@@ -133,7 +124,69 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
                       F.sort_array(F.collect_list(F.struct("_lo", "_s"))).alias("_segs"))
                  .select(key, "chunk", (F.col("chunk") * F.lit(L)).cast("bigint").alias("offset"), "seq_len",
                          F.flatten(F.transform("_segs", lambda x: x["_s"])).alias("tokens")))
-    return fast.unionByName(regrouped)
+    return closed.unionByName(regrouped)
+
+
+_PIECE_FIELDS = [T.StructField("_piece", T.LongType()), T.StructField("chunk", T.IntegerType()),
+                 T.StructField("offset", T.LongType()), T.StructField("seq_len", T.LongType())]
+
+
+def _starts(keys: pa.Array) -> np.ndarray:
+    """Rows of a sorted column where another key begins."""
+    if pa.types.is_floating(keys.type):
+        keys = keys.dictionary_encode().indices  # NaN is one key
+    if len(keys) < 2:
+        return np.zeros(len(keys), np.int64)
+    other = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(other) + 1])
+
+
+def _spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of each length, one after another."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + length, length)
+
+
+def _cut_pieces(prefix: list, suffix: list, extra: int, chunk_len: int, piece_rows: int) -> Callable:
+    """The walk over a sorted partition of (key, items): finished chunks of the
+    keys inside a batch, numbered pieces (``seq_len``: their tokens) of the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, items = batch.columns
+            at, values = items.offsets.to_numpy().astype(np.int64), items.values
+            runs = np.append(_starts(keys), len(batch))
+            n_runs = len(runs) - 1
+            inner = np.arange(n_runs)[1:-1]
+            inner = inner[runs[inner + 1] - runs[inner] <= piece_rows]
+            outer = np.setdiff1d(np.arange(n_runs), inner)
+            if len(inner):
+                first, core = at[runs[inner]], at[runs[inner + 1]] - at[runs[inner]] - extra
+                pool = pa.concat_arrays([values, pa.array(prefix + suffix, values.type)]) if prefix or suffix else values
+                p, s, base = len(prefix), len(suffix), len(values)
+                n = core + p + s
+                tokens = pool.take(pa.array(_spans(np.stack([np.full_like(first, base), first, np.full_like(first, base + p)], 1).ravel(),
+                                                   np.stack([np.full_like(core, p), core, np.full_like(core, s)], 1).ravel())))
+                chunks = np.maximum(-(-n // chunk_len), 1)
+                of, k = np.repeat(np.arange(len(inner)), chunks), _spans(np.zeros_like(chunks), chunks)
+                starts = (np.cumsum(n) - n)[of] + k * chunk_len
+                yield pa.RecordBatch.from_arrays([
+                    keys.take(pa.array(runs[inner][of])), pa.nulls(len(of), pa.int64()), pa.array(k.astype(np.int32)), pa.array(k * chunk_len), pa.array(n[of]),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts, n.sum()).astype(np.int32)), tokens)], names=_NAMES)
+            for r in outer:
+                for lo in range(runs[r], runs[r + 1], piece_rows):
+                    hi = min(lo + piece_rows, runs[r + 1])
+                    part = values.slice(at[lo], at[hi] - at[lo])
+                    yield pa.RecordBatch.from_arrays([
+                        keys.slice(lo, 1), pa.array([number], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(part)], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=_NAMES)
+                    number += 1
+    return run
+
+
+_NAMES = ["_k", "_piece", "chunk", "offset", "seq_len", "tokens"]
 
 
 # ---------------------------------------------------------------------------

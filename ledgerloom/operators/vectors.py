@@ -29,20 +29,23 @@ EXTRA = 10             # columns beyond the rank
 
 def cooccurrences(seqs: DataFrame, key: str, window: int = 2) -> DataFrame:
     """(left, right, cnt): pairs of tokens ``left`` before ``right`` by 1 to ``window``
-    places of one sequence. A chunk borrows the last tokens of the chunk
-    before it by an equi-join on (key, chunk)."""
-    last = seqs.select(key, (F.col("chunk") + 1).alias("chunk"), F.slice("tokens", F.greatest(F.size("tokens") - window, F.lit(0)) + 1, window).alias("_before"))
-    none = F.array().cast(seqs.schema["tokens"].dataType)
-    j = seqs.select(key, "chunk", "tokens").join(last, [key, "chunk"], "left").withColumn("_before", F.coalesce("_before", none))
-    whole = j.select(F.size("_before").alias("_b"), F.concat("_before", "tokens").alias("_t"))
+    places of one sequence. Pairs inside a chunk are counted where it lies; for
+    those across its border only the last ``window`` tokens of the chunk before it
+    and its own first ones meet, by an equi-join on (key, chunk)."""
+    tail = F.slice("tokens", F.greatest(F.size("tokens") - window, F.lit(0)) + 1, window)
+    last = seqs.select(key, (F.col("chunk") + 1).alias("chunk"), tail.alias("_before"))
+    first = seqs.where(F.col("chunk") > 0).select(key, "chunk", F.slice("tokens", 1, window).alias("_own"))
+    border = first.join(last, [key, "chunk"]).select(F.size("_before").alias("_b"), F.concat("_before", "_own").alias("_t"))
     out = None
-    for d in range(1, window + 1):
-        # the right token is one of this chunk's own, so no pair is counted twice
-        first, last_ = F.greatest(F.col("_b"), F.lit(d)), F.size("_t") - 1
-        one = whole.select("_t", F.explode(F.when(last_ >= first, F.sequence(first, last_))).alias("_i"))
-        one = one.select(F.element_at("_t", F.col("_i") + 1 - d).alias("left"), F.element_at("_t", F.col("_i") + 1).alias("right"))
-        one = one.groupBy("left", "right").agg(F.count(F.lit(1)).alias("cnt"))
-        out = one if out is None else out.unionByName(one)
+    for whole, across in ((seqs.select(F.lit(0).alias("_b"), F.col("tokens").alias("_t")), False), (border, True)):
+        for d in range(1, window + 1):
+            # across a border: the left token before it, the right one behind it
+            low = F.greatest(F.col("_b"), F.lit(d))
+            high = F.least(F.size("_t") - 1, F.col("_b") + d - 1) if across else F.size("_t") - 1
+            one = whole.select("_t", F.explode(F.when(high >= low, F.sequence(low, high))).alias("_i"))
+            one = one.select(F.element_at("_t", F.col("_i") + 1 - d).alias("left"), F.element_at("_t", F.col("_i") + 1).alias("right"))
+            one = one.groupBy("left", "right").agg(F.count(F.lit(1)).alias("cnt"))
+            out = one if out is None else out.unionByName(one)
     return out.where(F.col("left").isNotNull() & F.col("right").isNotNull()).groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
 
 
