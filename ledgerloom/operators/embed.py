@@ -22,7 +22,7 @@ def embedding_lookup(ids_long: DataFrame, table: DataFrame, id_col: str = "token
 
     Ids repeat without bound (a separator is a tenth of all positions), so
     the rows are salted and the table, one row an id, is repeated as often:
-    no id meets in one task. The planner may broadcast a table it finds small."""
+    no id meets in one task. A table counted as small travels to the rows."""
     t = table.select(F.col(vec_id).cast("bigint").alias("_vec"), F.col(vec_id).alias("vec_id"), F.col(vec).alias("embedding"))
     return salted_lookup(ids_long.withColumn("_id", F.col(id_col).cast("bigint")), t, "_id", "_vec").drop("_id")
 
@@ -36,8 +36,27 @@ def pool_mean(ids_long: DataFrame, table: DataFrame, key: str, id_col: str = "to
     Positions without a vector do not count."""
     n = ids_long.groupBy(key, F.col(id_col).alias("token_id")).agg(F.count(F.lit(1)).alias("_n"))
     v = embedding_lookup(n, table, "token_id", vec_id, vec).where(F.col("embedding").isNotNull())
-    ex = v.select(key, "_n", F.posexplode("embedding").alias("dim", "v"))
-    return ex.groupBy(key, "dim").agg((F.sum(F.col("v").cast("double") * F.col("_n")) / F.sum("_n")).alias("value"))
+    return mean_vectors(v, key, "embedding", "_n", vector_sizes(table, vec))
+
+
+def vector_sizes(table: DataFrame, vec: str) -> tuple[int, int]:
+    """The shortest and the longest vector of a table (0, 0 without any)."""
+    return tuple(x or 0 for x in table.where(F.col(vec).isNotNull()).agg(F.min(F.size(vec)), F.max(F.size(vec))).first())
+
+
+def mean_vectors(rows: DataFrame, key: str, vec: str, weight: str, sizes: tuple[int, int]) -> DataFrame:
+    """(key, dim, value): the weighted mean of a key's vectors, one sum a
+    dimension side by side, so a vector stays one row until its key's sums are
+    done. A dimension's weights are those of the vectors that reach it."""
+    shortest, longest = sizes
+    if not longest:
+        return rows.select(key, F.lit(0).alias("dim"), F.lit(0.0).alias("value")).limit(0)
+    sums = [F.sum(F.get(vec, F.lit(d)).cast("double") * F.col(weight)).alias(f"_s{d}") for d in range(longest)]
+    reach = [F.sum(weight).alias("_n")] if shortest == longest else [F.sum(F.when(F.size(vec) > d, F.col(weight))).alias(f"_n{d}") for d in range(longest)]
+    n = [F.col("_n")] * longest if shortest == longest else [F.col(f"_n{d}") for d in range(longest)]
+    each = F.array(*[F.struct(n[d].alias("n"), (F.col(f"_s{d}") / n[d]).alias("value")) for d in range(longest)])
+    return rows.groupBy(key).agg(*sums, *reach).select(key, F.posexplode(each).alias("dim", "_m")) \
+               .where(F.col("_m.n").isNotNull()).select(key, "dim", F.col("_m.value").alias("value"))
 
 
 def pool_last(ids_long: DataFrame, table: DataFrame, key: str, pos: str = "pos", id_col: str = "token_id",

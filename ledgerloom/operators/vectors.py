@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.joins import salted_lookup
+from ledgerloom.operators.embed import mean_vectors, vector_sizes
+from ledgerloom.operators.joins import salted_lookup, travels
 from ledgerloom.session import drop_written, hold, written
 
 MOST_TOKENS = 200_000  # 200,000 * 74 doubles: 118 MB in a task
@@ -136,9 +137,10 @@ def token_vectors(ppmi_table: DataFrame, rank: int = 16, steps: int = 6, seed: i
 
 
 def pooled(seqs: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
-    """(key, dim, value): mean vector of a key's tokens that have one. Tokens are
-    counted by key first; vectors of frequent tokens are looked up with salt."""
-    bag = seqs.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("cnt"))
+    """(key, dim, value): mean vector of a key's tokens that have one. Vectors that
+    travel are summed up where the chunks lie: a shuffle moves one row of sums a
+    key and task. Heavier ones are looked up, with salt, by counted tokens."""
+    one = seqs.select(key, F.explode("tokens").alias("token"))
+    bag = one.withColumn("cnt", F.lit(1)) if travels(vectors, "token", "vector") else one.groupBy(key, "token").agg(F.count(F.lit(1)).alias("cnt"))
     j = salted_lookup(bag, vectors.select(F.col("token").alias("_t"), "vector"), "token", "_t", "inner")
-    long = j.select(key, "cnt", F.posexplode("vector").alias("dim", "_v"))
-    return long.groupBy(key, "dim").agg((F.sum(F.col("cnt") * F.col("_v")) / F.sum("cnt")).alias("value"))
+    return mean_vectors(j, key, "vector", "cnt", vector_sizes(vectors, "vector"))

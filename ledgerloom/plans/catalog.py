@@ -1422,5 +1422,5 @@ def q_token_vectors(spark, sf):
 @query("user_token_vectors")
 def q_user_token_vectors(spark, sf):
     """M4: users as the mean of their tokens' learned vectors."""
-    seqs = hold(_txr_chunks(spark, sf))
+    seqs = _txr_chunks(spark, sf)
     return VC.pooled(seqs, "user_id", txr_token_vectors(spark, sf, seqs))

@@ -39,3 +39,20 @@ def test_only_border_tokens_are_joined(spark):
     assert pairs == dict.fromkeys(["ab", "bc", "cd", "de", "ef", "ac", "bd", "ce", "df"], 1)
     joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in x and "chunk" in x]
     assert joins and all("slice(tokens" in x for x in joins)
+
+
+def test_vectors_are_summed_where_the_chunks_lie(spark):
+    seqs = spark.createDataFrame([("x", 0, ["p", "q"]), ("x", 1, ["p"]), ("y", 0, ["q"]), ("none", 0, ["unknown"])], "u string, chunk int, tokens array<string>")
+    vectors = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 3.0])], "token string, vector array<double>")
+    df = V.pooled(seqs, "u", vectors)
+    assert ", token#" not in "".join(x for x in _plan(df).splitlines() if "hashpartitioning" in x)
+    assert {(r["u"], r["dim"]): r["value"] for r in df.collect()} == {("x", 0): 2 / 3, ("x", 1): 1.0, ("y", 0): 0.0, ("y", 1): 3.0}
+
+
+def test_pool_mean_of_uneven_vectors(spark):
+    ids = spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("y", 3), ("z", 9)], "u string, token_id int")
+    table = spark.createDataFrame([(1, [1.0, 2.0]), (2, [4.0, None, 7.0]), (3, []), (9, None)], "vec_id long, embedding array<float>")
+    df = EM.pool_mean(ids, table, "u")
+    assert "posexplode(embedding" not in _plan(df)  # a vector is one row
+    assert {(r["u"], r["dim"]): r["value"] for r in df.collect()} == {("x", 0): 2.0, ("x", 1): 4 / 3, ("x", 2): 7.0}
+    assert EM.pool_mean(ids, table.limit(0), "u").collect() == []
