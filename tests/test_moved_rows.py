@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import embed as EM
+from ledgerloom.operators import models as MO
 from ledgerloom.operators import sequence as S
 from ledgerloom.operators import vectors as V
 
@@ -56,3 +57,11 @@ def test_pool_mean_of_uneven_vectors(spark):
     assert "posexplode(embedding" not in _plan(df)  # a vector is one row
     assert {(r["u"], r["dim"]): r["value"] for r in df.collect()} == {("x", 0): 2.0, ("x", 1): 4 / 3, ("x", 2): 7.0}
     assert EM.pool_mean(ids, table.limit(0), "u").collect() == []
+
+
+def test_classifiers_read_their_bag_once_and_send_light_weights(spark):
+    users = spark.createDataFrame([(k, 1.0 * k, k % 2, k % 2, 1 - k % 2) for k in range(6)], "u long, x double, c int, pos int, neg int")
+    bag = spark.createDataFrame([(k, f"t{k % 3}", 2) for k in range(6)], "u long, token string, cnt long")
+    df = MO.fusion_bayes(users, bag, "u", ["c"], ["x"])
+    assert any("ledgerloom-bag" in f for f in df.inputFiles()) and "xxhash64" not in _plan(df)
+    assert df.count() == 6
