@@ -1063,7 +1063,8 @@ def q_user_projection(spark, sf):
 
 
 def docq_frame(spark, sf):
-    d = T.labelled_documents(spark, sf)
+    # dealt by document: its tokens are counted, weighed and added up where its text lies
+    d = T.labelled_documents(spark, sf).repartition("user_id")
     d = d.withColumn("tokens", F.transform(B.pretokenize("text"), lambda w: F.lower(w)))
     return SP.group_split(d, "user_id")
 

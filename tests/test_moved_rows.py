@@ -5,6 +5,7 @@ from ledgerloom.operators import embed as EM
 from ledgerloom.operators import models as MO
 from ledgerloom.operators import sequence as S
 from ledgerloom.operators import vectors as V
+from ledgerloom.plans import catalog as C
 
 
 def _plan(df):
@@ -65,3 +66,9 @@ def test_classifiers_read_their_bag_once_and_send_light_weights(spark):
     df = MO.fusion_bayes(users, bag, "u", ["c"], ["x"])
     assert any("ledgerloom-bag" in f for f in df.inputFiles()) and "xxhash64" not in _plan(df)
     assert df.count() == 6
+
+
+def test_a_documents_tokens_are_counted_where_its_text_lies(spark):
+    plan = _plan(C.docq_scores(spark, "/root/testdata/sf0.001"))
+    assert "xxhash64" not in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(user_id#" in x and "token#" in x]
