@@ -72,3 +72,15 @@ def test_a_documents_tokens_are_counted_where_its_text_lies(spark):
     plan = _plan(C.docq_scores(spark, "/root/testdata/sf0.001"))
     assert "xxhash64" not in plan
     assert not [x for x in plan.splitlines() if "hashpartitioning(user_id#" in x and "token#" in x]
+
+
+def test_label_windows_are_taken_in_order(spark):
+    ev = spark.createDataFrame([(u, t, [f"{u}{t}", "x"]) for u in "abc" for t in range(0, 400, 2)], "u string, t int, toks array<string>")
+    lab = spark.createDataFrame([(k, "abcd"[k % 4], k - 20) for k in range(440)] + [(None, "a", 9), (900, None, 9), (901, "a", None)], "r int, u string, at int")
+    df = S.label_sequences_as_of(ev, lab, "u", ["t"], "toks", "r", "at", 5, sep="|", chunk_len=3)
+    assert "xxhash64" not in _plan(df) and any("ledgerloom-as-of" in f for f in df.inputFiles())
+    got = df.collect()
+    assert len(got) == 443
+    for x in got:
+        flat = [] if None in x[:3] or x["u"] == "d" else [y for t in range(0, 400, 2) if t <= x["at"] for y in (f"{x['u']}{t}", "x", "|")][:-1]
+        assert x["tokens"] == flat[-5:], x
