@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.joins import salted_lookup
+from ledgerloom.operators.joins import salted_lookup, travels
 
 
 def embedding_lookup(ids_long: DataFrame, table: DataFrame, id_col: str = "token_id",
@@ -24,7 +24,7 @@ def embedding_lookup(ids_long: DataFrame, table: DataFrame, id_col: str = "token
     the rows are salted and the table, one row an id, is repeated as often:
     no id meets in one task. A table counted as small travels to the rows."""
     t = table.select(F.col(vec_id).cast("bigint").alias("_vec"), F.col(vec_id).alias("vec_id"), F.col(vec).alias("embedding"))
-    return salted_lookup(ids_long.withColumn("_id", F.col(id_col).cast("bigint")), t, "_id", "_vec").drop("_id")
+    return salted_lookup(ids_long.withColumn("_id", F.col(id_col).cast("bigint")), t, "_id", "_vec", light=travels(t, "_vec", "embedding")).drop("_id")
 
 
 def pool_mean(ids_long: DataFrame, table: DataFrame, key: str, id_col: str = "token_id", vec_id: str = "vec_id",

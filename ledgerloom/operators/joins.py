@@ -17,33 +17,28 @@ BUCKETS = 4096
 SALTS = 8
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, row_key: str, table_key: str, how: str = "left") -> DataFrame:
-    """``rows`` joined with ``table`` (one row a key, cheap to read twice) where a
-    few keys may hold most rows. A table that is counted as light travels to the
-    rows, and none of them is moved. Otherwise the rows are salted by their content
-    and the table is repeated for each salt, so no key meets in one task. The key
-    of ``table`` is dropped."""
+def salted_lookup(rows: DataFrame, table: DataFrame, row_key: str, table_key: str, how: str = "left", light: bool = False) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) where a few keys may hold
+    most rows. A table counted as ``light`` travels to the rows, and none of them
+    is moved. Otherwise the rows are salted by their content and the table is
+    repeated for each salt, so no key meets in one task. The key of ``table`` is
+    dropped."""
     t = table.withColumnRenamed(table_key, "_key")
-    if _light(t, t.columns):
+    if light:
         return rows.join(F.broadcast(t), F.col(row_key) == F.col("_key"), how).drop("_key")
     t = t.withColumn("_salt_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     r = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int"))
     return r.join(t, (F.col(row_key) == F.col("_key")) & (F.col("_salt") == F.col("_salt_t")), how).drop("_key", "_salt", "_salt_t")
 
 
-def _light(table: DataFrame, cols: list[str]) -> bool:
-    """One aggregate over the table: are its rows and bytes few?"""
-    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in cols), F.lit(0))
-    n, held = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
-    return n <= MOST_ENTRIES and held <= MOST_BYTES
-
-
 def travels(table: DataFrame, src: str, dst: str, rows: int | None = None) -> bool:
     """Is the table light enough, in rows and in bytes, to be sent to every
     task? One aggregate; none where the caller knows of too many ``rows``."""
     if rows is not None and rows > MOST_ENTRIES:
         return False
-    return _light(table, [src, dst])
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (src, dst)), F.lit(0))
+    n, held = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return n <= MOST_ENTRIES and held <= MOST_BYTES
 
 
 def bucketed(table: DataFrame, src: str, dst: str) -> DataFrame:

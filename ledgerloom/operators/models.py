@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.joins import salted_lookup
-from ledgerloom.session import written
+from ledgerloom.session import hold
 
 
 @dataclass
@@ -88,11 +88,9 @@ def class_prior(train: DataFrame, pos: str = "pos", neg: str = "neg") -> DataFra
 
 
 def token_scores(bag: DataFrame, weights: DataFrame, key: str, token: str = "token", cnt: str = "cnt") -> DataFrame:
-    """(key, score): sum of cnt * weight over a key's known tokens. The weights
-    are written, counted and sent to the bag where they are light; otherwise
-    frequent tokens are salted. Sums are combined map-side."""
-    _, held = written(weights.select(F.col(token).alias("_t"), "weight"), "weights", kept=True)
-    j = salted_lookup(bag.select(key, token, cnt), held, token, "_t", "inner")
+    """(key, score): sum of cnt * weight over a key's known tokens. Frequent
+    tokens are salted; sums are combined map-side."""
+    j = salted_lookup(bag.select(key, token, cnt), weights.select(F.col(token).alias("_t"), "weight"), token, "_t", "inner")
     return j.groupBy(key).agg(F.sum(F.col(cnt) * F.col("weight")).alias("score"))
 
 
@@ -116,8 +114,8 @@ def fusion_bayes(users: DataFrame, bag: DataFrame, key: str, cat_cols: Sequence[
     training labels of either class (0 for users of the test part), so the
     labels' repeated users are weights, not rows. A numerical column without
     training values in one of the classes tells nothing and drops out. The bag is
-    read twice (to learn and to score) and written for it."""
-    _, bag = written(bag, "bag", kept=True)
+    read twice (to learn and to score) and held for it."""
+    bag = hold(bag)
     counts = bag.join(users.select(key, "pos", "neg").where("pos + neg > 0"), key).groupBy("token").agg(
         F.sum(F.col("cnt") * F.col("pos")).alias("pos"), F.sum(F.col("cnt") * F.col("neg")).alias("neg"))
     out = users.join(token_scores(bag, token_weights(counts), key), key, "left").withColumn("logit", F.coalesce("score", F.lit(0.0))).drop("score")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.session import default_parallelism, hold, written
+from ledgerloom.session import default_parallelism, hold
 
 DEFAULT_CHUNK_LEN = 4096
 PIECE_ROWS_LOG2 = 16  # pieces of at most 65,536 events
@@ -73,14 +73,14 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
         ev = ev.withColumn("_items", F.concat(F.col("_items"), _lit_array([sep], etype)))
 
     # 1-2: range partition (hot keys spread), total sort inside, pieces.
-    # the items break ties inside the partition sort. The table is written:
-    # all its readers must see the same pieces
+    # the items break ties inside the partition sort. The pieces are held: both
+    # branches must see the same ones
     ranged = (ev.repartitionByRange(n_parts, key, *order_by)
               .sortWithinPartitions(key, *order_by, "_items")
               .select(F.col(key).alias("_k"), "_items"))
     fields = [T.StructField("_k", ranged.schema["_k"].dataType), *_PIECE_FIELDS, T.StructField("tokens", ranged.schema["_items"].dataType)]
     walk = _cut_pieces(list(prefix), list(suffix), 0 if sep is None else 1, chunk_len, 1 << piece_rows_log2)
-    _, pieces = written(ranged.mapInArrow(walk, T.StructType(fields)), "pieces", kept=True)
+    pieces = hold(ranged.mapInArrow(walk, T.StructType(fields)))
     closed = pieces.where(F.col("_piece").isNull()).select(F.col("_k").alias(key), "chunk", "offset", "seq_len", "tokens")
     pieces = pieces.where(F.col("_piece").isNotNull()).select(F.col("_k").alias(key), "_piece", F.col("seq_len").alias("_n"), F.col("tokens").alias("_tok"))
 
@@ -338,105 +338,12 @@ def label_sequences_as_of(events: DataFrame, labels: DataFrame, key: str, order_
     """J2 with a time cut: every label row with the last ``n`` tokens of its
     key's events dated (first column of ``order_by``) at or before the row's
     own ``as_of``. No later event is in a sequence. Rows without such an event,
-    without a key or without a time get an empty array.
-
-    Label rows are sorted in among the events (``_windows_in_order``), so tokens
-    are moved once. ``row_id`` is meant to be unique; rows that share one get
-    their windows by id (``windows_as_of``), one after another."""
-    etype = _elem_type(events, items)
-    none = F.array().cast(f"array<{etype}>")
+    without a key or without a time get an empty array; ``row_id`` is unique."""
+    extra = 0 if sep is None else 1
     dated = events.where(F.col(order_by[0]).isNotNull())
-    placeable = F.col(key).isNotNull() & F.col(as_of).isNotNull() & F.col(row_id).isNotNull()
-    shared = labels.where(F.col(row_id).isNotNull()).groupBy(row_id).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(row_id)
-    again = None
-    if not shared.isEmpty():
-        again, labels = labels.join(shared, row_id, "left_semi"), labels.join(shared, row_id, "left_anti")
-    out = _windows_in_order(dated, labels.where(placeable), key, order_by, items, as_of, n, sep) \
-        .unionByName(labels.where(~placeable).withColumn("tokens", none))
-    if again is None:
-        return out
-    sized = dated.withColumn("_size", F.coalesce(F.size(items), F.lit(0)) + (0 if sep is None else 1))
-    upto = tokens_until(sized, again, key, order_by[0], row_id, as_of, "_size")
+    sized = dated.withColumn("_size", F.coalesce(F.size(items), F.lit(0)) + extra)
+    upto = tokens_until(sized, labels, key, order_by[0], row_id, as_of, "_size")
     seqs = assemble_sequences(dated, key, order_by, items, sep=sep, chunk_len=chunk_len)
     windows = windows_as_of(seqs, upto, key, row_id, n, chunk_len, sep is not None)
-    return out.unionByName(again.join(windows, row_id, "left").withColumn("tokens", F.coalesce(F.col("tokens"), none)))
-
-
-def _windows_in_order(events: DataFrame, labels: DataFrame, key: str, order_by: Sequence[str], items: str, as_of: str, n: int, sep) -> DataFrame:
-    """``labels`` with ``tokens``, by one range shuffle of events and label rows on
-    (key, time). A partition is walked in order and each label row takes the tokens
-    just before it. Where a partition begins inside a key, its first label rows
-    also need tokens of the partitions before: each partition hands on its last key's
-    ``n`` newest tokens, and these (one row a partition) are put in front."""
-    spark, extra = events.sparkSession, 0 if sep is None else 1
     etype = _elem_type(events, items)
-    none = F.array().cast(f"array<{etype}>")
-    own = F.coalesce(F.col(items), none) if sep is None else F.concat(F.coalesce(F.col(items), none), _lit_array([sep], etype))
-    rest = [f"_o{i}" for i in range(1, len(order_by))]
-    carried = [f"_l{i}" for i in range(len(labels.columns))]
-    e = events.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("_k"), F.col(order_by[0]).alias("_t"), F.lit(0).alias("_kind"), *[F.col(c).alias(o) for c, o in zip(order_by[1:], rest)], own.alias("_items"),
-        *[F.lit(None).cast(labels.schema[c].dataType).alias(x) for c, x in zip(labels.columns, carried)])
-    rows = labels.select(
-        F.col(key).alias("_k"), F.col(as_of).alias("_t"), F.lit(1).alias("_kind"), *[F.lit(None).cast(events.schema[c].dataType).alias(o) for c, o in zip(order_by[1:], rest)],
-        none.alias("_items"), *[F.col(c).alias(x) for c, x in zip(labels.columns, carried)])
-    order = ["_k", "_t", "_kind", *rest]
-    ranged = e.unionByName(rows).repartitionByRange(default_parallelism(spark), *order).sortWithinPartitions(*order, "_items")
-    ranged = ranged.select("_k", "_kind", "_items", *carried)
-    fields = [*[T.StructField(x, ranged.schema[x].dataType) for x in carried], T.StructField("_p", T.IntegerType()), T.StructField("_open", T.BooleanType()),
-              T.StructField("_first", ranged.schema["_k"].dataType), T.StructField("_last", ranged.schema["_k"].dataType), T.StructField("tokens", ranged.schema["_items"].dataType)]
-    _, walked = written(ranged.mapInArrow(_take_windows(n, extra), T.StructType(fields)), "as-of", kept=True)
-    before, held = [], {}  # one row a partition, n + 1 tokens at most
-    for r in walked.where("_open is null").select("_p", "_first", "_last", "tokens").orderBy("_p").collect():
-        if r["_first"] in held:
-            before.append((r["_p"], held[r["_first"]]))
-        held = {r["_last"]: (held.get(r["_last"], []) + r["tokens"])[-n - extra:]}
-    front = spark.createDataFrame(before, T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_front", ranged.schema["_items"].dataType)]))
-    opened = walked.where("_open").join(F.broadcast(front), "_p", "left").withColumn("_all", F.concat(F.coalesce("_front", none), "tokens"))
-    end = F.greatest(F.size("_all") - extra, F.lit(0))
-    opened = opened.withColumn("tokens", F.slice("_all", F.greatest(end - n, F.lit(0)) + 1, F.least(end, F.lit(n))))
-    named = [F.col(x).alias(c) for c, x in zip(labels.columns, carried)]
-    return walked.where(~F.col("_open")).select(*named, "tokens").unionByName(opened.select(*named, "tokens"))
-
-
-def _take_windows(n: int, extra: int) -> Callable:
-    """The walk over a sorted partition of (key, kind, items, label columns): each
-    label row (kind 1) with the ``n`` tokens before it, or, ``_open``, with all
-    there are since the partition's start where these may not be enough; at last one
-    row with the newest tokens of the last key."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, first, tail, last, fresh, names = TaskContext.get().partitionId(), None, None, None, True, None
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys, kind, items = batch.columns[:3]
-            columns = batch.columns[3:]
-            names = [f"_l{i}" for i in range(len(columns))] + ["_p", "_open", "_first", "_last", "tokens"]
-            if first is None:
-                first, tail = keys.slice(0, 1), items.values.slice(0, 0)
-            elif len(_starts(pa.concat_arrays([last, keys.slice(0, 1)]))) > 1:
-                tail, fresh = tail.slice(0, 0), False  # another key
-            at = items.offsets.to_numpy().astype(np.int64) - items.offsets[0].as_py() + len(tail)
-            pool = pa.concat_arrays([tail, items.values.slice(items.offsets[0].as_py(), items.offsets[-1].as_py() - items.offsets[0].as_py())])
-            runs = _starts(keys)
-            begins = at[runs]
-            begins[0] = 0
-            rows = np.flatnonzero(kind.to_numpy() == 1)
-            run_of = np.searchsorted(runs, rows, side="right") - 1
-            since, here = begins[run_of], at[rows]
-            is_open = (run_of == 0) & fresh & (here - since < n + extra)
-            hi = np.where(is_open, here, np.maximum(here - extra, since))
-            lo = np.where(is_open, since, np.maximum(hi - n, since))
-            if len(rows):
-                taken, length, m = pa.array(rows), hi - lo, len(rows)
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pool.take(pa.array(_spans(lo, length))))
-                yield pa.RecordBatch.from_arrays([*[c.take(taken) for c in columns], pa.array(np.full(m, place, np.int32)), pa.array(is_open),
-                                                  pa.nulls(m, keys.type), pa.nulls(m, keys.type), tokens], names=names)
-            fresh = fresh and len(runs) == 1
-            start = max(begins[-1], len(pool) - n - extra)
-            tail = pa.concat_arrays([pool.slice(start)])
-            last = keys.slice(len(keys) - 1, 1)
-        if names:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in columns], pa.array([place], pa.int32()), pa.nulls(1, pa.bool_()), first, last,
-                                              pa.ListArray.from_arrays(pa.array([0, len(tail)], pa.int32()), tail)], names=names)
-    return run
+    return labels.join(windows, row_id, "left").withColumn("tokens", F.coalesce(F.col("tokens"), F.array().cast(f"array<{etype}>")))

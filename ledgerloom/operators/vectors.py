@@ -141,6 +141,7 @@ def pooled(seqs: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
     travel are summed up where the chunks lie: a shuffle moves one row of sums a
     key and task. Heavier ones are looked up, with salt, by counted tokens."""
     one = seqs.select(key, F.explode("tokens").alias("token"))
-    bag = one.withColumn("cnt", F.lit(1)) if travels(vectors, "token", "vector") else one.groupBy(key, "token").agg(F.count(F.lit(1)).alias("cnt"))
-    j = salted_lookup(bag, vectors.select(F.col("token").alias("_t"), "vector"), "token", "_t", "inner")
+    light = travels(vectors, "token", "vector")
+    bag = one.withColumn("cnt", F.lit(1)) if light else one.groupBy(key, "token").agg(F.count(F.lit(1)).alias("cnt"))
+    j = salted_lookup(bag, vectors.select(F.col("token").alias("_t"), "vector"), "token", "_t", "inner", light)
     return mean_vectors(j, key, "vector", "cnt", vector_sizes(vectors, "vector"))
