@@ -1,10 +1,11 @@
 """Byte-pair training with pair counts kept by signed changes.
 
 The distinct words of the corpus lie in *blocks*, one row each: the words'
-symbols one after another, their counts, and an inverted index from each
-adjacent pair to its places (a sorted list of pair keys beside the places).
-The blocks are written to the shared folder; a merge touches only the places
-that the index names, so its cost follows the words it changes.
+symbols one after another (two bytes each, where the ids fit) and their counts.
+The blocks are written to the shared folder. A task indexes the places of the
+pairs it is about to merge and of no others: one pass over the symbols; a merge
+then touches only the places that the index names, so its cost follows the
+words it changes.
 
 The driver keeps the pairs of the highest ranks (``tracked`` at most) with
 their exact counts. All pairs ranked before ``bound`` are among them: a pair's
@@ -44,11 +45,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import drop_written, written
 
-BLOCK_SYMBOLS = 1 << 20
+BLOCK_SYMBOLS = 1 << 22
+ROUND_PARTITIONS = 24  # a round's sum has some steps times the vocabulary rows, whatever the input
 GAP, HOLE = -1, -2  # between words; a symbol that went into the one before it
 _BITS = 32
 _LOW = (1 << _BITS) - 1
-_BLOCKS = "cnt binary, sym binary, ikey binary, ipos binary"
+_BLOCKS = "cnt binary, sym binary, width int"
 Merge = tuple[int, int, int]
 
 
@@ -66,20 +68,23 @@ def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """In order, each once; ``np.unique`` hashes, which is slower here."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Block:
     """Some words' symbols, with the places of every adjacent pair."""
 
-    def __init__(self, cnt: np.ndarray, sym: np.ndarray, ikey: np.ndarray | None = None, ipos: np.ndarray | None = None):
+    def __init__(self, cnt: np.ndarray, sym: np.ndarray, merges: Sequence[Merge] | None = None):
+        """With ``merges`` only their pairs are indexed: no other may be merged."""
         self.cnt, self.sym = cnt, np.array(sym, np.int32)  # a copy: merges write to it
         self.ends = np.flatnonzero(self.sym == GAP)[1:]    # the gap after each word; the first gap stands before all
         self.nxt = np.arange(1, len(sym) + 1, dtype=np.int32)
         self.prv = np.arange(-1, len(sym) - 1, dtype=np.int32)
-        if ikey is None:
-            at = np.flatnonzero((self.sym[:-1] >= 0) & (self.sym[1:] >= 0)).astype(np.int32)
-            keys = self._keys(at)
-            order = np.argsort(keys, kind="stable")
-            ikey, ipos = keys[order], at[order]
-        self.ikey, self.ipos = ikey, ipos
+        self.wanted = None if merges is None else np.unique(np.array([pair_key(left, right) for left, right, _ in merges], np.int64))
+        self.index: tuple[np.ndarray, np.ndarray] | None = None  # pairs in order beside their places, by the first merge
         self.later: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by token: pairs that came with it
         self.touched = 0
 
@@ -91,12 +96,13 @@ class Block:
             flat.append(GAP)
         return cls(np.array(cnt, np.int64), np.array(flat, np.int32))
 
-    def row(self) -> tuple[bytes, bytes, bytes, bytes]:
-        return self.cnt.tobytes(), self.sym.tobytes(), self.ikey.tobytes(), self.ipos.tobytes()
+    def row(self) -> tuple[bytes, bytes, int]:
+        width = 2 if self.sym.max(initial=0) < 1 << 15 else 4
+        return self.cnt.tobytes(), self.sym.astype(f"i{width}").tobytes(), width
 
     @classmethod
-    def of_row(cls, cnt: bytes, sym: bytes, ikey: bytes, ipos: bytes) -> Block:
-        return cls(np.frombuffer(cnt, np.int64), np.frombuffer(sym, np.int32), np.frombuffer(ikey, np.int64), np.frombuffer(ipos, np.int32))
+    def of_row(cls, cnt: bytes, sym: bytes, width: int, merges: Sequence[Merge] | None = None) -> Block:
+        return cls(np.frombuffer(cnt, np.int64), np.frombuffer(sym, f"i{width}"), merges)
 
     def _keys(self, at: np.ndarray) -> np.ndarray:
         return pair_key(self.sym[at].astype(np.int64), self.sym[self.nxt[at]].astype(np.int64))
@@ -104,25 +110,56 @@ class Block:
     def _weights(self, at: np.ndarray) -> np.ndarray:
         return self.cnt[np.searchsorted(self.ends, at)]
 
+    def _pairs(self) -> np.ndarray:
+        """The places of a block without merges where a wanted pair may stand."""
+        left, right = self.sym[:-1], self.sym[1:]
+        if self.wanted is None:
+            return np.flatnonzero((left >= 0) & (right >= 0)).astype(np.int32)
+        # a symbol's place in the tables is its id; the last one is that of GAP
+        size = int(max(self.sym.max(), self.wanted.max(initial=0) >> _BITS, (self.wanted & _LOW).max(initial=0))) + 2
+        opens, closes = np.zeros(size, bool), np.zeros(size, bool)
+        opens[self.wanted >> _BITS] = True
+        closes[self.wanted & _LOW] = True
+        return np.flatnonzero(opens[left] & closes[right]).astype(np.int32)
+
+    def _indexed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The wanted pairs at some places, in order, beside their places."""
+        keys = self._keys(at)
+        rank = keys
+        if self.wanted is not None:
+            if not len(self.wanted):
+                return keys[:0], at[:0]
+            rank = np.searchsorted(self.wanted, keys)
+            here = np.flatnonzero(self.wanted[np.minimum(rank, len(self.wanted) - 1)] == keys)
+            keys, at, rank = keys[here], at[here], rank[here]
+            if len(self.wanted) <= 1 << 16:
+                rank = rank.astype(np.uint16)  # numpy orders these by radix
+        order = np.argsort(rank, kind="stable")
+        return keys[order], at[order]
+
     def _places(self, left: int, right: int) -> np.ndarray:
         """Where the pair stands now, in order."""
         key = pair_key(left, right)
+        if self.index is None:
+            self.index = self._indexed(self._pairs())
         found = []
-        for keys, at in [(self.ikey, self.ipos), *self.later.get(left, ()), *(self.later.get(right, ()) if left != right else ())]:
+        for keys, at in [self.index, *self.later.get(left, ()), *(self.later.get(right, ()) if left != right else ())]:
             lo, hi = np.searchsorted(keys, [key, key + 1])
             if lo < hi:
                 found.append(at[lo:hi])
         if not found:
             return np.zeros(0, np.int32)
-        at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        at = found[0] if len(found) == 1 else _distinct(np.concatenate(found))
         return at[(self.sym[at] == left) & (self.sym[self.nxt[at]] == right)]
 
-    def merge(self, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, left: int, right: int, new: int, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Merge the pair wherever it stands, left to right; returns the changed
-        pairs' keys and the signed changes of their counts."""
+        pairs' keys and the signed changes of their counts, or nothing where
+        these are not ``counted``."""
         at = self._places(left, right)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         sym, nxt, prv = self.sym, self.nxt, self.prv
         if left == right:  # of a run of equal symbols every second pair is merged
             k = np.arange(len(at))
@@ -132,16 +169,18 @@ class Block:
         self.touched += len(at)
         gone = nxt[at]
         before, after = prv[at], nxt[gone]
-        old = np.unique(np.concatenate([before[sym[before] >= 0], at, gone[sym[after] >= 0]]))
-        old_keys = self._keys(old)
+        if counted:
+            old = _distinct(np.concatenate([before[sym[before] >= 0], at, gone[sym[after] >= 0]]))
+            old_keys = self._keys(old)
         sym[at], sym[gone] = new, HOLE
         nxt[at] = after
         prv[after] = at
         before, after = prv[at], nxt[at]
-        made = np.unique(np.concatenate([before[sym[before] >= 0], at[sym[after] >= 0]]))
+        made = _distinct(np.concatenate([before[sym[before] >= 0], at[sym[after] >= 0]]))
+        self.later.setdefault(new, []).append(self._indexed(made))
+        if not counted:
+            return none
         made_keys = self._keys(made)
-        order = np.argsort(made_keys, kind="stable")
-        self.later.setdefault(new, []).append((made_keys[order], made[order]))
         return _added(np.concatenate([old_keys, made_keys]), np.concatenate([-self._weights(old), self._weights(made)]))
 
     def compact(self) -> Block | None:
@@ -157,19 +196,23 @@ class Block:
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a block without merges, with their counts."""
-        return _added(self.ikey, self._weights(self.ipos))
+        at = np.flatnonzero((self.sym[:-1] >= 0) & (self.sym[1:] >= 0)).astype(np.int32)
+        return _added(self._keys(at), self._weights(at))
 
 
 # ---------------------------------------------------------------- tasks
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _rows(batches: Iterator[pa.RecordBatch], merges: Sequence[Merge] = ()) -> Iterator[Block]:
     for batch in batches:
+        cnt, sym, width = batch.columns
         for k in range(len(batch)):
-            yield Block.of_row(*(memoryview(c[k].as_buffer()) for c in batch.columns))
+            yield Block.of_row(memoryview(cnt[k].as_buffer()), memoryview(sym[k].as_buffer()), width[k].as_py(), merges)
 
 
 def _batch(block: Block) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block.row()], names=["cnt", "sym", "ikey", "ipos"])
+    cnt, sym, width = block.row()
+    return pa.RecordBatch.from_arrays([pa.array([cnt], pa.binary()), pa.array([sym], pa.binary()), pa.array([width], pa.int32())],
+                                      names=["cnt", "sym", "width"])
 
 
 def _changes_schema() -> str:
@@ -213,9 +256,9 @@ def _dropped(path: str, blocks: DataFrame) -> None:
 
 def _rewritten(blocks: DataFrame, pending: list[Merge]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _rows(batches):
+        for block in _rows(batches, pending):
             for m in pending:
-                block.merge(*m)
+                block.merge(*m, counted=False)
             compact = block.compact()
             if compact is not None:
                 yield _batch(compact)
@@ -235,9 +278,9 @@ def _round(blocks: DataFrame, pending: list[Merge], steps: list[Merge], tracked:
     first_new = min(m[2] for m in steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _rows(batches):
+        for block in _rows(batches, [*pending, *steps]):
             for m in pending:
-                block.merge(*m)
+                block.merge(*m, counted=False)
             for step, m in enumerate(steps):
                 keys, values = block.merge(*m)
                 at = np.minimum(np.searchsorted(tracked, keys), max(len(tracked) - 1, 0))
@@ -360,13 +403,18 @@ class Ranking:
 
 @contextmanager
 def _as_planned(spark: SparkSession) -> Iterator[None]:
-    """A round is one pass and one small sum: there is nothing to plan anew between them."""
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    """A round is one pass and one small sum: there is nothing to plan anew between
+    them, and the sum needs few partitions."""
+    width = "spark.sql.shuffle.partitions"
+    round_conf = {"spark.sql.adaptive.enabled": "false", width: str(min(int(spark.conf.get(width)), ROUND_PARTITIONS))}
+    before = {k: spark.conf.get(k) for k in round_conf}
     try:
+        for k, v in round_conf.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _apart(guess: tuple, before: list[tuple]) -> bool:
@@ -431,8 +479,9 @@ def learn_merges(spark: SparkSession, histogram: DataFrame, tokens: list[str], t
             keys = np.sort(np.fromiter(ranking.count, np.int64, len(ranking.count)))
             changes: list[list[tuple[int, int]]] = [[] for _ in steps]
             with _as_planned(spark):
-                for r in _round(blocks, pending, steps, keys, ranking.least()).collect():
-                    changes[r["step"]].append((r["key"], r["change"]))
+                got = _round(blocks, pending, steps, keys, ranking.least()).toArrow()
+            for step, key, by in zip(*(c.to_pylist() for c in got.select(["step", "key", "change"]).columns)):
+                changes[step].append((key, by))
             stats["rounds"] += 1
             fresh = False
             for step in changes[:len(unresolved)]:
