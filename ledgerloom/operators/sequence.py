@@ -17,7 +17,7 @@ How the assembly scales (``assemble_sequences``):
    inside a batch is *closed*, and its finished chunks are cut there; what
    touches a batch's first or last key is an *open* piece, at most two a
    batch (a hot key has one a batch, of at most ``piece_rows`` rows). Both are
-   written as one Parquet table, whose dictionaries make tokens small;
+   held packed (``_pack``): compressed, tokens as dictionary codes;
 3. number the open pieces per key on a slim (key, piece, length) table, giving
    every piece its offset;
 4. cut the open pieces at chunk boundaries and regroup them by (key, chunk),
@@ -78,15 +78,18 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
     ranged = (ev.repartitionByRange(n_parts, key, *order_by)
               .sortWithinPartitions(key, *order_by, "_items")
               .select(F.col(key).alias("_k"), "_items"))
-    fields = [T.StructField("_k", ranged.schema["_k"].dataType), *_PIECE_FIELDS, T.StructField("tokens", ranged.schema["_items"].dataType)]
+    k_type, tok_type = ranged.schema["_k"].dataType, ranged.schema["_items"].dataType
     walk = _cut_pieces(list(prefix), list(suffix), 0 if sep is None else 1, chunk_len, 1 << piece_rows_log2)
-    pieces = hold(ranged.mapInArrow(walk, T.StructType(fields)))
-    closed = pieces.where(F.col("_piece").isNull()).select(F.col("_k").alias(key), "chunk", "offset", "seq_len", "tokens")
-    pieces = pieces.where(F.col("_piece").isNotNull()).select(F.col("_k").alias(key), "_piece", F.col("seq_len").alias("_n"), F.col("tokens").alias("_tok"))
+    packed = hold(ranged.mapInArrow(walk, T.StructType([T.StructField("_k", k_type), *_PACKED_FIELDS])))
+    closed = packed.where(F.col("_piece").isNull()).select("_z", "_pool").mapInArrow(
+        _unpack(), T.StructType([T.StructField("_k", k_type), *_CHUNK_FIELDS, T.StructField("tokens", tok_type)])).withColumnRenamed("_k", key)
+    opened = packed.where(F.col("_piece").isNotNull())
+    pieces = opened.select("_z", "_pool").mapInArrow(
+        _unpack(), T.StructType([T.StructField(key, k_type), T.StructField("_piece", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_tok", tok_type)]))
 
     # 3: offsets on the slim table.
     by_key = Window.partitionBy(key)
-    slim = (pieces.select(key, "_piece", "_n")
+    slim = (opened.select(F.col("_k").alias(key), "_piece", "_n")
             .withColumn("_off", F.sum("_n").over(by_key.orderBy("_piece")) - F.col("_n"))
             .withColumn("_tot", F.sum("_n").over(by_key))
             .drop("_n"))
@@ -127,8 +130,10 @@ def assemble_sequences(events: DataFrame, key: str, order_by: Sequence[str], ite
     return closed.unionByName(regrouped)
 
 
-_PIECE_FIELDS = [T.StructField("_piece", T.LongType()), T.StructField("chunk", T.IntegerType()),
-                 T.StructField("offset", T.LongType()), T.StructField("seq_len", T.LongType())]
+_PACKED_FIELDS = [T.StructField("_piece", T.LongType()), T.StructField("_n", T.LongType()),
+                  T.StructField("chunk", T.IntegerType()),  # the first one packed; null for a piece
+                  T.StructField("_z", T.BinaryType()), T.StructField("_pool", T.BinaryType())]
+_CHUNK_FIELDS = [T.StructField("chunk", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("seq_len", T.LongType())]
 
 
 def _starts(keys: pa.Array) -> np.ndarray:
@@ -147,9 +152,55 @@ def _spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + length, length)
 
 
+UNPACKED = 1 << 18  # tokens of a batch that is unpacked, or one row
+
+
+def _bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _batch(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _pack(columns: list[pa.Array], lo: np.ndarray, hi: np.ndarray, pool: pa.Array) -> list[pa.Array]:
+    """Rows with the tokens ``pool[lo:hi]`` as two values: the rows and the pool, each a
+    compressed Arrow stream. Strings of the pool are coded by a dictionary, and
+    tokens that several rows share are there once."""
+    if pa.types.is_string(pool.type) or pa.types.is_large_string(pool.type):
+        pool = pool.dictionary_encode()
+    columns = [*columns, pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))]
+    rows = pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+    return [pa.array([_bytes(x)], pa.binary()) for x in (rows, pa.RecordBatch.from_arrays([pool], names=["t"]))]
+
+
+def _unpack() -> Callable:
+    """Batches of (_z, _pool) back to the rows they hold, their tokens last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z, p in zip(b.column(0), b.column(1)):
+                rows, pool = _batch(z.as_py()), _batch(p.as_py()).column(0)
+                *columns, lo, hi = rows.columns
+                lo, size = lo.to_numpy(), hi.to_numpy() - lo.to_numpy()
+                ends, at = np.cumsum(size), 0
+                while at < len(rows):
+                    to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + UNPACKED, side="right")), at + 1)
+                    tokens = pool.take(pa.array(_spans(lo[at:to], size[at:to])))
+                    if pa.types.is_dictionary(tokens.type):
+                        tokens = tokens.dictionary_decode()
+                    offsets = pa.array(np.append(0, np.cumsum(size[at:to])).astype(np.int32))
+                    arrays = [*[c.slice(at, to - at) for c in columns], pa.ListArray.from_arrays(offsets, tokens)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
+                    at = to
+    return run
+
+
 def _cut_pieces(prefix: list, suffix: list, extra: int, chunk_len: int, piece_rows: int) -> Callable:
     """The walk over a sorted partition of (key, items): finished chunks of the
-    keys inside a batch, numbered pieces (``seq_len``: their tokens) of the others."""
+    keys inside a batch, packed as one row, and numbered pieces (``_n``: their tokens) of the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -172,21 +223,21 @@ def _cut_pieces(prefix: list, suffix: list, extra: int, chunk_len: int, piece_ro
                 chunks = np.maximum(-(-n // chunk_len), 1)
                 of, k = np.repeat(np.arange(len(inner)), chunks), _spans(np.zeros_like(chunks), chunks)
                 starts = (np.cumsum(n) - n)[of] + k * chunk_len
+                columns = [keys.take(pa.array(runs[inner][of])), pa.array(k.astype(np.int32)), pa.array(k * chunk_len), pa.array(n[of])]
                 yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(runs[inner][of])), pa.nulls(len(of), pa.int64()), pa.array(k.astype(np.int32)), pa.array(k * chunk_len), pa.array(n[of]),
-                    pa.ListArray.from_arrays(pa.array(np.append(starts, n.sum()).astype(np.int32)), tokens)], names=_NAMES)
+                    pa.nulls(1, keys.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0], pa.int32()),
+                    *_pack(columns, starts, np.append(starts[1:], n.sum()), tokens)], names=_NAMES)
             for r in outer:
                 for lo in range(runs[r], runs[r + 1], piece_rows):
                     hi = min(lo + piece_rows, runs[r + 1])
                     part = values.slice(at[lo], at[hi] - at[lo])
-                    yield pa.RecordBatch.from_arrays([
-                        keys.slice(lo, 1), pa.array([number], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([len(part)], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=_NAMES)
+                    named = [keys.slice(lo, 1), pa.array([number], pa.int64()), pa.array([len(part)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*named, pa.nulls(1, pa.int32()), *_pack(named, np.zeros(1), np.full(1, len(part)), part)], names=_NAMES)
                     number += 1
     return run
 
 
-_NAMES = ["_k", "_piece", "chunk", "offset", "seq_len", "tokens"]
+_NAMES = ["_k", "_piece", "_n", "chunk", "_z", "_pool"]
 
 
 # ---------------------------------------------------------------------------
@@ -292,45 +343,106 @@ def edge_tokens(events: DataFrame, key: str, order_by: Sequence[str], items: str
 # ---------------------------------------------------------------------------
 # As-of windows
 
-def tokens_until(events: DataFrame, labels: DataFrame, key: str, time: str, row_id: str, as_of: str, n_tokens: str = "n_tokens") -> DataFrame:
-    """(key, row_id, upto): how many tokens of its key's events are dated at or
-    before a label row's time.
-
-    Events and label rows are merged on (key, time) by one range shuffle of slim
-    rows, so a key with a third of all rows is spread over many tasks. Running
-    sums inside each partition plus the partitions' totals (one row each,
-    broadcast) give a running sum over everything; a key's own start is the
-    smallest sum before any of its rows."""
-    n = default_parallelism(events.sparkSession)
-    e = events.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.col(n_tokens).cast("bigint").alias("_n"),
-                                                    F.lit(None).cast(labels.schema[row_id].dataType).alias("_id"))
-    # one row a key and time: what lies between two label times is only summed
-    e = e.groupBy("_k", "_t", "_kind", "_id").agg(F.sum("_n").alias("_n"))
-    rows = labels.where(F.col(key).isNotNull() & F.col(as_of).isNotNull()).select(
-        F.col(key).alias("_k"), F.col(as_of).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_n"), F.col(row_id).alias("_id"))
-    order = ["_k", "_t", "_kind", "_id"]
-    ranged = hold(e.unionByName(rows).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
-    totals = ranged.groupBy("_p").agg(F.sum("_n").alias("_pn"))
-    before = totals.select("_p", F.coalesce(F.sum("_pn").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = ranged.withColumn("_in", inside).join(F.broadcast(before), "_p").withColumn("_sum", F.col("_before") + F.col("_in"))
-    starts = run.groupBy("_k").agg(F.min(F.col("_sum") - F.col("_n")).alias("_start"))
-    return run.where(F.col("_kind") == 1).join(starts, "_k").select(
-        F.col("_k").alias(key), F.col("_id").alias(row_id), (F.col("_sum") - F.col("_start")).alias("upto"))
-
-
-def windows_as_of(seqs: DataFrame, upto: DataFrame, key: str, row_id: str, n: int, chunk_len: int, sep: bool = True) -> DataFrame:
-    """(row_id, tokens): the last ``n`` tokens of each key's sequence before
-    position ``upto`` (without the separator that ends the last event). A
-    window reads the one or few chunks that hold it, by an equi-join."""
-    hi = F.col("upto") - F.when((F.col("upto") > 0) & F.lit(sep), 1).otherwise(0)
-    w = upto.select(key, row_id, hi.alias("_hi")).withColumn("_lo", F.greatest(F.col("_hi") - n, F.lit(0))).where(F.col("_hi") > F.col("_lo"))
-    w = w.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_lo") / chunk_len), F.floor((F.col("_hi") - 1) / chunk_len)))).withColumn("chunk", F.col("chunk").cast("int"))
-    j = w.join(seqs.select(key, "chunk", "offset", "tokens"), [key, "chunk"])
-    lo, hi2 = F.greatest(F.col("_lo"), F.col("offset")), F.least(F.col("_hi"), F.col("offset") + F.size("tokens"))
-    part = F.slice("tokens", (lo - F.col("offset") + 1).cast("int"), F.greatest(hi2 - lo, F.lit(0)).cast("int"))
-    return j.select(row_id, "chunk", part.alias("_s")).groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("chunk", "_s"))).alias("_c")) \
-            .select(row_id, F.flatten(F.transform("_c", lambda c: c["_s"])).alias("tokens"))
+def windows_as_of(events: DataFrame, labels: DataFrame, key: str, order_by: Sequence[str], items: str, row_id: str, as_of: str, n: int, sep=None) -> DataFrame:
+    """``labels`` with ``hi`` and ``tokens``: the last ``n`` tokens of the key's events dated at
+    or before the row's time (without the separator that ends the last event), and
+    the position in the key's sequence where they end; ``hi`` is null for rows that
+    are not ``_twin`` and need no token of another partition.
+
+    Events and label rows are merged on (key, time) by one range shuffle, so a key
+    with a third of all rows is spread over many tasks, and a partition is walked in
+    order: each label row takes the tokens just before it. What the walk gives is
+    held packed, the shared tokens of windows once. Where a partition begins
+    inside a key, its first label rows need tokens of the partitions before, too: each
+    partition hands on its last key's newest tokens and their number (one row a
+    partition, broadcast)."""
+    spark, extra = events.sparkSession, 0 if sep is None else 1
+    etype = _elem_type(events, items)
+    none = F.array().cast(f"array<{etype}>")
+    own = F.coalesce(F.col(items), none) if sep is None else F.concat(F.coalesce(F.col(items), none), _lit_array([sep], etype))
+    rest = [f"_o{i}" for i in range(1, len(order_by))]
+    carried = [f"_l{i}" for i in range(len(labels.columns))]
+    e = events.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(order_by[0]).alias("_t"), F.lit(0).alias("_kind"), *[F.col(c).alias(o) for c, o in zip(order_by[1:], rest)], own.alias("_items"),
+        *[F.lit(None).cast(labels.schema[c].dataType).alias(x) for c, x in zip(labels.columns, carried)])
+    rows = labels.select(
+        F.col(key).alias("_k"), F.col(as_of).alias("_t"), F.lit(1).alias("_kind"), *[F.lit(None).cast(events.schema[c].dataType).alias(o) for c, o in zip(order_by[1:], rest)],
+        none.alias("_items"), *[F.col(c).alias(x) for c, x in zip(labels.columns, carried)])
+    order = ["_k", "_t", "_kind", *rest, carried[labels.columns.index(row_id)]]
+    ranged = e.unionByName(rows).repartitionByRange(default_parallelism(spark), *order).sortWithinPartitions(*order, "_items")
+    ranged = ranged.select("_k", "_kind", "_items", *carried)
+    k_field, toks = T.StructField("_k", ranged.schema["_k"].dataType), T.StructField("tokens", ranged.schema["_items"].dataType)
+    walk = _take_windows(n, extra, 3 + labels.columns.index("_twin"))
+    walked = hold(ranged.mapInArrow(walk, T.StructType([k_field, *_WINDOW_FIELDS, toks])))
+    fields = [T.StructField(x, ranged.schema[x].dataType) for x in carried]
+    named = [F.col(x).alias(c) for c, x in zip(labels.columns, carried)]
+    done = walked.where(~F.col("_open")).select("_z", "_pool").mapInArrow(_unpack(), T.StructType([*fields, toks]))
+
+    opened = walked.where(F.col("_open")).select("_z", "_pool").mapInArrow(
+        _unpack(), T.StructType([*fields, k_field, T.StructField("_p", T.IntegerType()), T.StructField("_goes_on", T.BooleanType()), T.StructField("_here", T.LongType()), toks]))
+    edges = walked.where(F.col("_open").isNull()).groupBy(F.col("_k").alias("_ek")).agg(F.array_sort(F.collect_list(F.struct("_p", "_n", "tokens"))).alias("_edges"))
+    j = opened.join(F.broadcast(edges), F.col("_goes_on") & (F.col("_k") == F.col("_ek")), "left")
+    j = j.withColumn("_before", F.when(F.col("_edges").isNotNull(), F.filter("_edges", lambda x: x["_p"] < F.col("_p"))).otherwise(F.array().cast(j.schema["_edges"].dataType)))
+    j = j.withColumn("_all", F.concat(F.flatten(F.transform("_before", lambda x: x["tokens"])), F.col("tokens")))
+    end = F.greatest(F.size("_all") - extra, F.lit(0))
+    hi = F.greatest(F.col("_here") + F.aggregate("_before", F.lit(0).cast("bigint"), lambda a, x: a + x["_n"]) - extra, F.lit(0).cast("bigint"))
+    opened = j.select(*named, hi.alias("hi"), F.slice("_all", F.greatest(end - n, F.lit(0)) + 1, F.least(end, F.lit(n))).alias("tokens"))
+    return done.select(*named, F.lit(None).cast("bigint").alias("hi"), "tokens").unionByName(opened)
+
+
+_WINDOW_FIELDS = [T.StructField("_p", T.IntegerType()), T.StructField("_open", T.BooleanType()), T.StructField("_n", T.LongType()),
+                  T.StructField("_z", T.BinaryType()), T.StructField("_pool", T.BinaryType())]
+
+
+def _take_windows(n: int, extra: int, twin: int) -> Callable:
+    """The walk over a sorted partition of (key, kind, items, label columns): label
+    rows (kind 1) with the ``n`` tokens before them, or, ``_open``, with the newest
+    tokens and the number of tokens since the partition's start, where these may not
+    be enough or the row's place is asked for; at last one row with the newest
+    tokens of the last key (``_open`` is null)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, tail, last, gone, fresh = TaskContext.get().partitionId(), None, None, 0, True
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, kind, items = batch.columns[:3]
+            if last is None:
+                tail = items.values.slice(0, 0)
+            elif len(_starts(pa.concat_arrays([last, keys.slice(0, 1)]))) > 1:
+                tail, gone, fresh = tail.slice(0, 0), 0, False  # another key
+            at = items.offsets.to_numpy().astype(np.int64)
+            pool = pa.concat_arrays([tail, items.values.slice(at[0], at[-1] - at[0])])
+            at = at - at[0] + len(tail)
+            runs = _starts(keys)
+            begins = at[runs]
+            begins[0] = 0  # of the first key, ``gone`` tokens are not in the pool
+            rows = np.flatnonzero(kind.to_numpy() == 1)
+            run_of = np.searchsorted(runs, rows, side="right") - 1
+            since, here = begins[run_of], at[rows]
+            count = here - since + np.where(run_of == 0, gone, 0)
+            goes_on = (run_of == 0) & fresh
+            is_open = (goes_on & (count < n + extra)) | batch.column(twin).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(bool)
+            hi = np.maximum(here - extra, since)
+            for opened, lo, to in ((False, np.maximum(hi - n, since), hi), (True, np.maximum(here - n - extra, since), here)):
+                mine = np.flatnonzero(is_open == opened)
+                if len(mine):
+                    columns = [c.take(pa.array(rows[mine])) for c in batch.columns[3:]]
+                    if opened:
+                        columns += [keys.take(pa.array(rows[mine])), pa.array(np.full(len(mine), place, np.int32)), pa.array(goes_on[mine]), pa.array(count[mine])]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, keys.type), pa.nulls(1, pa.int32()), pa.array([opened]), pa.nulls(1, pa.int64()),
+                                                      *_pack(columns, lo[mine], to[mine], pool), pa.nulls(1, items.type)], names=_WINDOWS)
+            fresh = fresh and len(runs) == 1
+            start = max(begins[-1], len(pool) - n - extra)
+            gone = int(start - begins[-1]) + (gone if len(runs) == 1 else 0)
+            tail = pa.concat_arrays([pool.slice(start)])
+            last = keys.slice(len(keys) - 1, 1)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([last, pa.array([place], pa.int32()), pa.nulls(1, pa.bool_()), pa.array([gone + len(tail)], pa.int64()),
+                                              pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(tail)], pa.int32()), tail)], names=_WINDOWS)
+    return run
+
+
+_WINDOWS = ["_k", *[x.name for x in _WINDOW_FIELDS], "tokens"]
 
 
 def label_sequences_as_of(events: DataFrame, labels: DataFrame, key: str, order_by: Sequence[str], items: str, row_id: str, as_of: str, n: int, *,
@@ -338,12 +450,30 @@ def label_sequences_as_of(events: DataFrame, labels: DataFrame, key: str, order_
     """J2 with a time cut: every label row with the last ``n`` tokens of its
     key's events dated (first column of ``order_by``) at or before the row's
     own ``as_of``. No later event is in a sequence. Rows without such an event,
-    without a key or without a time get an empty array; ``row_id`` is unique."""
-    extra = 0 if sep is None else 1
-    dated = events.where(F.col(order_by[0]).isNotNull())
-    sized = dated.withColumn("_size", F.coalesce(F.size(items), F.lit(0)) + extra)
-    upto = tokens_until(sized, labels, key, order_by[0], row_id, as_of, "_size")
-    seqs = assemble_sequences(dated, key, order_by, items, sep=sep, chunk_len=chunk_len)
-    windows = windows_as_of(seqs, upto, key, row_id, n, chunk_len, sep is not None)
+    without a key or without a time get an empty array.
+
+    Tokens are moved once, to the label rows (``windows_as_of``). ``row_id`` is meant
+    to be unique: rows that share one get their windows by id, cut at the chunks
+    of ``chunk_len`` and these one after another."""
     etype = _elem_type(events, items)
-    return labels.join(windows, row_id, "left").withColumn("tokens", F.coalesce(F.col("tokens"), F.array().cast(f"array<{etype}>")))
+    none = F.array().cast(f"array<{etype}>")
+    columns = [row_id, *[c for c in labels.columns if c != row_id]]
+    labels = labels.select(*columns)
+    counted = labels.where(F.col(row_id).isNotNull()).withColumn("_twin", F.count(F.lit(1)).over(Window.partitionBy(row_id)) > 1)
+    placeable = F.col(key).isNotNull() & F.col(as_of).isNotNull()
+    windows = windows_as_of(events.where(F.col(order_by[0]).isNotNull()), counted.where(placeable), key, order_by, items, row_id, as_of, n, sep)
+
+    low = F.greatest(F.col("hi") - n, F.lit(0).cast("bigint"))
+    cuts = F.when(F.col("hi") > 0, F.sequence(F.floor(low / chunk_len), F.floor((F.col("hi") - 1) / chunk_len)))
+
+    def part(k: Column) -> Column:
+        lo, hi = F.greatest(low, k * chunk_len), F.least(F.col("hi"), (k + 1) * chunk_len)
+        return F.struct(k.cast("int").alias("chunk"), F.slice("tokens", (lo - low + 1).cast("int"), (hi - lo).cast("int")).alias("_s"))
+
+    shared = windows.where(F.col("hi").isNotNull() & F.col("_twin")).select(F.col(row_id).alias("_id"), F.explode(F.transform(cuts, part)).alias("_c"))
+    shared = shared.groupBy("_id").agg(F.array_sort(F.collect_list("_c")).alias("_c")).select("_id", F.flatten(F.transform("_c", lambda c: c["_s"])).alias("tokens"))
+    twins = counted.where("_twin").join(shared, F.col(row_id) == F.col("_id"), "left")
+    return windows.where(~F.col("_twin")).select(*columns, "tokens") \
+        .unionByName(counted.where(~F.col("_twin") & ~placeable).select(*columns, none.alias("tokens"))) \
+        .unionByName(labels.where(F.col(row_id).isNull()).withColumn("tokens", none)) \
+        .unionByName(twins.select(*columns, F.coalesce(F.col("tokens"), none).alias("tokens")))
