@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.embed import mean_vectors, vector_sizes
@@ -32,22 +32,27 @@ def cooccurrences(seqs: DataFrame, key: str, window: int = 2) -> DataFrame:
     """(left, right, cnt): pairs of tokens ``left`` before ``right`` by 1 to ``window``
     places of one sequence. Pairs inside a chunk are counted where it lies; for
     those across its border only the last ``window`` tokens of the chunk before it
-    and its own first ones meet, by an equi-join on (key, chunk)."""
+    and its own first ones meet, by an equi-join on (key, chunk). All distances are
+    counted in one pass, and only the pairs leave a chunk, not its tokens with each."""
     tail = F.slice("tokens", F.greatest(F.size("tokens") - window, F.lit(0)) + 1, window)
     last = seqs.select(key, (F.col("chunk") + 1).alias("chunk"), tail.alias("_before"))
     first = seqs.where(F.col("chunk") > 0).select(key, "chunk", F.slice("tokens", 1, window).alias("_own"))
     border = first.join(last, [key, "chunk"]).select(F.size("_before").alias("_b"), F.concat("_before", "_own").alias("_t"))
     out = None
     for whole, across in ((seqs.select(F.lit(0).alias("_b"), F.col("tokens").alias("_t")), False), (border, True)):
-        for d in range(1, window + 1):
-            # across a border: the left token before it, the right one behind it
-            low = F.greatest(F.col("_b"), F.lit(d))
-            high = F.least(F.size("_t") - 1, F.col("_b") + d - 1) if across else F.size("_t") - 1
-            one = whole.select("_t", F.explode(F.when(high >= low, F.sequence(low, high))).alias("_i"))
-            one = one.select(F.element_at("_t", F.col("_i") + 1 - d).alias("left"), F.element_at("_t", F.col("_i") + 1).alias("right"))
-            one = one.groupBy("left", "right").agg(F.count(F.lit(1)).alias("cnt"))
-            out = one if out is None else out.unionByName(one)
-    return out.where(F.col("left").isNotNull() & F.col("right").isNotNull()).groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
+        # across a border: the left token before it, the right one behind it
+        pairs = [_pairs("_t", F.greatest(F.col("_b"), F.lit(d)), F.least(F.size("_t") - 1, F.col("_b") + d - 1) if across else F.size("_t") - 1, d)
+                 for d in range(1, window + 1)]
+        one = whole.select(F.explode(F.concat(*pairs)).alias("_p")).select(F.col("_p")["0"].alias("left"), F.col("_p")["1"].alias("right"))
+        one = one.where(F.col("left").isNotNull() & F.col("right").isNotNull()).groupBy("left", "right").agg(F.count(F.lit(1)).alias("cnt"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("left", "right").agg(F.sum("cnt").alias("cnt"))
+
+
+def _pairs(tokens: str, low: Column, high: Column, d: int) -> Column:
+    """(token ``d`` places before, token) at the places ``low`` to ``high`` of an array."""
+    n = F.greatest(high - low + 1, F.lit(0))
+    return F.arrays_zip(F.slice(tokens, low + 1 - d, n), F.slice(tokens, low + 1, n))
 
 
 def ppmi(counts: DataFrame) -> DataFrame:

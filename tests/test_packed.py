@@ -1,10 +1,11 @@
 """What is held between the passes over sequences is packed, and windows are not moved by id."""
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import sequence as S
+from ledgerloom.operators import vectors as V
 
 
 def _holding(monkeypatch):
@@ -67,3 +68,47 @@ def test_a_key_over_many_partitions_and_batches(spark, monkeypatch):
         assert {x["id"]: x["tokens"] for x in df.collect()} == {i: flat[u, at][-300:] for i, u, at in lab}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+
+
+def test_pieces_are_held_packed(spark, monkeypatch):
+    """Closed chunks and the pieces of a hot key alike: a few compressed bytes a token."""
+    held = _holding(monkeypatch)
+    ev = [(u, k, [f"a-long-token-{(k * 7 + len(u)) % 11}"] * 3) for u in ["hot"] * 40 + [f"u{i}" for i in range(60)] for k in range(40)]
+    df = S.assemble_sequences(spark.createDataFrame(ev, EV.replace("k long, ", "")), "u", ["t"], "toks", sep="|", chunk_len=16, num_partitions=3)
+    got = defaultdict(list)
+    for r in df.orderBy("u", "chunk").collect():
+        assert r["offset"] == r["chunk"] * 16 and (len(r["tokens"]) == 16 or r["offset"] + len(r["tokens"]) == r["seq_len"])
+        got[r["u"]] += r["tokens"]
+    want = defaultdict(list)
+    for u, _, toks in sorted(ev):
+        want[u] += [*toks, "|"]
+    assert got == {u: x[:-1] for u, x in want.items()}
+    assert [f.name for f in held[0].schema if f.dataType.typeName() == "array"] == []
+    size = held[0].agg(F.sum(F.length("_z") + F.length("_pool"))).first()[0]
+    assert size < sum(len(x) for toks in got.values() for x in toks) / 3
+
+
+def test_packed_rows_come_back(spark, monkeypatch):
+    """In batches of bounded tokens, with nulls among keys' tokens, numbers and empty arrays."""
+    _holding(monkeypatch)
+    monkeypatch.setattr(S, "UNPACKED", 5)
+    for kind, value in (("string", lambda x: None if x % 5 == 0 else str(x)), ("long", lambda x: x)):
+        ev = [(u, t, [value(u * t + i) for i in range((u + t) % 4)]) for u in range(30) for t in range(6)]
+        df = S.assemble_sequences(spark.createDataFrame(ev, f"u long, t int, toks array<{kind}>"), "u", ["t"], "toks", chunk_len=4, num_partitions=2)
+        got = defaultdict(list)
+        for r in df.orderBy("u", "chunk").collect():
+            got[r["u"]] += r["tokens"]
+        assert got == {u: [x for t in range(6) for x in ev[u * 6 + t][2]] for u in range(30)}
+
+
+def test_distances_are_counted_in_one_pass(spark, monkeypatch):
+    """The tokens are read once for the pairs inside chunks and twice for the borders, whatever the window."""
+    _holding(monkeypatch)
+    ev = spark.createDataFrame([("x", t, [f"t{t % 4}", "y"]) for t in range(30)], EV.replace("k long, ", ""))
+    seqs = S.assemble_sequences(ev, "u", ["t"], "toks", chunk_len=8, num_partitions=2)
+    reads = seqs._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan")
+    df = V.cooccurrences(seqs, "u", 5)
+    assert df._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") <= 3 * reads
+    flat = [x for t in range(30) for x in (f"t{t % 4}", "y")]
+    want = Counter((flat[i], flat[i + d]) for d in range(1, 6) for i in range(len(flat) - d))
+    assert {(r["left"], r["right"]): r["cnt"] for r in df.collect()} == dict(want)
