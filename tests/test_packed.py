@@ -112,3 +112,20 @@ def test_distances_are_counted_in_one_pass(spark, monkeypatch):
     flat = [x for t in range(30) for x in (f"t{t % 4}", "y")]
     want = Counter((flat[i], flat[i + d]) for d in range(1, 6) for i in range(len(flat) - d))
     assert {(r["left"], r["right"]): r["cnt"] for r in df.collect()} == dict(want)
+
+
+def test_token_vectors_over_packed_chunks(spark, monkeypatch):
+    """No tokens are held as rows while vectors are learned, and these are the ones of whole sequences."""
+    held = _holding(monkeypatch)
+    r = random.Random(4)
+    ev = [(f"u{u}", t, [r.choice("abcdef" if u % 2 else "uvwxyz") for _ in range(3)]) for u in range(30) for t in range(20)]
+    events = spark.createDataFrame(ev, EV.replace("k long, ", ""))
+    whole = defaultdict(list)
+    for u, _, toks in ev:
+        whole[u] += toks
+    plain = spark.createDataFrame([(u, 0, x) for u, x in whole.items()], "u string, chunk int, tokens array<string>")
+    chunks = S.assemble_sequences(events, "u", ["t"], "toks", chunk_len=8, num_partitions=3)
+    got, want = ({x["token"]: x["vector"] for x in V.token_vectors(V.ppmi(V.cooccurrences(s, "u", 2)), rank=2).collect()} for s in (chunks, plain))
+    assert got.keys() == want.keys() and len(got) == 12
+    assert all(abs(a - b) < 1e-6 for t in got for a, b in zip(got[t], want[t]))
+    assert len(held) == 1 and not [f for f in held[0].schema if f.dataType.typeName() == "array"]
